@@ -418,7 +418,7 @@ SELECT p_partkey AS id, 1 AS company_id, 'SKU-' || lpad(CAST(p_partkey AS STRING
            AS valuation_method,
        CAST(p_retailprice AS DECIMAL(20,4)) AS standard_cost,
        CAST(0 AS DECIMAL(20,4)) AS last_purchase_price,
-       CAST(0 AS DECIMAL(20,4)) AS average_cost,
+       CAST(CAST(p_retailprice AS DECIMAL(20,4)) * 0.8 AS DECIMAL(20,4)) AS average_cost,
        CAST(CAST(p_retailprice AS DECIMAL(20,4)) * 1.25 AS DECIMAL(20,4)) AS sale_price,
        CAST(p_size AS DECIMAL(20,4)) AS reorder_point,
        CAST(p_size * 2 AS DECIMAL(20,4)) AS reorder_qty,
