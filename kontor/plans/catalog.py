@@ -39,6 +39,8 @@ def oracle_text(tables: list[str], sql: str) -> str:
     if not tables:
         return body
     head = FX.duckdb_with(tables)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + head[5:].rstrip() + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return head.rstrip() + ",\n" + body[5:]
     return head + body
