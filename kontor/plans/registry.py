@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["kontor.plans.catalog", "kontor.plans.inventory_plans"]
+PLAN_MODULES = ["kontor.plans.catalog", "kontor.plans.inventory_plans", "kontor.plans.ledger_plans"]
 
 
 def _load():

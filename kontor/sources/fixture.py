@@ -368,7 +368,7 @@ SELECT o_orderkey AS id, company_id, 'PAY-' || CAST(o_orderkey AS STRING) AS pay
        CASE o_orderkey % 3 WHEN 0 THEN 'bank_transfer' WHEN 1 THEN 'check' ELSE 'cash' END AS method,
        'USD' AS currency, CAST(1 + 0.25 * n_regionkey AS DECIMAL(20,8)) AS exchange_rate,
        {_PAY_AMOUNT} AS amount,
-       CAST(NULL AS INT) AS bank_account_id, CAST(NULL AS BIGINT) AS journal_entry_id
+       CAST(o_custkey % 10 + 1 AS INT) AS bank_account_id, CAST(NULL AS BIGINT) AS journal_entry_id
 FROM {{order_head}}
 WHERE o_orderstatus IN ('F', 'P') AND {_PAY_AMOUNT} > 0""")
 
@@ -385,7 +385,7 @@ SELECT CAST(user_id + 1 AS INT) AS id, 1 AS company_id, 101 AS gl_account_id,
 FROM {events}
 GROUP BY user_id""")
 
-_table("bank_transactions", ["events"], """
+_table("bank_transactions", ["events", "payments"], """
 SELECT event_id AS id, CAST(user_id + 1 AS INT) AS bank_account_id,
        CAST(ts AS DATE) AS transaction_date, event_type AS description, props AS reference,
        CAST(CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(value AS DECIMAL(20,4))
@@ -393,7 +393,18 @@ SELECT event_id AS id, CAST(user_id + 1 AS INT) AS bank_account_id,
        CAST(NULL AS DECIMAL(20,4)) AS running_balance,
        event_id % 3 = 0 AS is_reconciled,
        CAST(NULL AS BIGINT) AS payment_id, CAST(NULL AS BIGINT) AS journal_entry_id
-FROM {events}""")
+FROM {events}
+UNION ALL
+SELECT 1000000000000000 + p.id AS id, p.bank_account_id,
+       CAST(CASE p.id % 4 WHEN 0 THEN p.payment_date WHEN 1 THEN p.payment_date + INTERVAL 1 DAY
+                 WHEN 2 THEN p.payment_date + INTERVAL 2 DAY ELSE p.payment_date + INTERVAL 5 DAY END AS DATE)
+           AS transaction_date,
+       'deposit' AS description, p.payment_number AS reference, p.amount,
+       CAST(NULL AS DECIMAL(20,4)) AS running_balance, p.id % 5 = 0 AS is_reconciled,
+       CASE WHEN p.id % 2 = 0 THEN p.id ELSE CAST(NULL AS BIGINT) END AS payment_id,
+       CAST(NULL AS BIGINT) AS journal_entry_id
+FROM {payments} p
+WHERE p.method = 'bank_transfer'""")
 
 _table("units_of_measure", ["region"], """
 SELECT CAST(r_regionkey + 1 AS INT) AS id, CAST(r_regionkey + 1 AS INT) AS company_id,
@@ -525,6 +536,9 @@ class Ledger:
             self._cache[name] = self.spark.sql(sql, **frames)
         return self._cache[name]
 
+    def __contains__(self, name: str) -> bool:
+        return name in LEDGER_TABLES or name in RAW_TABLES
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name in ("spark", "sf_dir"):
             raise AttributeError(name)
