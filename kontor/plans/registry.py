@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["kontor.plans.catalog", "kontor.plans.inventory_plans", "kontor.plans.ledger_plans"]
+PLAN_MODULES = ["kontor.plans.catalog", "kontor.plans.inventory_plans", "kontor.plans.ledger_plans",
+                "kontor.plans.audit_plans"]
 
 
 def _load():

@@ -536,6 +536,24 @@ class Ledger:
             self._cache[name] = self.spark.sql(sql, **frames)
         return self._cache[name]
 
+    def materialize(self, names) -> dict:
+        """Write the listed tables once as Parquet under the shared checkpoint
+        folder and return them read back (lineage cut, scans instead of
+        re-deriving the mapping in every consumer)."""
+        import hashlib
+
+        from kontor.session import scratch_path
+        tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
+        out = {}
+        for n in names:
+            key = ("mat", n)
+            if key not in self._cache:
+                path = scratch_path(self.spark, f"ledger-{tag}/{n}")
+                self[n].write.mode("overwrite").parquet(path)
+                self._cache[key] = self.spark.read.parquet(path)
+            out[n] = self._cache[key]
+        return out
+
     def __contains__(self, name: str) -> bool:
         return name in LEDGER_TABLES or name in RAW_TABLES
 
