@@ -241,9 +241,11 @@ def dashboard_kpis(balances: DataFrame, invoices: DataFrame) -> DataFrame:
 
 def line_amount(lines: DataFrame) -> DataFrame:
     """qty x price x (1 - discount_pct/100), 4 d.p., for invoice / order lines."""
-    gross = F.col("quantity").cast("decimal(18,6)") * F.col("unit_price").cast("decimal(18,4)")
-    net = gross * (F.lit(100) - F.col("discount_pct")).cast("decimal(10,4)") / F.lit(100)
-    return lines.withColumn("line_amount", F.round(net, 4).cast("DECIMAL(20,4)"))
+    # (14,6) x (14,4) x (8,4) -> DECIMAL(38,14): the full product, no rounding.
+    # round(x / 100, 4) == round(x, 2) / 100, so round first and divide exactly.
+    gross = F.col("quantity").cast("decimal(14,6)") * F.col("unit_price").cast("decimal(14,4)")
+    x = gross * (F.lit(100) - F.col("discount_pct")).cast("decimal(8,4)")
+    return lines.withColumn("line_amount", (F.round(x, 2) / F.lit(100)).cast("DECIMAL(20,4)"))
 
 
 def invoice_totals(lines: DataFrame, tax_codes: DataFrame | None = None, tax_mode: str = "flat",

@@ -272,9 +272,9 @@ def q_invoice_totals_flat(spark, sf_dir):
 
 @register("invoice_totals_by_code", ["invoice_lines", "tax_codes"], f"""
 SELECT invoice_id, CAST(SUM(line_amount) AS {S30}) AS subtotal,
-       CAST(SUM(round(CAST(line_amount AS DECIMAL(18,4)) * COALESCE(t.rate, 0) * 0.01, 4)) AS {S30})
+       CAST(SUM(round(CAST(line_amount AS DECIMAL(20,4)) * COALESCE(t.rate, 0) * 0.01, 4)) AS {S30})
            AS tax_amount,
-       CAST(SUM(line_amount) + SUM(round(CAST(line_amount AS DECIMAL(18,4)) * COALESCE(t.rate, 0) * 0.01, 4))
+       CAST(SUM(line_amount) + SUM(round(CAST(line_amount AS DECIMAL(20,4)) * COALESCE(t.rate, 0) * 0.01, 4))
             AS {S30}) AS total_amount
 FROM invoice_lines il LEFT JOIN tax_codes t ON t.id = il.tax_code_id
 GROUP BY invoice_id

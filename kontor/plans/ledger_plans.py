@@ -73,7 +73,7 @@ def q_reverse_entries(spark, sf_dir):
                             "debit_base", "credit_base")
 
 
-_BASE = "CAST(round(CAST(amount AS DECIMAL(24,4)) * CAST(exchange_rate AS DECIMAL(14,8)), 4) AS DECIMAL(20,4))"
+_BASE = "CAST(round(CAST(amount AS DECIMAL(24,4)) * CAST(exchange_rate AS DECIMAL(20,8)), 4) AS DECIMAL(20,4))"
 
 
 @register("invoice_to_journal", ["invoices", "invoice_lines", "accounts", "contacts", "tax_codes"], f"""
@@ -139,9 +139,9 @@ def q_rate_validity(spark, sf_dir):
 
 
 @register("convert_to_base", ["journal_entries", "journal_entry_lines"], """
-SELECT l.id, CAST(round(CAST(l.debit_amount AS DECIMAL(18,4)) * CAST(e.exchange_rate AS DECIMAL(14,8)), 4)
+SELECT l.id, CAST(round(CAST(l.debit_amount AS DECIMAL(20,4)) * CAST(e.exchange_rate AS DECIMAL(20,8)), 4)
                   AS DECIMAL(20,4)) AS debit_base,
-       CAST(round(CAST(l.credit_amount AS DECIMAL(18,4)) * CAST(e.exchange_rate AS DECIMAL(14,8)), 4)
+       CAST(round(CAST(l.credit_amount AS DECIMAL(20,4)) * CAST(e.exchange_rate AS DECIMAL(20,8)), 4)
             AS DECIMAL(20,4)) AS credit_base
 FROM journal_entry_lines l JOIN journal_entries e ON e.id = l.journal_entry_id
 """)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 PLAN_MODULES = ["kontor.plans.catalog", "kontor.plans.inventory_plans", "kontor.plans.ledger_plans",
-                "kontor.plans.audit_plans"]
+                "kontor.plans.audit_plans", "kontor.plans.extra_plans"]
 
 
 def _load():
