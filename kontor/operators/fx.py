@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from kontor.functions import money as M
 
-_MONTH = F.expr("INTERVAL 1 MONTH")
+
+def _month():
+    return F.expr("INTERVAL 1 MONTH")
 
 
 def rate_validity(rates: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def asof_rate(facts: DataFrame, rates: DataFrame, date_col: str, from_col: str,
         F.col("effective_date").alias("_eff"), "valid_to", F.col("rate").alias("_r"))
     closed = (spans.filter(F.col("valid_to").isNotNull())
               .withColumn("_m", F.explode(F.sequence(F.trunc("_eff", "month"),
-                                                     F.trunc(F.date_sub("valid_to", 1), "month"), _MONTH))))
+                                                     F.trunc(F.date_sub("valid_to", 1), "month"), _month()))))
     last = spans.filter(F.col("valid_to").isNull()).select(
         F.col("_f").alias("_lf"), F.col("_t").alias("_lt"), F.col("_eff").alias("_leff"), F.col("_r").alias("_lr"))
     d = F.col(date_col)
@@ -78,7 +80,7 @@ def period_for_date(facts: DataFrame, periods: DataFrame, date_col: str, company
     """Period whose [start_date, end_date] contains the fact's date, per company."""
     p = (periods.select(F.col("company_id").alias("_pc"), F.col("id").alias(out),
                         F.col("start_date").alias("_ps"), F.col("end_date").alias("_pe"))
-         .withColumn("_m", F.explode(F.sequence(F.trunc("_ps", "month"), F.trunc("_pe", "month"), _MONTH))))
+         .withColumn("_m", F.explode(F.sequence(F.trunc("_ps", "month"), F.trunc("_pe", "month"), _month()))))
     d = F.col(date_col)
     f = facts.withColumn("_fm", F.trunc(d, "month"))
     j = f.join(p, (f[company_col] == p["_pc"]) & (f["_fm"] == p["_m"]) & (d >= p["_ps"]) & (d <= p["_pe"]),

@@ -200,37 +200,68 @@ def product_costs(moves: DataFrame, products: DataFrame, order: list[str] | None
 
 # --- FIFO cost layers (W3) ------------------------------------------------------------
 
+def fifo_satisfied(moves: DataFrame, order: list[str], bucket: str | None = None) -> DataFrame:
+    """Per posted issue: the quantity FIFO can cover from layers received before it.
+
+    With R = receipts so far and Q = issues so far (both in insertion order),
+    the consumed position on the receipt axis after issue j is
+    C_j = Q_j + min(0, min_{k<=j}(R_k - Q_k)) -- each issue takes what is on
+    hand and the rest is a shortfall that later receipts do not backfill.
+    Running sums plus a running minimum: window aggregates, no per-row loop.
+    """
+    extra = [c for c in order if c != "id"]
+    m = (moves.filter(F.col("is_posted") & F.col("move_type").isin("purchase_receipt", "sale_delivery"))
+         .select("product_id", "id", *extra, "move_type", "quantity"))
+    rec = F.when(F.col("move_type") == "purchase_receipt", F.col("quantity")).otherwise(F.lit(0)).cast(QTY_SUM)
+    iss = F.when(F.col("move_type") == "sale_delivery", F.col("quantity")).otherwise(F.lit(0)).cast(QTY_SUM)
+    m = m.withColumn("_rq", rec).withColumn("_iq", iss)
+    m = running_sum(m, ["product_id"], order, "_rq", "_R", bucket=bucket)
+    m = running_sum(m, ["product_id"], order, "_iq", "_Q", bucket=bucket)
+    issues = m.filter(F.col("move_type") == "sale_delivery")
+    w = Window.partitionBy("product_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low = F.least(F.min(F.col("_R") - F.col("_Q")).over(w), F.lit(0))
+    issues = issues.withColumn("_C", F.col("_Q") + low)
+    prev = F.lag("_C").over(Window.partitionBy("product_id").orderBy(*order))
+    return (issues.withColumn("satisfied", (F.col("_C") - F.coalesce(prev, F.lit(0))).cast(QTY_SUM))
+            .select("product_id", F.col("id").alias("issue_id"), *extra, "quantity", "satisfied"))
+
+
 def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None,
                          bucket: str | None = "auto") -> tuple[DataFrame, DataFrame]:
-    """FIFO at product level: receipts form layers, deliveries consume the oldest.
+    """FIFO at product level: receipts form layers, deliveries consume the oldest on hand.
 
     Our semantics (the data model only says layers are consumed FIFO): layers
     are posted purchase receipts (any unit cost, 0 allowed) in insertion order;
-    posted sale deliveries consume them; transfers move stock between
-    locations without touching the product's FIFO queue. Returns
-    ``(allocations, layers)``: allocations has one row per (issue, layer)
-    overlap with ``allocated`` quantity and ``cost``; an issue beyond all
-    receipts has a NULL layer (shortfall, cost NULL). Layers carry
-    ``remaining_qty`` and ``total_cost`` = remaining x unit cost.
+    a posted sale delivery consumes the oldest layers received before it; what
+    is not on hand is a shortfall (reported, not costed, not backfilled);
+    transfers move stock between locations without touching the product's
+    queue. Returns ``(allocations, layers)``: one allocation row per
+    (issue, layer) overlap with ``allocated`` and ``cost``, plus a row with a
+    NULL layer for each shortfall; layers carry ``remaining_qty`` and
+    ``total_cost`` = remaining x unit cost.
     """
     order = order or ["id"]
     bucket = _bucket(order, bucket)
-    posted = moves.filter(F.col("is_posted"))
     extra = [c for c in order if c != "id"]
+    posted = moves.filter(F.col("is_posted"))
     layers = posted.filter(F.col("move_type") == "purchase_receipt").select(
         "product_id", F.col("id").alias("stock_move_id"), *extra, F.col("to_location_id").alias("location_id"),
         F.col("move_date").alias("received_date"), F.col("quantity").alias("original_qty"), "unit_cost",
         F.col("id"))
-    issues = posted.filter(F.col("move_type") == "sale_delivery").select(
-        "product_id", F.col("id").alias("issue_id"), *extra, "quantity", F.col("id"))
-    alloc = interval_allocate(layers, issues, ["product_id"], order, order, "original_qty", "quantity",
-                              "stock_move_id", "issue_id", bucket=bucket)
+    sat = fifo_satisfied(moves, order, bucket).withColumn("id", F.col("issue_id"))
+    alloc = interval_allocate(layers, sat, ["product_id"], order, order, "original_qty", "satisfied",
+                              "stock_move_id", "issue_id", bucket=bucket).filter(F.col("stock_move_id").isNotNull())
     cost = layers.select("stock_move_id", "unit_cost")
     alloc = (alloc.join(cost, "stock_move_id", "left")
              .withColumn("cost", F.round(F.col("allocated").cast("decimal(18,6)")
                                          * F.col("unit_cost").cast("decimal(18,4)"), 4).cast(MONEY))
              .select("product_id", "issue_id", "stock_move_id", F.col("allocated").cast(QTY).alias("allocated"),
                      "cost"))
+    short = (sat.filter(F.col("quantity") > F.col("satisfied"))
+             .select("product_id", "issue_id", F.lit(None).cast("bigint").alias("stock_move_id"),
+                     (F.col("quantity") - F.col("satisfied")).cast(QTY).alias("allocated"),
+                     F.lit(None).cast(MONEY).alias("cost")))
+    alloc = alloc.unionByName(short)
     used = (alloc.filter(F.col("stock_move_id").isNotNull()).groupBy("stock_move_id")
             .agg(F.sum("allocated").alias("_used")))
     rem = (layers.join(used, "stock_move_id", "left")

@@ -63,17 +63,23 @@ def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
     s = running_sum(supply, keys, supply_order, supply_qty, "_end", bucket=bucket)
     d = running_sum(demand, keys, demand_order, demand_qty, "_end", bucket=bucket)
     qtype = s.schema["_end"].dataType
-    s_pts = s.select(*keys, F.col("_end").alias("_pt"), F.col(supply_id).alias("_sid"),
-                     F.lit(None).cast(d.schema[demand_id].dataType).alias("_did"))
+    s_ord = F.struct(*[F.col(c) for c in supply_order])
+    d_ord = F.struct(*[F.col(c) for c in demand_order])
+    s_pts = s.select(*keys, F.col("_end").alias("_pt"), F.col(supply_id).alias("_sid"), s_ord.alias("_sord"),
+                     F.lit(None).cast(d.schema[demand_id].dataType).alias("_did"),
+                     F.lit(None).cast(d.select(d_ord.alias("x")).schema["x"].dataType).alias("_dord"))
     d_pts = d.select(*keys, F.col("_end").cast(qtype).alias("_pt"),
                      F.lit(None).cast(s.schema[supply_id].dataType).alias("_sid"),
-                     F.col(demand_id).alias("_did"))
+                     F.lit(None).cast(s.select(s_ord.alias("x")).schema["x"].dataType).alias("_sord"),
+                     F.col(demand_id).alias("_did"), d_ord.alias("_dord"))
     pts = s_pts.unionByName(d_pts)
-    # Several items can end at the same point; 'first following' must see all of them.
+    # Several items can end at the same point (zero-length ones); the segment
+    # ending there belongs to the earliest of them in queue order.
     following = (Window.partitionBy(*keys).orderBy("_pt")
                  .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     prev = Window.partitionBy(*keys).orderBy("_pt")
-    seg = (pts.groupBy(*keys, "_pt").agg(F.min("_sid").alias("_sid_here"), F.min("_did").alias("_did_here"))
+    seg = (pts.groupBy(*keys, "_pt").agg(F.min_by("_sid", "_sord").alias("_sid_here"),
+                                         F.min_by("_did", "_dord").alias("_did_here"))
            .withColumn("_sid", F.first("_sid_here", ignorenulls=True).over(following))
            .withColumn("_did", F.first("_did_here", ignorenulls=True).over(following))
            .withColumn("_len", F.col("_pt") - F.coalesce(F.lag("_pt").over(prev), F.lit(0).cast(qtype))))

@@ -123,21 +123,28 @@ l2 AS (
          SUM(quantity) OVER (PARTITION BY product_id ORDER BY move_date, id ROWS UNBOUNDED PRECEDING)
              - quantity AS lo
   FROM stock_moves WHERE is_posted AND move_type = 'purchase_receipt'),
+ev AS (
+  SELECT product_id, id, move_date, move_type, quantity,
+         SUM(CASE WHEN move_type = 'purchase_receipt' THEN quantity ELSE 0 END)
+             OVER (PARTITION BY product_id ORDER BY move_date, id ROWS UNBOUNDED PRECEDING) AS r_cum,
+         SUM(CASE WHEN move_type = 'sale_delivery' THEN quantity ELSE 0 END)
+             OVER (PARTITION BY product_id ORDER BY move_date, id ROWS UNBOUNDED PRECEDING) AS q_cum
+  FROM stock_moves WHERE is_posted AND move_type IN ('purchase_receipt', 'sale_delivery')),
+c1 AS (
+  SELECT product_id, id AS issue_id, move_date, quantity,
+         q_cum + least(MIN(r_cum - q_cum) OVER (PARTITION BY product_id ORDER BY move_date, id
+                                               ROWS UNBOUNDED PRECEDING), 0) AS c_pos
+  FROM ev WHERE move_type = 'sale_delivery'),
 i2 AS (
-  SELECT product_id, id AS issue_id,
-         SUM(quantity) OVER (PARTITION BY product_id ORDER BY move_date, id ROWS UNBOUNDED PRECEDING) AS hi,
-         SUM(quantity) OVER (PARTITION BY product_id ORDER BY move_date, id ROWS UNBOUNDED PRECEDING)
-             - quantity AS lo
-  FROM stock_moves WHERE is_posted AND move_type = 'sale_delivery'),
-tot AS (SELECT product_id, MAX(hi) AS total FROM l2 GROUP BY product_id),
+  SELECT product_id, issue_id, quantity, c_pos AS hi,
+         COALESCE(lag(c_pos) OVER (PARTITION BY product_id ORDER BY move_date, issue_id), 0) AS lo
+  FROM c1),
 alloc AS (
   SELECT i.product_id, i.issue_id, l.stock_move_id, least(i.hi, l.hi) - greatest(i.lo, l.lo) AS allocated,
          l.unit_cost
   FROM i2 i JOIN l2 l ON l.product_id = i.product_id AND l.lo < i.hi AND i.lo < l.hi
   UNION ALL
-  SELECT i.product_id, i.issue_id, NULL, i.hi - greatest(i.lo, COALESCE(t.total, 0)), NULL
-  FROM i2 i LEFT JOIN tot t ON t.product_id = i.product_id
-  WHERE i.hi > COALESCE(t.total, 0))
+  SELECT product_id, issue_id, NULL, quantity - (hi - lo), NULL FROM i2 WHERE quantity > hi - lo)
 """
 
 
