@@ -119,7 +119,8 @@ def costed_receipts(moves: DataFrame, order: list[str], bucket: str | None = "au
     return m.filter((F.col("move_type") == "purchase_receipt") & F.col("is_posted") & (F.col("unit_cost") > 0))
 
 
-_FOLD_SCHEMA = "product_id BIGINT, move_id BIGINT, average_cost DECIMAL(20,4), last_purchase_price DECIMAL(20,4)"
+_FOLD_SCHEMA = ("product_id BIGINT, move_id BIGINT, average_cost DECIMAL(20,4), last_purchase_price DECIMAL(20,4), "
+                "seg BIGINT, step BIGINT")
 _CTX = Context(prec=60)
 _Q4 = Decimal("0.0001")
 
@@ -130,15 +131,16 @@ def _fold_partitions(batches):
     State is one (key, cost) pair carried across Arrow batches, so a segment
     of any length is processed without being collected into memory.
     """
-    key, cost = None, None
+    key, cost, step = None, None, 0
     for pdf in batches:
-        out_pid, out_id, out_cost, out_last = [], [], [], []
+        out_pid, out_id, out_cost, out_last, out_seg, out_step = [], [], [], [], [], []
         for pid, seg, mid, qb, q, c, init in zip(pdf["product_id"], pdf["seg"], pdf["id"],
                                                  pdf["qty_before"], pdf["quantity"], pdf["unit_cost"],
                                                  pdf["init_cost"]):
             if (pid, seg) != key:
-                key = (pid, seg)
+                key, step = (pid, seg), 0
                 cost = init if init is not None and not pd.isna(init) else Decimal(0)
+            step += 1
             den = _CTX.add(qb, q)
             if den > 0:
                 new = _CTX.divide(_CTX.add(_CTX.multiply(qb, cost), _CTX.multiply(q, c)), den)
@@ -149,12 +151,14 @@ def _fold_partitions(batches):
             out_id.append(mid)
             out_cost.append(cost)
             out_last.append(c)
+            out_seg.append(seg)
+            out_step.append(step)
         yield pd.DataFrame({"product_id": out_pid, "move_id": out_id, "average_cost": out_cost,
-                            "last_purchase_price": out_last})
+                            "last_purchase_price": out_last, "seg": out_seg, "step": out_step})
 
 
 def moving_average_cost(moves: DataFrame, products: DataFrame, order: list[str] | None = None,
-                        bucket: str | None = "auto") -> DataFrame:
+                        bucket: str | None = "auto", keep_position: bool = False) -> DataFrame:
     """Average cost after every costed receipt (T4), per receipt, in insertion order.
 
     A' = (Q*A + q*c) / (Q + q) if Q + q > 0 else c, rounded to 4 d.p. at each
@@ -180,15 +184,16 @@ def moving_average_cost(moves: DataFrame, products: DataFrame, order: list[str]
     sorted_r = (r.repartition(int(n), "product_id", "seg")
                 .sortWithinPartitions("product_id", "seg", *order)
                 .select("product_id", "seg", "id", "qty_before", "quantity", "unit_cost", "init_cost"))
-    return sorted_r.mapInPandas(_fold_partitions, _FOLD_SCHEMA)
+    return sorted_r.mapInPandas(_fold_partitions, _FOLD_SCHEMA).drop("seg", "step") if not keep_position \
+        else sorted_r.mapInPandas(_fold_partitions, _FOLD_SCHEMA)
 
 
 def product_costs(moves: DataFrame, products: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Products with average_cost / last_purchase_price after replaying the moves."""
     order = order or ["id"]
-    steps = moving_average_cost(moves, products, order)
-    ordkey = moves.select(F.col("id").alias("move_id"), F.struct(*order).alias("_ord"))
-    last = (steps.join(ordkey, "move_id")
+    steps = moving_average_cost(moves, products, order, keep_position=True)
+    # (segment, step) is the replay position, so the last step needs no re-join with the moves
+    last = (steps.withColumn("_ord", F.struct("seg", "step"))
             .groupBy("product_id")
             .agg(F.max_by("average_cost", "_ord").alias("_avg"),
                  F.max_by("last_purchase_price", "_ord").alias("_last")))

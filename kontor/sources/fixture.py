@@ -543,16 +543,22 @@ class Ledger:
         import hashlib
 
         from kontor.session import scratch_path
+        from concurrent.futures import ThreadPoolExecutor
+
         tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
-        out = {}
-        for n in names:
-            key = ("mat", n)
-            if key not in self._cache:
-                path = scratch_path(self.spark, f"ledger-{tag}/{n}")
-                self[n].write.mode("overwrite").parquet(path)
-                self._cache[key] = self.spark.read.parquet(path)
-            out[n] = self._cache[key]
-        return out
+        todo = [n for n in names if ("mat", n) not in self._cache]
+        frames = {n: self[n] for n in todo}   # build plans on this thread
+
+        def write(n):
+            path = scratch_path(self.spark, f"ledger-{tag}/{n}")
+            frames[n].write.mode("overwrite").parquet(path)
+            return n, path
+
+        # independent jobs: small tables would leave most cores idle one by one
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            for n, path in pool.map(write, todo):
+                self._cache[("mat", n)] = self.spark.read.parquet(path)
+        return {n: self._cache[("mat", n)] for n in names}
 
     def __contains__(self, name: str) -> bool:
         return name in LEDGER_TABLES or name in RAW_TABLES
