@@ -57,7 +57,7 @@ def safe_pct(num, den, scale: int = 2) -> Column:
     """0 when the denominator is 0, else ROUND(num / den * 100, scale)."""
     den_c = col(den)
     return (F.when(den_c == 0, F.lit(0))
-            .otherwise(F.round(col(num) / F.when(den_c == 0, F.lit(None)).otherwise(den_c) * 100, scale)))
+            .otherwise(F.round(col(num) * 100 / F.when(den_c == 0, F.lit(None)).otherwise(den_c), scale)))
 
 
 def normal_side(category) -> Column:

@@ -116,3 +116,50 @@ GROUP BY token
 """)
 def q_contact_name_index(spark, sf_dir):
     return SE.build_name_index(L(spark, sf_dir).contacts)
+
+
+@register("sales_order_rollup", ["sales_order_lines", "stock_moves"], """
+SELECT l.so_id, CAST(COUNT(*) AS BIGINT) AS lines, CAST(SUM(l.quantity) AS DECIMAL(30,6)) AS qty_ordered,
+       CAST(SUM(COALESCE(d.q, 0)) AS DECIMAL(30,6)) AS qty_delivered,
+       CAST(SUM(l.qty_invoiced) AS DECIMAL(30,6)) AS qty_invoiced,
+       CAST(SUM(l.quantity) - SUM(COALESCE(d.q, 0)) AS DECIMAL(30,6)) AS backlog,
+       CAST(SUM(l.line_amount) AS DECIMAL(30,4)) AS amount
+FROM sales_order_lines l
+LEFT JOIN (SELECT sales_order_line_id, SUM(quantity) AS q FROM stock_moves
+           WHERE is_posted AND move_type = 'sale_delivery' AND sales_order_line_id IS NOT NULL
+           GROUP BY sales_order_line_id) d ON d.sales_order_line_id = l.id
+GROUP BY l.so_id
+""")
+def q_sales_order_rollup(spark, sf_dir):
+    from kontor.operators import orders as O
+    lg = L(spark, sf_dir)
+    return O.sales_order_rollup(lg.sales_order_lines, lg.stock_moves)
+
+
+@register("three_way_match", ["purchase_order_lines", "stock_moves"], """
+SELECT l.id, l.po_id, CAST(l.quantity AS DECIMAL(30,6)) AS qty_ordered,
+       CAST(COALESCE(r.q, 0) AS DECIMAL(30,6)) AS qty_received, CAST(l.qty_billed AS DECIMAL(30,6)) AS qty_billed,
+       CASE WHEN l.qty_billed > COALESCE(r.q, 0) THEN 'billed_not_received'
+            WHEN COALESCE(r.q, 0) < l.quantity THEN 'open_receipt'
+            WHEN l.qty_billed < COALESCE(r.q, 0) THEN 'received_not_billed'
+            ELSE 'matched' END AS match_status
+FROM purchase_order_lines l
+LEFT JOIN (SELECT purchase_order_line_id, SUM(quantity) AS q FROM stock_moves
+           WHERE is_posted AND move_type = 'purchase_receipt' AND purchase_order_line_id IS NOT NULL
+           GROUP BY purchase_order_line_id) r ON r.purchase_order_line_id = l.id
+""")
+def q_three_way_match(spark, sf_dir):
+    from kontor.operators import orders as O
+    lg = L(spark, sf_dir)
+    return O.three_way_match(lg.purchase_order_lines, lg.stock_moves)
+
+
+@register("po_received_pct", ["purchase_orders"], """
+SELECT id, CAST(CASE WHEN total_amount = 0 THEN 0
+                     ELSE round(CAST(amount_billed AS DECIMAL(38,4)) * 100 / total_amount, 2) END
+            AS DECIMAL(6,2)) AS amount_received_pct
+FROM purchase_orders
+""")
+def q_po_received_pct(spark, sf_dir):
+    from kontor.operators import orders as O
+    return O.po_billed_pct(L(spark, sf_dir).purchase_orders)

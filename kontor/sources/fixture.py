@@ -471,10 +471,69 @@ SELECT s.l_orderkey * 100 + s.rn AS id, 1 AS company_id,
        CASE WHEN s.l_discount = 0 THEN CAST(0 AS DECIMAL(20,4))
             ELSE {_dec4_from_1e4(f"CAST(s.l_quantity AS BIGINT) * {_unit_price_1e4('s')}")} END AS total_cost,
        s.l_orderkey AS invoice_id, CAST(NULL AS BIGINT) AS journal_entry_id,
-       CAST(NULL AS BIGINT) AS sales_order_line_id, CAST(NULL AS BIGINT) AS purchase_order_line_id,
+       CASE WHEN s.l_returnflag = 'A' THEN s.l_orderkey * 100 + s.rn END AS sales_order_line_id,
+       CASE WHEN s.l_returnflag = 'N' THEN s.l_orderkey * 100 + s.rn END AS purchase_order_line_id,
        s.l_linestatus = 'F' AS is_posted
 FROM {{line_src}} s""")
 
+_table("sales_orders", ["order_head"], """
+SELECT o_orderkey AS id, company_id, 'SO-' || CAST(o_orderkey AS STRING) AS so_number,
+       CASE o_orderstatus WHEN 'F' THEN 'invoiced' WHEN 'O' THEN 'confirmed' ELSE 'shipped' END AS status,
+       CAST(o_custkey * 2 AS BIGINT) AS customer_id, odate AS order_date, 'USD' AS currency, 1 AS warehouse_id,
+       CAST(o_totalprice AS DECIMAL(20,4)) AS subtotal, CAST(0 AS DECIMAL(20,4)) AS tax_amount,
+       CAST(o_totalprice AS DECIMAL(20,4)) AS total_amount,
+       CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(20,4)) AS amount_invoiced
+FROM {order_head}""")
+
+_table("sales_order_lines", ["line_src"], f"""
+SELECT s.l_orderkey * 100 + s.rn AS id, s.l_orderkey AS so_id, CAST(s.rn AS SMALLINT) AS line_number,
+       s.l_partkey AS product_id, 'Part ' || CAST(s.l_partkey AS STRING) AS description,
+       CAST(s.l_quantity AS DECIMAL(20,6)) AS quantity,
+       CAST(CASE WHEN s.l_returnflag = 'A' AND s.l_linestatus = 'F' THEN s.l_quantity ELSE 0 END
+            AS DECIMAL(20,6)) AS qty_delivered,
+       CAST(CASE WHEN s.l_linestatus = 'F' THEN s.l_quantity ELSE 0 END AS DECIMAL(20,6)) AS qty_invoiced,
+       {_dec4_from_1e4(_unit_price_1e4('s'))} AS unit_price,
+       CAST(ROUND(s.l_discount * 100) AS DECIMAL(6,4)) AS discount_pct,
+       {_dec4_from_1e4(_line_amount_1e4('s'))} AS line_amount,
+       CAST({_tax_pct('s')} + 1 AS INT) AS tax_code_id
+FROM {{line_src}} s""")
+
+_PO_ID = ("CAST(2000000000000000 + s.l_suppkey * 1000000 + year(s.l_shipdate) * 100 + month(s.l_shipdate) "
+          "AS BIGINT)")
+_table("purchase_orders", ["line_src", "supplier", "nation"], f"""
+SELECT {_PO_ID} AS id, CAST(n.n_regionkey + 1 AS INT) AS company_id,
+       'PO-' || CAST(s.l_suppkey AS STRING) || '-' || CAST(year(s.l_shipdate) * 100 + month(s.l_shipdate) AS STRING)
+           AS po_number,
+       CASE month(s.l_shipdate) % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'received' ELSE 'invoiced' END AS status,
+       CAST(s.l_suppkey * 2 + 1 AS BIGINT) AS vendor_id,
+       make_date(CAST(year(s.l_shipdate) AS INT), CAST(month(s.l_shipdate) AS INT), 1) AS order_date,
+       'USD' AS currency, 1 AS warehouse_id,
+       CAST(SUM({_dec4_from_1e4(_line_amount_1e4('s'))}) AS DECIMAL(20,4)) AS subtotal,
+       CAST(0 AS DECIMAL(20,4)) AS tax_amount,
+       CAST(SUM({_dec4_from_1e4(_line_amount_1e4('s'))}) AS DECIMAL(20,4)) AS total_amount,
+       CAST(SUM(CASE WHEN s.l_linestatus = 'F' THEN {_dec4_from_1e4(_line_amount_1e4('s'))} ELSE 0 END)
+            AS DECIMAL(20,4)) AS amount_billed
+FROM {{line_src}} s
+JOIN {{supplier}} sp ON sp.s_suppkey = s.l_suppkey
+JOIN {{nation}} n ON n.n_nationkey = sp.s_nationkey
+WHERE s.l_returnflag = 'N'
+GROUP BY {_PO_ID}, n.n_regionkey, s.l_suppkey, year(s.l_shipdate), month(s.l_shipdate)""")
+
+_table("purchase_order_lines", ["line_src"], f"""
+SELECT s.l_orderkey * 100 + s.rn AS id, {_PO_ID} AS po_id,
+       CAST(row_number() OVER (PARTITION BY {_PO_ID} ORDER BY s.l_orderkey, s.rn) AS SMALLINT) AS line_number,
+       s.l_partkey AS product_id, 'Part ' || CAST(s.l_partkey AS STRING) AS description,
+       CAST(s.l_quantity AS DECIMAL(20,6)) AS quantity,
+       CAST(CASE WHEN s.l_linestatus = 'F' THEN s.l_quantity ELSE 0 END AS DECIMAL(20,6)) AS qty_received,
+       CAST(CASE WHEN s.l_linestatus = 'F' AND s.l_tax > 0 THEN s.l_quantity ELSE 0 END AS DECIMAL(20,6))
+           AS qty_billed,
+       {_dec4_from_1e4(_unit_price_1e4('s'))} AS unit_price,
+       CAST(ROUND(s.l_discount * 100) AS DECIMAL(6,4)) AS discount_pct,
+       {_dec4_from_1e4(_line_amount_1e4('s'))} AS line_amount,
+       CAST({_tax_pct('s')} + 1 AS INT) AS tax_code_id
+FROM {{line_src}} s
+WHERE s.l_returnflag = 'N'""")
+
 LEDGER_TABLES = [t for t in _T if t not in ("order_head", "line_src")]
 
 _LEGS = {
