@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import money as M
-from kontor.operators.sweep import interval_allocate, running_sum
+from kontor.operators.sweep import interval_allocate, running, running_sum
 from kontor.sources.schemas import ENUMS, MONEY, QTY
 
 QTY_SUM = "DECIMAL(30,6)"
@@ -220,15 +220,16 @@ def fifo_satisfied(moves: DataFrame, order: list[str], bucket: str | None = None
     rec = F.when(F.col("move_type") == "purchase_receipt", F.col("quantity")).otherwise(F.lit(0)).cast(QTY_SUM)
     iss = F.when(F.col("move_type") == "sale_delivery", F.col("quantity")).otherwise(F.lit(0)).cast(QTY_SUM)
     m = m.withColumn("_rq", rec).withColumn("_iq", iss)
-    m = running_sum(m, ["product_id"], order, "_rq", "_R", bucket=bucket)
-    m = running_sum(m, ["product_id"], order, "_iq", "_Q", bucket=bucket)
-    issues = m.filter(F.col("move_type") == "sale_delivery")
-    w = Window.partitionBy("product_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    low = F.least(F.min(F.col("_R") - F.col("_Q")).over(w), F.lit(0))
-    issues = issues.withColumn("_C", F.col("_Q") + low)
-    prev = F.lag("_C").over(Window.partitionBy("product_id").orderBy(*order))
-    return (issues.withColumn("satisfied", (F.col("_C") - F.coalesce(prev, F.lit(0))).cast(QTY_SUM))
-            .select("product_id", F.col("id").alias("issue_id"), *extra, "quantity", "satisfied"))
+    m = running(m, ["product_id"], order, [("_R", "_rq", "sum"), ("_Q", "_iq", "sum")], bucket)
+    issues = (m.filter(F.col("move_type") == "sale_delivery")
+              .withColumn("_D", (F.col("_R") - F.col("_Q")).cast("DECIMAL(31,6)")))
+    # running minimum of R - Q over earlier issues (two-phase when bucketed)
+    issues = running(issues, ["product_id"], order, [("_m_ex", "_D", "min")], bucket, exclusive=True)
+    zero = F.lit(0)
+    m_in = F.least(F.col("_m_ex"), F.col("_D"))
+    sat = F.col("quantity") + F.least(zero, m_in) - F.least(zero, F.coalesce(F.col("_m_ex"), zero))
+    return issues.select("product_id", F.col("id").alias("issue_id"), *extra, "quantity",
+                         sat.cast(QTY_SUM).alias("satisfied"))
 
 
 def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None,

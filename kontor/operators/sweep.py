@@ -1,22 +1,23 @@
-"""Ordered-state building blocks: skew-safe running sums and interval allocation.
+"""Ordered-state building blocks: skew-safe running aggregates and interval allocation.
 
 Running balances, the stock level before each move and FIFO queues are all
-prefix sums over an ordered key. A plain window partitioned by the key puts a
-hot key (one product, one bank account holding a third of the rows) into a
-single task. ``running_sum`` splits the work: totals per (key, bucket) are
-computed with a partial aggregation, their prefix per key is a small window
-over bucket totals, and the in-bucket prefix runs partitioned by
-(key, bucket). A hot key is therefore spread over as many tasks as it has
-buckets; the bucket must be monotone in the ordering (a date, a month).
+prefix aggregates over an ordered key. A plain window partitioned by the key
+puts a hot key (one product, one bank account holding a third of the rows)
+into a single task. ``running`` splits the work in two phases: totals per
+(key, bucket) come from a partial aggregation, their prefix per key is a
+small window over bucket totals, and the in-bucket prefix runs partitioned
+by (key, bucket). A hot key is spread over as many tasks as it has buckets;
+the bucket must be monotone in the ordering (the leading sort key, e.g. a
+date).
 
 ``interval_allocate`` matches two ordered queues per key (receipt layers
-against issues, payments against invoices) without a range join: both queues
-become cumulative intervals, their end points are merged into one sorted
-list of break points, and every segment between break points belongs to
-exactly one supply and one demand item -- the first of each whose end is at or
-after the segment end. That is a ``first(..., ignorenulls)`` over the
-following rows, O(n log n) per key, and never emits pairs that do not
-overlap.
+against issues, payments against invoices) without a range join and without
+a per-key global window. Both queues become cumulative intervals on one
+quantity axis; the distinct end points cut the axis into segments. The
+supply item covering a segment is ``1 + (number of supply ends before the
+segment end)`` in queue order, likewise for demand, so every segment is
+assigned by running counts -- bucketed along the axis for hot keys -- and an
+equi-join on (key, rank). No pair that does not overlap is ever formed.
 """
 
 from __future__ import annotations
@@ -24,68 +25,101 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                bucket: str | None = None, exclusive: bool = False) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over rows up to this one (ROWS frame).
 
-    ``exclusive=True`` excludes the current row (state *before* the row).
-    With ``bucket`` the sum runs in two phases so a hot key is split.
+def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[str, str, str]],
+            bucket: str | None = None, exclusive: bool = False) -> DataFrame:
+    """Add running aggregates: ``specs`` = [(out, value column, 'sum'|'min'|'max')].
+
+    Inclusive (rows up to this one) or ``exclusive`` (rows before it; NULL
+    when there are none). With ``bucket``: two phases, see module doc.
     """
-    v = F.col(value)
+    end = -1 if exclusive else Window.currentRow
     if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        s = F.sum(v).over(w)
-        return df.withColumn(out, s - v if exclusive else s)
-
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return df.select("*", *[_AGG[fn](F.col(v)).over(w).alias(out) for out, v, fn in specs])
     part = keys + [bucket]
-    totals = df.groupBy(*part).agg(F.sum(v).alias("_bucket_total"))
+    totals = df.groupBy(*part).agg(*[_AGG[fn](F.col(v)).alias(f"_t_{out}") for out, v, fn in specs])
     wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, F.coalesce(F.sum("_bucket_total").over(wb),
-                                              F.lit(0).cast(df.schema[value].dataType)).alias("_offset"))
+    offsets = totals.select(*part, *[_AGG[fn](F.col(f"_t_{out}")).over(wb).alias(f"_o_{out}")
+                                     for out, _, fn in specs])
     joined = df.join(offsets, part, "left")
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = F.sum(v).over(w) + F.col("_offset")
-    return joined.withColumn(out, s - v if exclusive else s).drop("_offset")
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    cols = []
+    for out, v, fn in specs:
+        inb, off = _AGG[fn](F.col(v)).over(w), F.col(f"_o_{out}")
+        if fn == "sum":
+            val = F.when(inb.isNull() & off.isNull(), F.lit(None)).otherwise(
+                F.coalesce(inb, F.lit(0)) + F.coalesce(off, F.lit(0)))
+        elif fn == "min":
+            val = F.least(inb, off)
+        else:
+            val = F.greatest(inb, off)
+        cols.append(val.alias(out) if fn == "sum" else val.cast(df.schema[v].dataType).alias(out))
+    return joined.select(*df.columns, *cols)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
+                bucket: str | None = None, exclusive: bool = False) -> DataFrame:
+    """``out`` = sum of ``value`` over rows up to this one (ROWS frame); exclusive
+    gives the sum over earlier rows (0 for the first)."""
+    if not exclusive:
+        return running(df, keys, order, [(out, value, "sum")], bucket)
+    r = running(df, keys, order, [(out, value, "sum")], bucket)
+    return r.withColumn(out, F.col(out) - F.col(value))
+
+
+def _axis_buckets(points: DataFrame, keys: list[str], rows_per_bucket: int | None) -> tuple[DataFrame, str | None]:
+    """Bucket distinct axis points per key so a key holds ~rows_per_bucket points per bucket."""
+    if not rows_per_bucket:
+        return points, None
+    stats = points.groupBy(*keys).agg(F.max("_pt").alias("_mx"), F.count(F.lit(1)).alias("_n"))
+    width = F.greatest(F.col("_mx").cast("double") * rows_per_bucket / F.col("_n"), F.lit(1e-9))
+    b = (points.join(stats, keys)
+         .withColumn("_axb", F.floor(F.col("_pt").cast("double") / width).cast("bigint"))
+         .drop("_mx", "_n"))
+    return b, "_axb"
 
 
 def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
                       supply_order: list[str], demand_order: list[str],
                       supply_qty: str, demand_qty: str,
-                      supply_id: str, demand_id: str, bucket: str | None = None) -> DataFrame:
+                      supply_id: str, demand_id: str, bucket: str | None = None,
+                      rows_per_bucket: int | None = 1_000_000) -> DataFrame:
     """Allocate ordered demand to ordered supply per key (FIFO matching).
 
     Returns one row per overlapping (supply_id, demand_id) with ``allocated``;
     demand beyond the total supply comes back with a NULL ``supply_id``
-    (shortfall), supply never consumed does not appear (see ``remaining``).
-    Quantities must be non-negative.
+    (shortfall); supply never consumed does not appear. Quantities must be
+    non-negative. ``bucket`` splits the per-queue running sums by the leading
+    order key; ``rows_per_bucket`` splits the axis sweep of a large key.
     """
-    s = running_sum(supply, keys, supply_order, supply_qty, "_end", bucket=bucket)
-    d = running_sum(demand, keys, demand_order, demand_qty, "_end", bucket=bucket)
+    one = F.lit(1).cast("bigint")
+    s = running(supply.withColumn("_one", one), keys, supply_order,
+                [("_end", supply_qty, "sum"), ("_rank", "_one", "sum")], bucket)
+    d = running(demand.withColumn("_one", one), keys, demand_order,
+                [("_end", demand_qty, "sum"), ("_rank", "_one", "sum")], bucket)
     qtype = s.schema["_end"].dataType
-    s_ord = F.struct(*[F.col(c) for c in supply_order])
-    d_ord = F.struct(*[F.col(c) for c in demand_order])
-    s_pts = s.select(*keys, F.col("_end").alias("_pt"), F.col(supply_id).alias("_sid"), s_ord.alias("_sord"),
-                     F.lit(None).cast(d.schema[demand_id].dataType).alias("_did"),
-                     F.lit(None).cast(d.select(d_ord.alias("x")).schema["x"].dataType).alias("_dord"))
-    d_pts = d.select(*keys, F.col("_end").cast(qtype).alias("_pt"),
-                     F.lit(None).cast(s.schema[supply_id].dataType).alias("_sid"),
-                     F.lit(None).cast(s.select(s_ord.alias("x")).schema["x"].dataType).alias("_sord"),
-                     F.col(demand_id).alias("_did"), d_ord.alias("_dord"))
-    pts = s_pts.unionByName(d_pts)
-    # Several items can end at the same point (zero-length ones); the segment
-    # ending there belongs to the earliest of them in queue order.
-    following = (Window.partitionBy(*keys).orderBy("_pt")
-                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    prev = Window.partitionBy(*keys).orderBy("_pt")
-    seg = (pts.groupBy(*keys, "_pt").agg(F.min_by("_sid", "_sord").alias("_sid_here"),
-                                         F.min_by("_did", "_dord").alias("_did_here"))
-           .withColumn("_sid", F.first("_sid_here", ignorenulls=True).over(following))
-           .withColumn("_did", F.first("_did_here", ignorenulls=True).over(following))
-           .withColumn("_len", F.col("_pt") - F.coalesce(F.lag("_pt").over(prev), F.lit(0).cast(qtype))))
-    seg = seg.filter((F.col("_len") > 0) & F.col("_did").isNotNull())
-    return (seg.groupBy(*keys, F.col("_sid").alias(supply_id), F.col("_did").alias(demand_id))
-            .agg(F.sum("_len").alias("allocated")))
+    pts = (s.select(*keys, F.col("_end").alias("_pt"), one.alias("_is_s"), F.lit(0).cast("bigint").alias("_is_d"))
+           .unionByName(d.select(*keys, F.col("_end").cast(qtype).alias("_pt"), F.lit(0).cast("bigint").alias("_is_s"),
+                                 one.alias("_is_d"))))
+    # Explicit shuffle on (key, point): the union's children are both hash-partitioned
+    # by key, and with spark.sql.unionOutputPartitioning the union would claim that
+    # partitioning while holding the partitions of both children.
+    per_pt = (pts.repartition(*keys, "_pt")
+              .groupBy(*keys, "_pt").agg(F.sum("_is_s").alias("_ns"), F.sum("_is_d").alias("_nd")))
+    per_pt, axb = _axis_buckets(per_pt, keys, rows_per_bucket)
+    per_pt = running(per_pt, keys, ["_pt"], [("_s_before", "_ns", "sum"), ("_d_before", "_nd", "sum"),
+                                             ("_prev", "_pt", "max")], axb, exclusive=True)
+    seg = (per_pt.withColumn("_len", F.col("_pt") - F.coalesce(F.col("_prev"), F.lit(0).cast(qtype)))
+           .filter(F.col("_len") > 0)
+           .select(*keys, "_len", (F.coalesce("_s_before", F.lit(0)) + 1).alias("_srank"),
+                   (F.coalesce("_d_before", F.lit(0)) + 1).alias("_drank")))
+    s_ids = s.select(*keys, F.col("_rank").alias("_srank"), F.col(supply_id).alias(supply_id))
+    d_ids = d.select(*keys, F.col("_rank").alias("_drank"), F.col(demand_id).alias(demand_id))
+    j = seg.join(d_ids, keys + ["_drank"]).join(s_ids, keys + ["_srank"], "left")
+    return j.groupBy(*keys, supply_id, demand_id).agg(F.sum("_len").alias("allocated"))
 
 
 def remaining(supply: DataFrame, allocations: DataFrame, keys: list[str], supply_id: str,
