@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kontor.operators.sweep import running
+
 
 def assign_document_numbers(docs: DataFrame, group_cols: list[str], order_cols: list[str], prefix_col: str,
                             year_col: str, width: int = 4, out: str = "document_number") -> DataFrame:
@@ -14,9 +16,18 @@ def assign_document_numbers(docs: DataFrame, group_cols: list[str], order_cols:
     is split by year. ``format_string`` pads to ``width`` digits and never
     truncates longer numbers (unlike ``lpad``).
     """
-    w = Window.partitionBy(*group_cols, year_col).orderBy(*order_cols)
-    seq = F.row_number().over(w)
-    return docs.withColumn(out, F.format_string(f"%s%d-%0{width}d", F.col(prefix_col), F.col(year_col), seq))
+    if len(order_cols) > 1:
+        # row_number as a two-phase running count bucketed by the leading sort key
+        # (e.g. the date), so one busy journal-year is spread over its days
+        d = running(docs.withColumn("_one", F.lit(1).cast("bigint")), group_cols + [year_col], order_cols,
+                    [("_seq", "_one", "sum")], bucket=order_cols[0])
+        seq = F.col("_seq")
+    else:
+        d = docs.withColumn("_seq", F.row_number().over(
+            Window.partitionBy(*group_cols, year_col).orderBy(*order_cols)))
+        seq = F.col("_seq")
+    return (d.withColumn(out, F.format_string(f"%s%d-%0{width}d", F.col(prefix_col), F.col(year_col), seq))
+            .drop("_seq", "_one"))
 
 
 def duplicate_rank(df: DataFrame, key_cols: list[str], order_cols: list[str]) -> DataFrame:
@@ -27,12 +38,19 @@ def duplicate_rank(df: DataFrame, key_cols: list[str], order_cols: list[str]) ->
             .withColumn("dup_count", F.count(F.lit(1)).over(wc)))
 
 
-def sequence_gaps(df: DataFrame, group_cols: list[str], number_col: str) -> DataFrame:
-    """Consecutive document numbers per group with a gap (next - previous > 1)."""
-    w = Window.partitionBy(*group_cols).orderBy(number_col)
-    prev = F.lag(number_col).over(w)
-    return (df.select(*group_cols, number_col)
-            .withColumn("previous_number", prev)
+def sequence_gaps(df: DataFrame, group_cols: list[str], number_col: str,
+                  bucket_width: int = 1_000_000) -> DataFrame:
+    """Consecutive document numbers per group with a gap (next - previous > 1).
+
+    The previous number is a running maximum over smaller numbers, computed in
+    two phases bucketed by number range, so one large series (a company's
+    invoices) is spread over many tasks.
+    """
+    d = df.select(*group_cols, number_col).filter(F.col(number_col).isNotNull())
+    d = d.withColumn("_nb", F.floor(F.col(number_col) / F.lit(bucket_width)).cast("bigint"))
+    d = running(d, group_cols, [number_col], [("previous_number", number_col, "max")], bucket="_nb",
+                exclusive=True)
+    return (d.drop("_nb")
             .filter(F.col(number_col) - F.col("previous_number") > 1)
             .select(*group_cols, "previous_number", F.col(number_col).alias("next_number"),
                     (F.col(number_col) - F.col("previous_number") - 1).alias("missing_count")))

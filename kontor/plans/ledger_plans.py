@@ -415,3 +415,28 @@ def q_invoice_number_gaps(spark, sf_dir):
     inv = (L(spark, sf_dir).invoices.filter(F.col("type") == "sale")
            .select("company_id", SQ.numeric_suffix("invoice_number").alias("n")))
     return SQ.sequence_gaps(inv, ["company_id"], "n").withColumnRenamed("n", "next_number")
+
+
+@register("account_running_balance", ["journal_entries", "journal_entry_lines", "accounts"], """
+SELECT a.company_id, a.code AS account_code, e.entry_date, e.entry_number, l.id AS line_key,
+       l.debit_base, l.credit_base,
+       CAST(SUM(CAST(CASE WHEN a.normal_balance = 'debit' THEN l.debit_base - l.credit_base
+                     ELSE l.credit_base - l.debit_base END AS DECIMAL(30,4)))
+           OVER (PARTITION BY a.company_id, a.code ORDER BY e.entry_date, e.entry_number, l.id
+                 ROWS UNBOUNDED PRECEDING) AS DECIMAL(38,4)) AS running_balance
+FROM journal_entry_lines l JOIN journal_entries e ON e.id = l.journal_entry_id
+JOIN accounts a ON a.id = l.account_id
+WHERE e.status = 'posted'
+""")
+def q_account_running_balance(spark, sf_dir):
+    lg = L(spark, sf_dir)
+    e = lg.journal_entries.filter(F.col("status") == "posted").select(
+        F.col("id").alias("journal_entry_id"), "entry_date", "entry_number")
+    a = lg.accounts.select(F.col("id").alias("account_id"), "company_id", F.col("code").alias("account_code"),
+                           "normal_balance")
+    ledger = (lg.journal_entry_lines.select(F.col("id").alias("line_key"), "journal_entry_id", "account_id",
+                                            "debit_base", "credit_base")
+              .join(e, "journal_entry_id").join(a, "account_id"))
+    return B.account_running_balance(ledger).select(
+        "company_id", "account_code", "entry_date", "entry_number", "line_key", "debit_base", "credit_base",
+        F.col("running_balance").cast("DECIMAL(38,4)").alias("running_balance"))
