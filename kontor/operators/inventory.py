@@ -360,3 +360,16 @@ def resolve_gl_accounts(products: DataFrame, categories: DataFrame, default_inve
                     pick("inventory_account_id", "_ci", default_inventory).alias("inventory_account_id"),
                     pick("cogs_account_id", "_cc", default_cogs).alias("cogs_account_id"),
                     pick("revenue_account_id", "_cr", default_revenue).alias("revenue_account_id"))
+
+
+def weekly_movements(moves: DataFrame) -> DataFrame:
+    """T7 in batch: posted quantity per product, move type and 7-day window.
+
+    Windows are aligned like ``window(ts, '7 days')`` (epoch-based) but computed
+    on dates, so the result does not depend on the session time zone.
+    """
+    d = F.col("move_date")
+    week = F.date_sub(d, F.pmod(F.datediff(d, F.lit("1970-01-01").cast("date")), F.lit(7)))
+    return (moves.filter(F.col("is_posted"))
+            .groupBy(week.alias("week_start"), "product_id", "move_type")
+            .agg(F.sum("quantity").cast(QTY_SUM).alias("quantity"), F.count(F.lit(1)).alias("moves")))

@@ -175,3 +175,27 @@ def invoice_to_journal(invoices: DataFrame, invoice_lines: DataFrame, accounts:
         F.col("invoice_date").alias("entry_date"), F.lit("draft").alias("status"),
         F.lit("invoice").alias("source_type"), F.col("invoice_id").alias("source_id"))
     return entries_out, lines_out
+
+
+def resolve_sources(entries: DataFrame, invoices: DataFrame, payments: DataFrame,
+                    moves: DataFrame) -> DataFrame:
+    """Polymorphic source link (source_type, source_id) -> the source document number.
+
+    One left join per source type on (type, id), combined with ``coalesce``:
+    each entry meets only the table its type names, and an unknown type or a
+    dangling id yields NULL (``source_found`` = false).
+    """
+    e = entries.select("id", "source_type", "source_id")
+    srcs = [("invoice", invoices.select(F.col("id").alias("_sid"), F.col("invoice_number").alias("_doc"))),
+            ("payment", payments.select(F.col("id").alias("_sid"), F.col("payment_number").alias("_doc"))),
+            ("stock_move", moves.select(F.col("id").alias("_sid"), F.col("move_number").alias("_doc")))]
+    out = e
+    docs = []
+    for i, (typ, df) in enumerate(srcs):
+        d = df.withColumnRenamed("_doc", f"_doc{i}").withColumn("_t", F.lit(typ)).withColumnRenamed("_sid", f"_s{i}")
+        out = out.join(d, (out["source_type"] == d["_t"]) & (out["source_id"] == d[f"_s{i}"]), "left").drop(
+            "_t", f"_s{i}")
+        docs.append(F.col(f"_doc{i}"))
+    return (out.withColumn("source_document", F.coalesce(*docs))
+            .withColumn("source_found", F.col("source_document").isNotNull())
+            .select("id", "source_type", "source_id", "source_document", "source_found"))

@@ -71,3 +71,26 @@ def payment_autoallocate(payments: DataFrame, invoices: DataFrame, invoice_type:
                           "_amt", "_tot", "payment_id", "invoice_id", bucket=None)
     return a.select("contact_id", "payment_id", "invoice_id",
                     F.col("allocated").cast("DECIMAL(20,4)").alias("allocated_amount"))
+
+
+def default_due_date(invoices: DataFrame, contacts: DataFrame, mode: str = "terms") -> DataFrame:
+    """Due date when none is stored.
+
+    ``terms``: invoice date + the contact's payment terms in days (30 when
+    the contact has none), as the data model's default suggests; ``same_day``:
+    the invoice date, as the invoice form does it.
+    """
+    if mode == "same_day":
+        return invoices.withColumn("effective_due_date", F.coalesce("due_date", "invoice_date"))
+    c = contacts.select(F.col("id").alias("contact_id"), "payment_terms")
+    days = F.coalesce(F.col("payment_terms").cast("int"), F.lit(30))
+    return (invoices.join(c, "contact_id", "left")
+            .withColumn("effective_due_date", F.coalesce("due_date", F.date_add("invoice_date", days)))
+            .drop("payment_terms"))
+
+
+def invoice_contact_names(invoices: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Invoice list with the contact's name, 'Unknown' when the contact is missing."""
+    c = contacts.select(F.col("id").alias("contact_id"), F.col("name").alias("_n"))
+    return (invoices.join(c, "contact_id", "left")
+            .withColumn("contact_name", F.coalesce("_n", F.lit("Unknown"))).drop("_n"))

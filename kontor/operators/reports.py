@@ -405,3 +405,46 @@ def open_items(invoices: DataFrame) -> DataFrame:
 
 def active_only(df: DataFrame) -> DataFrame:
     return df.filter(F.col("is_active"))
+
+
+def close_period_balances(lines: DataFrame, entries: DataFrame, periods: DataFrame,
+                          accounts: DataFrame) -> DataFrame:
+    """Per account and period: movement and closing balance (opening balance +
+    movements of all periods up to this one, on the normal side), posted entries.
+
+    Lines are aggregated to (account, period) first; the cumulative window then
+    runs over that small matrix.
+    """
+    from pyspark.sql import Window as W
+    je = entries.filter(F.col("status") == "posted").select(F.col("id").alias("journal_entry_id"), "period_id")
+    per = (lines.select("journal_entry_id", "account_id", "debit_base", "credit_base").join(je, "journal_entry_id")
+           .groupBy("account_id", "period_id")
+           .agg(F.sum("debit_base").alias("_d"), F.sum("credit_base").alias("_c")))
+    a = accounts.select(F.col("id").alias("account_id"), "normal_balance", "opening_balance")
+    p = periods.select(F.col("id").alias("period_id"), "start_date")
+    j = per.join(a, "account_id").join(p, "period_id")
+    move = M.signed_balance("normal_balance", "_d", "_c").cast(AMOUNT_SUM)
+    w = W.partitionBy("account_id").orderBy("start_date", "period_id").rowsBetween(W.unboundedPreceding, 0)
+    return j.select("account_id", "period_id", move.alias("movement"),
+                    (F.col("opening_balance") + F.sum(move).over(w)).cast(AMOUNT_SUM).alias("closing_balance"))
+
+
+def register_views(spark, tables, as_of: str, prefix: str = "v_") -> list[str]:
+    """Register the six reporting relations as temporary views (``create_views``)."""
+    views = {
+        "general_ledger": general_ledger(tables["journal_entries"], tables["journals"],
+                                         tables["accounting_periods"], tables["journal_entry_lines"],
+                                         tables["accounts"], tables["contacts"], tables["cost_centers"],
+                                         tables["projects"]),
+        "trial_balance": trial_balance(tables["accounts"], tables["journal_entry_lines"]),
+        "ar_aging": ar_aging(tables["invoices"], tables["contacts"], as_of),
+        "ap_aging": ap_aging(tables["invoices"], tables["contacts"], as_of),
+        "unbalanced_entries": unbalanced_entries(tables["journal_entries"], tables["journal_entry_lines"]),
+    }
+    if "stock_quantities" in tables:
+        views["inventory_valuation"] = inventory_valuation(
+            tables["stock_quantities"], tables["products"], tables["warehouse_locations"], tables["warehouses"],
+            tables["product_categories"])
+    for name, df in views.items():
+        df.createOrReplaceTempView(prefix + name)
+    return [prefix + n for n in views]

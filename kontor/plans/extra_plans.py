@@ -163,3 +163,80 @@ FROM purchase_orders
 def q_po_received_pct(spark, sf_dir):
     from kontor.operators import orders as O
     return O.po_billed_pct(L(spark, sf_dir).purchase_orders)
+
+
+@register("due_date_default", ["invoices", "contacts"], """
+SELECT i.id, COALESCE(i.due_date, i.invoice_date + CAST(COALESCE(c.payment_terms, 30) AS INTEGER))
+           AS effective_due_date
+FROM invoices i LEFT JOIN contacts c ON c.id = i.contact_id
+""")
+def q_due_date_default(spark, sf_dir):
+    from kontor.operators import receivables as RC
+    lg = L(spark, sf_dir)
+    return RC.default_due_date(lg.invoices, lg.contacts).select("id", "effective_due_date")
+
+
+@register("invoice_contact_names", ["invoices", "contacts"], """
+SELECT i.id, i.invoice_number, COALESCE(c.name, 'Unknown') AS contact_name
+FROM invoices i LEFT JOIN contacts c ON c.id = i.contact_id
+""")
+def q_invoice_contact_names(spark, sf_dir):
+    from kontor.operators import receivables as RC
+    lg = L(spark, sf_dir)
+    return RC.invoice_contact_names(lg.invoices, lg.contacts).select("id", "invoice_number", "contact_name")
+
+
+@register("entry_sources", ["journal_entries", "invoices", "payments", "stock_moves"], """
+SELECT e.id, e.source_type, e.source_id,
+       COALESCE(i.invoice_number, p.payment_number, m.move_number) AS source_document,
+       COALESCE(i.invoice_number, p.payment_number, m.move_number) IS NOT NULL AS source_found
+FROM journal_entries e
+LEFT JOIN invoices i ON e.source_type = 'invoice' AND i.id = e.source_id
+LEFT JOIN payments p ON e.source_type = 'payment' AND p.id = e.source_id
+LEFT JOIN stock_moves m ON e.source_type = 'stock_move' AND m.id = e.source_id
+""")
+def q_entry_sources(spark, sf_dir):
+    from kontor.operators import posting as P
+    lg = L(spark, sf_dir)
+    return P.resolve_sources(lg.journal_entries, lg.invoices, lg.payments, lg.stock_moves)
+
+
+@register("close_period_balances", ["journal_entry_lines", "journal_entries", "accounting_periods", "accounts"], """
+WITH per AS (
+  SELECT l.account_id, e.period_id, SUM(l.debit_base) AS d, SUM(l.credit_base) AS c
+  FROM journal_entry_lines l JOIN journal_entries e ON e.id = l.journal_entry_id
+  WHERE e.status = 'posted' GROUP BY l.account_id, e.period_id),
+j AS (
+  SELECT per.account_id, per.period_id, p.start_date, a.opening_balance,
+         CAST(CASE a.normal_balance WHEN 'debit' THEN per.d - per.c WHEN 'credit' THEN per.c - per.d END
+              AS DECIMAL(30,4)) AS movement
+  FROM per JOIN accounts a ON a.id = per.account_id JOIN accounting_periods p ON p.id = per.period_id)
+SELECT account_id, period_id, movement,
+       CAST(opening_balance + SUM(movement) OVER (PARTITION BY account_id ORDER BY start_date, period_id
+                                                  ROWS UNBOUNDED PRECEDING) AS DECIMAL(30,4)) AS closing_balance
+FROM j
+""")
+def q_close_period_balances(spark, sf_dir):
+    lg = L(spark, sf_dir)
+    return R.close_period_balances(lg.journal_entry_lines, lg.journal_entries, lg.accounting_periods, lg.accounts)
+
+
+@register("weekly_movements", ["stock_moves"], """
+SELECT CAST(move_date - CAST(((move_date - DATE '1970-01-01') % 7 + 7) % 7 AS INTEGER) AS DATE) AS week_start,
+       product_id, move_type, CAST(SUM(quantity) AS DECIMAL(30,6)) AS quantity, COUNT(*) AS moves
+FROM stock_moves WHERE is_posted
+GROUP BY 1, product_id, move_type
+""")
+def q_weekly_movements(spark, sf_dir):
+    return I.weekly_movements(L(spark, sf_dir).stock_moves)
+
+
+@register("normal_balance_side", ["accounts"], """
+SELECT id, category, normal_balance,
+       CASE WHEN category IN ('asset', 'expense') THEN 'debit' ELSE 'credit' END AS derived_side
+FROM accounts
+""")
+def q_normal_balance_side(spark, sf_dir):
+    from kontor.functions import money as M
+    a = L(spark, sf_dir).accounts
+    return a.select("id", "category", "normal_balance", M.normal_side("category").alias("derived_side"))
