@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import money as M
-from kontor.operators.sweep import interval_allocate, running, running_sum
+from kontor.operators.sweep import HOT_THRESHOLD, interval_allocate, running, running_sum, split_hot
 from kontor.sources.schemas import ENUMS, MONEY, QTY
 
 QTY_SUM = "DECIMAL(30,6)"
@@ -157,8 +157,23 @@ def _fold_partitions(batches):
                             "last_purchase_price": out_last, "seg": out_seg, "step": out_step})
 
 
+def _segment_receipts(moves: DataFrame, products: DataFrame, order: list[str], bucket: str | None) -> DataFrame:
+    """Costed receipts with Q, their reset segment and the starting cost of segment 0."""
+    r = costed_receipts(moves, order, bucket)
+    bucket = _bucket(order, bucket)
+    den = F.col("qty_before") + F.col("quantity")
+    r = r.withColumn("_reset", F.when((F.col("qty_before") == 0) | (den <= 0), 1).otherwise(0))
+    r = running_sum(r, ["product_id"], order, "_reset", "seg", bucket=bucket)
+    init = products.select(F.col("id").alias("product_id"), F.col("average_cost").alias("_start"))
+    return (r.join(init, "product_id", "left")
+            .withColumn("init_cost", F.when(F.col("seg") == 0, F.col("_start")))
+            .select("product_id", F.col("seg").cast("bigint").alias("seg"), "id", "qty_before", "quantity",
+                    "unit_cost", "init_cost", *[c for c in order if c != "id"]))
+
+
 def moving_average_cost(moves: DataFrame, products: DataFrame, order: list[str] | None = None,
-                        bucket: str | None = "auto", keep_position: bool = False) -> DataFrame:
+                        bucket: str | None = "auto", keep_position: bool = False,
+                        hot_threshold: int = HOT_THRESHOLD) -> DataFrame:
     """Average cost after every costed receipt (T4), per receipt, in insertion order.
 
     A' = (Q*A + q*c) / (Q + q) if Q + q > 0 else c, rounded to 4 d.p. at each
@@ -170,16 +185,10 @@ def moving_average_cost(moves: DataFrame, products: DataFrame, order: list[str]
     and runs as a streamed ``mapInPandas`` over sorted rows.
     """
     order = order or ["id"]
-    r = costed_receipts(moves, order, bucket)
-    bucket = _bucket(order, bucket)
-    den = F.col("qty_before") + F.col("quantity")
-    r = r.withColumn("_reset", F.when((F.col("qty_before") == 0) | (den <= 0), 1).otherwise(0))
-    r = running_sum(r, ["product_id"], order, "_reset", "seg", bucket=bucket)
-    init = products.select(F.col("id").alias("product_id"), F.col("average_cost").alias("_start"))
-    r = (r.join(init, "product_id", "left")
-         .withColumn("init_cost", F.when(F.col("seg") == 0, F.col("_start")))
-         .select("product_id", "seg", "id", "qty_before", "quantity", "unit_cost", "init_cost",
-                 *[c for c in order if c != "id"]))
+    hot, cold = split_hot(moves, ["product_id"], hot_threshold)
+    r = _segment_receipts(cold, products, order, None)
+    if hot is not None:
+        r = r.unionByName(_segment_receipts(hot, products, order, bucket))
     n = r.sparkSession.conf.get("spark.sql.shuffle.partitions")
     sorted_r = (r.repartition(int(n), "product_id", "seg")
                 .sortWithinPartitions("product_id", "seg", *order)
@@ -188,10 +197,11 @@ def moving_average_cost(moves: DataFrame, products: DataFrame, order: list[str]
         else sorted_r.mapInPandas(_fold_partitions, _FOLD_SCHEMA)
 
 
-def product_costs(moves: DataFrame, products: DataFrame, order: list[str] | None = None) -> DataFrame:
+def product_costs(moves: DataFrame, products: DataFrame, order: list[str] | None = None,
+                  hot_threshold: int = HOT_THRESHOLD) -> DataFrame:
     """Products with average_cost / last_purchase_price after replaying the moves."""
     order = order or ["id"]
-    steps = moving_average_cost(moves, products, order, keep_position=True)
+    steps = moving_average_cost(moves, products, order, keep_position=True, hot_threshold=hot_threshold)
     # (segment, step) is the replay position, so the last step needs no re-join with the moves
     last = (steps.withColumn("_ord", F.struct("seg", "step"))
             .groupBy("product_id")
@@ -232,8 +242,23 @@ def fifo_satisfied(moves: DataFrame, order: list[str], bucket: str | None = None
                          sat.cast(QTY_SUM).alias("satisfied"))
 
 
-def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None,
-                         bucket: str | None = "auto") -> tuple[DataFrame, DataFrame]:
+def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None, bucket: str | None = "auto",
+                         hot_threshold: int = HOT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """FIFO at product level (see ``_fifo``). Products with more than
+    ``hot_threshold`` moves take the skew-safe two-phase plan, the others the
+    plain per-product windows; the results are unioned."""
+    order = order or ["id"]
+    m = moves.filter(F.col("is_posted") & F.col("move_type").isin("purchase_receipt", "sale_delivery"))
+    hot, cold = split_hot(m, ["product_id"], hot_threshold)
+    alloc, layers = _fifo(cold, order, None, None)
+    if hot is not None:
+        a_hot, l_hot = _fifo(hot, order, _bucket(order, bucket), 1_000_000)
+        alloc, layers = alloc.unionByName(a_hot), layers.unionByName(l_hot)
+    return alloc, layers
+
+
+def _fifo(moves: DataFrame, order: list[str], bucket: str | None,
+          rows_per_bucket: int | None) -> tuple[DataFrame, DataFrame]:
     """FIFO at product level: receipts form layers, deliveries consume the oldest on hand.
 
     Our semantics (the data model only says layers are consumed FIFO): layers
@@ -246,8 +271,6 @@ def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None,
     NULL layer for each shortfall; layers carry ``remaining_qty`` and
     ``total_cost`` = remaining x unit cost.
     """
-    order = order or ["id"]
-    bucket = _bucket(order, bucket)
     extra = [c for c in order if c != "id"]
     posted = moves.filter(F.col("is_posted"))
     layers = posted.filter(F.col("move_type") == "purchase_receipt").select(
@@ -256,7 +279,8 @@ def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None,
         F.col("id"))
     sat = fifo_satisfied(moves, order, bucket).withColumn("id", F.col("issue_id"))
     alloc = interval_allocate(layers, sat, ["product_id"], order, order, "original_qty", "satisfied",
-                              "stock_move_id", "issue_id", bucket=bucket).filter(F.col("stock_move_id").isNotNull())
+                              "stock_move_id", "issue_id", bucket=bucket, rows_per_bucket=rows_per_bucket
+                              ).filter(F.col("stock_move_id").isNotNull())
     cost = layers.select("stock_move_id", "unit_cost")
     alloc = (alloc.join(cost, "stock_move_id", "left")
              .withColumn("cost", F.round(F.col("allocated").cast("decimal(18,6)")
@@ -279,9 +303,9 @@ def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None,
     return alloc, rem
 
 
-def fifo_cogs(moves: DataFrame, order: list[str] | None = None) -> DataFrame:
+def fifo_cogs(moves: DataFrame, order: list[str] | None = None, hot_threshold: int = HOT_THRESHOLD) -> DataFrame:
     """COGS per issue under FIFO; shortfall quantity reported separately."""
-    alloc, _ = fifo_layers_and_cogs(moves, order)
+    alloc, _ = fifo_layers_and_cogs(moves, order, hot_threshold=hot_threshold)
     return alloc.groupBy("product_id", "issue_id").agg(
         F.sum(F.when(F.col("stock_move_id").isNotNull(), F.col("allocated"))).cast(QTY_SUM).alias("costed_qty"),
         F.sum(F.when(F.col("stock_move_id").isNull(), F.col("allocated"))).cast(QTY_SUM).alias("shortfall_qty"),

@@ -70,6 +70,28 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     return r.withColumn(out, F.col(out) - F.col(value))
 
 
+HOT_THRESHOLD = 1_000_000
+
+
+def split_hot(df: DataFrame, keys: list[str], threshold: int = HOT_THRESHOLD
+              ) -> tuple[DataFrame | None, DataFrame]:
+    """Split rows into (hot, cold) by key size: a key with more than ``threshold`` rows is hot.
+
+    Cold keys run the plain per-key windows (one shuffle each); only hot keys
+    pay for the two-phase bucketed plan. One aggregation job checks whether
+    any hot key exists (a limit-1 probe, nothing unbounded reaches the
+    driver); without hot keys ``hot`` is None and the plan stays plain. The
+    hot-key set has at most rows / threshold entries -- a proven bound -- so
+    it is broadcast for the split.
+    """
+    hot_keys = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > threshold).select(*keys))
+    if not hot_keys.take(1):
+        return None, df
+    hk = F.broadcast(hot_keys)
+    return df.join(hk, keys, "left_semi"), df.join(hk, keys, "left_anti")
+
+
 def _axis_buckets(points: DataFrame, keys: list[str], rows_per_bucket: int | None) -> tuple[DataFrame, str | None]:
     """Bucket distinct axis points per key so a key holds ~rows_per_bucket points per bucket."""
     if not rows_per_bucket:

@@ -24,6 +24,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # A union of children with equal hash partitioning must not claim that
     # partitioning: it holds the partitions of all children.
     "spark.sql.unionOutputPartitioning": "false",

@@ -140,3 +140,16 @@ def test_weekly_movements_stream(spark):
     posted = lg.stock_moves.filter("is_posted").agg(F.sum("quantity")).first()[0]
     # windows still open at the end of the stream are not emitted in append mode
     assert 0 < total <= posted
+
+
+def test_hot_key_plan_equals_plain_plan(spark):
+    """Forcing every product through the skew-safe (bucketed) plan gives the same results."""
+    lg = FX.ledger(spark, SF_SMALL)
+    plain = {(r["issue_id"], r["cogs"], r["shortfall_qty"]) for r in I.fifo_cogs(lg.stock_moves, ORDER).collect()}
+    hot = {(r["issue_id"], r["cogs"], r["shortfall_qty"])
+           for r in I.fifo_cogs(lg.stock_moves, ORDER, hot_threshold=0).collect()}
+    assert plain == hot and len(plain) > 100
+    c_plain = {r["move_id"]: r["average_cost"] for r in I.moving_average_cost(lg.stock_moves, lg.products, ORDER).collect()}
+    c_hot = {r["move_id"]: r["average_cost"]
+             for r in I.moving_average_cost(lg.stock_moves, lg.products, ORDER, hot_threshold=0).collect()}
+    assert c_plain == c_hot
