@@ -597,26 +597,38 @@ class Ledger:
 
     def materialize(self, names) -> dict:
         """Write the listed tables once as Parquet under the shared checkpoint
-        folder and return them read back (lineage cut, scans instead of
-        re-deriving the mapping in every consumer)."""
+        folder and return them read back (lineage cut: consumers scan files
+        instead of re-deriving the mapping).
+
+        Tables are written level by level in dependency order and each level
+        reads the previous one from disk, so shared intermediates (the numbered
+        line items, the order headers) are computed once. Within a level the
+        writes are independent jobs and run concurrently.
+        """
         import hashlib
-
-        from kontor.session import scratch_path
         from concurrent.futures import ThreadPoolExecutor
 
+        from kontor.session import scratch_path
         tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
-        todo = [n for n in names if ("mat", n) not in self._cache]
-        frames = {n: self[n] for n in todo}   # build plans on this thread
+        todo = [n for n in _closure(names) if ("mat", n) not in self._cache]
+        level: dict[str, int] = {}
+        for n in todo:  # _closure is dependency-ordered
+            level[n] = 1 + max([level.get(d, 0) for d in _T[n][1] if d not in RAW_TABLES] or [0])
 
-        def write(n):
+        def write(item):
+            n, frame = item
             path = scratch_path(self.spark, f"ledger-{tag}/{n}")
-            frames[n].write.mode("overwrite").parquet(path)
+            frame.write.mode("overwrite").parquet(path)
             return n, path
 
-        # independent jobs: small tables would leave most cores idle one by one
-        with ThreadPoolExecutor(max_workers=8) as pool:
-            for n, path in pool.map(write, todo):
-                self._cache[("mat", n)] = self.spark.read.parquet(path)
+        for lv in sorted(set(level.values())):
+            batch = [n for n in todo if level[n] == lv]
+            frames = [(n, self[n]) for n in batch]   # plans over the previous levels' files
+            with ThreadPoolExecutor(max_workers=8) as pool:
+                for n, path in pool.map(write, frames):
+                    df = self.spark.read.parquet(path)
+                    self._cache[("mat", n)] = df
+                    self._cache[n] = df           # later levels read the file
         return {n: self._cache[("mat", n)] for n in names}
 
     def __contains__(self, name: str) -> bool:
