@@ -358,15 +358,20 @@ def reorder_report(stock: DataFrame, products: DataFrame) -> DataFrame:
     j = p.join(avail, "product_id", "left").withColumn(
         "available_qty", F.coalesce("available_qty", F.lit(0).cast(QTY_SUM)))
     gap = (F.col("available_qty") - F.col("reorder_point")).cast("DECIMAL(31,6)")
-    w = Window.partitionBy("company_id").orderBy(gap, "product_id")
-    return (j.filter(F.col("available_qty") <= F.col("reorder_point"))
-            .select("company_id", "product_id", "sku", "available_qty", "reorder_point",
-                    F.col("reorder_qty").alias("suggested_qty"),
-                    (F.col("available_qty") < F.col("min_stock")).alias("below_min"),
-                    (F.col("max_stock").isNotNull() & (F.col("available_qty") > F.col("max_stock")))
-                    .alias("above_max"),
-                    gap.alias("gap"))
-            .withColumn("shortage_rank", F.rank().over(w)))
+    flagged = (j.filter(F.col("available_qty") <= F.col("reorder_point"))
+               .select("company_id", "product_id", "sku", "available_qty", "reorder_point",
+                       F.col("reorder_qty").alias("suggested_qty"),
+                       (F.col("available_qty") < F.col("min_stock")).alias("below_min"),
+                       (F.col("max_stock").isNotNull() & (F.col("available_qty") > F.col("max_stock")))
+                       .alias("above_max"),
+                       gap.alias("gap"))
+               .withColumn("_one", F.lit(1))
+               .withColumn("_gb", F.floor("gap").cast("bigint")))
+    # (gap, product_id) is unique, so rank = running count; two-phase, bucketed by
+    # the integer part of the gap, so one company's ranking is not a single task
+    ranked = running(flagged, ["company_id"], ["gap", "product_id"], [("shortage_rank", "_one", "sum")],
+                     bucket="_gb")
+    return ranked.withColumn("shortage_rank", F.col("shortage_rank").cast("int")).drop("_one", "_gb")
 
 
 def resolve_gl_accounts(products: DataFrame, categories: DataFrame, default_inventory: int | None = None,
