@@ -199,3 +199,22 @@ def resolve_sources(entries: DataFrame, invoices: DataFrame, payments: DataFrame
     return (out.withColumn("source_document", F.coalesce(*docs))
             .withColumn("source_found", F.col("source_document").isNotNull())
             .select("id", "source_type", "source_id", "source_document", "source_found"))
+
+
+def reversal_mirror_check(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """Reversal pairs (entry.reversed_by -> its reversal) whose lines do not
+    mirror: per account, original + reversal base amounts must net to zero.
+
+    Self equi-join of entries on ``reversed_by``; both entries' lines are
+    aggregated to (pair, account) before comparing.
+    """
+    pairs = (entries.filter(F.col("reversed_by").isNotNull())
+             .select(F.col("id").alias("original_id"), F.col("reversed_by").alias("reversal_id")))
+    orig = pairs.select("original_id", F.col("original_id").alias("journal_entry_id"))
+    rev = pairs.select("original_id", F.col("reversal_id").alias("journal_entry_id"))
+    member = orig.unionByName(rev)
+    net = (lines.select("journal_entry_id", "account_id", "debit_base", "credit_base")
+           .join(member, "journal_entry_id")
+           .groupBy("original_id", "account_id")
+           .agg((F.sum("debit_base") - F.sum("credit_base")).cast(AMOUNT_SUM).alias("net")))
+    return net.filter(F.col("net") != 0)

@@ -248,6 +248,35 @@ def line_amount(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line_amount", (F.round(x, 2) / F.lit(100)).cast("DECIMAL(20,4)"))
 
 
+def line_tax_amount(lines: DataFrame, tax_codes: DataFrame, rate_is_percent: bool = True,
+                    out: str = "computed_tax") -> DataFrame:
+    """Tax of each line from its tax code: round(line_amount x rate, 4).
+
+    ``rate_is_percent``: the code's rate is a percentage (8.0000 = 8%) rather
+    than a fraction (0.0800); the data model leaves this open, so it is an
+    argument. A line without a tax code gets 0.
+    """
+    rates = tax_codes.select(F.col("id").alias("tax_code_id"), F.col("rate").alias("_rate"))
+    r = F.coalesce(F.col("_rate"), F.lit(0)).cast("decimal(8,4)")
+    amt = F.col("line_amount").cast("decimal(18,4)") * r
+    tax = F.round(amt / F.lit(100) if rate_is_percent else amt, 4).cast("DECIMAL(20,4)")
+    return lines.join(rates, "tax_code_id", "left").withColumn(out, tax).drop("_rate")
+
+
+def recent_invoices(invoices: DataFrame) -> DataFrame:
+    """All invoices newest first (display order: a distributed range sort)."""
+    return invoices.orderBy(F.col("invoice_date").desc(), F.col("id").desc())
+
+
+def entry_balance_flags(lines: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """A3 + A4: per entry the totals and both balance rules -- the posting rule
+    (exact, debit non-zero) and the entry form's rule (debit > 0, |d - c| < tol)."""
+    t = entry_totals(lines)
+    return t.select("journal_entry_id", "total_debit", "total_credit",
+                    is_balanced("total_debit", "total_credit").alias("balanced_for_posting"),
+                    is_balanced("total_debit", "total_credit", tolerance).alias("balanced_in_form"))
+
+
 def invoice_totals(lines: DataFrame, tax_codes: DataFrame | None = None, tax_mode: str = "flat",
                    flat_rate: str = "0.10") -> DataFrame:
     """Subtotal, tax and total per invoice.
@@ -264,12 +293,9 @@ def invoice_totals(lines: DataFrame, tax_codes: DataFrame | None = None, tax_mod
     elif tax_mode == "by_code":
         if tax_codes is None:
             raise ValueError("by_code needs tax_codes")
-        rates = tax_codes.select(F.col("id").alias("tax_code_id"), F.col("rate").alias("_rate"))
-        ln = lines.join(rates, "tax_code_id", "left")
-        line_tax = F.round(F.col("line_amount").cast("decimal(18,4)")
-                           * F.coalesce(F.col("_rate"), F.lit(0)).cast("decimal(8,4)") / F.lit(100), 4)
+        ln = line_tax_amount(lines, tax_codes)
         t = ln.groupBy("invoice_id").agg(F.sum("line_amount").cast(AMOUNT_SUM).alias("subtotal"),
-                                         F.sum(line_tax).cast(AMOUNT_SUM).alias("_tax"))
+                                         F.sum("computed_tax").cast(AMOUNT_SUM).alias("_tax"))
         tax = F.col("_tax")
     else:
         raise ValueError(tax_mode)

@@ -240,3 +240,59 @@ def q_normal_balance_side(spark, sf_dir):
     from kontor.functions import money as M
     a = L(spark, sf_dir).accounts
     return a.select("id", "category", "normal_balance", M.normal_side("category").alias("derived_side"))
+
+
+@register("line_tax_amount", ["invoice_lines", "tax_codes"], """
+SELECT l.id, CAST(round(CAST(l.line_amount AS DECIMAL(20,4)) * COALESCE(t.rate, 0) * 0.01, 4) AS DECIMAL(20,4))
+           AS computed_tax
+FROM invoice_lines l LEFT JOIN tax_codes t ON t.id = l.tax_code_id
+""")
+def q_line_tax_amount(spark, sf_dir):
+    lg = L(spark, sf_dir)
+    return R.line_tax_amount(lg.invoice_lines, lg.tax_codes).select("id", "computed_tax")
+
+
+@register("entry_balance_flags", ["journal_entry_lines"], """
+SELECT journal_entry_id, CAST(COALESCE(SUM(debit_amount), 0) AS DECIMAL(30,4)) AS total_debit,
+       CAST(COALESCE(SUM(credit_amount), 0) AS DECIMAL(30,4)) AS total_credit,
+       COALESCE(SUM(debit_amount), 0) <> 0 AND COALESCE(SUM(debit_amount), 0) = COALESCE(SUM(credit_amount), 0)
+           AS balanced_for_posting,
+       COALESCE(SUM(debit_amount), 0) > 0
+           AND abs(COALESCE(SUM(debit_amount), 0) - COALESCE(SUM(credit_amount), 0)) < 0.001 AS balanced_in_form
+FROM journal_entry_lines GROUP BY journal_entry_id
+""")
+def q_entry_balance_flags(spark, sf_dir):
+    return R.entry_balance_flags(L(spark, sf_dir).journal_entry_lines)
+
+
+@register("recent_invoices", ["invoices"], """
+SELECT id, invoice_number, invoice_date FROM invoices ORDER BY invoice_date DESC, id DESC
+""")
+def q_recent_invoices(spark, sf_dir):
+    return R.recent_invoices(L(spark, sf_dir).invoices).select("id", "invoice_number", "invoice_date")
+
+
+@register("reversal_mirror_check", ["journal_entries", "journal_entry_lines"], """
+WITH rev_lines AS (
+  SELECT l.journal_entry_id + 1000000000000 AS journal_entry_id, l.account_id,
+         l.credit_base AS debit_base, l.debit_base AS credit_base
+  FROM journal_entry_lines l JOIN journal_entries e ON e.id = l.journal_entry_id WHERE e.status = 'posted'),
+all_lines AS (
+  SELECT journal_entry_id, account_id, debit_base, credit_base FROM journal_entry_lines UNION ALL
+  SELECT * FROM rev_lines),
+pairs AS (SELECT id AS original_id, id + 1000000000000 AS reversal_id FROM journal_entries WHERE status = 'posted'),
+member AS (SELECT original_id, original_id AS journal_entry_id FROM pairs
+           UNION ALL SELECT original_id, reversal_id FROM pairs)
+SELECT m.original_id, l.account_id, CAST(SUM(l.debit_base) - SUM(l.credit_base) AS DECIMAL(30,4)) AS net
+FROM all_lines l JOIN member m ON m.journal_entry_id = l.journal_entry_id
+GROUP BY m.original_id, l.account_id
+HAVING SUM(l.debit_base) - SUM(l.credit_base) <> 0
+""")
+def q_reversal_mirror_check(spark, sf_dir):
+    """Reverse all posted entries, then check that every pair mirrors (expect no rows)."""
+    from kontor.operators import posting as P
+    lg = L(spark, sf_dir)
+    new_e, new_l, marked = P.reverse_entries(lg.journal_entries, lg.journal_entry_lines, 1_000_000_000_000)
+    entries = marked.select("id", "reversed_by").unionByName(new_e.select("id", "reversed_by"))
+    lines = lg.journal_entry_lines.unionByName(new_l)
+    return P.reversal_mirror_check(entries, lines)

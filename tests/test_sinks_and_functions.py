@@ -66,3 +66,11 @@ def test_scalar_helpers(spark):
     q = spark.createDataFrame([(D("2.500000"), D("3.3333"))], "q DECIMAL(20,6), c DECIMAL(20,4)")
     assert q.select(M.qty_times_cost("q", "c")).first()[0] == D("8.3333")
     assert q.select(M.to_base("c", F.lit(D("1.5")))).first()[0] == D("5.0000")
+
+
+def test_table_diff(spark):
+    from kontor.operators.audit import table_diff
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "id INT, v STRING")
+    b = spark.createDataFrame([(2, "y"), (3, "z")], "v_id INT, v STRING").withColumnRenamed("v_id", "id")
+    got = sorted((r["id"], r["side"]) for r in table_diff(a, b).collect())
+    assert got == [(1, "expected_only"), (2, "expected_only"), (3, "actual_only")]
