@@ -153,3 +153,17 @@ def test_hot_key_plan_equals_plain_plan(spark):
     c_hot = {r["move_id"]: r["average_cost"]
              for r in I.moving_average_cost(lg.stock_moves, lg.products, ORDER, hot_threshold=0).collect()}
     assert c_plain == c_hot
+
+
+def test_stock_state_stream_matches_batch(spark):
+    lg = FX.ledger(spark, SF_SMALL)
+    src = _write_move_files(spark, lg)
+    state_dir = tempfile.mkdtemp(prefix="kontor-stock-state-")
+    q = ST.run_stock_state_stream(ST.read_moves_stream(spark, src, 1), state_dir, tempfile.mkdtemp())
+    q.awaitTermination()
+    last = max(int(d.split("=")[1]) for d in os.listdir(state_dir) if d.startswith("version="))
+    assert last >= 2   # several micro-batches
+    got = {(r["product_id"], r["location_id"]): r["quantity"]
+           for r in spark.read.parquet(f"{state_dir}/version={last}").collect()}
+    exp = {(r["product_id"], r["location_id"]): r["quantity"] for r in I.apply_stock_moves(lg.stock_moves).collect()}
+    assert got == exp
