@@ -189,8 +189,8 @@ def moving_average_cost(moves: DataFrame, products: DataFrame, order: list[str]
     r = _segment_receipts(cold, products, order, None)
     if hot is not None:
         r = r.unionByName(_segment_receipts(hot, products, order, bucket))
-    n = r.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sorted_r = (r.repartition(int(n), "product_id", "seg")
+    # no explicit partition count: AQE sizes the shuffle from the data
+    sorted_r = (r.repartition("product_id", "seg")
                 .sortWithinPartitions("product_id", "seg", *order)
                 .select("product_id", "seg", "id", "qty_before", "quantity", "unit_cost", "init_cost"))
     return sorted_r.mapInPandas(_fold_partitions, _FOLD_SCHEMA).drop("seg", "step") if not keep_position \
