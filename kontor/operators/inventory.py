@@ -243,7 +243,8 @@ def fifo_satisfied(moves: DataFrame, order: list[str], bucket: str | None = None
 
 
 def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None, bucket: str | None = "auto",
-                         hot_threshold: int = HOT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+                         hot_threshold: int = HOT_THRESHOLD,
+                         rows_per_bucket: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """FIFO at product level (see ``_fifo``). Products with more than
     ``hot_threshold`` moves take the skew-safe two-phase plan, the others the
     plain per-product windows; the results are unioned."""
@@ -252,7 +253,7 @@ def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None, bucke
     hot, cold = split_hot(m, ["product_id"], hot_threshold)
     alloc, layers = _fifo(cold, order, None, None)
     if hot is not None:
-        a_hot, l_hot = _fifo(hot, order, _bucket(order, bucket), 1_000_000)
+        a_hot, l_hot = _fifo(hot, order, _bucket(order, bucket), rows_per_bucket)
         alloc, layers = alloc.unionByName(a_hot), layers.unionByName(l_hot)
     return alloc, layers
 
@@ -303,9 +304,10 @@ def _fifo(moves: DataFrame, order: list[str], bucket: str | None,
     return alloc, rem
 
 
-def fifo_cogs(moves: DataFrame, order: list[str] | None = None, hot_threshold: int = HOT_THRESHOLD) -> DataFrame:
+def fifo_cogs(moves: DataFrame, order: list[str] | None = None, hot_threshold: int = HOT_THRESHOLD,
+              rows_per_bucket: int = 1_000_000) -> DataFrame:
     """COGS per issue under FIFO; shortfall quantity reported separately."""
-    alloc, _ = fifo_layers_and_cogs(moves, order, hot_threshold=hot_threshold)
+    alloc, _ = fifo_layers_and_cogs(moves, order, hot_threshold=hot_threshold, rows_per_bucket=rows_per_bucket)
     return alloc.groupBy("product_id", "issue_id").agg(
         F.sum(F.when(F.col("stock_move_id").isNotNull(), F.col("allocated"))).cast(QTY_SUM).alias("costed_qty"),
         F.sum(F.when(F.col("stock_move_id").isNull(), F.col("allocated"))).cast(QTY_SUM).alias("shortfall_qty"),

@@ -61,3 +61,15 @@ def test_reversal_nets_to_zero(spark):
         rev.select("account_id", "debit_base", "credit_base"))
     net = both.groupBy("account_id").agg((F.sum("debit_base") - F.sum("credit_base")).alias("n"))
     assert net.filter("n != 0").count() == 0
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(qty, min_size=1, max_size=12), st.lists(qty, min_size=1, max_size=12))
+def test_axis_bucketed_sweep_equals_plain(spark, supply, demand):
+    s = spark.createDataFrame([(1, i, Decimal(q)) for i, q in enumerate(supply)], "k INT, sid INT, q DECIMAL(20,6)")
+    d = spark.createDataFrame([(1, i, Decimal(q)) for i, q in enumerate(demand)], "k INT, did INT, q DECIMAL(20,6)")
+    plain = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
+                                                 rows_per_bucket=None).collect()}
+    split = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
+                                                 rows_per_bucket=2).collect()}
+    assert plain == split

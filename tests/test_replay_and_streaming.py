@@ -149,6 +149,10 @@ def test_hot_key_plan_equals_plain_plan(spark):
     hot = {(r["issue_id"], r["cogs"], r["shortfall_qty"])
            for r in I.fifo_cogs(lg.stock_moves, ORDER, hot_threshold=0).collect()}
     assert plain == hot and len(plain) > 100
+    # tiny axis buckets: every product's sweep is split into many buckets with carries
+    split = {(r["issue_id"], r["cogs"], r["shortfall_qty"])
+             for r in I.fifo_cogs(lg.stock_moves, ORDER, hot_threshold=0, rows_per_bucket=3).collect()}
+    assert plain == split
     c_plain = {r["move_id"]: r["average_cost"] for r in I.moving_average_cost(lg.stock_moves, lg.products, ORDER).collect()}
     c_hot = {r["move_id"]: r["average_cost"]
              for r in I.moving_average_cost(lg.stock_moves, lg.products, ORDER, hot_threshold=0).collect()}
