@@ -74,3 +74,14 @@ def test_table_diff(spark):
     b = spark.createDataFrame([(2, "y"), (3, "z")], "v_id INT, v STRING").withColumnRenamed("v_id", "id")
     got = sorted((r["id"], r["side"]) for r in table_diff(a, b).collect())
     assert got == [(1, "expected_only"), (2, "expected_only"), (3, "actual_only")]
+
+
+def test_audit_precision_and_checks_on_raw_types(spark):
+    """A table loaded with money as DOUBLE: values that do not fit DECIMAL(20,4) are reported."""
+    from kontor.operators.audit import audit
+    pay = spark.createDataFrame([(1, 1, "P1", "inbound", 10.5), (2, 1, "P2", "inbound", 1e17), (3, 1, "P3", "inbound", -1.0)],
+                                "id BIGINT, company_id INT, payment_number STRING, direction STRING, amount DOUBLE")
+    found = {(r["rule_id"], r["row_key"]) for r in audit({"payments": pay}, ["payments"]).collect()}
+    assert ("precision_amount", "2") in found          # 1e17 needs 18 integer digits
+    assert ("payment_positive", "3") in found          # CHECK amount > 0
+    assert not any(k == "1" for _, k in found)
