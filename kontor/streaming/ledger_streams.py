@@ -125,7 +125,7 @@ def moving_average_cost_stream(moves: DataFrame, products: DataFrame) -> DataFra
 # --- T1 + T2 -----------------------------------------------------------------------------
 
 def post_entries_stream(entries: DataFrame, lines: DataFrame, periods: DataFrame, sink_path: str,
-                        checkpoint: str, event: str = "insert", trigger_available_now: bool = True):
+                        checkpoint: str | None = None, event: str = "insert", trigger_available_now: bool = True):
     """Check every micro-batch of entry rows with the batch posting operator and
     write the results (accepted and rejected, with reason) to ``sink_path``.
 
@@ -136,6 +136,7 @@ def post_entries_stream(entries: DataFrame, lines: DataFrame, periods: DataFrame
         checked = P.post_entries(batch, lines, periods, event=event)
         checked.write.mode("overwrite").parquet(f"{sink_path}/epoch_id={epoch_id}")
 
+    checkpoint = checkpoint or checkpoint_for(entries.sparkSession, "post_entries")
     w = entries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w
     return w.start()
@@ -180,7 +181,10 @@ def stock_state_upsert(state_dir: str):
     return run
 
 
-def run_stock_state_stream(moves: DataFrame, state_dir: str, checkpoint: str):
-    """Start the versioned stock-state stream (availableNow) and return the query."""
+def run_stock_state_stream(moves: DataFrame, state_dir: str, checkpoint: str | None = None):
+    """Start the versioned stock-state stream (availableNow) and return the query.
+
+    The checkpoint defaults to a folder under the session's ``spark.checkpoint.dir``."""
+    checkpoint = checkpoint or checkpoint_for(moves.sparkSession, "stock_state")
     return (moves.writeStream.foreachBatch(stock_state_upsert(state_dir))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
