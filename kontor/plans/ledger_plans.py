@@ -440,3 +440,30 @@ def q_account_running_balance(spark, sf_dir):
     return B.account_running_balance(ledger).select(
         "company_id", "account_code", "entry_date", "entry_number", "line_key", "debit_base", "credit_base",
         F.col("running_balance").cast("DECIMAL(38,4)").alias("running_balance"))
+
+
+@register("category_stock_rollup", ["product_categories", "products", "stock_moves"], """
+WITH RECURSIVE c(ancestor_id, descendant_id, depth) AS (
+  SELECT id, id, 0 FROM product_categories
+  UNION ALL
+  SELECT n.parent_id, c.descendant_id, c.depth + 1 FROM c JOIN product_categories n ON n.id = c.ancestor_id
+  WHERE n.parent_id IS NOT NULL AND c.depth < 32),
+legs AS (
+  SELECT product_id, -quantity AS delta FROM stock_moves WHERE is_posted AND from_location_id IS NOT NULL
+  UNION ALL
+  SELECT product_id, quantity FROM stock_moves WHERE is_posted AND to_location_id IS NOT NULL),
+per_cat AS (
+  SELECT p.category_id, SUM(l.delta) AS qty FROM legs l JOIN products p ON p.id = l.product_id
+  GROUP BY p.category_id)
+SELECT c.ancestor_id AS id, CAST(SUM(per_cat.qty) AS DECIMAL(30,4)) AS qty_on_hand
+FROM c JOIN per_cat ON per_cat.category_id = c.descendant_id
+GROUP BY c.ancestor_id
+""")
+def q_category_stock_rollup(spark, sf_dir):
+    """Stock on hand rolled up the product-category tree (a category includes its subtree)."""
+    lg = L(spark, sf_dir)
+    stock = I.stock_on_hand_total(I.apply_stock_moves(lg.stock_moves))
+    per_product = stock.join(lg.products.select(F.col("id").alias("product_id"), "category_id"), "product_id")
+    closure = H.tree_closure(lg.product_categories)
+    return (H.tree_rollup(closure, per_product, "category_id", ["qty_on_hand"])
+            .select("id", "qty_on_hand"))
