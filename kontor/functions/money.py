@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kontor.sources.schemas import AGING_BUCKETS, MONEY, QTY
+from kontor.sources.schemas import AGING_BUCKETS, AGING_UPPER_DAYS, MONEY, QTY
 
 
 def col(c) -> Column:
@@ -78,14 +78,16 @@ def days_between(later, earlier) -> Column:
 
 
 def aging_bucket(due_date, as_of: str) -> Column:
-    """Ordered CASE of the aging views; NULL due date falls to 'over 90 days'."""
-    as_of_c = F.lit(as_of).cast("date")
-    days = F.datediff(as_of_c, col(due_date))
-    return (F.when(as_of_c <= col(due_date), F.lit(AGING_BUCKETS[0]))
-            .when(days.between(1, 30), F.lit(AGING_BUCKETS[1]))
-            .when(days.between(31, 60), F.lit(AGING_BUCKETS[2]))
-            .when(days.between(61, 90), F.lit(AGING_BUCKETS[3]))
-            .otherwise(F.lit(AGING_BUCKETS[4])))
+    """Bucket label from the days overdue at ``as_of``.
+
+    The first bucket whose upper bound is not exceeded wins; a NULL due date
+    has no day count and lands in the last bucket.
+    """
+    days = F.datediff(F.lit(as_of).cast("date"), col(due_date))
+    expr = F.lit(AGING_BUCKETS[-1])
+    for upper, label in reversed(list(zip(AGING_UPPER_DAYS, AGING_BUCKETS))):
+        expr = F.when(days <= upper, F.lit(label)).otherwise(expr)
+    return expr
 
 
 def parse_amount(c) -> Column:

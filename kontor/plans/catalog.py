@@ -55,16 +55,15 @@ S30 = "DECIMAL(30,4)"
 # --- A1 trial balance ---------------------------------------------------------------------
 
 _TB_SQL = f"""
-SELECT a.company_id, a.code AS account_code, a.name AS account_name, a.category, a.normal_balance,
-       CAST(COALESCE(SUM(l.debit_base), 0) AS {S30}) AS total_debit,
-       CAST(COALESCE(SUM(l.credit_base), 0) AS {S30}) AS total_credit,
-       CAST(CASE a.normal_balance
-              WHEN 'debit' THEN COALESCE(SUM(l.debit_base), 0) - COALESCE(SUM(l.credit_base), 0)
-              WHEN 'credit' THEN COALESCE(SUM(l.credit_base), 0) - COALESCE(SUM(l.debit_base), 0)
-            END {{opening}} AS {S30}) AS balance
-FROM accounts a
-LEFT JOIN {{lines}} l ON l.account_id = a.id
-GROUP BY a.id, a.company_id, a.code, a.name, a.category, a.normal_balance, a.opening_balance
+SELECT acc.company_id, acc.code AS account_code, acc.name AS account_name, acc.category, acc.normal_balance,
+       CAST(COALESCE(mv.d, 0) AS {S30}) AS total_debit,
+       CAST(COALESCE(mv.c, 0) AS {S30}) AS total_credit,
+       CAST((CASE WHEN acc.normal_balance = 'debit' THEN COALESCE(mv.d, 0) - COALESCE(mv.c, 0)
+                  WHEN acc.normal_balance = 'credit' THEN COALESCE(mv.c, 0) - COALESCE(mv.d, 0) END)
+            {{opening}} AS {S30}) AS balance
+FROM accounts acc
+LEFT JOIN (SELECT account_id, SUM(debit_base) AS d, SUM(credit_base) AS c
+           FROM {{lines}} x GROUP BY account_id) mv ON mv.account_id = acc.id
 """
 
 
@@ -84,7 +83,7 @@ def q_trial_balance_posted(spark, sf_dir):
 
 
 @register("trial_balance_with_opening", ["accounts", "journal_entry_lines"],
-          _TB_SQL.format(opening="+ a.opening_balance", lines="journal_entry_lines"))
+          _TB_SQL.format(opening="+ acc.opening_balance", lines="journal_entry_lines"))
 def q_trial_balance_with_opening(spark, sf_dir):
     lg = L(spark, sf_dir)
     return R.trial_balance(lg.accounts, lg.journal_entry_lines, with_opening=True)
@@ -95,20 +94,22 @@ def q_trial_balance_with_opening(spark, sf_dir):
 @register("general_ledger",
           ["journal_entries", "journals", "accounting_periods", "journal_entry_lines", "accounts",
            "contacts", "cost_centers", "projects"], """
-SELECT je.company_id, ap.name AS period_name, je.entry_date, je.entry_number, j.name AS journal_name,
-       a.code AS account_code, a.name AS account_name, a.category AS account_category,
-       jel.description AS line_description, jel.debit_amount, jel.credit_amount,
-       jel.debit_base, jel.credit_base, c.name AS contact_name, cc.name AS cost_center,
-       p.name AS project, je.status
-FROM journal_entries je
-JOIN journals j ON j.id = je.journal_id
-JOIN accounting_periods ap ON ap.id = je.period_id
-JOIN journal_entry_lines jel ON jel.journal_entry_id = je.id
-JOIN accounts a ON a.id = jel.account_id
-LEFT JOIN contacts c ON c.id = jel.contact_id
-LEFT JOIN cost_centers cc ON cc.id = jel.cost_center_id
-LEFT JOIN projects p ON p.id = jel.project_id
-WHERE je.status = 'posted'
+WITH posted AS (
+  SELECT e.id, e.company_id, e.entry_date, e.entry_number, e.status, j.name AS journal_name,
+         per.name AS period_name
+  FROM journal_entries e, journals j, accounting_periods per
+  WHERE e.status = 'posted' AND j.id = e.journal_id AND per.id = e.period_id),
+ln AS (
+  SELECT x.*, acct.code AS account_code, acct.name AS account_name, acct.category AS account_category
+  FROM journal_entry_lines x, accounts acct WHERE acct.id = x.account_id)
+SELECT posted.company_id, posted.period_name, posted.entry_date, posted.entry_number, posted.journal_name,
+       ln.account_code, ln.account_name, ln.account_category, ln.description AS line_description,
+       ln.debit_amount, ln.credit_amount, ln.debit_base, ln.credit_base,
+       (SELECT name FROM contacts WHERE id = ln.contact_id) AS contact_name,
+       (SELECT name FROM cost_centers WHERE id = ln.cost_center_id) AS cost_center,
+       (SELECT name FROM projects WHERE id = ln.project_id) AS project,
+       posted.status
+FROM posted JOIN ln ON ln.journal_entry_id = posted.id
 """)
 def q_general_ledger(spark, sf_dir):
     lg = L(spark, sf_dir)
@@ -119,14 +120,12 @@ def q_general_ledger(spark, sf_dir):
 # --- A2 unbalanced entries / A3 entry totals -------------------------------------------------
 
 @register("unbalanced_entries", ["journal_entries", "journal_entry_lines"], f"""
-SELECT je.id, je.company_id, je.entry_number, je.entry_date,
-       CAST(SUM(jel.debit_amount) AS {S30}) AS total_debit,
-       CAST(SUM(jel.credit_amount) AS {S30}) AS total_credit,
-       CAST(SUM(jel.debit_amount) - SUM(jel.credit_amount) AS {S30}) AS difference
-FROM journal_entries je
-JOIN journal_entry_lines jel ON jel.journal_entry_id = je.id
-GROUP BY je.id, je.company_id, je.entry_number, je.entry_date
-HAVING SUM(jel.debit_amount) <> SUM(jel.credit_amount)
+WITH t AS (SELECT journal_entry_id, SUM(debit_amount) AS d, SUM(credit_amount) AS c
+           FROM journal_entry_lines GROUP BY journal_entry_id)
+SELECT e.id, e.company_id, e.entry_number, e.entry_date, CAST(t.d AS {S30}) AS total_debit,
+       CAST(t.c AS {S30}) AS total_credit, CAST(t.d - t.c AS {S30}) AS difference
+FROM t JOIN journal_entries e ON e.id = t.journal_entry_id
+WHERE t.d <> t.c
 """)
 def q_unbalanced_entries(spark, sf_dir):
     lg = L(spark, sf_dir)
@@ -145,16 +144,16 @@ def q_entry_totals(spark, sf_dir):
 # --- V2 / V3 aging ----------------------------------------------------------------------------
 
 _AGING_SQL = """
-SELECT i.company_id, c.id AS {party}_id, c.name AS {party}_name, i.invoice_number, i.invoice_date,
-       i.due_date, i.total_amount, i.amount_paid, i.amount_due,
-       CAST(DATE '{as_of}' - i.due_date AS INTEGER) AS days_overdue,
-       CASE WHEN DATE '{as_of}' <= i.due_date THEN 'current'
-            WHEN DATE '{as_of}' - i.due_date BETWEEN 1 AND 30 THEN '1–30 days'
-            WHEN DATE '{as_of}' - i.due_date BETWEEN 31 AND 60 THEN '31–60 days'
-            WHEN DATE '{as_of}' - i.due_date BETWEEN 61 AND 90 THEN '61–90 days'
+SELECT company_id, {party}_id, {party}_name, invoice_number, invoice_date, due_date, total_amount,
+       amount_paid, amount_due, days_overdue,
+       CASE WHEN days_overdue <= 0 THEN 'current' WHEN days_overdue <= 30 THEN '1–30 days'
+            WHEN days_overdue <= 60 THEN '31–60 days' WHEN days_overdue <= 90 THEN '61–90 days'
             ELSE 'over 90 days' END AS aging_bucket
-FROM invoices i JOIN contacts c ON c.id = i.contact_id
-WHERE i.type = '{itype}' AND i.status NOT IN ('paid', 'voided', 'draft')
+FROM (SELECT inv.company_id, inv.contact_id AS {party}_id, ct.name AS {party}_name, inv.invoice_number,
+             inv.invoice_date, inv.due_date, inv.total_amount, inv.amount_paid, inv.amount_due,
+             CAST(DATE '{as_of}' - inv.due_date AS INTEGER) AS days_overdue
+      FROM invoices inv, contacts ct
+      WHERE ct.id = inv.contact_id AND inv.type = '{itype}' AND inv.status NOT IN ('paid', 'voided', 'draft')) o
 """
 
 

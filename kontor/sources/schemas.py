@@ -33,8 +33,10 @@ ENUMS = {
     "tax_type": ["sales", "purchase", "both"],
 }
 
-# --- fixed values: aging bucket labels (en dash, not hyphen) ------------------
+# --- fixed values: aging bucket labels (en dash, not hyphen) and the largest
+# number of days overdue each bucket takes; a missing due date is "over 90 days"
 AGING_BUCKETS = ["current", "1–30 days", "31–60 days", "61–90 days", "over 90 days"]
+AGING_UPPER_DAYS = [0, 30, 60, 90]
 
 # Column types of the ledger tables we model. DDL strings are accepted directly
 # by DataFrameReader.schema and by the loaders' cast step.
