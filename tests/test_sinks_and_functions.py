@@ -85,3 +85,24 @@ def test_audit_precision_and_checks_on_raw_types(spark):
     assert ("precision_amount", "2") in found          # 1e17 needs 18 integer digits
     assert ("payment_positive", "3") in found          # CHECK amount > 0
     assert not any(k == "1" for _, k in found)
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    lg = FX.ledger(spark, SF_SMALL)
+    RD.write_bucketed(lg.journal_entries.select("id", "status"), "kontor_test_entries", "id", 8)
+    RD.write_bucketed(lg.journal_entry_lines.select("id", "journal_entry_id", "debit_base")
+                      .withColumnRenamed("id", "line_id"), "kontor_test_lines", "journal_entry_id", 8)
+    e = spark.table("kontor_test_entries")
+    ln = spark.table("kontor_test_lines")
+    j = ln.join(e, ln["journal_entry_id"] == e["id"]).groupBy("status").agg(F.sum("debit_base"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the sort-merge path
+    try:
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        join_part = plan[plan.index("SortMergeJoin"):]
+        assert "Exchange hashpartitioning(journal_entry_id" not in join_part
+        assert "Exchange hashpartitioning(id" not in join_part
+        assert j.count() == 3   # draft, posted, voided
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS kontor_test_entries")
+        spark.sql("DROP TABLE IF EXISTS kontor_test_lines")
