@@ -145,7 +145,12 @@ def post_entries_stream(entries: DataFrame, lines: DataFrame, periods: DataFrame
 # --- T7 ------------------------------------------------------------------------------------
 
 def weekly_movements_stream(moves: DataFrame, watermark: str = "14 days") -> DataFrame:
-    """Posted quantity moved per product and calendar week, finalised by the watermark."""
+    """Posted quantity moved per product and calendar week, finalised by the watermark.
+
+    In append mode a week is emitted once the watermark passes its end; moves
+    older than the watermark (as of the previous micro-batch -- Spark filters
+    late rows with the prior batch's watermark) are dropped, never counted
+    into an already emitted week."""
     ts = F.col("move_date").cast("timestamp")
     return (moves.filter(F.col("is_posted")).withColumn("move_ts", ts)
             .withWatermark("move_ts", watermark)

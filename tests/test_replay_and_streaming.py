@@ -171,3 +171,38 @@ def test_stock_state_stream_matches_batch(spark):
            for r in spark.read.parquet(f"{state_dir}/version={last}").collect()}
     exp = {(r["product_id"], r["location_id"]): r["quantity"] for r in I.apply_stock_moves(lg.stock_moves).collect()}
     assert got == exp
+
+
+def test_weekly_stream_drops_rows_behind_the_watermark(spark):
+    """A move arriving after the watermark has passed its week is not counted (append mode)."""
+    import datetime as dt
+    from decimal import Decimal as Dm
+    src = tempfile.mkdtemp(prefix="kontor-late-")
+
+    def move(i, day, qty):
+        return (i, 1, f"M{i}", "purchase_receipt", day, 7, 1, None, 1, Dm(qty), Dm(0), Dm(0), None, None, None, None,
+                True)
+
+    batches = [
+        [move(1, dt.date(2024, 1, 1), 5)],
+        [move(2, dt.date(2024, 3, 1), 7)],            # advances the watermark far past January
+        [move(5, dt.date(2024, 3, 2), 1)],            # late rows are filtered with the previous
+                                                      # batch's watermark, so let it propagate
+        [move(3, dt.date(2024, 1, 2), 100)],          # late: its week is already closed
+        [move(4, dt.date(2024, 6, 1), 1)],            # advances again so March's week is emitted
+    ]
+    for i, rows in enumerate(batches):
+        d = os.path.join(src, f"b{i}")
+        spark.createDataFrame(rows, ST.MOVE_STREAM_SCHEMA).coalesce(1).write.parquet(d)
+        f = [x for x in os.listdir(d) if x.endswith(".parquet")][0]
+        os.link(os.path.join(d, f), os.path.join(src, f"{i:04d}.parquet"))
+        os.utime(os.path.join(src, f"{i:04d}.parquet"), (2_000_000 + i, 2_000_000 + i))
+    stream = spark.readStream.schema(ST.MOVE_STREAM_SCHEMA).option("maxFilesPerTrigger", 1) \
+        .parquet(os.path.join(src, "*.parquet"))
+    q = (ST.weekly_movements_stream(stream, watermark="7 days").writeStream.outputMode("append")
+         .format("memory").queryName("weekly_late").option("checkpointLocation", tempfile.mkdtemp())
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r["window"]["start"].date(), r["quantity"]) for r in spark.table("weekly_late").collect()}
+    assert all(qty != Dm(100) and qty != Dm(105) for _, qty in got)   # the late move never counted
+    assert any(qty == Dm(5) for _, qty in got)                         # January's week closed with 5
