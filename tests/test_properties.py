@@ -73,3 +73,13 @@ def test_axis_bucketed_sweep_equals_plain(spark, supply, demand):
     split = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
                                                  rows_per_bucket=2).collect()}
     assert plain == split
+
+
+def test_transfers_conserve_stock(spark):
+    """Posted transfers move stock between locations: per product they net to zero."""
+    from kontor.operators import inventory as I
+    lg = FX.ledger(spark, SF_SMALL)
+    transfers = lg.stock_moves.filter(F.col("move_type") == "transfer")
+    per_product = I.stock_on_hand_total(I.apply_stock_moves(transfers))
+    assert per_product.count() > 0
+    assert per_product.filter(F.col("qty_on_hand") != 0).count() == 0
