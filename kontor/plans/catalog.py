@@ -190,7 +190,7 @@ def q_aging_summary(spark, sf_dir):
 @register("aging_rollup", ["invoices", "contacts"], f"""
 SELECT company_id, customer_id, aging_bucket, CAST(SUM(amount_due) AS {S30}) AS amount_due,
        CAST(COUNT(*) AS BIGINT) AS invoices,
-       CAST(GROUPING(company_id, customer_id, aging_bucket) AS INTEGER) AS grouping_level
+       CAST(GROUPING(company_id, customer_id, aging_bucket) AS BIGINT) AS grouping_level
 FROM {_AR_ROWS} ar GROUP BY ROLLUP (company_id, customer_id, aging_bucket)
 """)
 def q_aging_rollup(spark, sf_dir):
@@ -299,7 +299,7 @@ SELECT a.company_id, COALESCE(l.cost_center_id, -1) AS cost_center_id, COALESCE(
        CAST(SUM(CASE WHEN a.category = 'expense' THEN l.debit_base - l.credit_base ELSE 0 END) AS {S30}) AS expense,
        CAST(SUM(CASE WHEN a.category = 'revenue' THEN l.credit_base - l.debit_base ELSE 0 END)
             - SUM(CASE WHEN a.category = 'expense' THEN l.debit_base - l.credit_base ELSE 0 END) AS {S30}) AS profit,
-       CAST(GROUPING(a.company_id, COALESCE(l.cost_center_id, -1), COALESCE(l.project_id, -1)) AS INTEGER)
+       CAST(GROUPING(a.company_id, COALESCE(l.cost_center_id, -1), COALESCE(l.project_id, -1)) AS BIGINT)
            AS grouping_level
 FROM journal_entry_lines l JOIN accounts a ON a.id = l.account_id
 WHERE a.category IN ('revenue', 'expense')
@@ -313,7 +313,7 @@ def q_dimension_pnl(spark, sf_dir):
 @register("ledger_by_period", ["journal_entry_lines", "journal_entries", "accounting_periods"], f"""
 SELECT ap.company_id, ap.name AS period_name, l.account_id,
        CAST(SUM(l.debit_base) AS {S30}) AS total_debit, CAST(SUM(l.credit_base) AS {S30}) AS total_credit,
-       CAST(GROUPING(ap.company_id, ap.name, l.account_id) AS INTEGER) AS grouping_level
+       CAST(GROUPING(ap.company_id, ap.name, l.account_id) AS BIGINT) AS grouping_level
 FROM journal_entry_lines l JOIN journal_entries je ON je.id = l.journal_entry_id
 JOIN accounting_periods ap ON ap.id = je.period_id
 WHERE je.status = 'posted'

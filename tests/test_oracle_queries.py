@@ -15,11 +15,24 @@ def test_every_query_has_an_oracle():
     assert set(ORACLE) == set(NAMES)
 
 
+_DUCK_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT", "string": "VARCHAR",
+               "date": "DATE", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
+def _duck_type(spark_type) -> str:
+    s = spark_type.simpleString()
+    return s.upper() if s.startswith("decimal") else _DUCK_NAMES.get(s, s)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    res = compare(E.queries()[name](spark, SF_SMALL), duck, ORACLE[name])
+    df = E.queries()[name](spark, SF_SMALL)
+    res = compare(df, duck, ORACLE[name])
     assert res["cols_match"], res
     assert res["match"], res
+    rel = duck.sql(ORACLE[name])
+    oracle_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {f.name: _duck_type(f.dataType) for f in df.schema.fields} == oracle_types
 
 
 def test_entry_smoke(spark):
