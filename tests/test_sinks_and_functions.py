@@ -106,3 +106,13 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS kontor_test_entries")
         spark.sql("DROP TABLE IF EXISTS kontor_test_lines")
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from kontor.__main__ import main
+    assert main(["list"]) == 0
+    assert "trial_balance (oracle)" in capsys.readouterr().out
+    assert main(["run", "no_such_query"]) == 2
+    out = str(tmp_path / "tb")
+    assert main(["run", "trial_balance", "--sf-dir", SF_SMALL, "--out", out, "--master", "local[2]"]) == 0
+    assert spark.read.parquet(out).count() == 45
