@@ -31,11 +31,17 @@ def assign_document_numbers(docs: DataFrame, group_cols: list[str], order_cols:
 
 
 def duplicate_rank(df: DataFrame, key_cols: list[str], order_cols: list[str]) -> DataFrame:
-    """Rank rows sharing a key (1 = keeper) and count the group."""
-    w = Window.partitionBy(*key_cols).orderBy(*order_cols)
-    wc = Window.partitionBy(*key_cols)
-    return (df.withColumn("dup_rank", F.row_number().over(w))
-            .withColumn("dup_count", F.count(F.lit(1)).over(wc)))
+    """Rank rows sharing a key (1 = keeper) and count the group.
+
+    The group size is a partial aggregation joined back; the rank is a running
+    count, two-phase (bucketed by the leading order column) when there is a
+    tie-breaker, so one heavily duplicated key is not a single task.
+    """
+    counts = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("dup_count"))
+    bucket = order_cols[0] if len(order_cols) > 1 else None
+    ranked = running(df.withColumn("_one", F.lit(1)), key_cols, order_cols, [("dup_rank", "_one", "sum")], bucket)
+    return (ranked.withColumn("dup_rank", F.col("dup_rank").cast("int")).drop("_one")
+            .join(counts, key_cols))
 
 
 def sequence_gaps(df: DataFrame, group_cols: list[str], number_col: str,
