@@ -280,8 +280,8 @@ def _fifo(moves: DataFrame, order: list[str], bucket: str | None,
         F.col("id"))
     sat = fifo_satisfied(moves, order, bucket).withColumn("id", F.col("issue_id"))
     alloc = interval_allocate(layers, sat, ["product_id"], order, order, "original_qty", "satisfied",
-                              "stock_move_id", "issue_id", bucket=bucket, rows_per_bucket=rows_per_bucket
-                              ).filter(F.col("stock_move_id").isNotNull())
+                              "stock_move_id", "issue_id", bucket=bucket, rows_per_bucket=rows_per_bucket,
+                              hot_threshold=None).filter(F.col("stock_move_id").isNotNull())
     cost = layers.select("stock_move_id", "unit_cost")
     alloc = (alloc.join(cost, "stock_move_id", "left")
              .withColumn("cost", F.round(F.col("allocated").cast("decimal(18,6)")

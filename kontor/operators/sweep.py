@@ -108,7 +108,8 @@ def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
                       supply_order: list[str], demand_order: list[str],
                       supply_qty: str, demand_qty: str,
                       supply_id: str, demand_id: str, bucket: str | None = None,
-                      rows_per_bucket: int | None = 1_000_000) -> DataFrame:
+                      rows_per_bucket: int | None = 1_000_000,
+                      hot_threshold: int | None = HOT_THRESHOLD) -> DataFrame:
     """Allocate ordered demand to ordered supply per key (FIFO matching).
 
     Returns one row per overlapping (supply_id, demand_id) with ``allocated``;
@@ -116,7 +117,22 @@ def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
     (shortfall); supply never consumed does not appear. Quantities must be
     non-negative. ``bucket`` splits the per-queue running sums by the leading
     order key; ``rows_per_bucket`` splits the axis sweep of a large key.
+    With ``hot_threshold`` only keys above it take the split plan (see
+    ``split_hot``); ``None`` uses the given settings for every key.
     """
+    if hot_threshold is not None:
+        counts = (supply.select(*keys).unionByName(demand.select(*keys))
+                  .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+        hot_keys = counts.filter(F.col("_n") > hot_threshold).select(*keys)
+        args = (keys, supply_order, demand_order, supply_qty, demand_qty, supply_id, demand_id)
+        if not hot_keys.take(1):
+            return interval_allocate(supply, demand, *args, bucket=None, rows_per_bucket=None, hot_threshold=None)
+        hk = F.broadcast(hot_keys)   # at most rows / threshold keys
+        cold = interval_allocate(supply.join(hk, keys, "left_anti"), demand.join(hk, keys, "left_anti"), *args,
+                                 bucket=None, rows_per_bucket=None, hot_threshold=None)
+        hot = interval_allocate(supply.join(hk, keys, "left_semi"), demand.join(hk, keys, "left_semi"), *args,
+                                bucket=bucket, rows_per_bucket=rows_per_bucket, hot_threshold=None)
+        return cold.unionByName(hot)
     one = F.lit(1).cast("bigint")
     s = running(supply.withColumn("_one", one), keys, supply_order,
                 [("_end", supply_qty, "sum"), ("_rank", "_one", "sum")], bucket)

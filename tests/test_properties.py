@@ -69,10 +69,12 @@ def test_axis_bucketed_sweep_equals_plain(spark, supply, demand):
     s = spark.createDataFrame([(1, i, Decimal(q)) for i, q in enumerate(supply)], "k INT, sid INT, q DECIMAL(20,6)")
     d = spark.createDataFrame([(1, i, Decimal(q)) for i, q in enumerate(demand)], "k INT, did INT, q DECIMAL(20,6)")
     plain = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
-                                                 rows_per_bucket=None).collect()}
+                                                 rows_per_bucket=None, hot_threshold=None).collect()}
     split = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
-                                                 rows_per_bucket=2).collect()}
-    assert plain == split
+                                                 rows_per_bucket=2, hot_threshold=None).collect()}
+    routed = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
+                                                  rows_per_bucket=2, hot_threshold=0).collect()}
+    assert plain == split == routed
 
 
 def test_transfers_conserve_stock(spark):
