@@ -125,3 +125,12 @@ def test_moving_average_cases(spark):
 def test_safe_pct_zero_total(spark):
     df = spark.createDataFrame([(D(0), D(0)), (D(50), D(200))], "billed DECIMAL(20,4), total DECIMAL(20,4)")
     assert [r[0] for r in df.select(M.safe_pct("billed", "total")).collect()] == [0, 25]
+
+
+def test_missing_period_passes_period_rule(spark):
+    """No period row: the period status lookup finds nothing and the rule does not fire."""
+    periods = spark.createDataFrame([(1, "closed")], "id INT, status STRING")
+    lines = spark.createDataFrame([(1, 1, 1, D(5), D(0), D(5), D(0)), (2, 1, 2, D(0), D(5), D(0), D(5))], LINES)
+    cand = spark.createDataFrame([(1, 99, "posted")], "id BIGINT, period_id INT, status STRING")
+    got = {r["id"]: r["reason"] for r in P.post_entries(cand, lines, periods).collect()}
+    assert got == {1: None}
