@@ -4,11 +4,12 @@ import pytest
 
 import __spark_entry__ as E
 from compare import compare
+from kontor.plans import registry
 
 from conftest import SF_SMALL
 
-ORACLE = E.oracle_sql()
-NAMES = sorted(E.queries())
+ORACLE = registry.oracle_sql()
+NAMES = sorted(registry.queries())
 
 
 def test_every_query_has_an_oracle():
@@ -26,7 +27,7 @@ def _duck_type(spark_type) -> str:
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = registry.queries()[name](spark, SF_SMALL)
     res = compare(df, duck, ORACLE[name])
     assert res["cols_match"], res
     assert res["match"], res
@@ -35,6 +36,11 @@ def test_query_matches_oracle(spark, duck, name):
     assert {f.name: _duck_type(f.dataType) for f in df.schema.fields} == oracle_types
 
 
+def test_entry_registers_every_ledger_query():
+    assert set(NAMES) <= set(E.queries())
+    assert set(ORACLE) <= set(E.oracle_sql())
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
