@@ -19,8 +19,9 @@ ORACLE_SQL = None
 
 def language(spark, docs, sf_dir):
     """Documents whose language is undetermined, or has under half of the text, go."""
-    found = lid.language_id(docs).where((F.col("lang_pred") != lid.UNDETERMINED) & (F.col("score") >= MIN_SHARE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    labelled = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL")
+    found = lid.identify(docs.select(*COLUMNS), lid.learn(labelled))
+    return found.where((F.col("lang_pred") != lid.UNDETERMINED) & (F.col("score") >= MIN_SHARE)).select(*COLUMNS)
 
 
 STAGES = [("language_id", language)]

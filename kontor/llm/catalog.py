@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+from kontor.llm import pii
 from kontor.llm.common import table
 from kontor.llm.language_id import language_id
+from kontor.llm.simhash import simhash
 
 
 def op1_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark, sf_dir):
+    return pii.digest(pii.pii_spans(table(spark, sf_dir, "documents")))
+
+
+def op9_simhash(spark, sf_dir):
+    return simhash(table(spark, sf_dir, "documents"))
+
+
 def queries():
     import corpus_pipeline
 
     return {
         "op1_language_id": op1_language_id,
+        "op4_pii": op4_pii,
+        "op9_simhash": op9_simhash,
         "pipeline": corpus_pipeline.run,
     }
 

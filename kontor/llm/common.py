@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kontor.session import ensure_checkpoint_dir
 
@@ -28,6 +31,23 @@ def hash_fraction(col, fraction: float):
     return F.shiftrightunsigned(F.xxhash64(col), 2) < F.lit(int(fraction * 2**62))
 
 
+def map_rows(df: DataFrame, schema: str, judge) -> DataFrame:
+    """``judge(batch)`` gives the columns of ``schema`` for one Arrow batch of ``df``.
+
+    Ids pass through as Arrow arrays, so null and large ids survive.
+    """
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def rows(batches):
+        for batch in batches:
+            columns = judge(batch)
+            yield pa.RecordBatch.from_arrays(
+                [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type, from_pandas=False)
+                 for c, f in zip(columns, arrow)], schema=arrow)
+
+    return df.mapInArrow(rows, schema)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a folder of its own under ``spark.checkpoint.dir`` and read it back.
 

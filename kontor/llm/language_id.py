@@ -17,6 +17,8 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import regex
@@ -31,8 +33,6 @@ CHUNK = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 _ALPHA = None
 
-RESULT = "doc_id long, held_out boolean, lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
-
 
 def _alpha() -> np.ndarray:
     global _ALPHA
@@ -147,40 +147,44 @@ def infer(counts: np.ndarray, matrix: np.ndarray, logs: np.ndarray, penalty: flo
     return dict(zip(chosen, shares))
 
 
-def identify(docs: DataFrame, model, modulus: int = 4, held: int = 2,
-             penalty: float = 3.0, rounds: int = 25) -> DataFrame:
-    """Rows (doc_id, held_out, lang_pred, score, mixture) of every document; score = its language's share."""
+def judge(model, penalty: float, rounds: int):
+    """A function from a text to (language, share, mixture)."""
     langs, matrix = model
     bits = 0 if matrix is None else matrix.shape[0].bit_length() - 1
+    logs = None if matrix is None else np.log(matrix)
 
-    def judge(batches):
-        logs = None if matrix is None else np.log(matrix)
-        for pdf in batches:
-            pred, score, mixture = [], [], []
-            for text in pdf["text"]:
-                if matrix is None or text is None or not LETTER.search(text):
-                    pred.append(UNDETERMINED), score.append(0.0), mixture.append([])
-                    continue
-                counts = trigram_counts(text, bits)
-                if not counts.any():
-                    pred.append(UNDETERMINED), score.append(0.0), mixture.append([])
-                    continue
-                shares = infer(counts, matrix, logs, penalty, rounds)
-                top = max(sorted(shares), key=lambda i: shares[i])
-                pred.append(langs[top])
-                score.append(float(min(1.0, shares[top])))
-                mixture.append([{"lang": langs[i], "share": float(s)}
-                                for i, s in sorted(shares.items(), key=lambda x: -x[1])])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": pred,
-                                "score": score, "mixture": mixture})
-
-    return (docs.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "text")
-            .mapInPandas(judge, RESULT))
+    def one(text):
+        counts = None
+        if matrix is not None and text is not None and LETTER.search(text):
+            counts = trigram_counts(text, bits)
+        if counts is None or not counts.any():
+            return UNDETERMINED, 0.0, []
+        shares = infer(counts, matrix, logs, penalty, rounds)
+        top = max(sorted(shares), key=lambda i: shares[i])
+        mixture = [{"lang": langs[i], "share": float(s)} for i, s in sorted(shares.items(), key=lambda x: -x[1])]
+        return langs[top], float(min(1.0, shares[top])), mixture
+
+    return one
+
+
+RESULT = "lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
+
+
+def identify(docs: DataFrame, model, penalty: float = 3.0, rounds: int = 25) -> DataFrame:
+    """``docs`` with lang_pred, score (its language's share) and mixture for every row; no shuffle."""
+    @F.pandas_udf(RESULT)
+    def mixtures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        one = judge(model, penalty, rounds)
+        for texts in batches:
+            yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score", "mixture"])
+
+    return docs.withColumn("found_", mixtures("text")).select(*docs.columns, "found_.*")
 
 
 def language_id(docs: DataFrame, modulus: int = 4, held: int = 2, docs_per_language: int = 2000,
                 penalty: float = 3.0) -> DataFrame:
-    """Learn from the labelled rows outside the held-out fold, then judge every document."""
+    """(doc_id, held_out, lang_pred, score, mixture): learn from the labelled rows outside the held-out fold, judge all."""
     labelled = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & (remainder("doc_id", modulus) != held))
-    return identify(docs, learn(labelled, docs_per_language), modulus, held, penalty)
+    return identify(docs.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "text"),
+                    learn(labelled, docs_per_language), penalty).drop("text")
