@@ -5,17 +5,27 @@ from __future__ import annotations
 from kontor.llm import pii
 from kontor.llm.common import table
 from kontor.llm.language_id import language_id
+from kontor.llm.quality import quality
 from kontor.llm.simhash import simhash
+from kontor.llm.toxicity import toxicity
 
 
 def op1_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark, sf_dir):
     return pii.digest(pii.pii_spans(table(spark, sf_dir, "documents")))
 
 
+def op5_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash(table(spark, sf_dir, "documents"))
 
@@ -25,7 +35,9 @@ def queries():
 
     return {
         "op1_language_id": op1_language_id,
+        "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
+        "op5_quality": op5_quality,
         "op9_simhash": op9_simhash,
         "pipeline": corpus_pipeline.run,
     }
