@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kontor.llm import pii
+from kontor.llm import pii, url_filter
 from kontor.llm.common import table
 from kontor.llm.language_id import language_id
 from kontor.llm.quality import quality
@@ -14,6 +14,11 @@ def op1_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark, sf_dir):
+    rules = spark.sql(f"SELECT * FROM VALUES {url_filter.RULES_SQL} AS rules(host, path, verdict)")
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +40,7 @@ def queries():
 
     return {
         "op1_language_id": op1_language_id,
+        "op2_url_filter": op2_url_filter,
         "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
         "op5_quality": op5_quality,
@@ -44,4 +50,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op2_url_filter": url_filter.ORACLE,
+    }
