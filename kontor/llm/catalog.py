@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kontor.llm import pii, url_filter
+from kontor.llm import mixing, pii, url_filter
 from kontor.llm.common import table
 from kontor.llm.language_id import language_id
 from kontor.llm.quality import quality
@@ -35,6 +35,10 @@ def op9_simhash(spark, sf_dir):
     return simhash(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries():
     import corpus_pipeline
 
@@ -45,6 +49,7 @@ def queries():
         "op4_pii": op4_pii,
         "op5_quality": op5_quality,
         "op9_simhash": op9_simhash,
+        "op10_mixing": op10_mixing,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -52,4 +57,5 @@ def queries():
 def oracle_sql():
     return {
         "op2_url_filter": url_filter.ORACLE,
+        "op10_mixing": mixing.oracle(),
     }
