@@ -5,6 +5,7 @@ from __future__ import annotations
 from kontor.llm import mixing, pii, url_filter
 from kontor.llm.common import table
 from kontor.llm.language_id import language_id
+from kontor.llm.packing import best_fit_packing
 from kontor.llm.quality import quality
 from kontor.llm.simhash import simhash
 from kontor.llm.toxicity import toxicity
@@ -31,6 +32,10 @@ def op5_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark, sf_dir):
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def queries():
         "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
         "op5_quality": op5_quality,
+        "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
         "pipeline": corpus_pipeline.run,
