@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kontor.llm import mixing, pii, url_filter
 from kontor.llm.common import table
+from kontor.llm.embedding_dups import embedding_duplicates
 from kontor.llm.language_id import language_id
 from kontor.llm.packing import best_fit_packing
 from kontor.llm.quality import quality
@@ -32,6 +33,10 @@ def op5_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dups(spark, sf_dir):
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def queries():
         "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
         "op5_quality": op5_quality,
+        "op7_embedding_dups": op7_embedding_dups,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
