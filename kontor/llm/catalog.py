@@ -9,6 +9,7 @@ from kontor.llm.language_id import language_id
 from kontor.llm.packing import best_fit_packing
 from kontor.llm.quality import quality
 from kontor.llm.simhash import simhash
+from kontor.llm.suffix_dedup import suffix_dedup
 from kontor.llm.toxicity import toxicity
 
 
@@ -33,6 +34,10 @@ def op5_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dups(spark, sf_dir):
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +63,7 @@ def queries():
         "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
         "op5_quality": op5_quality,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_embedding_dups": op7_embedding_dups,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
