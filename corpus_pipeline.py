@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kontor.llm import language_id as lid
+from kontor.llm import mixing, packing, pii, simhash
 from kontor.llm.common import saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,7 +25,34 @@ def language(spark, docs, sf_dir):
     return found.where((F.col("lang_pred") != lid.UNDETERMINED) & (F.col("score") >= MIN_SHARE)).select(*COLUMNS)
 
 
-STAGES = [("language_id", language)]
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Rows without an id cannot be told apart and all stay.
+    """
+    docs = docs.select(*COLUMNS)
+    kept = simhash.simhash(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+
+
+def personal_data(spark, docs, sf_dir):
+    """Personal data is masked; n_chars follows the text."""
+    return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixture(spark, docs, sf_dir):
+    """Documents are sampled so that the tokens meet the raked targets."""
+    return mixing.sample(docs.select(*COLUMNS))
+
+
+def pack(spark, docs, sf_dir):
+    """The pieces of the documents and their places in sequences."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
+          ("mixture", mixture), ("packing", pack)]
 
 
 def run(spark, sf_dir):

@@ -20,6 +20,8 @@ Defined results
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from bisect import insort
 
@@ -33,7 +35,8 @@ from kontor.llm.common import map_rows, saved
 LENGTH = 4096
 END = (1).to_bytes(4, "little")
 GROUP_ROWS = 16_000
-CACHE = 300_000
+CACHE = 400_000
+TRAILING = b".,;:!?#$%&*()|\"-"
 CHUNK = 1 << 22
 
 
@@ -43,37 +46,85 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Byte-level vocabularies write bytes as characters: printable Latin-1 as itself, the rest from 256 upwards.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+LETTERS = dict(zip([b for b in range(256) if b not in _PLAIN], range(256, 512)))
+
+
+def _ends_in_letter(word: bytes) -> bool:
+    """Whether the tokenizer's form of ``word`` (composed, lower case) ends in a letter."""
+    if not word or word[-1] < 128:
+        return word[-1:].isalpha()
+    last = word[-4:].decode("utf-8", "replace")[-1]
+    return unicodedata.normalize("NFC", last).lower().isalpha()
+
+
 class WordIds:
     """Ids of texts as little-endian 32-bit words.
 
-    The tokenizer drops white space and never joins words across it, so ids of
-    a text are the ids of its words; words seen before are looked up.
+    The tokenizer drops white space, folds case and never joins words across
+    white space or a letter and the punctuation after it, so ids of a text are
+    the ids of its words and of the marks behind them; words seen before are
+    looked up. Two generations of at most CACHE words are remembered.
+    The tokenizer must be of that kind: byte-level merges with word ends.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.merges = self.tokenizer.model
+
+    def _fresh(self, word: bytes) -> bytes:
+        """Ids of a word never seen. One of letters only is one piece, which the merges take as it is."""
+        text = word.decode("utf-8", "replace")
+        if not text.isalpha():
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        elif text.isascii():
+            ids = [t.id for t in self.merges.tokenize(text)]
+        else:
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))  # no final sigma
+            if text.isalpha():
+                text = text.encode("utf-8").decode("latin-1").translate(LETTERS)
+                ids = [t.id for t in self.merges.tokenize(text)]
+            else:
+                ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words):
+        """Adds the ids of ``words`` to the table, stem and trailing marks apart."""
         if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        def ids(word):
+            got = known.get(word) or older.get(word) or self._fresh(word)
+            known[word] = got
+            return got
+
+        for w in words:
+            got = older.get(w)
+            if got is None:
+                stem = w.rstrip(TRAILING)
+                if len(stem) < len(w) and _ends_in_letter(stem):
+                    got = ids(stem) + ids(w[len(stem):])
+                else:
+                    got = self._fresh(w)
+            known[w] = got
 
     def _part(self, words):
         found = list(map(self.known.get, words))
-        if None in found:
+        try:
+            return b"".join(found)
+        except TypeError:  # some word is not known
             self.learn(list({w for w, f in zip(words, found) if f is None}))
-            found = list(map(self.known.get, words))
-            if None in found:  # the table was emptied meanwhile
-                self.learn(list(set(words)))
-                found = list(map(self.known.__getitem__, words))
-        return b"".join(found)
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:  # a new generation began: the words known before move over
+            self.learn([w for w in set(words) if w not in self.known])
+        return b"".join(map(self.known.__getitem__, words))
 
     def ids(self, text: str | None) -> bytes:
-        data = (text or "").encode("utf-8", "replace")
+        data = (text or "").encode("utf-8", "replace").lower()
         if len(data) <= CHUNK:
             return self._part(data.split())
         parts, at = [], 0
@@ -82,8 +133,8 @@ class WordIds:
             while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
                 end += 1
             words = data[at:end].split()
-            for i in range(0, len(words), CACHE // 2):
-                parts.append(self._part(words[i:i + CACHE // 2]))
+            for i in range(0, len(words), CACHE // 4):
+                parts.append(self._part(words[i:i + CACHE // 4]))
             at = end
         return b"".join(parts)
 
