@@ -244,30 +244,32 @@ class _Bins:
         self._table()
 
 
-def local_search(bins, lengths: np.ndarray, size: int):
-    """Fewer bins by moves and exchanges among the underfull ones."""
+def local_search(bins, lengths: np.ndarray, size: int, donors: int = 32, patience: int = 200):
+    """Fewer bins by moves and exchanges among the underfull ones.
+
+    Each round takes the best step of the emptiest bin that has one (of
+    ``donors`` bins). It ends at the number the sum allows, without a step, or
+    after ``patience`` steps that emptied no bin.
+    """
     fills = np.array([lengths[b].sum() for b in bins], np.int64)
     least = -(-int(lengths.sum()) // size)
     if len(bins) <= least:
         return bins
     under = np.flatnonzero(fills < size)
     done = [bins[b] for b in np.flatnonzero(fills >= size)]
-    work = _Bins([bins[b] for b in under], lengths, size)
-    tried = set()
-    while len(done) + len(work.items) > least:
-        order = sorted((b for b in range(len(work.items)) if id(work.items[b]) not in tried),
-                       key=lambda b: -work.free[b])
+    work, idle = _Bins([bins[b] for b in under], lengths, size), 0
+    while len(done) + len(work.items) > least and idle < patience:
+        order = sorted(range(len(work.items)), key=lambda b: -work.free[b])
         # a bin can only be emptied into the space the others have
-        if not order or sum(work.free) - work.free[order[0]] < size - work.free[order[0]]:
+        if sum(work.free) - work.free[order[0]] < size - work.free[order[0]]:
             break
-        donor = order[0]
-        tried.add(id(work.items[donor]))
-        while work.items[donor] and work.step(donor):
-            pass
+        donor = next((b for b in order[:donors] if work.step(b)), None)
+        if donor is None:
+            break
+        idle += 1
         if not work.items[donor]:
             work.drop(donor)
-        elif len(tried) > 2 * (len(done) + len(work.items) - least) + 8:
-            break
+            idle = 0
     return done + [[i for _, i in b] for b in work.items]
 
 
