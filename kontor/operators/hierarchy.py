@@ -1,9 +1,11 @@
 """Parent-pointer trees (account groups, cost centres, product categories,
 locations): transitive closure and roll-up.
 
-The closure is a recursive CTE, evaluated by Spark as iterated joins of the
-frontier with the node table. Depth is capped; a node still being extended
-at the cap lies on a cycle and is reported by ``tree_cycles``.
+The closure doubles pointers: after round k every node knows its ancestors up
+to 2^k levels above and the one exactly 2^k levels above, so a chain of any
+depth takes a logarithmic number of joins. Rounds end when no pointer is left;
+each is checkpointed, so lineage stays short. Nodes whose chain never ends (on
+a cycle, or below one) are found first and reported by ``tree_cycles``.
 """
 
 from __future__ import annotations
@@ -11,37 +13,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 32
-
-_CLOSURE = """
-WITH RECURSIVE c(ancestor_id, descendant_id, depth) AS (
-  SELECT id, id, 0 FROM {nodes}
-  UNION ALL
-  SELECT n.parent_id, c.descendant_id, c.depth + 1
-  FROM c JOIN {nodes} n ON n.id = c.ancestor_id
-  WHERE n.parent_id IS NOT NULL AND c.depth < {max_depth}
-)
-SELECT ancestor_id, descendant_id, depth FROM c
-"""
+from kontor.session import cut_lineage
+
+
+def _links(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(id, up): each node that has a parent row."""
+    n = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"))
+    return n.where("up IS NOT NULL").join(n.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up")
+
 
+def _double(links: DataFrame) -> DataFrame:
+    """Pointers twice as long; nodes near a root drop out."""
+    return links.join(links.select(F.col("id").alias("up"), F.col("up").alias("_far")), "up").select(
+        "id", F.col("_far").alias("up"))
 
-def tree_closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
-                 max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(ancestor_id, descendant_id, depth) for every node and each of its ancestors (depth 0 = itself)."""
-    n = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent_id"))
-    spark = nodes.sparkSession
-    return spark.sql(_CLOSURE.replace("{max_depth}", str(int(max_depth))), nodes=n)
 
+def tree_cycles(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """Nodes on a cycle or below one: their pointer still leads somewhere after more levels than there are nodes."""
+    far = cut_lineage(_links(nodes, id_col, parent_col))
+    total, reach = nodes.count(), 1
+    while reach <= total and not far.isEmpty():
+        far, reach = cut_lineage(_double(far)), reach * 2
+    return far.select("id").distinct()
 
-def tree_levels(closure: DataFrame) -> DataFrame:
-    """Level of each node (1 = root) = number of ancestors including itself."""
-    return closure.groupBy(F.col("descendant_id").alias("id")).agg(
-        F.count(F.lit(1)).cast("int").alias("level"))
 
+def tree_closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """(ancestor_id, descendant_id, depth) for every node and each of its ancestors (depth 0 = itself).
 
-def tree_cycles(closure: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Nodes whose ancestor chain reaches the depth cap (a cycle, or a chain deeper than the cap)."""
-    return closure.filter(F.col("depth") >= max_depth).select(F.col("descendant_id").alias("id")).distinct()
+    A node reported by ``tree_cycles`` has the pair with itself only.
+    """
+    cyclic = tree_cycles(nodes, id_col, parent_col)
+    far = cut_lineage(_links(nodes, id_col, parent_col).join(cyclic, "id", "left_anti"))
+    pairs = nodes.select(F.col(id_col).alias("ancestor_id"), F.col(id_col).alias("descendant_id"),
+                         F.lit(0).alias("depth"))
+    reach = 1
+    while not far.isEmpty():
+        # ancestors of the node that is exactly ``reach`` levels above
+        above = (far.join(pairs.withColumnRenamed("descendant_id", "up"), "up")
+                 .select("ancestor_id", F.col("id").alias("descendant_id"), (F.col("depth") + reach).alias("depth")))
+        pairs = cut_lineage(pairs.unionByName(above))
+        far, reach = cut_lineage(_double(far)), reach * 2
+    return pairs
 
 
 def tree_rollup(closure: DataFrame, values: DataFrame, node_col: str, value_cols: list[str]) -> DataFrame:
