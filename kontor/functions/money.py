@@ -2,11 +2,11 @@
 
 Decimal rules: Spark widens decimal products to precision 38 and then cuts
 the scale, so ``DECIMAL(20,6) * DECIMAL(20,4)`` would come out as
-``DECIMAL(38,7)`` and lose digits. The helpers narrow the inputs first so
-the product is exact, round half away from zero to 4 places (PostgreSQL's
-ROUND) and cast back to the declared column type. Narrowing caps the integer
-part (12 digits for quantities, 14 for money); the audit length/precision
-rules check that on load, and ANSI mode raises rather than truncates.
+``DECIMAL(38,7)`` and lose digits. The helpers split one factor into its whole
+and its fractional part; both partial products fit exactly, for every value of
+the declared types. As the parts have one sign and the first product has no
+digit beyond the fourth place, rounding the second alone rounds the sum half
+away from zero (PostgreSQL's ROUND).
 """
 
 from __future__ import annotations
@@ -34,23 +34,25 @@ def zero_money() -> Column:
     return F.lit(0).cast(MONEY)
 
 
+def parts(c, whole: int, fraction: int):
+    """(whole part, fractional part) of a decimal, both cut towards zero."""
+    value = col(c).cast(f"decimal({whole + fraction},{fraction})")
+    rest = (value % F.lit(1).cast("decimal(1,0)")).cast(f"decimal({fraction},{fraction})")
+    return (value - rest).cast(f"decimal({whole},0)"), rest
+
+
 def qty_times_cost(q, c) -> Column:
     """quantity * unit cost, exact, stored at 4 d.p. (total_cost columns)."""
-    return F.round(col(q).cast("decimal(18,6)") * col(c).cast("decimal(18,4)"), 4).cast(MONEY)
+    whole, rest = parts(q, 14, 6)
+    cost = money(c)
+    return ((whole * cost).cast("decimal(37,4)") + F.round(rest * cost, 4).cast("decimal(37,4)")).cast(MONEY)
 
 
 def to_base(amount, rate) -> Column:
     """Transaction amount -> base currency at ``rate``, 4 d.p."""
-    return F.round(col(amount).cast("decimal(18,4)") * col(rate).cast("decimal(14,8)"), 4).cast(MONEY)
-
-
-def sum_money(c) -> Column:
-    """SUM of a money column, cast back to DECIMAL(20,4) (ANSI raises on overflow)."""
-    return F.sum(col(c)).cast(MONEY)
-
-
-def coalesce0(c) -> Column:
-    return F.coalesce(col(c), zero_money())
+    whole, rest = parts(rate, 12, 8)
+    value = money(amount)
+    return ((whole * value).cast("decimal(37,4)") + F.round(rest * value, 4).cast("decimal(37,4)")).cast(MONEY)
 
 
 def safe_pct(num, den, scale: int = 2) -> Column:
@@ -72,11 +74,6 @@ def signed_balance(normal_balance, debit, credit) -> Column:
             .when(nb == "credit", col(credit) - col(debit)))
 
 
-def days_between(later, earlier) -> Column:
-    """``later - earlier`` for dates as an integer day count (SQL date minus date)."""
-    return F.datediff(col(later), col(earlier))
-
-
 def aging_bucket(due_date, as_of: str) -> Column:
     """Bucket label from the days overdue at ``as_of``.
 
@@ -102,7 +99,3 @@ def parse_amount(c) -> Column:
 def doc_number(prefix: str, year, seq, width: int) -> Column:
     """``PREFIX-YYYY-0001`` numbering; ``format_string`` pads without truncating."""
     return F.format_string(f"{prefix}-%d-%0{width}d", col(year), col(seq))
-
-
-def is_blank(c) -> Column:
-    return col(c).isNull() | (F.length(F.trim(col(c))) == 0)

@@ -241,11 +241,14 @@ def dashboard_kpis(balances: DataFrame, invoices: DataFrame) -> DataFrame:
 
 def line_amount(lines: DataFrame) -> DataFrame:
     """qty x price x (1 - discount_pct/100), 4 d.p., for invoice / order lines."""
-    # (14,6) x (14,4) x (8,4) -> DECIMAL(38,14): the full product, no rounding.
-    # round(x / 100, 4) == round(x, 2) / 100, so round first and divide exactly.
-    gross = F.col("quantity").cast("decimal(14,6)") * F.col("unit_price").cast("decimal(14,4)")
-    x = gross * (F.lit(100) - F.col("discount_pct")).cast("decimal(8,4)")
-    return lines.withColumn("line_amount", (F.round(x, 2) / F.lit(100)).cast("DECIMAL(20,4)"))
+    # The whole and the fractional part of the quantity multiply exactly; the sum
+    # of both products, 14 places, is rounded once. round(x / 100, 4) == round(x, 2) / 100.
+    whole, rest = M.parts("quantity", 14, 6)
+    price = M.money("unit_price")
+    share = (F.lit(100) - F.col("discount_pct")).cast("decimal(7,4)")
+    x = ((whole * price).cast("decimal(26,4)") * share).cast("decimal(37,14)") + (rest * price * share).cast("decimal(37,14)")
+    amount = (F.round(x, 2).cast("decimal(30,2)") / F.lit(100)).cast("DECIMAL(20,4)")
+    return lines.withColumn("line_amount", F.when(share == 0, M.zero_money()).otherwise(amount))
 
 
 def line_tax_amount(lines: DataFrame, tax_codes: DataFrame, rate_is_percent: bool = True,
@@ -258,7 +261,7 @@ def line_tax_amount(lines: DataFrame, tax_codes: DataFrame, rate_is_percent: boo
     """
     rates = tax_codes.select(F.col("id").alias("tax_code_id"), F.col("rate").alias("_rate"))
     r = F.coalesce(F.col("_rate"), F.lit(0)).cast("decimal(8,4)")
-    amt = F.col("line_amount").cast("decimal(18,4)") * r
+    amt = F.col("line_amount").cast("decimal(20,4)") * r
     tax = F.round(amt / F.lit(100) if rate_is_percent else amt, 4).cast("DECIMAL(20,4)")
     return lines.join(rates, "tax_code_id", "left").withColumn(out, tax).drop("_rate")
 
@@ -287,9 +290,17 @@ def invoice_totals(lines: DataFrame, tax_codes: DataFrame | None = None, tax_mod
     line's tax code (rates are percentages).
     """
     if tax_mode == "flat":
-        gross = F.round(F.col("quantity").cast("decimal(18,6)") * F.col("unit_price").cast("decimal(18,4)"), 4)
-        t = lines.groupBy("invoice_id").agg(F.sum(gross).cast(AMOUNT_SUM).alias("subtotal"))
-        tax = F.round(F.col("subtotal") * F.lit(flat_rate).cast("decimal(4,2)"), 4).cast(AMOUNT_SUM)
+        # exact products are summed and rounded once, as the form does
+        whole, rest = M.parts("quantity", 14, 6)
+        price = M.money("unit_price")
+        t = lines.groupBy("invoice_id").agg(
+            F.sum((whole * price).cast("decimal(28,4)")).cast("decimal(32,4)").alias("_whole"),
+            F.sum((rest * price).cast("decimal(27,10)")).cast("decimal(32,10)").alias("_rest"))
+        exact = F.col("_whole").cast("decimal(33,10)") + F.col("_rest").cast("decimal(33,10)")
+        t = t.select("invoice_id", F.round(exact, 4).cast(AMOUNT_SUM).alias("subtotal"),
+                     F.round(exact.cast("decimal(34,10)") * F.lit(flat_rate).cast("decimal(4,2)"), 4)
+                     .cast(AMOUNT_SUM).alias("_tax"))
+        tax = F.col("_tax")
     elif tax_mode == "by_code":
         if tax_codes is None:
             raise ValueError("by_code needs tax_codes")

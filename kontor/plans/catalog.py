@@ -259,11 +259,10 @@ def q_dashboard_kpis(spark, sf_dir):
 # --- A9 invoice totals ------------------------------------------------------------------------
 
 @register("invoice_totals_flat", ["invoice_lines"], f"""
-SELECT invoice_id, CAST(SUM(ROUND(quantity * unit_price, 4)) AS {S30}) AS subtotal,
-       CAST(ROUND(SUM(ROUND(quantity * unit_price, 4)) * 0.10, 4) AS {S30}) AS tax_amount,
-       CAST(SUM(ROUND(quantity * unit_price, 4)) + ROUND(SUM(ROUND(quantity * unit_price, 4)) * 0.10, 4)
-            AS {S30}) AS total_amount
-FROM invoice_lines GROUP BY invoice_id
+SELECT invoice_id, CAST(ROUND(gross, 4) AS {S30}) AS subtotal, CAST(ROUND(gross * 0.10, 4) AS {S30}) AS tax_amount,
+       CAST(ROUND(gross, 4) + ROUND(gross * 0.10, 4) AS {S30}) AS total_amount
+FROM (SELECT invoice_id, CAST(SUM(CAST(quantity AS DECIMAL(18,6)) * CAST(unit_price AS DECIMAL(18,4))) AS DECIMAL(34,10))
+             AS gross FROM invoice_lines GROUP BY invoice_id) x
 """)
 def q_invoice_totals_flat(spark, sf_dir):
     return R.invoice_totals(L(spark, sf_dir).invoice_lines, tax_mode="flat")
