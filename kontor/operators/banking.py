@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.operators.sweep import running_sum
+from kontor.session import cut_lineage
 
 AMOUNT_SUM = "DECIMAL(30,4)"
 
@@ -43,12 +44,15 @@ def bank_match(transactions: DataFrame, payments: DataFrame, max_days: int = 3)
     """Match bank transactions to payments.
 
     1. explicit link: the transaction's payment_id;
-    2. otherwise candidates on (bank account, signed amount) with the dates at
-       most ``max_days`` apart; the closest date wins, then the lowest payment
-       id, and a payment is used once (the transaction ranked first for it).
+    2. otherwise by (bank account, signed amount) with the dates at most
+       ``max_days`` apart. Closer dates first, at equal distance the earlier
+       payment date; of equal ones on a date the k-th transaction takes the
+       k-th payment, by id. A payment is used once, and no two that could be
+       matched both stay open.
     Returns every transaction with ``matched_payment_id`` and ``match_rule``
-    (explicit / amount_date / NULL when unmatched). The candidate join is an
-    equi-join on (account, amount), so only same-amount pairs meet.
+    (explicit / amount_date / NULL when unmatched). Each distance is one
+    equi-join on (account, amount, date, rank), so recurring amounts spread
+    over their dates and no pair that is not a match is made.
     """
     t = transactions.select("id", "bank_account_id", "transaction_date", "amount", "payment_id")
     signed = F.when(F.col("direction") == "inbound", F.col("amount")).otherwise(-F.col("amount"))
@@ -56,26 +60,21 @@ def bank_match(transactions: DataFrame, payments: DataFrame, max_days: int = 3)
                         F.col("payment_date"), signed.cast("DECIMAL(20,4)").alias("_pamt"))
     explicit = t.filter(F.col("payment_id").isNotNull())
     used = explicit.select(F.col("payment_id").alias("pay_id")).distinct()
-    open_t = t.filter(F.col("payment_id").isNull())
+    open_t = t.filter(F.col("payment_id").isNull()).select("id", "bank_account_id", "amount", "transaction_date")
     open_p = p.join(used, "pay_id", "left_anti")
-    # Date buckets as part of the join key: a payment is listed under the
-    # buckets its +-max_days window touches, so only pairs that are close in
-    # time meet, even for an account with many payments of the same amount.
-    width = 2 * max_days + 1
-    epoch = F.lit("1970-01-01").cast("date")
-    open_t = open_t.withColumn("_bk", F.floor(F.datediff("transaction_date", epoch) / width))
-    open_p = open_p.withColumn("_bk", F.explode(F.array_distinct(F.array(
-        F.floor(F.datediff(F.date_sub("payment_date", max_days), epoch) / width),
-        F.floor(F.datediff(F.date_add("payment_date", max_days), epoch) / width)))))
-    cand = (open_t.join(open_p, (open_t["bank_account_id"] == open_p["_pb"]) & (open_t["amount"] == open_p["_pamt"])
-                        & (open_t["_bk"] == open_p["_bk"])
-                        & (F.abs(F.datediff(open_t["transaction_date"], open_p["payment_date"])) <= max_days))
-            .withColumn("_gap", F.abs(F.datediff("transaction_date", "payment_date"))))
-    best_for_t = cand.withColumn("_rt", F.row_number().over(
-        Window.partitionBy("id").orderBy("_gap", "pay_id"))).filter(F.col("_rt") == 1)
-    best = best_for_t.withColumn("_rp", F.row_number().over(
-        Window.partitionBy("pay_id").orderBy("_gap", "id"))).filter(F.col("_rp") == 1)
-    m2 = best.select("id", F.col("pay_id").alias("_m2"))
+    found = None
+    for shift in sorted(range(-max_days, max_days + 1), key=lambda s: (abs(s), s)):
+        left_t = open_t if found is None else open_t.join(found.select("id"), "id", "left_anti")
+        left_p = open_p if found is None else open_p.join(found.select("pay_id"), "pay_id", "left_anti")
+        ranked_t = left_t.withColumn("_k", F.row_number().over(
+            Window.partitionBy("bank_account_id", "amount", "transaction_date").orderBy("id")))
+        ranked_p = left_p.withColumn("_k", F.row_number().over(
+            Window.partitionBy("_pb", "_pamt", "payment_date").orderBy("pay_id"))).withColumnRenamed("_k", "_pk")
+        pairs = ranked_t.join(ranked_p, (F.col("bank_account_id") == F.col("_pb")) & (F.col("amount") == F.col("_pamt"))
+                              & (F.date_add("transaction_date", shift) == F.col("payment_date"))
+                              & (F.col("_k") == F.col("_pk"))).select("id", "pay_id")
+        found = cut_lineage(pairs if found is None else found.unionByName(pairs))
+    m2 = found.select("id", F.col("pay_id").alias("_m2"))
     out = t.join(m2, "id", "left")
     return out.select(
         "id", "bank_account_id", "transaction_date", "amount",

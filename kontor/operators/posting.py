@@ -117,54 +117,61 @@ def reverse_entries(entries: DataFrame, lines: DataFrame, id_offset: int,
 
 def invoice_to_journal(invoices: DataFrame, invoice_lines: DataFrame, accounts: DataFrame,
                        contacts: DataFrame, tax_codes: DataFrame, id_offset: int) -> tuple[DataFrame, DataFrame]:
-    """Journal entry per invoice: receivable/payable vs revenue/expense and tax lines.
+    """Journal entry per invoice or credit note: receivable/payable vs revenue/expense and tax lines.
 
     Sales: debit the customer's receivable (contact override, else the
     company's control account) with line amount + tax; credit each line's
     revenue account with the line amount and the tax code's account with the
-    tax. Purchases mirror it (debit expense + tax, credit payable). Amounts
+    tax. Purchases mirror it (debit expense + tax, credit payable), and credit
+    notes reverse the sides of their kind. Of several control accounts of a
+    company the one with the lowest id counts. Line ids follow from the ids of
+    the invoice lines (3 * line + leg) and of the invoice (3 * invoice + 2), so
+    they are distinct for any number of lines. Amounts
     come from the lines (``line_amount`` and ``tax_amount``), so every
     generated entry balances by construction. Lines are generated with one
     ``explode`` per invoice line (2 legs) plus one aggregated control leg per
     invoice.
     """
-    inv = invoices.filter(F.col("type").isin("sale", "purchase")).select(
-        F.col("id").alias("invoice_id"), "company_id", "type", "contact_id", "invoice_date", "exchange_rate")
-    ctl = accounts.filter(F.col("is_control")).select(
-        "company_id", F.when(F.col("category") == "asset", "sale").otherwise("purchase").alias("type"),
-        F.col("id").alias("_default_ctl"))
+    kinds = ["sale", "purchase", "credit_note_sale", "credit_note_purchase"]
+    inv = invoices.filter(F.col("type").isin(*kinds)).select(
+        F.col("id").alias("invoice_id"), "company_id", "type", "contact_id", "invoice_date", "exchange_rate",
+        F.when(F.col("type").endswith("sale"), "sale").otherwise("purchase").alias("side"))
+    ctl = (accounts.filter(F.col("is_control") & F.col("category").isin("asset", "liability"))
+           .groupBy("company_id", F.when(F.col("category") == "asset", "sale").otherwise("purchase").alias("side"))
+           .agg(F.min("id").alias("_default_ctl")))
     ct = contacts.select(F.col("id").alias("contact_id"), "ar_account_id", "ap_account_id")
     tx = tax_codes.select(F.col("id").alias("tax_code_id"), F.col("account_id").alias("_tax_account"))
     il = (invoice_lines.join(inv, "invoice_id").join(tx, "tax_code_id", "left")
-          .select("invoice_id", "line_number", "type", "account_id", "line_amount", "tax_amount", "_tax_account",
-                  "exchange_rate"))
-    sale = F.col("type") == "sale"
+          .select("invoice_id", "company_id", "contact_id", F.col("id").alias("line_id"), "line_number", "type", "side",
+                  "account_id", "line_amount", "tax_amount", "_tax_account", "exchange_rate"))
+    sale = F.col("side") == "sale"
+    debit_control = F.col("type").isin("sale", "credit_note_purchase")
     legs = F.array(
         F.struct(F.col("account_id").alias("account_id"), F.col("line_amount").alias("amount"),
                  F.lit(0).alias("leg")),
         F.struct(F.col("_tax_account").alias("account_id"), F.col("tax_amount").alias("amount"),
                  F.lit(1).alias("leg")))
-    detail = (il.select("invoice_id", "line_number", "type", "exchange_rate", F.explode(legs).alias("g"))
+    detail = (il.select("invoice_id", "line_id", "line_number", "type", "exchange_rate", F.explode(legs).alias("g"))
               .filter((F.col("g.amount") != 0) | (F.col("g.leg") == 0))
-              .select("invoice_id", (F.col("line_number") * 2 + F.col("g.leg")).alias("line_number"),
+              .select("invoice_id", (F.col("line_id") * 3 + F.col("g.leg")).alias("line_key"),
+                      (F.col("line_number").cast("int") * 2 + F.col("g.leg")).alias("line_number"),
                       F.col("g.account_id").alias("account_id"), F.col("g.amount").alias("amount"),
-                      (~sale).alias("is_debit"), "exchange_rate"))
-    control = (il.groupBy("invoice_id", "type", "exchange_rate")
+                      (~debit_control).alias("is_debit"), "exchange_rate"))
+    control = (il.groupBy("invoice_id", "company_id", "contact_id", "type", "side", "exchange_rate")
                .agg((F.sum("line_amount") + F.sum("tax_amount")).alias("amount"))
-               .join(inv.select("invoice_id", "company_id", "contact_id"), "invoice_id")
                .join(ct, "contact_id", "left")
-               .join(ctl, ["company_id", "type"], "left")
-               .select("invoice_id", F.lit(0).alias("line_number"),
+               .join(ctl, ["company_id", "side"], "left")
+               .select("invoice_id", (F.col("invoice_id") * 3 + 2).alias("line_key"), F.lit(0).alias("line_number"),
                        F.coalesce(F.when(sale, F.col("ar_account_id")).otherwise(F.col("ap_account_id")),
                                   F.col("_default_ctl")).alias("account_id"),
-                       "amount", sale.alias("is_debit"), "exchange_rate"))
+                       "amount", debit_control.alias("is_debit"), "exchange_rate"))
     jl = detail.unionByName(control)
     amt = F.col("amount").cast("DECIMAL(20,4)")
     zero = M.zero_money()
     lines_out = jl.select(
-        (F.col("invoice_id") * 1000 + F.col("line_number") + F.lit(id_offset)).alias("id"),
+        (F.col("line_key") + F.lit(id_offset)).alias("id"),
         (F.col("invoice_id") + F.lit(id_offset)).alias("journal_entry_id"),
-        F.col("line_number").cast("smallint").alias("line_number"), F.col("account_id").cast("int"),
+        F.col("line_number").cast("int").alias("line_number"), F.col("account_id").cast("int"),
         F.when(F.col("is_debit"), amt).otherwise(zero).alias("debit_amount"),
         F.when(~F.col("is_debit"), amt).otherwise(zero).alias("credit_amount"),
         F.when(F.col("is_debit"), M.to_base(amt, "exchange_rate")).otherwise(zero).alias("debit_base"),

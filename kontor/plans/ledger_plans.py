@@ -77,27 +77,29 @@ _BASE = "CAST(round(CAST(amount AS DECIMAL(24,4)) * CAST(exchange_rate AS DECIMA
 
 
 @register("invoice_to_journal", ["invoices", "invoice_lines", "accounts", "contacts", "tax_codes"], f"""
-WITH il AS (
-  SELECT l.invoice_id, l.line_number, i.type, l.account_id, l.line_amount, l.tax_amount,
-         t.account_id AS tax_account, i.exchange_rate, i.company_id, i.contact_id
+WITH ctl AS (
+  SELECT company_id, category, min(id) AS id FROM accounts WHERE is_control GROUP BY company_id, category),
+il AS (
+  SELECT l.id, l.invoice_id, l.line_number, l.account_id, l.line_amount, l.tax_amount,
+         t.account_id AS tax_account, i.exchange_rate,
+         i.type IN ('sale', 'credit_note_purchase') AS debit_control,
+         CASE WHEN i.type LIKE '%sale' THEN coalesce(c.ar_account_id, s.id) ELSE coalesce(c.ap_account_id, p.id) END AS control
   FROM invoice_lines l JOIN invoices i ON i.id = l.invoice_id LEFT JOIN tax_codes t ON t.id = l.tax_code_id
-  WHERE i.type IN ('sale', 'purchase')),
+  LEFT JOIN contacts c ON c.id = i.contact_id
+  LEFT JOIN ctl s ON s.company_id = i.company_id AND s.category = 'asset'
+  LEFT JOIN ctl p ON p.company_id = i.company_id AND p.category = 'liability'),
 legs AS (
-  SELECT invoice_id, line_number * 2 AS ln, account_id, line_amount AS amount, type <> 'sale' AS is_debit,
-         exchange_rate FROM il
+  SELECT invoice_id, 3 * id AS line_key, line_number * 2 AS ln, account_id, line_amount AS amount,
+         NOT debit_control AS is_debit, exchange_rate FROM il
   UNION ALL
-  SELECT invoice_id, line_number * 2 + 1, tax_account, tax_amount, type <> 'sale', exchange_rate
+  SELECT invoice_id, 3 * id + 1, line_number * 2 + 1, tax_account, tax_amount, NOT debit_control, exchange_rate
   FROM il WHERE tax_amount <> 0
   UNION ALL
-  SELECT il.invoice_id, 0,
-         COALESCE(CASE WHEN il.type = 'sale' THEN c.ar_account_id ELSE c.ap_account_id END, a.id),
-         SUM(il.line_amount) + SUM(il.tax_amount), il.type = 'sale', il.exchange_rate
-  FROM il LEFT JOIN contacts c ON c.id = il.contact_id
-  LEFT JOIN accounts a ON a.company_id = il.company_id AND a.is_control
-        AND a.category = CASE WHEN il.type = 'sale' THEN 'asset' ELSE 'liability' END
-  GROUP BY il.invoice_id, il.type, il.exchange_rate, c.ar_account_id, c.ap_account_id, a.id)
-SELECT invoice_id * 1000 + ln + {JOURNAL_OFFSET} AS id, invoice_id + {JOURNAL_OFFSET} AS journal_entry_id,
-       CAST(ln AS SMALLINT) AS line_number, CAST(account_id AS INTEGER) AS account_id,
+  SELECT invoice_id, 3 * invoice_id + 2, 0, any_value(control), SUM(line_amount + tax_amount), any_value(debit_control),
+         any_value(exchange_rate)
+  FROM il GROUP BY invoice_id)
+SELECT line_key + {JOURNAL_OFFSET} AS id, invoice_id + {JOURNAL_OFFSET} AS journal_entry_id,
+       CAST(ln AS INTEGER) AS line_number, CAST(account_id AS INTEGER) AS account_id,
        CASE WHEN is_debit THEN CAST(amount AS DECIMAL(20,4)) ELSE CAST(0 AS DECIMAL(20,4)) END AS debit_amount,
        CASE WHEN NOT is_debit THEN CAST(amount AS DECIMAL(20,4)) ELSE CAST(0 AS DECIMAL(20,4)) END AS credit_amount,
        CASE WHEN is_debit THEN {_BASE} ELSE CAST(0 AS DECIMAL(20,4)) END AS debit_base,
@@ -199,26 +201,30 @@ def q_bank_running_balance(spark, sf_dir):
         "id", "bank_account_id", "transaction_date", "amount", "running_balance")
 
 
-@register("bank_match", ["bank_transactions", "payments"], """
-WITH t AS (SELECT id, bank_account_id, transaction_date, amount, payment_id FROM bank_transactions),
-used AS (SELECT DISTINCT payment_id FROM t WHERE payment_id IS NOT NULL),
-p AS (SELECT id AS pay_id, bank_account_id, payment_date,
-             CAST(CASE WHEN direction = 'inbound' THEN amount ELSE -amount END AS DECIMAL(20,4)) AS amt
-      FROM payments WHERE id NOT IN (SELECT payment_id FROM used)),
-cand AS (
-  SELECT t.id, p.pay_id, abs(t.transaction_date - p.payment_date) AS gap
-  FROM t JOIN p ON p.bank_account_id = t.bank_account_id AND p.amt = t.amount
-  WHERE t.payment_id IS NULL AND abs(t.transaction_date - p.payment_date) <= 3),
-bt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, pay_id) AS rt FROM cand) x
-       WHERE rt = 1),
-bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pay_id ORDER BY gap, id) AS rp FROM bt) y
-       WHERE rp = 1)
-SELECT t.id, t.bank_account_id, t.transaction_date, t.amount,
-       COALESCE(t.payment_id, bp.pay_id) AS matched_payment_id,
-       CASE WHEN t.payment_id IS NOT NULL THEN 'explicit' WHEN bp.pay_id IS NOT NULL THEN 'amount_date' END
-           AS match_rule
-FROM t LEFT JOIN bp ON bp.id = t.id
-""")
+def _bank_match_sql(max_days: int) -> str:
+    """The definition written out: distance by distance, what is still open is paired k-th with k-th."""
+    ctes = ["""p AS (
+  SELECT id AS pay_id, bank_account_id, payment_date,
+         CAST(CASE WHEN direction = 'inbound' THEN amount ELSE -amount END AS DECIMAL(20,4)) AS amount
+  FROM payments WHERE id NOT IN (SELECT payment_id FROM bank_transactions WHERE payment_id IS NOT NULL))""",
+            "f0 AS (SELECT id, payment_id AS pay_id FROM bank_transactions WHERE false)"]
+    shifts = [0] + [s for d in range(1, max_days + 1) for s in (-d, d)]
+    for n, shift in enumerate(shifts, 1):
+        ctes.append(f"""f{n} AS MATERIALIZED (SELECT * FROM f{n - 1} UNION ALL SELECT a.id, b.pay_id FROM (
+    SELECT id, bank_account_id, amount, transaction_date + {shift} AS day,
+           row_number() OVER (PARTITION BY bank_account_id, amount, transaction_date ORDER BY id) AS k
+    FROM bank_transactions WHERE payment_id IS NULL AND id NOT IN (SELECT id FROM f{n - 1})) a
+  JOIN (SELECT pay_id, bank_account_id, amount, payment_date AS day,
+               row_number() OVER (PARTITION BY bank_account_id, amount, payment_date ORDER BY pay_id) AS k
+        FROM p WHERE pay_id NOT IN (SELECT pay_id FROM f{n - 1})) b USING (bank_account_id, amount, day, k))""")
+    return ", ".join(ctes) + f"""
+SELECT t.id, t.bank_account_id, t.transaction_date, t.amount, COALESCE(t.payment_id, f.pay_id) AS matched_payment_id,
+       CASE WHEN t.payment_id IS NOT NULL THEN 'explicit' WHEN f.pay_id IS NOT NULL THEN 'amount_date' END AS match_rule
+FROM bank_transactions t LEFT JOIN f{len(shifts)} f ON f.id = t.id
+"""
+
+
+@register("bank_match", ["bank_transactions", "payments"], "WITH " + _bank_match_sql(3))
 def q_bank_match(spark, sf_dir):
     lg = L(spark, sf_dir)
     return B.bank_match(lg.bank_transactions, lg.payments, 3)
@@ -338,7 +344,7 @@ def _closure_sql(table: str) -> str:
   SELECT id, id, 0 FROM {table}
   UNION ALL
   SELECT n.parent_id, c.descendant_id, c.depth + 1 FROM c JOIN {table} n ON n.id = c.ancestor_id
-  WHERE n.parent_id IS NOT NULL AND c.depth < 32)
+  WHERE n.parent_id IS NOT NULL)
 SELECT ancestor_id, descendant_id, depth FROM c"""
 
 
@@ -355,7 +361,7 @@ WITH RECURSIVE c(ancestor_id, descendant_id, depth) AS (
   SELECT id, id, 0 FROM account_groups
   UNION ALL
   SELECT n.parent_id, c.descendant_id, c.depth + 1 FROM c JOIN account_groups n ON n.id = c.ancestor_id
-  WHERE n.parent_id IS NOT NULL AND c.depth < 32),
+  WHERE n.parent_id IS NOT NULL),
 tb AS (
   SELECT a.group_id, COALESCE(SUM(l.debit_base), 0) AS total_debit, COALESCE(SUM(l.credit_base), 0) AS total_credit
   FROM accounts a LEFT JOIN journal_entry_lines l ON l.account_id = a.id
@@ -405,16 +411,15 @@ def q_invoice_line_duplicates(spark, sf_dir):
 
 
 @register("invoice_number_gaps", ["invoices"], """
-SELECT company_id, previous_number, next_number, next_number - previous_number - 1 AS missing_count
-FROM (SELECT company_id, n AS next_number, lag(n) OVER (PARTITION BY company_id ORDER BY n) AS previous_number
-      FROM (SELECT company_id, CAST(regexp_extract(invoice_number, '(\\d+)$', 1) AS BIGINT) AS n
-            FROM invoices WHERE type = 'sale') a) b
+SELECT company_id, type, previous_number, next_number, next_number - previous_number - 1 AS missing_count
+FROM (SELECT company_id, type, n AS next_number, lag(n) OVER (PARTITION BY company_id, type ORDER BY n) AS previous_number
+      FROM (SELECT company_id, type, CAST(regexp_extract(invoice_number, '(\\d+)$', 1) AS BIGINT) AS n
+            FROM invoices) a) b
 WHERE next_number - previous_number > 1
 """)
 def q_invoice_number_gaps(spark, sf_dir):
-    inv = (L(spark, sf_dir).invoices.filter(F.col("type") == "sale")
-           .select("company_id", SQ.numeric_suffix("invoice_number").alias("n")))
-    return SQ.sequence_gaps(inv, ["company_id"], "n").withColumnRenamed("n", "next_number")
+    inv = L(spark, sf_dir).invoices.select("company_id", "type", SQ.numeric_suffix("invoice_number").alias("n"))
+    return SQ.sequence_gaps(inv, ["company_id", "type"], "n").withColumnRenamed("n", "next_number")
 
 
 @register("account_running_balance", ["journal_entries", "journal_entry_lines", "accounts"], """
@@ -447,7 +452,7 @@ WITH RECURSIVE c(ancestor_id, descendant_id, depth) AS (
   SELECT id, id, 0 FROM product_categories
   UNION ALL
   SELECT n.parent_id, c.descendant_id, c.depth + 1 FROM c JOIN product_categories n ON n.id = c.ancestor_id
-  WHERE n.parent_id IS NOT NULL AND c.depth < 32),
+  WHERE n.parent_id IS NOT NULL),
 legs AS (
   SELECT product_id, -quantity AS delta FROM stock_moves WHERE is_posted AND from_location_id IS NOT NULL
   UNION ALL
