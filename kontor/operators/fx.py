@@ -35,7 +35,8 @@ def asof_rate(facts: DataFrame, rates: DataFrame, date_col: str, from_col: str,
     spans = rate_validity(rates).select(
         F.col("from_currency").alias("_f"), F.col("to_currency").alias("_t"),
         F.col("effective_date").alias("_eff"), "valid_to", F.col("rate").alias("_r"))
-    closed = (spans.filter(F.col("valid_to").isNotNull())
+    # a repeated date leaves an empty span, which no fact falls into
+    closed = (spans.filter(F.col("valid_to") > F.col("_eff"))
               .withColumn("_m", F.explode(F.sequence(F.trunc("_eff", "month"),
                                                      F.trunc(F.date_sub("valid_to", 1), "month"), _month()))))
     last = spans.filter(F.col("valid_to").isNull()).select(
@@ -45,7 +46,7 @@ def asof_rate(facts: DataFrame, rates: DataFrame, date_col: str, from_col: str,
     j1 = f.join(closed, (f[from_col] == closed["_f"]) & (f[to_col] == closed["_t"]) & (f["_m"] == closed["_m"])
                 & (d >= closed["_eff"]) & (d < closed["valid_to"]), "left")
     j1 = j1.drop(closed["_m"]).drop("_f", "_t", "_eff", "valid_to")
-    j2 = j1.join(F.broadcast(last), (j1[from_col] == last["_lf"]) & (j1[to_col] == last["_lt"])
+    j2 = j1.join(last, (j1[from_col] == last["_lf"]) & (j1[to_col] == last["_lt"])
                  & (d >= last["_leff"]), "left")
     return j2.withColumn(out, F.coalesce("_r", "_lr")).drop("_r", "_lf", "_lt", "_leff", "_lr", "_m")
 
@@ -77,15 +78,22 @@ def effective_currency(accounts: DataFrame, companies: DataFrame) -> DataFrame:
 
 def period_for_date(facts: DataFrame, periods: DataFrame, date_col: str, company_col: str = "company_id",
                     out: str = "derived_period_id") -> DataFrame:
-    """Period whose [start_date, end_date] contains the fact's date, per company."""
-    p = (periods.select(F.col("company_id").alias("_pc"), F.col("id").alias(out),
-                        F.col("start_date").alias("_ps"), F.col("end_date").alias("_pe"))
-         .withColumn("_m", F.explode(F.sequence(F.trunc("_ps", "month"), F.trunc("_pe", "month"), _month()))))
+    """Period whose [start_date, end_date] contains the fact's date, per company.
+
+    Of overlapping periods the one that starts first counts, then the lowest
+    id, so a fact is never multiplied; a period that ends before it starts
+    contains nothing. The periods that touch a month of a company are one row.
+    """
+    p = (periods.where("start_date <= end_date")
+         .select(F.col("company_id").alias("_pc"),
+                 F.struct(F.col("start_date").alias("s"), F.col("id").alias("i"), F.col("end_date").alias("e")).alias("_p"))
+         .withColumn("_m", F.explode(F.sequence(F.trunc("_p.s", "month"), F.trunc("_p.e", "month"), _month())))
+         .groupBy("_pc", "_m").agg(F.array_sort(F.collect_list("_p")).alias("_ps")))
     d = F.col(date_col)
     f = facts.withColumn("_fm", F.trunc(d, "month"))
-    j = f.join(p, (f[company_col] == p["_pc"]) & (f["_fm"] == p["_m"]) & (d >= p["_ps"]) & (d <= p["_pe"]),
-               "left")
-    return j.drop("_pc", "_ps", "_pe", "_m", "_fm")
+    j = f.join(p, (f[company_col] == p["_pc"]) & (f["_fm"] == p["_m"]), "left")
+    fits = F.filter("_ps", lambda x: (x["s"] <= d) & (x["e"] >= d))
+    return j.withColumn(out, F.get(fits, 0)["i"]).drop("_pc", "_ps", "_m", "_fm")
 
 
 def period_mismatches(entries: DataFrame, periods: DataFrame) -> DataFrame:

@@ -40,8 +40,14 @@ def duplicate_rank(df: DataFrame, key_cols: list[str], order_cols: list[str]) ->
     counts = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("dup_count"))
     bucket = order_cols[0] if len(order_cols) > 1 else None
     ranked = running(df.withColumn("_one", F.lit(1)), key_cols, order_cols, [("dup_rank", "_one", "sum")], bucket)
+    # null keys are a group like any other
+    counts = counts.select(*[F.col(k).alias(f"_c_{k}") for k in key_cols], "dup_count")
+    same = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in key_cols]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
     return (ranked.withColumn("dup_rank", F.col("dup_rank").cast("int")).drop("_one")
-            .join(counts, key_cols))
+            .join(counts, on).drop(*[f"_c_{k}" for k in key_cols]))
 
 
 def sequence_gaps(df: DataFrame, group_cols: list[str], number_col: str,

@@ -42,9 +42,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[
     part = keys + [bucket]
     totals = df.groupBy(*part).agg(*[_AGG[fn](F.col(v)).alias(f"_t_{out}") for out, v, fn in specs])
     wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, *[_AGG[fn](F.col(f"_t_{out}")).over(wb).alias(f"_o_{out}")
-                                     for out, _, fn in specs])
-    joined = df.join(offsets, part, "left")
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in part],
+                            *[_AGG[fn](F.col(f"_t_{out}")).over(wb).alias(f"_o_{out}") for out, _, fn in specs])
+    same = F.lit(True)
+    for k in part:  # null keys are a group like any other
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = df.join(offsets, same, "left")
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     cols = []
     for out, v, fn in specs:
@@ -158,13 +161,3 @@ def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
     d_ids = d.select(*keys, F.col("_rank").alias("_drank"), F.col(demand_id).alias(demand_id))
     j = seg.join(d_ids, keys + ["_drank"]).join(s_ids, keys + ["_srank"], "left")
     return j.groupBy(*keys, supply_id, demand_id).agg(F.sum("_len").alias("allocated"))
-
-
-def remaining(supply: DataFrame, allocations: DataFrame, keys: list[str], supply_id: str,
-              supply_qty: str) -> DataFrame:
-    """Supply left after an allocation: quantity - sum(allocated), per supply item."""
-    used = (allocations.filter(F.col(supply_id).isNotNull())
-            .groupBy(*keys, supply_id).agg(F.sum("allocated").alias("_used")))
-    return (supply.join(used, keys + [supply_id], "left")
-            .withColumn("remaining", F.col(supply_qty) - F.coalesce(F.col("_used"), F.lit(0)))
-            .drop("_used"))
