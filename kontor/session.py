@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -49,11 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder (HDFS / object store) there and we use it
-    as is. Only when the setting is absent -- local tests -- do we create a
-    scratch folder of our own.
+    as is. Without the setting a local session gets a scratch folder of its
+    own; a cluster raises, as its executors would write to their own disks.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="kontor-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -72,6 +77,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A path of its own for an intermediate table under the shared checkpoint folder; deleted when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kontor-{uuid.uuid4().hex}/{name}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder.getParent())
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, so that they need no installation of it."""
+    folder = tempfile.mkdtemp(prefix="kontor-pkg-")
+    here = os.path.dirname(os.path.abspath(__file__))
+    with zipfile.ZipFile(os.path.join(folder, "kontor.zip"), "w") as z:
+        for top, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.join("kontor", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(os.path.join(folder, "kontor.zip"))

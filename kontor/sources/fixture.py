@@ -57,14 +57,14 @@ GROUP_TEMPLATE = [
     (10, "5100", "Cost of Sales", "expense", 9, 2),
 ]
 
-# --- fixed values: journals of every company (kind, code, name, type,
-# default account kind) ----------------------------------------------------------
+# Books of every company in the mapping: one per journal type (kind, code,
+# name, type, default account kind). Codes are of this mapping's own making.
 JOURNAL_TEMPLATE = [
-    (1, "GJ", "General Journal", "general", None),
-    (2, "SJ", "Sales Journal", "sales", 2),
-    (3, "PJ", "Purchase Journal", "purchase", 4),
-    (4, "CJ", "Cash Journal", "cash", 1),
-    (5, "BJ", "Bank Journal", "bank", 1),
+    (1, "MEMO", "Memorial book", "general", None),
+    (2, "OUT", "Outgoing invoices", "sales", 2),
+    (3, "IN", "Incoming invoices", "purchase", 4),
+    (4, "TILL", "Till book", "cash", 1),
+    (5, "GIRO", "Giro book", "bank", 1),
 ]
 
 # The evaluation date used wherever the data model says CURRENT_DATE.
@@ -605,11 +605,9 @@ class Ledger:
         line items, the order headers) are computed once. Within a level the
         writes are independent jobs and run concurrently.
         """
-        import hashlib
         from concurrent.futures import ThreadPoolExecutor
 
         from kontor.session import scratch_path
-        tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
         todo = [n for n in _closure(names) if ("mat", n) not in self._cache]
         level: dict[str, int] = {}
         for n in todo:  # _closure is dependency-ordered
@@ -617,8 +615,8 @@ class Ledger:
 
         def write(item):
             n, frame = item
-            path = scratch_path(self.spark, f"ledger-{tag}/{n}")
-            frame.write.mode("overwrite").parquet(path)
+            path = scratch_path(self.spark, n)
+            frame.write.parquet(path)
             return n, path
 
         for lv in sorted(set(level.values())):
