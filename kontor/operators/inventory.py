@@ -314,10 +314,6 @@ def fifo_cogs(moves: DataFrame, order: list[str] | None = None, hot_threshold: i
         F.sum("cost").cast("DECIMAL(30,4)").alias("cogs"))
 
 
-def active_layers(layers: DataFrame) -> DataFrame:
-    return layers.filter(F.col("remaining_qty") > 0)
-
-
 # --- valuation and reorder ----------------------------------------------------------------
 
 def valuation_by_method(stock: DataFrame, products: DataFrame, layers: DataFrame) -> DataFrame:

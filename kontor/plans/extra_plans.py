@@ -118,6 +118,14 @@ def q_contact_name_index(spark, sf_dir):
     return SE.build_name_index(L(spark, sf_dir).contacts)
 
 
+@register("contact_search", ["contacts"], """
+SELECT id, name FROM contacts
+WHERE list_has_all(regexp_split_to_array(lower(name), '[^a-z0-9]+'), ['customer', '000000007'])
+""")
+def q_contact_search(spark, sf_dir):
+    return SE.search_contacts(L(spark, sf_dir).contacts, "Customer#000000007").select("id", "name")
+
+
 @register("sales_order_rollup", ["sales_order_lines", "stock_moves"], """
 SELECT l.so_id, CAST(COUNT(*) AS BIGINT) AS lines, CAST(SUM(l.quantity) AS DECIMAL(30,6)) AS qty_ordered,
        CAST(SUM(COALESCE(d.q, 0)) AS DECIMAL(30,6)) AS qty_delivered,

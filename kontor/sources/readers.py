@@ -80,10 +80,6 @@ def update_by_key(target: DataFrame, changes: DataFrame, key: str, columns: list
     return j.drop("_k", "_hit", *[f"_new_{c}" for c in columns])
 
 
-STAMPED_TABLES = ["companies", "accounts", "contacts", "invoices", "products", "journal_entries",
-                  "purchase_orders", "sales_orders"]
-
-
 def stamp_updated_at(df: DataFrame, changed) -> DataFrame:
     """Set ``updated_at`` to now on changed rows only (the data model's BEFORE UPDATE stamp)."""
     prev = F.col("updated_at") if "updated_at" in df.columns else F.lit(None).cast("timestamp")
