@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.functions import money as M
-from kontor.operators.sweep import HOT_THRESHOLD, interval_allocate, running, running_sum, split_hot
+from kontor.operators.sweep import BY_RANGE, HOT_THRESHOLD, interval_allocate, running, running_sum, split_hot
 from kontor.sources.schemas import ENUMS, MONEY, QTY
 
 QTY_SUM = "DECIMAL(30,6)"
@@ -24,9 +24,10 @@ QTY_SUM = "DECIMAL(30,6)"
 
 def _bucket(order: list[str], bucket: str | None) -> str | None:
     """Bucket for two-phase running sums: the leading sort key is monotone in the
-    order by definition, so it is a valid split when there is a tie-breaker."""
+    order by definition, so it is a valid split when there is a tie-breaker;
+    a single order column (insertion order, by id) is split by ranges of it."""
     if bucket == "auto":
-        return order[0] if len(order) > 1 else None
+        return order[0] if len(order) > 1 else BY_RANGE
     return bucket
 
 
@@ -113,7 +114,7 @@ def costed_receipts(moves: DataFrame, order: list[str], bucket: str | None = "au
     bucket = _bucket(order, bucket)
     keep = ["id", "product_id", "move_type", "quantity", "unit_cost", "is_posted", "from_location_id",
             "to_location_id"]
-    keep += [c for c in dict.fromkeys(order + ([bucket] if bucket else [])) if c not in keep]
+    keep += [c for c in dict.fromkeys(order + ([bucket] if bucket and bucket != BY_RANGE else [])) if c not in keep]
     m = _stock_delta(moves.select(*keep))
     m = running_sum(m, ["product_id"], order, "_delta", "qty_before", bucket=bucket, exclusive=True)
     return m.filter((F.col("move_type") == "purchase_receipt") & F.col("is_posted") & (F.col("unit_cost") > 0))

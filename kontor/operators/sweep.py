@@ -25,6 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BY_RANGE = "#range"      # bucket the order column itself
+LEADING = "#leading"     # bucket each queue by its own leading order column
+RANGE_WIDTH = 1_000_000  # ids per range: what one task sorts of a hot key
+
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -33,8 +37,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[
     """Add running aggregates: ``specs`` = [(out, value column, 'sum'|'min'|'max')].
 
     Inclusive (rows up to this one) or ``exclusive`` (rows before it; NULL
-    when there are none). With ``bucket``: two phases, see module doc.
+    when there are none). With ``bucket``: two phases, see module doc;
+    ``BY_RANGE`` buckets a single numeric order column by ranges of its values.
     """
+    if bucket == BY_RANGE:
+        ranged = df.withColumn("_range", F.floor(F.col(order[0]) / F.lit(RANGE_WIDTH)).cast("bigint"))
+        return running(ranged, keys, order, specs, "_range", exclusive).drop("_range")
     end = -1 if exclusive else Window.currentRow
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
@@ -138,9 +146,11 @@ def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
         return cold.unionByName(hot)
     one = F.lit(1).cast("bigint")
     s = running(supply.withColumn("_one", one), keys, supply_order,
-                [("_end", supply_qty, "sum"), ("_rank", "_one", "sum")], bucket)
+                [("_end", supply_qty, "sum"), ("_rank", "_one", "sum")],
+                supply_order[0] if bucket == LEADING else bucket)
     d = running(demand.withColumn("_one", one), keys, demand_order,
-                [("_end", demand_qty, "sum"), ("_rank", "_one", "sum")], bucket)
+                [("_end", demand_qty, "sum"), ("_rank", "_one", "sum")],
+                demand_order[0] if bucket == LEADING else bucket)
     qtype = s.schema["_end"].dataType
     pts = (s.select(*keys, F.col("_end").alias("_pt"), one.alias("_is_s"), F.lit(0).cast("bigint").alias("_is_d"))
            .unionByName(d.select(*keys, F.col("_end").cast(qtype).alias("_pt"), F.lit(0).cast("bigint").alias("_is_s"),

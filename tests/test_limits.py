@@ -114,3 +114,21 @@ def test_null_keys_are_ranked(spark):
     f = spark.createDataFrame([(1, None, 1), (2, None, 2), (3, "a", 3)], "id INT, k STRING, o INT")
     got = {r["id"]: (r["dup_rank"], r["dup_count"]) for r in SQ.duplicate_rank(f, ["k"], ["o", "id"]).collect()}
     assert got == {1: (1, 2), 2: (2, 2), 3: (1, 1)}
+
+
+def test_insertion_order_is_split_by_id_ranges(spark, monkeypatch):
+    """A hot product in order of ids gives the plain plan's result from bucketed windows."""
+    from kontor.operators import inventory as I
+    from kontor.operators import sweep
+
+    monkeypatch.setattr(sweep, "RANGE_WIDTH", 7)
+    rows = [(i, 1, "purchase_receipt" if i % 3 else "sale_delivery", d(2024, 1, 1), D(1 + i % 5), D(2 + i % 4), None if i % 3 else 1,
+             1 if i % 3 else None, True) for i in range(120)]
+    moves = spark.createDataFrame(rows, "id BIGINT, product_id BIGINT, move_type STRING, move_date DATE, quantity DECIMAL(20,6), "
+                                  "unit_cost DECIMAL(20,4), from_location_id INT, to_location_id INT, is_posted BOOLEAN")
+    products = spark.createDataFrame([(1, D("0"))], "id BIGINT, average_cost DECIMAL(20,4)")
+    plain = I.moving_average_cost(moves, products, hot_threshold=10**9).collect()
+    split = I.moving_average_cost(moves, products, hot_threshold=10)
+    assert sorted(plain) == sorted(split.collect())
+    assert "_range" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(I.fifo_cogs(moves, hot_threshold=10).collect()) == sorted(I.fifo_cogs(moves, hot_threshold=10**9).collect())
