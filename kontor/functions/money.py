@@ -41,18 +41,21 @@ def parts(c, whole: int, fraction: int):
     return (value - rest).cast(f"decimal({whole},0)"), rest
 
 
+def rounded_product(x, whole: int, fraction: int, y, places: int = 4) -> Column:
+    """x * y for x of DECIMAL(whole + fraction, fraction), y with at most ``places`` decimals, rounded once."""
+    units, rest = parts(x, whole, fraction)
+    wide = f"decimal(37,{places})"
+    return (units * y).cast(wide) + F.round(rest * y, places).cast(wide)
+
+
 def qty_times_cost(q, c) -> Column:
     """quantity * unit cost, exact, stored at 4 d.p. (total_cost columns)."""
-    whole, rest = parts(q, 14, 6)
-    cost = money(c)
-    return ((whole * cost).cast("decimal(37,4)") + F.round(rest * cost, 4).cast("decimal(37,4)")).cast(MONEY)
+    return rounded_product(q, 14, 6, money(c)).cast(MONEY)
 
 
 def to_base(amount, rate) -> Column:
     """Transaction amount -> base currency at ``rate``, 4 d.p."""
-    whole, rest = parts(rate, 12, 8)
-    value = money(amount)
-    return ((whole * value).cast("decimal(37,4)") + F.round(rest * value, 4).cast("decimal(37,4)")).cast(MONEY)
+    return rounded_product(rate, 12, 8, money(amount)).cast(MONEY)
 
 
 def safe_pct(num, den, scale: int = 2) -> Column:

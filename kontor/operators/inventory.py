@@ -89,9 +89,8 @@ def uom_to_stock_qty(lines: DataFrame, products: DataFrame, qty_col: str = "quan
     """Purchase quantity x the product's uom_conversion = stock quantity."""
     p = products.select(F.col("id").alias("product_id"), "uom_conversion")
     return (lines.join(p, "product_id", "left")
-            .withColumn("stock_qty", (F.col(qty_col).cast("decimal(18,6)")
-                                      * F.coalesce("uom_conversion", F.lit(1)).cast("decimal(18,6)"))
-                        .cast(QTY_SUM))
+            .withColumn("stock_qty", M.rounded_product(
+                qty_col, 14, 6, F.coalesce("uom_conversion", F.lit(1)).cast(QTY), 6).cast(QTY_SUM))
             .drop("uom_conversion"))
 
 
@@ -285,8 +284,7 @@ def _fifo(moves: DataFrame, order: list[str], bucket: str | None,
                               hot_threshold=None).filter(F.col("stock_move_id").isNotNull())
     cost = layers.select("stock_move_id", "unit_cost")
     alloc = (alloc.join(cost, "stock_move_id", "left")
-             .withColumn("cost", F.round(F.col("allocated").cast("decimal(18,6)")
-                                         * F.col("unit_cost").cast("decimal(18,4)"), 4).cast(MONEY))
+             .withColumn("cost", M.qty_times_cost("allocated", "unit_cost"))
              .select("product_id", "issue_id", "stock_move_id", F.col("allocated").cast(QTY).alias("allocated"),
                      "cost"))
     short = (sat.filter(F.col("quantity") > F.col("satisfied"))
@@ -328,10 +326,10 @@ def valuation_by_method(stock: DataFrame, products: DataFrame, layers: DataFrame
               .agg(F.sum("total_cost").alias("_fifo_value")))
     p = products.select(F.col("id").alias("product_id"), "valuation_method", "average_cost", "standard_cost")
     j = qty_p.join(p, "product_id").join(fifo_v, "product_id", "left")
-    q = F.col("qty_on_hand").cast("decimal(18,6)")
-    value = (F.when(F.col("valuation_method") == "fifo", F.coalesce("_fifo_value", F.lit(0)))
-             .when(F.col("valuation_method") == "standard_cost", q * F.col("standard_cost").cast("decimal(18,4)"))
-             .otherwise(q * F.col("average_cost").cast("decimal(18,4)")))
+    value = (F.when(F.col("valuation_method") == "fifo", F.coalesce("_fifo_value", F.lit(0)).cast("decimal(37,4)"))
+             .when(F.col("valuation_method") == "standard_cost",
+                   M.rounded_product("qty_on_hand", 24, 6, M.money("standard_cost")))
+             .otherwise(M.rounded_product("qty_on_hand", 24, 6, M.money("average_cost"))))
     return j.select("product_id", "valuation_method", F.col("qty_on_hand").cast(QTY_SUM).alias("qty_on_hand"),
                     F.round(value, 4).cast("DECIMAL(30,4)").alias("inventory_value"))
 

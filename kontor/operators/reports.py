@@ -135,7 +135,9 @@ def inventory_valuation(stock: DataFrame, products: DataFrame, locations: DataFr
     pc = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
     out = (sq.join(p, "product_id").join(wl, "location_id").join(w, "warehouse_id")
            .join(pc, "category_id", "left"))
-    value = (F.col("quantity").cast("decimal(18,6)") * F.col("average_cost").cast("decimal(18,4)")).cast(VALUE)
+    whole, rest = M.parts("quantity", 14, 6)
+    cost = M.money("average_cost")
+    value = ((whole * cost).cast("decimal(37,10)") + (rest * cost).cast("decimal(37,10)")).cast(VALUE)
     return out.select("product_id", "sku", "product_name", "category_name", "warehouse_name",
                       "location_name", F.col("quantity").alias("qty_on_hand"), "reserved_qty",
                       "available_qty", "average_cost", value.alias("inventory_value"))

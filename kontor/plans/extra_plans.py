@@ -98,6 +98,72 @@ def q_stock_upsert(spark, sf_dir):
     return RD.upsert_accumulate(state, later, ["product_id", "location_id"], "quantity")
 
 
+@register("rows_appended", ["invoices"], """
+SELECT id, type FROM invoices WHERE type IN ('sale', 'purchase')
+""")
+def q_rows_appended(spark, sf_dir):
+    inv = L(spark, sf_dir).invoices.select("id", "type")
+    return RD.append_rows(inv.where("type = 'sale'"), inv.where("type = 'purchase'"))
+
+
+@register("products_updated_by_key", ["products", "stock_moves"], """
+WITH last AS (SELECT product_id, max(unit_cost) AS cost FROM stock_moves WHERE is_posted GROUP BY product_id)
+SELECT p.id, CAST(coalesce(l.cost, p.standard_cost) AS DECIMAL(20,4)) AS standard_cost, l.product_id IS NOT NULL AS stamped
+FROM products p LEFT JOIN last l ON l.product_id = p.id
+""")
+def q_products_updated_by_key(spark, sf_dir):
+    """Update by key with the change stamp (T5): the stamp itself is the current time, so only its presence is returned."""
+    lg = L(spark, sf_dir)
+    new = (lg.stock_moves.where("is_posted").groupBy(F.col("product_id").alias("id"))
+           .agg(F.max("unit_cost").alias("standard_cost")))
+    out = RD.update_by_key(lg.products.select("id", "standard_cost"), new, "id", ["standard_cost"], stamp=True)
+    return out.select("id", F.col("standard_cost").cast("decimal(20,4)").alias("standard_cost"),
+                      F.col("updated_at").isNotNull().alias("stamped"))
+
+
+@register("required_fields_split", ["stock_moves"], """
+SELECT id, from_location_id IS NOT NULL AND to_location_id IS NOT NULL AS valid FROM stock_moves
+""")
+def q_required_fields_split(spark, sf_dir):
+    moves = L(spark, sf_dir).stock_moves.select("id", "from_location_id", "to_location_id")
+    good, bad = RD.required_fields(moves, ["from_location_id", "to_location_id"])
+    return good.select("id", F.lit(True).alias("valid")).unionByName(bad.select("id", F.lit(False).alias("valid")))
+
+
+@register("entries_diff", ["journal_entries"], """
+SELECT id, status, 'expected_only' AS side FROM journal_entries WHERE status <> 'posted'
+UNION ALL
+SELECT id, 'void', 'actual_only' FROM journal_entries WHERE status <> 'posted'
+""")
+def q_entries_diff(spark, sf_dir):
+    from kontor.operators import audit as AU
+    e = L(spark, sf_dir).journal_entries.select("id", "status")
+    changed = e.withColumn("status", F.when(F.col("status") == "posted", F.col("status")).otherwise(F.lit("void")))
+    return AU.table_diff(e, changed).select("id", "status", "side")
+
+
+@register("invoice_due_same_day", ["invoices"], """
+SELECT id, coalesce(due_date, invoice_date) AS effective_due_date FROM invoices
+""")
+def q_invoice_due_same_day(spark, sf_dir):
+    lg = L(spark, sf_dir)
+    from kontor.operators import receivables as RV
+    return RV.default_due_date(lg.invoices, lg.contacts, mode="same_day").select("id", "effective_due_date")
+
+
+@register("invoice_document_numbers", ["invoices"], """
+SELECT id, CASE WHEN type = 'sale' THEN 'INV-' ELSE 'BILL-' END || CAST(year(invoice_date) AS VARCHAR) || '-'
+       || CASE WHEN id < 10000 THEN lpad(CAST(id AS VARCHAR), 4, '0') ELSE CAST(id AS VARCHAR) END AS document_number
+FROM invoices WHERE type IN ('sale', 'purchase')
+""")
+def q_invoice_document_numbers(spark, sf_dir):
+    from kontor.functions import money as M
+    inv = L(spark, sf_dir).invoices.where("type IN ('sale', 'purchase')")
+    number = F.when(F.col("type") == "sale", M.doc_number("INV", F.year("invoice_date"), F.col("id"), 4)).otherwise(
+        M.doc_number("BILL", F.year("invoice_date"), F.col("id"), 4))
+    return inv.select("id", number.alias("document_number"))
+
+
 @register("lines_after_voided_delete", ["journal_entries", "journal_entry_lines"], """
 SELECT l.id, l.journal_entry_id FROM journal_entry_lines l
 WHERE l.journal_entry_id NOT IN (SELECT id FROM journal_entries WHERE status = 'voided')

@@ -84,6 +84,18 @@ def q_moving_average_cost(spark, sf_dir):
     return I.moving_average_cost(lg.stock_moves, lg.products, MOVE_ORDER)
 
 
+@register("moving_average_cost_by_insertion", ["stock_moves", "products"],
+          "WITH RECURSIVE " + _STEPS_SQL.replace("move_date, id", "id") + """
+SELECT product_id, move_id, CAST(CAST(a4 AS DECIMAL(38,0)) * 0.0001 AS DECIMAL(20,4)) AS average_cost,
+       last_price AS last_purchase_price
+FROM steps WHERE k > 0
+""")
+def q_moving_average_cost_by_insertion(spark, sf_dir):
+    """The cost trigger fires as rows are inserted: order of ids, whatever the move date."""
+    lg = L(spark, sf_dir)
+    return I.moving_average_cost(lg.stock_moves, lg.products)
+
+
 @register("product_costs", ["stock_moves", "products"], "WITH RECURSIVE " + _STEPS_SQL + """
 SELECT product_id AS id, average_cost, last_purchase_price FROM costs
 """)
