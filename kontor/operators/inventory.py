@@ -313,6 +313,33 @@ def fifo_cogs(moves: DataFrame, order: list[str] | None = None, hot_threshold: i
         F.sum("cost").cast("DECIMAL(30,4)").alias("cogs"))
 
 
+def location_queues(moves: DataFrame) -> DataFrame:
+    """Every posted move of any type as queue events per (product, location).
+
+    A move into a location adds a layer there at the move's own unit cost, a
+    move out of one consumes its oldest layers; a transfer does both. The key
+    stands in ``product_id`` as a struct, so the FIFO operators take the rows
+    as they take moves. A move that stays at its location changes nothing.
+    """
+    legs = F.array(
+        F.struct(F.col("to_location_id").alias("place"), F.lit("purchase_receipt").alias("kind")),
+        F.struct(F.col("from_location_id").alias("place"), F.lit("sale_delivery").alias("kind")))
+    return (moves.filter(F.col("is_posted") & ~F.col("from_location_id").eqNullSafe(F.col("to_location_id")))
+            .select("*", F.explode(legs).alias("_leg")).filter(F.col("_leg.place").isNotNull())
+            .select(F.struct("product_id", F.col("_leg.place").alias("location_id")).alias("product_id"), "id",
+                    "move_date", F.col("_leg.place").alias("to_location_id"), F.col("_leg.kind").alias("move_type"),
+                    "quantity", "unit_cost", "is_posted"))
+
+
+def fifo_by_location(moves: DataFrame, order: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """W3 per (product, location) over all move types: (cost per issue, layers), as ``fifo_cogs`` and ``fifo_layers_and_cogs``."""
+    queues = location_queues(moves)
+    cogs = fifo_cogs(queues, order, **options).select("product_id.*", "issue_id", "costed_qty", "shortfall_qty", "cogs")
+    _, layers = fifo_layers_and_cogs(queues, order, **options)
+    rest = [c for c in layers.columns if c not in ("id", "product_id", "location_id")]
+    return cogs, layers.select("id", "product_id.*", *rest)
+
+
 # --- valuation and reorder ----------------------------------------------------------------
 
 def valuation_by_method(stock: DataFrame, products: DataFrame, layers: DataFrame) -> DataFrame:

@@ -190,6 +190,44 @@ def q_fifo_layers(spark, sf_dir):
     return layers
 
 
+# Queue events per (product, location): the struct key takes the place of the product.
+_PLACES_SQL = """
+places AS (
+  SELECT id, move_date, {'product_id': product_id, 'location_id': place} AS product_id, place AS to_location_id,
+         kind AS move_type, quantity, unit_cost, is_posted
+  FROM (SELECT *, to_location_id AS place, 'purchase_receipt' AS kind FROM stock_moves
+        UNION ALL SELECT *, from_location_id, 'sale_delivery' FROM stock_moves) x
+  WHERE place IS NOT NULL AND from_location_id IS DISTINCT FROM to_location_id),
+"""
+_FIFO_PLACES_SQL = "WITH " + _PLACES_SQL + _FIFO_SQL.replace("FROM stock_moves", "FROM places")
+
+
+@register("fifo_cogs_by_location", ["stock_moves"], _FIFO_PLACES_SQL + """
+SELECT product_id.product_id AS product_id, product_id.location_id AS location_id, issue_id,
+       CAST(SUM(CASE WHEN stock_move_id IS NOT NULL THEN allocated END) AS DECIMAL(30,6)) AS costed_qty,
+       CAST(SUM(CASE WHEN stock_move_id IS NULL THEN allocated END) AS DECIMAL(30,6)) AS shortfall_qty,
+       CAST(SUM(round(CAST(allocated AS DECIMAL(20,6)) * CAST(unit_cost AS DECIMAL(20,4)), 4))
+            AS DECIMAL(30,4)) AS cogs
+FROM alloc GROUP BY ALL
+""")
+def q_fifo_cogs_by_location(spark, sf_dir):
+    return I.fifo_by_location(L(spark, sf_dir).stock_moves, MOVE_ORDER)[0]
+
+
+@register("fifo_layers_by_location", ["stock_moves"], _FIFO_PLACES_SQL + """
+SELECT l.stock_move_id AS id, l.product_id.product_id AS product_id, l.product_id.location_id AS location_id,
+       l.stock_move_id, l.received_date, l.original_qty,
+       CAST(l.original_qty - COALESCE(u.used, 0) AS DECIMAL(20,6)) AS remaining_qty, l.unit_cost,
+       CAST(round(CAST(l.original_qty - COALESCE(u.used, 0) AS DECIMAL(20,6)) * CAST(l.unit_cost AS DECIMAL(20,4)), 4)
+            AS DECIMAL(20,4)) AS total_cost
+FROM l2 l LEFT JOIN (SELECT stock_move_id, SUM(allocated) AS used FROM alloc
+                     WHERE stock_move_id IS NOT NULL GROUP BY stock_move_id) u
+  ON u.stock_move_id = l.stock_move_id
+""")
+def q_fifo_layers_by_location(spark, sf_dir):
+    return I.fifo_by_location(L(spark, sf_dir).stock_moves, MOVE_ORDER)[1]
+
+
 @register("move_type_matrix", ["stock_moves"], "SELECT product_id, " + ", ".join(
     f"CAST(COALESCE(SUM(CASE WHEN move_type = '{t}' THEN quantity END), 0) AS DECIMAL(30,6)) AS {t}"
     for t in ["purchase_receipt", "sale_delivery", "transfer", "adjustment", "return", "opening", "scrap",

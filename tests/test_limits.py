@@ -132,3 +132,20 @@ def test_insertion_order_is_split_by_id_ranges(spark, monkeypatch):
     assert sorted(plain) == sorted(split.collect())
     assert "_range" in split._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(I.fifo_cogs(moves, hot_threshold=10).collect()) == sorted(I.fifo_cogs(moves, hot_threshold=10**9).collect())
+
+
+def test_fifo_per_location_over_all_move_types(spark):
+    """Opening stock, a transfer and an adjustment make layers; each location consumes its own."""
+    from kontor.operators import inventory as I
+
+    rows = [(1, "opening", None, 1, D(10), D(2)), (2, "transfer", 1, 2, D(4), D(3)), (3, "sale_delivery", 1, None, D(5), None),
+            (4, "adjustment", None, 2, D(1), D(7)), (5, "scrap", 2, None, D(6), None), (6, "transfer", 2, 2, D(9), D(1))]
+    moves = spark.createDataFrame([(i, 8, t, d(2024, 1, i), q, c, a, b, True) for i, t, a, b, q, c in rows],
+                                  "id BIGINT, product_id BIGINT, move_type STRING, move_date DATE, quantity DECIMAL(20,6), "
+                                  "unit_cost DECIMAL(20,4), from_location_id INT, to_location_id INT, is_posted BOOLEAN")
+    for options in ({}, {"hot_threshold": 0, "rows_per_bucket": 2}):
+        cogs, layers = I.fifo_by_location(moves, ["move_date", "id"], **options)
+        got = {(r["location_id"], r["issue_id"]): (r["costed_qty"], r["shortfall_qty"], r["cogs"]) for r in cogs.collect()}
+        assert got == {(1, 2): (D(4), None, D(8)), (1, 3): (D(5), None, D(10)), (2, 5): (D(5), D(1), D(19))}
+        left = {(r["location_id"], r["id"]): r["remaining_qty"] for r in layers.collect()}
+        assert left == {(1, 1): D(1), (2, 2): D(0), (2, 4): D(0)}
