@@ -70,8 +70,8 @@ def tempered(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     """Default targets of one margin: (level, target), shares to the power ``alpha``."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     powers = sums.select(margin, F.pow(F.col("tokens").cast("double"), F.lit(alpha)).alias("power"))
-    total = powers.agg(F.sum("power").alias("all"))
-    return powers.join(F.broadcast(total)).select(margin, (F.col("power") / F.col("all")).alias("target"))
+    total = powers.agg(F.sum("power")).first()[0] or 1.0
+    return powers.select(margin, (F.col("power") / F.lit(total)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE, max_sweeps: int = 100) -> DataFrame:
@@ -81,8 +81,8 @@ def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE, max_swee
     kept = {}
     for m in margins:  # targets only for levels with tokens, summing to 1
         present = targets[m].join(weighed.select(m).distinct(), m)
-        kept[m] = saved(present.join(F.broadcast(present.agg(F.sum("target").alias("all")))).select(
-            m, (F.col("target") / F.col("all")).alias("target")), "targets")
+        total = present.agg(F.sum("target")).first()[0] or 1.0
+        kept[m] = saved(present.select(m, (F.col("target") / F.lit(total)).alias("target")), "targets")
     best, stalled = None, 0
     for _ in range(max_sweeps):
         gaps = []
@@ -113,9 +113,10 @@ def probabilities(rows: DataFrame, targets: dict | None = None) -> DataFrame:
     cells = saved(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     targets = targets or {m: tempered(cells, m, a) for m, a in MARGINS.items()}
     raked = rake(cells, targets).select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("rate"))
-    top = raked.agg(F.max("rate").alias("top"), F.min("rate").alias("least"))
-    return (cells.join(raked, list(MARGINS), "left").join(F.broadcast(top), how="left")
-            .select(*MARGINS, F.coalesce(F.coalesce("rate", "least") / F.col("top"), F.lit(1.0)).alias("probability")))
+    top, least = raked.agg(F.max("rate"), F.min("rate")).first()
+    rate = F.coalesce("rate", F.lit(least).cast("double"))
+    return (cells.join(raked, list(MARGINS), "left")
+            .select(*MARGINS, F.coalesce(rate / F.lit(top).cast("double"), F.lit(1.0)).alias("probability")))
 
 
 def mix(docs: DataFrame, targets: dict | None = None) -> DataFrame:
