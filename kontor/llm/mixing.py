@@ -74,7 +74,7 @@ def tempered(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     return powers.select(margin, (F.col("power") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE, max_sweeps: int = 100) -> DataFrame:
+def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE, max_sweeps: int = 40) -> DataFrame:
     """``cells`` (margins, tokens) with ``weight``: raked shares that sum to 1."""
     margins = list(targets)
     weighed = saved(cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")), "cells")
