@@ -83,6 +83,12 @@ def bank_match(transactions: DataFrame, payments: DataFrame, max_days: int = 3)
         .when(F.col("_m2").isNotNull(), F.lit("amount_date")).alias("match_rule"))
 
 
+def unreconciled_transactions(transactions: DataFrame, period_end: str) -> DataFrame:
+    """The transactions up to ``period_end`` that no statement has confirmed yet."""
+    return transactions.filter((F.col("transaction_date") <= F.lit(period_end).cast("date"))
+                               & ~F.coalesce("is_reconciled", F.lit(False)))
+
+
 def bank_reconcile(transactions: DataFrame, bank_accounts: DataFrame, period_end: str) -> DataFrame:
     """Per account at ``period_end``: book balance (opening + all transactions up to
     the date), statement balance (opening + reconciled ones), their difference

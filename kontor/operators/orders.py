@@ -35,6 +35,20 @@ def sales_order_rollup(so_lines: DataFrame, moves: DataFrame) -> DataFrame:
         F.sum("line_amount").cast(AMOUNT_SUM).alias("amount"))
 
 
+def purchase_order_rollup(po_lines: DataFrame, moves: DataFrame) -> DataFrame:
+    """Per purchase order: ordered / received (posted receipts) / billed quantities, what is still to come, amount."""
+    r = _moved(moves, "purchase_order_line_id", "purchase_receipt")
+    ln = (po_lines.join(r, po_lines["id"] == r["line_id"], "left")
+          .withColumn("_received", F.coalesce("_moved", F.lit(0))))
+    return ln.groupBy("po_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("lines"),
+        F.sum("quantity").cast(QTY_SUM).alias("qty_ordered"),
+        F.sum("_received").cast(QTY_SUM).alias("qty_received"),
+        F.sum("qty_billed").cast(QTY_SUM).alias("qty_billed"),
+        (F.sum("quantity") - F.sum("_received")).cast(QTY_SUM).alias("to_receive"),
+        F.sum("line_amount").cast(AMOUNT_SUM).alias("amount"))
+
+
 def three_way_match(po_lines: DataFrame, moves: DataFrame) -> DataFrame:
     """Per purchase-order line: ordered vs received (posted receipts linked to the
     line) vs billed quantity, with a match status."""

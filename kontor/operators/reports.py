@@ -345,6 +345,20 @@ def aging_rollup(aging_rows: DataFrame, party: str = "customer") -> DataFrame:
 
 # --- A14 / A15 dimensional reports ---------------------------------------------------------
 
+def contact_pnl(lines: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Revenue and expense per company and contact with subtotals (ROLLUP); -1 stands for lines without a contact."""
+    a = accounts.filter(F.col("category").isin("revenue", "expense")).select(
+        F.col("id").alias("account_id"), "category", "company_id")
+    per = (lines.groupBy("account_id", F.coalesce(F.col("contact_id").cast("bigint"), F.lit(-1)).alias("contact_id"))
+           .agg(F.sum("debit_base").alias("_d"), F.sum("credit_base").alias("_c")))
+    rev = F.sum(F.when(F.col("category") == "revenue", F.col("_c") - F.col("_d")).otherwise(0))
+    exp = F.sum(F.when(F.col("category") == "expense", F.col("_d") - F.col("_c")).otherwise(0))
+    return (per.join(a, "account_id").rollup("company_id", "contact_id")
+            .agg(rev.cast(AMOUNT_SUM).alias("revenue"), exp.cast(AMOUNT_SUM).alias("expense"),
+                 (rev - exp).cast(AMOUNT_SUM).alias("profit"), F.grouping_id().alias("grouping_level")))
+
+
+
 def dimension_pnl(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     """Revenue and expense by cost centre x project with all subtotals (CUBE).
 

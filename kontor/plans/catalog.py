@@ -309,6 +309,20 @@ def q_dimension_pnl(spark, sf_dir):
     return R.dimension_pnl(lg.journal_entry_lines, lg.accounts)
 
 
+@register("contact_pnl", ["journal_entry_lines", "accounts"], f"""
+SELECT company_id, contact_id, CAST(SUM(rev) AS {S30}) AS revenue, CAST(SUM(ex) AS {S30}) AS expense,
+       CAST(SUM(rev) - SUM(ex) AS {S30}) AS profit, CAST(GROUPING(company_id, contact_id) AS BIGINT) AS grouping_level
+FROM (SELECT a.company_id, COALESCE(CAST(l.contact_id AS BIGINT), -1) AS contact_id,
+             CASE WHEN a.category = 'revenue' THEN l.credit_base - l.debit_base ELSE 0 END AS rev,
+             CASE WHEN a.category = 'expense' THEN l.debit_base - l.credit_base ELSE 0 END AS ex
+      FROM journal_entry_lines l JOIN accounts a ON a.id = l.account_id WHERE a.category IN ('revenue', 'expense')) x
+GROUP BY ROLLUP (company_id, contact_id)
+""")
+def q_contact_pnl(spark, sf_dir):
+    lg = L(spark, sf_dir)
+    return R.contact_pnl(lg.journal_entry_lines, lg.accounts)
+
+
 @register("ledger_by_period", ["journal_entry_lines", "journal_entries", "accounting_periods"], f"""
 SELECT ap.company_id, ap.name AS period_name, l.account_id,
        CAST(SUM(l.debit_base) AS {S30}) AS total_debit, CAST(SUM(l.credit_base) AS {S30}) AS total_credit,

@@ -210,6 +210,31 @@ def q_sales_order_rollup(spark, sf_dir):
     return O.sales_order_rollup(lg.sales_order_lines, lg.stock_moves)
 
 
+@register("purchase_order_rollup", ["purchase_order_lines", "stock_moves"], """
+SELECT po_id, CAST(COUNT(*) AS BIGINT) AS lines, CAST(SUM(quantity) AS DECIMAL(30,6)) AS qty_ordered,
+       CAST(SUM(received) AS DECIMAL(30,6)) AS qty_received, CAST(SUM(qty_billed) AS DECIMAL(30,6)) AS qty_billed,
+       CAST(SUM(quantity - received) AS DECIMAL(30,6)) AS to_receive, CAST(SUM(line_amount) AS DECIMAL(30,4)) AS amount
+FROM (SELECT l.*, COALESCE((SELECT SUM(m.quantity) FROM stock_moves m WHERE m.purchase_order_line_id = l.id
+                            AND m.is_posted AND m.move_type = 'purchase_receipt'), 0) AS received
+      FROM purchase_order_lines l) x
+GROUP BY po_id
+""")
+def q_purchase_order_rollup(spark, sf_dir):
+    from kontor.operators import orders as O
+    lg = L(spark, sf_dir)
+    return O.purchase_order_rollup(lg.purchase_order_lines, lg.stock_moves)
+
+
+@register("unreconciled_transactions", ["bank_transactions"], """
+SELECT id, bank_account_id, transaction_date, amount FROM bank_transactions
+WHERE transaction_date <= DATE '1997-12-31' AND is_reconciled IS NOT TRUE
+""")
+def q_unreconciled_transactions(spark, sf_dir):
+    from kontor.operators import banking as BK
+    return BK.unreconciled_transactions(L(spark, sf_dir).bank_transactions, "1997-12-31").select(
+        "id", "bank_account_id", "transaction_date", "amount")
+
+
 @register("three_way_match", ["purchase_order_lines", "stock_moves"], """
 SELECT l.id, l.po_id, CAST(l.quantity AS DECIMAL(30,6)) AS qty_ordered,
        CAST(COALESCE(r.q, 0) AS DECIMAL(30,6)) AS qty_received, CAST(l.qty_billed AS DECIMAL(30,6)) AS qty_billed,
