@@ -149,3 +149,20 @@ def test_fifo_per_location_over_all_move_types(spark):
         assert got == {(1, 2): (D(4), None, D(8)), (1, 3): (D(5), None, D(10)), (2, 5): (D(5), D(1), D(19))}
         left = {(r["location_id"], r["id"]): r["remaining_qty"] for r in layers.collect()}
         assert left == {(1, 1): D(1), (2, 2): D(0), (2, 4): D(0)}
+
+
+def test_audit_of_stock_and_of_odd_keys(spark):
+    from kontor.operators import audit as AU
+
+    moves = spark.createDataFrame([(1, 7, None, 1, D(5), True), (2, 7, 1, 2, D(2), True), (3, 7, None, 2, D(9), False)],
+                                  "id BIGINT, product_id BIGINT, from_location_id INT, to_location_id INT, quantity DECIMAL(20,6), is_posted BOOLEAN")
+    stock = spark.createDataFrame([(7, 1, D(3)), (7, 2, D(4))], "product_id BIGINT, location_id INT, quantity DECIMAL(20,6)")
+    found = [r for r in AU.audit({"stock_quantities": stock, "stock_moves": moves}).collect()
+             if r["rule_id"] == "stock_equals_posted_moves"]
+    assert [(r["row_key"], r["detail"]) for r in found] == [("7|2", "difference=2.000000")]
+    keys = spark.createDataFrame([("A|B", "C"), ("A", "B|C")], "a STRING, b STRING").selectExpr(AU._key(["a", "b"])).collect()
+    assert keys[0] != keys[1]
+    periods = spark.createDataFrame([(1, 1, d(2024, 2, 1), d(2024, 1, 1))], "id INT, company_id INT, start_date DATE, end_date DATE")
+    entries = spark.createDataFrame([(5, 1, 1, d(2024, 1, 15))], "id BIGINT, company_id INT, period_id INT, entry_date DATE")
+    rules = {r["rule_id"] for r in AU.audit({"accounting_periods": periods, "journal_entries": entries}).collect()}
+    assert "entry_date_in_period" in rules
