@@ -147,13 +147,14 @@ def cut(ids: bytes, length: int = LENGTH):
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every row."""
-    path = tokenizer or default_tokenizer()
+    """(doc_id, piece, start, length, ids_crc32) of every row; the default tokenizer's file is found on each worker."""
     state = {}
     names = ("piece", "start", "length", "ids_crc32")
 
     def judge(batch):
-        words = state.setdefault("words", WordIds(path))
+        if "words" not in state:
+            state["words"] = WordIds(tokenizer or default_tokenizer())
+        words = state["words"]
         return batch["doc_id"], [[dict(zip(names, p)) for p in cut(words.ids(t.as_py()), length)] for t in batch["text"]]
 
     return map_rows(docs.select("doc_id", "text"),

@@ -222,7 +222,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0
     state = {}
 
     def judge(batch):
-        scorer = state.setdefault("scorer", Scorer(weights))
+        if "scorer" not in state:
+            state["scorer"] = Scorer(weights)
+        scorer = state["scorer"]
         score, passages = [], []
         for text in batch["text"]:
             found, n = scorer.segments(text.as_py())
