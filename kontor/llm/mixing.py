@@ -35,6 +35,7 @@ from kontor.llm.common import saved
 
 MARGINS = {"source": 0.5, "lang": 0.7, "topic": 1.0}  # margin: alpha of its default targets
 TOLERANCE = 1e-9
+MAX_SWEEPS = 40
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -74,7 +75,7 @@ def tempered(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     return powers.select(margin, (F.col("power") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE, max_sweeps: int = 40) -> DataFrame:
+def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE, max_sweeps: int | None = None) -> DataFrame:
     """``cells`` (margins, tokens) with ``weight``: raked shares that sum to 1."""
     margins = list(targets)
     weighed = saved(cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")), "cells")
@@ -84,7 +85,7 @@ def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE, max_swee
         total = present.agg(F.sum("target")).first()[0] or 1.0
         kept[m] = saved(present.select(m, (F.col("target") / F.lit(total)).alias("target")), "targets")
     best, stalled = None, 0
-    for _ in range(max_sweeps):
+    for _ in range(max_sweeps or MAX_SWEEPS):
         gaps = []
         for m in margins:
             factors = (weighed.groupBy(m).agg(F.sum("weight").alias("sum")).join(kept[m], m, "left")
@@ -138,7 +139,7 @@ def sample(docs: DataFrame, targets: dict | None = None) -> DataFrame:
     return joined.where(uniform("doc_id") < F.col("mix_p_")).select(*own)
 
 
-def oracle(sweeps: int = 40) -> str:
+def oracle(sweeps: int = MAX_SWEEPS) -> str:
     """The same fit in SQL, with ``sweeps`` sweeps written out."""
     ctes = [f"""rows AS (
   SELECT doc_id, coalesce('=' || source, 'null') AS source, coalesce('=' || lang, 'null') AS lang,

@@ -1,9 +1,18 @@
-import corpus_pipeline as cp
+import pytest
 from cases import docs, empty, odd_texts
 
+import corpus_pipeline as cp
+from kontor.llm import mixing
+
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def few_sweeps(monkeypatch):
+    """The raking has tests of its own; a few sweeps show that the stages fit together."""
+    monkeypatch.setattr(mixing, "MAX_SWEEPS", 3)
+
+
 def test_stages_in_order_and_columns(spark):
     assert [n for n, _ in cp.STAGES] == ["language_id", "near_duplicates", "personal_data", "mixture", "packing"]
     frame = docs(spark, odd_texts() + ["plain words of one document here"] * 2, {3: None})
