@@ -46,8 +46,8 @@ from kontor.llm.common import mix64, saved
 
 SIZE, GRAM = 100, 40
 LAST = (1 << 63) - 1            # place of a null id in the order
-BUFFER = 1 << 21                # bytes hashed at a time
-FLUSH = 400_000                 # items compared within a task before they leave
+BUFFER = 1 << 20                # bytes hashed at a time
+FLUSH = 200_000                 # items compared within a task before they leave
 FREQUENT = 8                    # contexts of one leader in a flush that make it frequent
 BASE = 0x9E3779B97F4A7C15
 COVER, ITEM, FREQUENT_ITEM, NOTE, COMPARE, SPREAD = range(6)
