@@ -2,7 +2,10 @@
 
 Documents are summed to cells (source, language, topic) of token counts. Each
 sweep rakes the cells to the source, language and topic marginals in turn;
-sweeps end when every marginal is within ``tolerance`` of its target. A cell's
+sweeps end when every marginal is within ``tolerance`` of its target. Between
+sweeps the log weights are extrapolated from the last few sweeps (Anderson's
+mixing; the blend stays a product of level factors, so the raked table is the
+same), and a blend that lowers the dual objective is taken back. A cell's
 raked weight over its tokens is its sampling rate; divided by the largest rate
 it is a probability, so the expected tokens of the sample are in the exact
 proportions of the raked table. A document is kept if its uniform number, from
@@ -20,14 +23,19 @@ Defined results
 * levels without tokens are left out of the targets, the rest is renormalised.
 * repeated rows share an id and so a uniform number: all stay or all go.
 * empty table: empty result. Further columns are not read.
-* targets that no weights of the present cells can meet: sweeps end when they
-  bring the marginals no closer, and the topic marginal, raked last, is exact.
+* targets that no weights of the present cells can meet: a sweep proves it when
+  its gain, the targets' sum of its log factors, is above its largest move of a
+  cell's log weight. Plain sweeps then go on until the shares settle, a warning
+  names the gap, and the topic marginal, raked last, is exact.
+* neither within ``max_sweeps``: an error, never a silent partial fit.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +43,11 @@ from kontor.llm.common import saved
 
 MARGINS = {"source": 0.5, "lang": 0.7, "topic": 1.0}  # margin: alpha of its default targets
 TOLERANCE = 1e-9
-MAX_SWEEPS = 40
+MAX_SWEEPS = 40  # sweeps written out in the SQL
+GUARD = 5000  # sweeps after which the fit raises
+DEPTH = 6  # sweeps an extrapolation looks back on
+NOISE = 1e-10  # fall of the dual objective that rounding explains
+SETTLED = 1e-6  # summed change of the shares in a sweep towards targets that cannot be met
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -75,32 +87,87 @@ def tempered(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     return powers.select(margin, (F.col("power") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE, max_sweeps: int | None = None) -> DataFrame:
+def swept(cells: DataFrame, margins: list, start) -> DataFrame:
+    """One sweep from the log weights ``start``: its result and its move lead the arrays ``ends`` and ``moves``."""
+    frame = (cells.withColumn("start", start).withColumn("end", F.col("start"))
+             .drop(*[f"sum_{m}" for m in margins]))
+    for m in margins:
+        sums = frame.groupBy(m).agg(F.sum(F.exp("end")).alias(f"sum_{m}"))
+        frame = frame.join(sums, m).withColumn("end", F.col("end") + F.log(f"target_{m}") - F.coalesce(
+            F.log(f"sum_{m}"), F.lit(float("-inf"))))
+    newest = lambda column, old: F.slice(F.concat(F.array(column), old), 1, DEPTH).alias(old)
+    return frame.select(*margins, "tokens", *[f"target_{m}" for m in margins], *[f"sum_{m}" for m in margins],
+                        newest(F.col("end"), "ends"), newest(F.col("end") - F.col("start"), "moves"),
+                        F.abs(F.exp("end") - F.exp("start")).alias("change"))
+
+
+def judged(frame: DataFrame, margins: list) -> tuple:
+    """(largest relative gap of a marginal, gain of the dual objective) of a sweep."""
+    levels = reduce(DataFrame.unionByName, [frame.groupBy(m).agg(
+        F.sum(F.exp(F.col("ends")[0])).alias("sum"), F.first(f"target_{m}").alias("target"),
+        F.first(f"sum_{m}").alias("before")).select("sum", "target", "before") for m in margins])
+    far = F.lit(float("inf"))
+    return levels.agg(
+        F.max(F.coalesce(F.abs(F.col("sum") / F.col("target") - 1), far)),
+        F.sum(F.coalesce(F.col("target") * (F.log("target") - F.log("before")), far))).first()
+
+
+def blend(frame: DataFrame, depth: int) -> tuple:
+    """(largest and summed change of a cell, coefficients of the last ``depth`` sweeps that cancel most of their moves)."""
+    pairs = [(i, j) for i in range(depth) for j in range(i, depth)]
+    top, change, *sums = frame.agg(F.max(F.col("moves")[0]), F.sum("change"), *[
+        F.sum(F.col("moves")[i] * F.col("moves")[j]) for i, j in pairs]).first()
+    gram = np.zeros((depth, depth))
+    for (i, j), x in zip(pairs, sums):
+        gram[i, j] = gram[j, i] = x
+    if depth == 1 or not np.isfinite(gram).all():
+        return top, change, [1.0] + [0.0] * (depth - 1)
+    left = gram[0, 0] - gram[0, 1:, None] - gram[None, 0, 1:] + gram[1:, 1:]
+    older = np.linalg.lstsq(left, gram[0, 0] - gram[0, 1:], rcond=1e-14)[0]
+    return top, change, [float(1 - older.sum()), *map(float, older)]
+
+
+def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE, max_sweeps: int = GUARD) -> DataFrame:
     """``cells`` (margins, tokens) with ``weight``: raked shares that sum to 1."""
     margins = list(targets)
-    weighed = saved(cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")), "cells")
-    kept = {}
+    full = cells.where("tokens > 0")
+    live = full
+    for m in margins:  # cells of a level without target have weight 0
+        live = live.join(targets[m].where("target > 0").select(m, F.col("target").alias(f"target_{m}")), m)
+    live = saved(live, "cells")
+    total = live.agg(F.sum("tokens")).first()[0]
+    if total is None:
+        return full.withColumn("weight", F.lit(0.0))
     for m in margins:  # targets only for levels with tokens, summing to 1
-        present = targets[m].join(weighed.select(m).distinct(), m)
-        total = present.agg(F.sum("target")).first()[0] or 1.0
-        kept[m] = saved(present.select(m, (F.col("target") / F.lit(total)).alias("target")), "targets")
-    best, stalled = None, 0
-    for _ in range(max_sweeps or MAX_SWEEPS):
-        gaps = []
-        for m in margins:
-            factors = (weighed.groupBy(m).agg(F.sum("weight").alias("sum")).join(kept[m], m, "left")
-                       .select(m, (F.coalesce("target", F.lit(0.0)) / F.col("sum")).alias("factor")))
-            weighed = weighed.join(factors, m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        weighed = saved(weighed, "raked")
-        for m in margins[:-1]:  # the last marginal is exact after its own step
-            gaps.append(weighed.groupBy(m).agg(F.sum("weight").alias("sum")).join(kept[m], m)
-                        .select(F.abs(F.col("sum") / F.col("target") - 1).alias("gap")))
-        gap = reduce(DataFrame.unionByName, gaps).agg(F.max("gap")).first()[0]
-        stalled = stalled + 1 if best is not None and gap is not None and gap > 0.9 * best else 0
-        best = gap if best is None else min(best, gap)
-        if gap is None or gap <= tolerance or stalled == 3:
+        present = live.select(m, f"target_{m}").distinct().agg(F.sum(f"target_{m}")).first()[0]
+        live = live.withColumn(f"target_{m}", F.col(f"target_{m}") / F.lit(present))
+    none = F.array().cast("array<double>")
+    state, start = live.withColumns({"ends": none, "moves": none}), F.log(F.col("tokens") / F.lit(float(total)))
+    last, duals, dual, proved = None, [], 0.0, False
+    for _ in range(max_sweeps):
+        frame = saved(swept(state, margins, start), "raked")
+        gap, gain = judged(frame, margins)
+        if duals and not dual + gain >= duals[0] - NOISE:  # the extrapolation went too far: back to the last sweep
+            state = last.withColumn("kept", F.col("ends")[0]).withColumns({"ends": none, "moves": none})
+            start, dual, duals = F.col("kept"), duals[0], []
+            continue
+        duals = [dual + gain, *duals][:DEPTH]
+        top, change, share = blend(frame, len(duals))
+        if gap <= tolerance or proved and change <= SETTLED:
             break
-    return weighed
+        # for weights p that meet the targets, gain = sum(p * move) <= top
+        proved = proved or gain - top > 1e-12
+        if proved:
+            share = [1.0] + [0.0] * (len(duals) - 1)
+        last = state = frame
+        start = reduce(lambda a, b: a + b, [F.col("ends")[i] * F.lit(c) for i, c in enumerate(share)])
+        dual = sum(c * d for c, d in zip(share, duals))
+    else:
+        raise RuntimeError(f"marginals still differ by {gap} after {max_sweeps} sweeps")
+    if gap > tolerance:
+        warnings.warn(f"no weights of the present cells meet the targets: marginals differ by up to {gap:.3g}", stacklevel=2)
+    fitted = frame.select(*margins, F.exp(F.col("ends")[0]).alias("weight"))
+    return full.join(fitted, margins, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
 def measured(docs: DataFrame) -> DataFrame:

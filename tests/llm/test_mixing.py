@@ -28,6 +28,40 @@ def test_raked_table_meets_its_marginals(spark):
         assert raked.groupby(m)["weight"].sum().to_dict() == pytest.approx(want, rel=1e-8)
 
 
+def bound_cells(spark, own, sources=3):
+    """Cells of sources that hold ``own`` of their tokens in one language each."""
+    rows = []
+    for i in range(sources):
+        for j in range(3):
+            share = own if j == i % 3 else (1 - own) / 2
+            rows += [(f"s{i}", f"l{j}", t, round(10_000_000 * (i + 1) ** 2 * share * part)) for t, part in (("a", 0.7), ("b", 0.3))]
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+
+
+@pytest.mark.parametrize("own", [0.97, 0.999])
+def test_sources_mostly_in_one_language_meet_their_marginals(spark, own):
+    cells = bound_cells(spark, own)
+    targets = {m: mixing.tempered(cells, m, a) for m, a in mixing.MARGINS.items()}
+    raked = mixing.rake(cells, targets).toPandas()
+    for m, target in targets.items():
+        want = {r[m]: r["target"] for r in target.collect()}
+        assert raked.groupby(m)["weight"].sum().to_dict() == pytest.approx(want, rel=2e-9)
+    # still the start times one factor a level: the odds ratios are those of the tokens
+    rate = (raked.assign(rate=raked["weight"] / raked["tokens"]).set_index(["source", "lang", "topic"])["rate"])
+    for t in ("a", "b"):
+        assert rate["s0", "l0", t] * rate["s1", "l1", t] == pytest.approx(rate["s0", "l1", t] * rate["s1", "l0", t], rel=1e-9)
+
+
+def test_targets_that_cannot_be_met_are_named(spark):
+    cells = bound_cells(spark, 1.0).where("tokens > 0")
+    targets = {m: mixing.tempered(cells, m, a) for m, a in mixing.MARGINS.items()}
+    with pytest.warns(UserWarning, match="no weights of the present cells"):
+        raked = mixing.rake(cells, targets).toPandas()
+    assert raked.groupby("topic")["weight"].sum().to_dict() == pytest.approx({"a": 0.7, "b": 0.3})
+    with pytest.raises(RuntimeError, match="after 2 sweeps"):
+        mixing.rake(bound_cells(spark, 0.97), targets, max_sweeps=2)
+
+
 def test_expected_sample_is_in_proportion(spark):
     frame = mixing.mix(sample_docs(spark)).toPandas()
     assert frame["probability"].max() == 1.0
