@@ -11,6 +11,11 @@ it is a probability, so the expected tokens of the sample are in the exact
 proportions of the raked table. A document is kept if its uniform number, from
 the md5 of its id, is below its cell's probability.
 
+With ``share`` the sample has a stated size instead: it expects that share of
+the tokens of all cells with a rate. Rates are scaled to it, cells that reach
+probability 1 stay whole, and the others keep the proportions of the raked
+table among themselves.
+
 Targets default to tempered shares: a level's share of the tokens to the power
 ``alpha``, renormalised, which lowers crowded levels and raises rare ones.
 
@@ -176,30 +181,56 @@ def measured(docs: DataFrame) -> DataFrame:
                        topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens"))
 
 
-def probabilities(rows: DataFrame, targets: dict | None = None) -> DataFrame:
+def scale(rated: DataFrame, share: float) -> float:
+    """Factor of the rates at which a sample with probabilities of at most 1 expects ``share`` of the tokens.
+
+    Cells that reach 1 stay there and the rest is solved again, until no
+    further cell reaches 1; so a rare cell takes no share from the others.
+    """
+    rated = rated.where("rate > 0")
+    total = rated.agg(F.sum("tokens")).first()[0]
+    factor, full = 0.0, F.lit(False)
+    while total is not None:
+        capped, count, rest = rated.agg(
+            F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)), F.count_if(full),
+            F.sum(F.when(~full, F.col("tokens") * F.col("rate")))).first()
+        if rest is None:  # every cell stays whole
+            break
+        factor = max(factor, (share * total - capped) / rest)
+        full = F.col("rate") * F.lit(factor) >= 1
+        if rated.agg(F.count_if(full)).first()[0] == count:
+            break
+    return factor
+
+
+def probabilities(rows: DataFrame, targets: dict | None = None, share: float | None = None) -> DataFrame:
     """(source, lang, topic, probability) of every cell of ``measured`` rows."""
     cells = saved(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     targets = targets or {m: tempered(cells, m, a) for m, a in MARGINS.items()}
-    raked = rake(cells, targets).select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("rate"))
+    raked = rake(cells, targets).select(*MARGINS, "tokens", (F.col("weight") / F.col("tokens")).alias("rate"))
+    raked = raked if share is None else saved(raked, "rates")
     top, least = raked.agg(F.max("rate"), F.min("rate")).first()
+    if share is not None and top:
+        top = 1 / scale(raked, share)
+    raked = raked.drop("tokens")
     rate = F.coalesce("rate", F.lit(least).cast("double"))
     return (cells.join(raked, list(MARGINS), "left")
-            .select(*MARGINS, F.coalesce(rate / F.lit(top).cast("double"), F.lit(1.0)).alias("probability")))
+            .select(*MARGINS, F.least(F.coalesce(rate / F.lit(top).cast("double"), F.lit(1.0)), F.lit(1.0)).alias("probability")))
 
 
-def mix(docs: DataFrame, targets: dict | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict | None = None, share: float | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, kept) of every document."""
     rows = saved(measured(docs), "measured")
-    return rows.join(probabilities(rows, targets), list(MARGINS)).select(
+    return rows.join(probabilities(rows, targets, share), list(MARGINS)).select(
         "doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"),
         (uniform("doc_id") < F.col("probability")).alias("kept"))
 
 
-def sample(docs: DataFrame, targets: dict | None = None) -> DataFrame:
+def sample(docs: DataFrame, targets: dict | None = None, share: float | None = None) -> DataFrame:
     """The documents that stay, with their own columns."""
     rows = saved(measured(docs), "measured").drop("doc_id")
     own = docs.columns
-    found = probabilities(rows, targets).select(*[F.col(m).alias(f"mix_{m}_") for m in MARGINS], "probability")
+    found = probabilities(rows, targets, share).select(*[F.col(m).alias(f"mix_{m}_") for m in MARGINS], "probability")
     marked = docs.withColumns({"mix_source_": level("source"), "mix_lang_": level("lang"),
                                "mix_topic_": topic_of(F.col("text"))})
     joined = marked.join(found.withColumnRenamed("probability", "mix_p_"), [f"mix_{m}_" for m in MARGINS])

@@ -4,6 +4,7 @@ from cases import docs, empty, odd_texts
 from compare import compare, duck_connect
 from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from kontor.llm import mixing
 
 
@@ -72,6 +73,18 @@ def test_expected_sample_is_in_proportion(spark):
     assert drawn == pytest.approx(expected.sum(), rel=0.1)
 
 
+def test_a_tiny_source_does_not_shrink_the_others(spark):
+    texts, sources = ["word " * 100] * 400 + ["one two three"], {i: f"s{i % 20}" for i in range(400)} | {400: "tiny"}
+    frame = mixing.mix(docs(spark, texts, sources=sources), share=0.65).toPandas().set_index("doc_id")
+    assert frame["probability"][400] == 1.0
+    assert (frame["tokens"] * frame["probability"]).sum() == pytest.approx(0.65 * frame["tokens"].sum(), rel=1e-5)
+    assert frame["probability"].drop(400).nunique() == 1
+    staged = cp.mixture(spark, docs(spark, texts, sources=sources), None).count()
+    assert staged == frame["kept"].sum() > 200
+    whole = mixing.mix(docs(spark, texts, sources=sources), share=1.0)
+    assert whole.where("probability < 1").count() == 0
+
+
 def test_sample_keeps_rows_and_columns(spark):
     frame = sample_docs(spark)
     kept = {r["doc_id"] for r in mixing.mix(frame).where("kept").collect()}
