@@ -2,7 +2,8 @@
 
 The fixed patterns give the base spans (and the seeds). Every identifier-like
 token of the corpus, seed or not, is an instance that occurs in lexical
-patterns: the word before it or the word after it, with the token's shape.
+patterns: the word before it or the word after it, with the token's coarse class
+(address, digits or mixed), so that a format which no base rule knows is found.
 Rounds of scoring run over the pattern-instance graph in Spark: a pattern's
 confidence for a kind is the share of its distinct instances that belong to
 the kind; an instance that several confident patterns agree on joins the kind
@@ -44,7 +45,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 _TOKEN = re.compile(r"[^\s|\"'<>=,;:!?#$%&*]+")
 _NUMERIC = re.compile(r"[+(]?[0-9][0-9().-]*|\([0-9][0-9().-]*")
-_RUN = re.compile(r"[0-9]+|[^\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _EDGE = ".-()+_"
 
 
@@ -108,13 +109,15 @@ def span_text(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def shape_of(value: str) -> str:
-    """Runs of letters become 'a', runs of digits 'N' and their length."""
-    return _RUN.sub(lambda m: f"N{len(m[0])}" if m[0][0].isdigit() else "a", value)[:60]
+def class_of(value: str) -> str:
+    """Coarse class of a token, whatever its grouping and length."""
+    if "@" in value:
+        return "address"
+    return "mixed" if _LETTER.search(value) else "digits"
 
 
 def instances(text: str | None, base):
-    """Identifier-like tokens with their context: (start, end, value, shape, left, right, kind of the base span or None)."""
+    """Identifier-like tokens with their context: (start, end, value, class, left, right, kind of the base span or None)."""
     if not text or not ("@" in text or _DIGIT.search(text)):
         return []
     tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
@@ -143,17 +146,17 @@ def instances(text: str | None, base):
         kind = next((k for s, e, k in by_start[at:at + 8] if s < end and start < e), None)
         left = tokens[first - 1][2].lower()[:40] if first else "^"
         right = tokens[i][2].lower()[:40] if i < len(tokens) else "$"
-        out.append((start, end, value[:80], shape_of(value), left, right, kind))
+        out.append((start, end, value[:80], class_of(value), left, right, kind))
     return out
 
 
 _SCAN = ("doc_id long, mark long, base array<struct<kind:string,start:long,end:long>>, "
-         "found array<struct<start:long,end:long,value:string,shape:string,left:string,right:string,kind:string>>")
+         "found array<struct<start:long,end:long,value:string,class:string,left:string,right:string,kind:string>>")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans and instances of every row, in one pass over the texts."""
-    names = ("start", "end", "value", "shape", "left", "right", "kind")
+    names = ("start", "end", "value", "class", "left", "right", "kind")
 
     def judge(batch):
         texts = batch["text"].to_pylist()
@@ -165,36 +168,36 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(occurrences: DataFrame, rounds: int = 3, min_seeds: int = 4, min_confidence: float = 0.75) -> DataFrame:
-    """Kinds of unseen values: rows (value, shape, kind) accepted by confident patterns.
+    """Kinds of unseen values: rows (value, class, kind) accepted by confident patterns.
 
-    ``occurrences`` holds (value, shape, left, right, kind), kind null where unseen.
+    ``occurrences`` holds (value, class, left, right, kind), kind null where unseen.
     """
     edges = saved(
-        occurrences.select("value", "shape", "kind", F.explode(F.array(
+        occurrences.select("value", "class", "kind", F.explode(F.array(
             F.concat(F.lit("< "), "left"), F.concat(F.lit("> "), "right"))).alias("word"))
-        .groupBy("word", "shape", "value").agg(F.min("kind").alias("kind")), "pii-edges")
+        .groupBy("word", "class", "value").agg(F.min("kind").alias("kind")), "pii-edges")
     joined = None
     order = F.when(F.col("kind") == KINDS[0], 0)
     for i, k in enumerate(KINDS[1:], 1):
         order = order.when(F.col("kind") == k, i)
     for turn in range(rounds):
         known = edges if joined is None else edges.join(
-            joined.withColumnRenamed("kind", "won"), ["value", "shape"], "left").select(
-            "word", "shape", "value", F.coalesce("kind", "won").alias("kind"))
-        patterns = (known.groupBy("word", "shape")
+            joined.withColumnRenamed("kind", "won"), ["value", "class"], "left").select(
+            "word", "class", "value", F.coalesce("kind", "won").alias("kind"))
+        patterns = (known.groupBy("word", "class")
                     .agg(F.count("*").alias("n"),
                          *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
-                    .select("word", "shape", "n", F.explode(F.array(*[
+                    .select("word", "class", "n", F.explode(F.array(*[
                         F.struct(F.lit(k).alias("kind"), F.col(k).alias("seeds")) for k in KINDS])).alias("s"))
-                    .select("word", "shape", F.col("s.kind").alias("kind"), F.col("s.seeds").alias("seeds"),
+                    .select("word", "class", F.col("s.kind").alias("kind"), F.col("s.seeds").alias("seeds"),
                             (F.col("s.seeds") / F.col("n")).alias("confidence"))
                     .where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence)))
-        unseen = known.where("kind IS NULL").select("word", "shape", "value")
+        unseen = known.where("kind IS NULL").select("word", "class", "value")
         # noisy-or over the patterns that hold the value
-        scored = (unseen.join(patterns, ["word", "shape"]).groupBy("value", "shape", "kind")
+        scored = (unseen.join(patterns, ["word", "class"]).groupBy("value", "class", "kind")
                   .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
                   .withColumn("place", order)
-                  .groupBy("value", "shape")
+                  .groupBy("value", "class")
                   .agg(F.max_by("kind", F.struct(F.col("score"), (-F.col("place")).alias("place"))).alias("kind")))
         joined = saved(scored if joined is None else joined.unionByName(scored), f"pii-round{turn}")
     return joined
@@ -209,7 +212,7 @@ def pii_spans(docs: DataFrame, **options) -> DataFrame:
     occurrences = seen.where(F.size("found") > 0).select("doc_id", "mark", F.explode("found").alias("f")).select(
         "doc_id", "mark", "f.*")
     accepted = bootstrap(occurrences, **options)
-    added = (occurrences.where("kind IS NULL").drop("kind").join(accepted, ["value", "shape"])
+    added = (occurrences.where("kind IS NULL").drop("kind").join(accepted, ["value", "class"])
              .groupBy("doc_id", "mark").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added")))
     return seen.select("doc_id", "mark", "base").join(
         added.withColumnRenamed("doc_id", "added_id").withColumnRenamed("mark", "added_mark"),

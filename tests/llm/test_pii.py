@@ -51,6 +51,20 @@ def test_contextual_patterns_discover_unseen_identifiers(spark):
     assert got[6]["spans"] == ""
 
 
+def test_unseen_formats_are_found_by_their_context(spark):
+    seeds = [f"please call +1 (9{70 + i}) 555-34{70 + i} tonight or later" for i in range(12)]
+    new = ["(974) 555-3436", "555-713-2044", "974.555.3436"]
+    texts = (seeds + [f"please call {n} tonight or later" for n in new] + [f"order {n} shipped" for n in new[:1]]
+             + ["other 2024-01-02 words", "please call ab12cd34 tonight"])
+    got = by_id(pii.digest(pii.pii_spans(docs(spark, texts))))
+    assert [got[i]["spans"] for i in range(12)] == ["phone:12:29"] * 12
+    for i, n in enumerate(new, 12):
+        assert got[i]["spans"] == f"phone:12:{12 + len(n)}" and got[i]["n_phone"] == 0
+    assert [got[i]["spans"] for i in (15, 16, 17)] == ["phone:6:20", "", ""]  # a found value counts everywhere
+    text = by_id(pii.redact(docs(spark, texts)))
+    assert [text[i]["text"] for i in range(15)] == ["please call [PHONE] tonight or later"] * 15
+
+
 def test_odd_rows_and_digest(spark):
     texts = odd_texts() + ["mail a@b.co, 1.2.3.4", "mail a@b.co, 1.2.3.4"]
     got = by_id(pii.digest(pii.pii_spans(docs(spark, texts))))
