@@ -6,8 +6,9 @@ patterns: the word before it or the word after it, with the token's coarse class
 (address, digits or mixed), so that a format which no base rule knows is found.
 Rounds of scoring run over the pattern-instance graph in Spark: a pattern's
 confidence for a kind is the share of its distinct instances that belong to
-the kind; an instance that several confident patterns agree on joins the kind
-and counts in the next round. Occurrences accepted that way are added spans;
+the kind; an instance whose confident patterns agree to a noisy-or score of at
+least ``min_score`` joins the kind and counts in the next round. Rounds go on
+until one accepts nothing. Occurrences accepted that way are added spans;
 base spans stay, and an added span never overlaps one.
 
 Defined results
@@ -167,20 +168,24 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), _SCAN, judge)
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = 3, min_seeds: int = 4, min_confidence: float = 0.75) -> DataFrame:
+def bootstrap(occurrences: DataFrame, max_rounds: int = 200, min_seeds: int = 4, min_confidence: float = 0.75,
+              min_score: float = 0.9) -> DataFrame:
     """Kinds of unseen values: rows (value, class, kind) accepted by confident patterns.
 
     ``occurrences`` holds (value, class, left, right, kind), kind null where unseen.
+    Rounds end when one accepts no further value; ``max_rounds`` guards against
+    endless runs and raises, it never truncates.
     """
     edges = saved(
         occurrences.select("value", "class", "kind", F.explode(F.array(
             F.concat(F.lit("< "), "left"), F.concat(F.lit("> "), "right"))).alias("word"))
+        .where(~F.col("word").isin("< ^", "> $"))  # the ends of a text are no words
         .groupBy("word", "class", "value").agg(F.min("kind").alias("kind")), "pii-edges")
     joined = None
     order = F.when(F.col("kind") == KINDS[0], 0)
     for i, k in enumerate(KINDS[1:], 1):
         order = order.when(F.col("kind") == k, i)
-    for turn in range(rounds):
+    for turn in range(max_rounds):
         known = edges if joined is None else edges.join(
             joined.withColumnRenamed("kind", "won"), ["value", "class"], "left").select(
             "word", "class", "value", F.coalesce("kind", "won").alias("kind"))
@@ -196,11 +201,14 @@ def bootstrap(occurrences: DataFrame, rounds: int = 3, min_seeds: int = 4, min_c
         # noisy-or over the patterns that hold the value
         scored = (unseen.join(patterns, ["word", "class"]).groupBy("value", "class", "kind")
                   .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
-                  .withColumn("place", order)
+                  .where(F.col("score") >= min_score).withColumn("place", order)
                   .groupBy("value", "class")
                   .agg(F.max_by("kind", F.struct(F.col("score"), (-F.col("place")).alias("place"))).alias("kind")))
-        joined = saved(scored if joined is None else joined.unionByName(scored), f"pii-round{turn}")
-    return joined
+        scored = saved(scored, f"pii-round{turn}")
+        if scored.isEmpty():
+            return scored if joined is None else joined
+        joined = scored if joined is None else saved(joined.unionByName(scored), f"pii-joined{turn}")
+    raise RuntimeError(f"contextual extraction did not settle in {max_rounds} rounds")
 
 
 _DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"

@@ -65,6 +65,26 @@ def test_unseen_formats_are_found_by_their_context(spark):
     assert [text[i]["text"] for i in range(15)] == ["please call [PHONE] tonight or later"] * 15
 
 
+def test_rounds_go_on_to_the_last_hop(spark):
+    hops, texts, unseen = 5, [], {}
+    for h in range(hops):  # without the value of the hop before, 8 of 11 are too few
+        values = [f"seed{h}x{i}@mail.org" for i in range(9 if h == 0 else 8)] + [f"new{h}x{i}@host" for i in range(2)]
+        values += [f"new{h - 1}x0@host"] if h else []
+        for v in values:
+            unseen[len(texts)] = v.endswith("@host")
+            texts.append(f"left{h} {v} right{h}")
+    got = by_id(pii.digest(pii.pii_spans(docs(spark, texts))))
+    assert all(got[i]["spans"] == f"email:6:{6 + len(texts[i].split()[1])}" for i in unseen)
+    assert sum(unseen.values()) == 14 and all(got[i]["n_email"] == 0 for i in unseen if unseen[i])
+
+
+def test_one_weak_pattern_is_not_enough(spark):
+    texts = [f"write w{i}@mail.org r{i}" for i in range(6)] + ["write some1@host q1", "write some2@host q2"]  # 6 of 8
+    texts += [f"seed{i}@mail.org" for i in range(9)] + ["alone@host"]  # only the ends of the text around it
+    got = by_id(pii.digest(pii.pii_spans(docs(spark, texts))))
+    assert [got[i]["spans"] for i in (6, 7, 17)] == [""] * 3
+
+
 def test_odd_rows_and_digest(spark):
     texts = odd_texts() + ["mail a@b.co, 1.2.3.4", "mail a@b.co, 1.2.3.4"]
     got = by_id(pii.digest(pii.pii_spans(docs(spark, texts))))
