@@ -117,6 +117,11 @@ def class_of(value: str) -> str:
     return "mixed" if _LETTER.search(value) else "digits"
 
 
+def key_of(token: str) -> str:
+    """The token, or a 128-bit hash of the whole of a long one, apart from any token by its line feed."""
+    return token if len(token) <= 40 else "\n" + hashlib.blake2b(token.encode(), digest_size=16).hexdigest()
+
+
 def instances(text: str | None, base):
     """Identifier-like tokens with their context: (start, end, value, class, left, right, kind of the base span or None)."""
     if not text or not ("@" in text or _DIGIT.search(text)):
@@ -145,9 +150,9 @@ def instances(text: str | None, base):
         while at < len(by_start) and by_start[at][1] <= start:
             at += 1
         kind = next((k for s, e, k in by_start[at:at + 8] if s < end and start < e), None)
-        left = tokens[first - 1][2].lower()[:40] if first else "^"
-        right = tokens[i][2].lower()[:40] if i < len(tokens) else "$"
-        out.append((start, end, value[:80], class_of(value), left, right, kind))
+        left = key_of(tokens[first - 1][2].lower()) if first else "^"
+        right = key_of(tokens[i][2].lower()) if i < len(tokens) else "$"
+        out.append((start, end, key_of(value), class_of(value), left, right, kind))
     return out
 
 

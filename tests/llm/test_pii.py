@@ -85,6 +85,13 @@ def test_one_weak_pattern_is_not_enough(spark):
     assert [got[i]["spans"] for i in (6, 7, 17)] == [""] * 3
 
 
+def test_long_values_with_one_start_are_told_apart(spark):
+    twins = ["x" * 90 + end + "@host" for end in "ab"]
+    texts = [f"write w{i}@mail.org soon" for i in range(12)] + [f"write {twins[0]} soon", f"path {twins[1]} here"]
+    got = by_id(pii.digest(pii.pii_spans(docs(spark, texts))))
+    assert [got[i]["spans"] for i in (12, 13)] == ["email:6:102", ""]
+
+
 def test_odd_rows_and_digest(spark):
     texts = odd_texts() + ["mail a@b.co, 1.2.3.4", "mail a@b.co, 1.2.3.4"]
     got = by_id(pii.digest(pii.pii_spans(docs(spark, texts))))
