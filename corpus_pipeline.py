@@ -29,11 +29,15 @@ def language(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near copies stays, the one with the smallest id.
 
+    Texts that share that id and the group are told apart by their hashes.
     Rows without an id cannot be told apart and all stay.
     """
     docs = docs.select(*COLUMNS)
-    kept = simhash.simhash(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    leads = simhash.grouped(docs, marked=True).where("doc_id = component_id")
+    kept = leads.groupBy("cluster").agg(F.min(F.struct("print", "doc_id", "mark")).alias("lead")).select(
+        "lead.doc_id", F.col("lead.mark").alias("mark_"))
+    named = (docs.where("doc_id IS NOT NULL").withColumn("mark_", F.xxhash64("text"))
+             .join(kept, ["doc_id", "mark_"], "left_semi").dropDuplicates(["doc_id", "mark_"]))
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -54,13 +54,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, print): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, marked: bool = False) -> DataFrame:
+    """(doc_id, print): the fingerprint as a signed long; with ``marked`` also mark, xxhash64 of the text."""
+    own = ["doc_id", "mark"] if marked else ["doc_id"]
+
     def judge(batch):
         values = np.fromiter((fingerprint(t.as_py(), width) for t in batch["text"]), np.uint64, len(batch))
-        return batch["doc_id"], values.view(np.int64)
+        return *[batch[c] for c in own], values.view(np.int64)
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, print long", judge)
+    return map_rows(docs.withColumn("mark", F.xxhash64("text")).select(*own, "text"),
+                    ", ".join(f"{c} long" for c in [*own, "print"]), judge)
 
 
 def _masks(blocks: int, max_bits: int):
@@ -119,16 +122,22 @@ def near_links(prints: DataFrame, max_bits: int = 3, blocks: int = 5, tile: int
     return tiles.groupBy("mask", "part", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
 
 
-def simhash(docs: DataFrame, width: int = 3, max_bits: int = 3, blocks: int = 5) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
-    prints = saved(fingerprints(docs, width).distinct(), "prints")
+def grouped(docs: DataFrame, width: int = 3, max_bits: int = 3, blocks: int = 5, marked: bool = False) -> DataFrame:
+    """The columns of ``fingerprints`` with ``cluster``, one print a component, and its smallest id ``component_id``."""
+    prints = saved(fingerprints(docs, width, marked).distinct(), "prints")
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
     near = components(near_links(classes.select("print"), max_bits, blocks), "simhash")
     merged = (near.join(classes, near["node"] == classes["print"])
               .select("component", "first", "print"))
     # the smallest document of a component, then of each of its fingerprints
     smallest = merged.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_print = classes.join(merged.join(smallest, "component").select("print", "component_id"), "print", "left")
-    of_print = of_print.select("print", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(of_print, "print").select(
+    of_print = classes.join(merged.join(smallest, "component").select("print", "component", "component_id"), "print", "left")
+    of_print = of_print.select("print", F.coalesce("component", "print").alias("cluster"),
+                               F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(of_print, "print")
+
+
+def simhash(docs: DataFrame, width: int = 3, max_bits: int = 3, blocks: int = 5) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
+    return grouped(docs, width, max_bits, blocks).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -33,6 +33,17 @@ def test_stage_decisions(spark):
     assert masked[0]["text"] == text
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    a, *rest = [" ".join(f"{w}{i * j}" for i in range(1, 60)) for j, w in enumerate(["tree", "stone", "cloud", "river"], 1)]
+    rows = [(3, a), (7, a), (7, rest[0]), (9, rest[1]), (9, rest[2]), (9, rest[2])]
+    frame = None
+    for i, t in rows:
+        one = docs(spark, [t], first=i)
+        frame = one if frame is None else frame.unionByName(one)
+    got = sorted((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, frame, SF).collect())
+    assert got == sorted([(3, a), (7, rest[0]), (9, rest[1]), (9, rest[2])])
+
+
 def test_run_equals_its_stages(spark):
     """run() is the stages one after another; each has a brute-force test of its own."""
     whole = cp.run(spark, SF).collect()
