@@ -10,6 +10,7 @@ from kontor.llm.packing import best_fit_packing
 from kontor.llm.quality import quality
 from kontor.llm.simhash import simhash
 from kontor.llm.suffix_dedup import suffix_dedup
+from kontor.llm.token_alignment import token_alignment
 from kontor.llm.toxicity import toxicity
 
 
@@ -54,6 +55,10 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return token_alignment(table(spark, sf_dir, "documents"))
+
+
 def queries():
     import corpus_pipeline
 
@@ -68,6 +73,7 @@ def queries():
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
+        "op11_token_alignment": op11_token_alignment,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -48,7 +48,7 @@ def map_rows(df: DataFrame, schema: str, judge) -> DataFrame:
     return df.mapInArrow(rows, schema)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to a folder of its own under ``spark.checkpoint.dir`` and read it back.
 
     Cuts lineage like ``checkpoint()``, but as Parquet: a lost executor costs a
@@ -57,7 +57,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kontor-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
