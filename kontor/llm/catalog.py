@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kontor.llm import mixing, pii, url_filter
+from kontor.llm import licenses, mixing, pii, url_filter
 from kontor.llm.common import table
 from kontor.llm.embedding_dups import embedding_duplicates
 from kontor.llm.language_id import language_id
@@ -59,6 +59,10 @@ def op11_token_alignment(spark, sf_dir):
     return token_alignment(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries():
     import corpus_pipeline
 
@@ -74,6 +78,7 @@ def queries():
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
         "op11_token_alignment": op11_token_alignment,
+        "op12_license_scan": op12_license_scan,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -82,4 +87,5 @@ def oracle_sql():
     return {
         "op2_url_filter": url_filter.ORACLE,
         "op10_mixing": mixing.oracle(),
+        "op12_license_scan": licenses.oracle(),
     }
