@@ -9,6 +9,7 @@ from kontor.llm.language_id import language_id
 from kontor.llm.packing import best_fit_packing
 from kontor.llm.quality import quality
 from kontor.llm.simhash import simhash
+from kontor.llm.spelling import spelling_variants
 from kontor.llm.suffix_dedup import suffix_dedup
 from kontor.llm.token_alignment import token_alignment
 from kontor.llm.toxicity import toxicity
@@ -63,6 +64,10 @@ def op12_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries():
     import corpus_pipeline
 
@@ -79,6 +84,7 @@ def queries():
         "op10_mixing": op10_mixing,
         "op11_token_alignment": op11_token_alignment,
         "op12_license_scan": op12_license_scan,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
