@@ -12,25 +12,17 @@ from __future__ import annotations
 from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import money as M
-from kontor.operators.sweep import BY_RANGE, HOT_THRESHOLD, interval_allocate, running, running_sum, split_hot
+from kontor.operators.sweep import RANGE, RANGE_ROWS, SPLIT, match_intervals, ranged, running, running_sum, same_keys
+from kontor.session import stored
 from kontor.sources.schemas import ENUMS, MONEY, QTY
 
 QTY_SUM = "DECIMAL(30,6)"
 
 
-def _bucket(order: list[str], bucket: str | None) -> str | None:
-    """Bucket for two-phase running sums: the leading sort key is monotone in the
-    order by definition, so it is a valid split when there is a tie-breaker;
-    a single order column (insertion order, by id) is split by ranges of it."""
-    if bucket == "auto":
-        return order[0] if len(order) > 1 else BY_RANGE
-    return bucket
-
-
 # --- T3 stock quantities ---------------------------------------------------------
 
 def stock_legs(moves: DataFrame) -> DataFrame:
@@ -103,30 +95,30 @@ def _stock_delta(moves: DataFrame) -> DataFrame:
     return moves.withColumn("_delta", F.when(F.col("is_posted"), delta).otherwise(F.lit(0)).cast(QTY_SUM))
 
 
-def costed_receipts(moves: DataFrame, order: list[str], bucket: str | None = "auto") -> DataFrame:
+def costed_receipts(moves: DataFrame, order: list[str], range_rows: int | None = RANGE_ROWS) -> DataFrame:
     """Posted purchase receipts with a cost, each with Q = product stock before it.
 
     Q sums the signed deltas of all earlier posted moves of the product (all
     locations) -- the stock trigger of this move has not run yet when the cost
-    trigger reads it. Q does not depend on the cost, so it is a running sum.
+    trigger reads it. Q does not depend on the cost, so it is a running sum,
+    split into ranges of moves.
     """
-    bucket = _bucket(order, bucket)
     keep = ["id", "product_id", "move_type", "quantity", "unit_cost", "is_posted", "from_location_id",
             "to_location_id"]
-    keep += [c for c in dict.fromkeys(order + ([bucket] if bucket and bucket != BY_RANGE else [])) if c not in keep]
-    m = _stock_delta(moves.select(*keep))
-    m = running_sum(m, ["product_id"], order, "_delta", "qty_before", bucket=bucket, exclusive=True)
+    keep += [c for c in order if c not in keep]
+    m = ranged(_stock_delta(moves.select(*keep)), ["product_id"], order, range_rows)
+    m = running_sum(m, ["product_id"], order, "_delta", "qty_before", bucket=RANGE, exclusive=True)
     return m.filter((F.col("move_type") == "purchase_receipt") & F.col("is_posted") & (F.col("unit_cost") > 0))
 
 
 _FOLD_SCHEMA = ("product_id BIGINT, move_id BIGINT, average_cost DECIMAL(20,4), last_purchase_price DECIMAL(20,4), "
-                "seg BIGINT, step BIGINT")
+                "seg BIGINT, chunk INT, step BIGINT")
 _CTX = Context(prec=60)
 _Q4 = Decimal("0.0001")
 
 
 def _fold_partitions(batches):
-    """Streamed weighted-average fold over rows sorted by (product, segment, order).
+    """Streamed weighted-average fold over rows sorted by (product, segment, chunk, order).
 
     State is one (key, cost) pair carried across Arrow batches, so a segment
     of any length is processed without being collected into memory.
@@ -134,11 +126,13 @@ def _fold_partitions(batches):
     key, cost, step = None, None, 0
     for pdf in batches:
         out_pid, out_id, out_cost, out_last, out_seg, out_step = [], [], [], [], [], []
-        for pid, seg, mid, qb, q, c, init in zip(pdf["product_id"], pdf["seg"], pdf["id"],
-                                                 pdf["qty_before"], pdf["quantity"], pdf["unit_cost"],
-                                                 pdf["init_cost"]):
-            if (pid, seg) != key:
-                key, step = (pid, seg), 0
+        chunks = pdf["chunk"].astype("Int32")
+        for pid, seg, chunk, mid, qb, q, c, init in zip(pdf["product_id"], pdf["seg"], chunks, pdf["id"],
+                                                        pdf["qty_before"], pdf["quantity"], pdf["unit_cost"],
+                                                        pdf["init_cost"]):
+            own = (pid, seg, None if chunk is pd.NA else chunk)
+            if own != key:
+                key, step = own, 0
                 cost = init if init is not None and not pd.isna(init) else Decimal(0)
             step += 1
             den = _CTX.add(qb, q)
@@ -154,26 +148,26 @@ def _fold_partitions(batches):
             out_seg.append(seg)
             out_step.append(step)
         yield pd.DataFrame({"product_id": out_pid, "move_id": out_id, "average_cost": out_cost,
-                            "last_purchase_price": out_last, "seg": out_seg, "step": out_step})
+                            "last_purchase_price": out_last, "seg": out_seg, "chunk": chunks, "step": out_step})
 
 
-def _segment_receipts(moves: DataFrame, products: DataFrame, order: list[str], bucket: str | None) -> DataFrame:
+def _segment_receipts(moves: DataFrame, products: DataFrame, order: list[str],
+                      range_rows: int | None) -> DataFrame:
     """Costed receipts with Q, their reset segment and the starting cost of segment 0."""
-    r = costed_receipts(moves, order, bucket)
-    bucket = _bucket(order, bucket)
+    r = costed_receipts(moves, order, range_rows)
     den = F.col("qty_before") + F.col("quantity")
     r = r.withColumn("_reset", F.when((F.col("qty_before") == 0) | (den <= 0), 1).otherwise(0))
-    r = running_sum(r, ["product_id"], order, "_reset", "seg", bucket=bucket)
+    r = running_sum(r, ["product_id"], order, "_reset", "seg", bucket=RANGE)
     init = products.select(F.col("id").alias("product_id"), F.col("average_cost").alias("_start"))
     return (r.join(init, "product_id", "left")
-            .withColumn("init_cost", F.when(F.col("seg") == 0, F.col("_start")))
-            .select("product_id", F.col("seg").cast("bigint").alias("seg"), "id", "qty_before", "quantity",
-                    "unit_cost", "init_cost", *[c for c in order if c != "id"]))
+            .withColumn("init_cost", F.when(F.col("seg") == 0, F.coalesce("_start", F.lit(0).cast(MONEY))))
+            .select("product_id", F.col("seg").cast("bigint").alias("seg"), F.col(RANGE).alias("chunk"), "id",
+                    "qty_before", "quantity", "unit_cost", "init_cost", *[c for c in order if c != "id"]))
 
 
 def moving_average_cost(moves: DataFrame, products: DataFrame, order: list[str] | None = None,
-                        bucket: str | None = "auto", keep_position: bool = False,
-                        hot_threshold: int = HOT_THRESHOLD) -> DataFrame:
+                        keep_position: bool = False, range_rows: int | None = RANGE_ROWS,
+                        parallel: bool = False) -> DataFrame:
     """Average cost after every costed receipt (T4), per receipt, in insertion order.
 
     A' = (Q*A + q*c) / (Q + q) if Q + q > 0 else c, rounded to 4 d.p. at each
@@ -183,27 +177,130 @@ def moving_average_cost(moves: DataFrame, products: DataFrame, order: list[str]
     segment). Only segment 0 depends on the product's starting cost. Within
     a segment the fold is sequential by definition (rounding at each step),
     and runs as a streamed ``mapInPandas`` over sorted rows.
+
+    ``parallel`` also cuts a segment at the ranges of its product's moves and
+    folds the chunks side by side from guessed starting costs, which are then
+    repaired until they are exact (``chunk_starts``). The result is the same;
+    it costs some jobs that run while the plan is built, and spreads a product
+    that never resets over all cores.
     """
     order = order or ["id"]
-    hot, cold = split_hot(moves, ["product_id"], hot_threshold)
-    r = _segment_receipts(cold, products, order, None)
-    if hot is not None:
-        r = r.unionByName(_segment_receipts(hot, products, order, bucket))
+    r = _segment_receipts(moves, products, order, range_rows)
+    chunk = ["product_id", "seg", "chunk"]
+    if parallel:
+        starts = chunk_starts(r, order)
+        r = (r.join(starts.select(*[F.col(c).alias(f"_s_{c}") for c in chunk], "start"),
+                    same_keys(chunk, [f"_s_{c}" for c in chunk]), "left")
+             .withColumn("init_cost", F.coalesce("start", "init_cost")))
+    else:
+        r = r.withColumn("chunk", F.lit(None).cast("int"))
     # no explicit partition count: AQE sizes the shuffle from the data
-    sorted_r = (r.repartition("product_id", "seg")
-                .sortWithinPartitions("product_id", "seg", *order)
-                .select("product_id", "seg", "id", "qty_before", "quantity", "unit_cost", "init_cost"))
-    return sorted_r.mapInPandas(_fold_partitions, _FOLD_SCHEMA).drop("seg", "step") if not keep_position \
-        else sorted_r.mapInPandas(_fold_partitions, _FOLD_SCHEMA)
+    steps = (r.repartition(*chunk).sortWithinPartitions(*chunk, *order)
+             .select(*chunk, "id", "qty_before", "quantity", "unit_cost", "init_cost")
+             .mapInPandas(_fold_partitions, _FOLD_SCHEMA))
+    return steps if keep_position else steps.drop("seg", "chunk", "step")
+
+
+_CHUNK_SCHEMA = ("product_id BIGINT, seg BIGINT, chunk INT, first_cost DECIMAL(20,4), a DOUBLE, b DOUBLE")
+_END_SCHEMA = "product_id BIGINT, seg BIGINT, chunk INT, end DECIMAL(20,4)"
+
+
+def _chunk_maps(batches):
+    """Each chunk without its rounding: the cost after it is about a * (cost before it) + b."""
+    key, a, b, first = None, 1.0, 0.0, None
+
+    def row():
+        return pd.DataFrame({"product_id": [key[0]], "seg": [key[1]], "chunk": pd.array([key[2]], "Int32"),
+                             "first_cost": [first], "a": [a], "b": [b]})
+
+    for pdf in batches:
+        for pid, seg, chunk, qb, q, c, init in zip(pdf["product_id"], pdf["seg"], pdf["chunk"], pdf["qty_before"],
+                                                   pdf["quantity"], pdf["unit_cost"], pdf["init_cost"]):
+            own = (pid, seg, None if pd.isna(chunk) else int(chunk))
+            if own != key:
+                if key is not None:
+                    yield row()
+                key, a, b, first = own, 1.0, 0.0, init
+            total = float(qb) + float(q)
+            keep = float(qb) / total if qb and total > 0 else 0.0
+            a, b = a * keep, b * keep + float(c) * (1.0 - keep)
+    if key is not None:
+        yield row()
+
+
+def _next_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Starting costs of the chunks of one segment, in order (one row a chunk).
+
+    Before the first fold ``start`` is missing and the maps are chained. After
+    it the next start is the end that was reached, moved by the slope of the
+    chunk where its own start moves.
+    """
+    pdf = pdf.sort_values("chunk")
+    first = pdf["first_cost"].iat[0]
+    exact = Decimal(0) if first is None or pd.isna(first) else first
+    start, starts = exact, []
+    for a, b, was, end in zip(pdf["a"], pdf["b"], pdf["start"], pdf["end"]):
+        starts.append(start)
+        if was is None or pd.isna(was):
+            start = Decimal(repr(a * float(start) + b)).quantize(_Q4, rounding=ROUND_HALF_UP)
+        elif start == was:
+            start = end
+        else:
+            start = (end + Decimal(repr(a)) * (start - was)).quantize(_Q4, rounding=ROUND_HALF_UP)
+    return pdf.assign(due=starts)[["product_id", "seg", "chunk", "first_cost", "a", "b", "start", "end", "due"]]
+
+
+def _chunk_ends(batches):
+    """The exact cost after each chunk, from its starting cost."""
+    key, last = None, None
+    for pdf in _fold_partitions(batches):
+        ends = pdf.groupby(["product_id", "seg", "chunk"], dropna=False, sort=False)["average_cost"].last().reset_index()
+        for pid, seg, chunk, cost in zip(ends["product_id"], ends["seg"], ends["chunk"], ends["average_cost"]):
+            if key is not None and (pid, seg, chunk) != key:
+                yield pd.DataFrame({"product_id": [key[0]], "seg": [key[1]], "chunk": [key[2]], "end": [last]})
+            key, last = (pid, seg, chunk), cost
+    if key is not None:
+        yield pd.DataFrame({"product_id": [key[0]], "seg": [key[1]], "chunk": [key[2]], "end": [last]})
+
+
+def chunk_starts(receipts: DataFrame, order: list[str]) -> DataFrame:
+    """(product_id, seg, chunk, start): the exact cost before every chunk of the segments that have several.
+
+    Without rounding a chunk maps the cost before it to a * cost + b, so chaining
+    the chunks' maps (one row each) guesses every start to within the rounding.
+    Then all chunks are folded exactly from their guesses. Where a chunk's end
+    is not the next one's start, the starts are corrected along the chain, with
+    the maps' slopes, and only chunks with a new start are folded again. Once
+    no start changes, all are exact, because the first one is and each end
+    follows from its start. Every round makes at least one more chunk exact.
+    """
+    chunk = ["product_id", "seg", "chunk"]
+    rows = stored(receipts.where("chunk IS NOT NULL").select(
+        *chunk, *[c for c in order if c != "id"], "id", "qty_before", "quantity", "unit_cost", "init_cost"), "chunk_rows")
+    given = ["id", "qty_before", "quantity", "unit_cost", "init_cost"]
+    known = (rows.repartition(*chunk).sortWithinPartitions(*chunk, *order).select(*chunk, *given)
+             .mapInPandas(_chunk_maps, _CHUNK_SCHEMA)
+             .withColumn("start", F.lit(None).cast(MONEY)).withColumn("end", F.lit(None).cast(MONEY)))
+    while True:
+        known = stored(known.groupBy("product_id", "seg").applyInPandas(
+            _next_starts, _CHUNK_SCHEMA + ", start DECIMAL(20,4), end DECIMAL(20,4), due DECIMAL(20,4)"), "chunks")
+        moved = known.where("NOT (due <=> start)")
+        if moved.isEmpty():
+            return known.select(*chunk, "start")
+        folded = (rows.drop("init_cost").join(moved.select(*chunk, F.col("due").alias("init_cost")), chunk)
+                  .repartition(*chunk).sortWithinPartitions(*chunk, *order).select(*chunk, *given)
+                  .mapInPandas(_chunk_ends, _END_SCHEMA))
+        known = (moved.drop("start", "end").withColumnRenamed("due", "start").join(folded, chunk)
+                 .unionByName(known.where("due <=> start").drop("due")))
 
 
 def product_costs(moves: DataFrame, products: DataFrame, order: list[str] | None = None,
-                  hot_threshold: int = HOT_THRESHOLD) -> DataFrame:
+                  range_rows: int | None = RANGE_ROWS, parallel: bool = False) -> DataFrame:
     """Products with average_cost / last_purchase_price after replaying the moves."""
     order = order or ["id"]
-    steps = moving_average_cost(moves, products, order, keep_position=True, hot_threshold=hot_threshold)
-    # (segment, step) is the replay position, so the last step needs no re-join with the moves
-    last = (steps.withColumn("_ord", F.struct("seg", "step"))
+    steps = moving_average_cost(moves, products, order, True, range_rows, parallel)
+    # (segment, chunk, step) is the replay position, so the last step needs no re-join with the moves
+    last = (steps.withColumn("_ord", F.struct("seg", "chunk", "step"))
             .groupBy("product_id")
             .agg(F.max_by("average_cost", "_ord").alias("_avg"),
                  F.max_by("last_purchase_price", "_ord").alias("_last")))
@@ -215,51 +312,42 @@ def product_costs(moves: DataFrame, products: DataFrame, order: list[str] | None
 
 # --- FIFO cost layers (W3) ------------------------------------------------------------
 
-def fifo_satisfied(moves: DataFrame, order: list[str], bucket: str | None = None) -> DataFrame:
-    """Per posted issue: the quantity FIFO can cover from layers received before it.
+def fifo_positions(moves: DataFrame, order: list[str], range_rows: int | None = RANGE_ROWS) -> DataFrame:
+    """Posted receipts and deliveries with their places on the queue axis of their product.
 
-    With R = receipts so far and Q = issues so far (both in insertion order),
-    the consumed position on the receipt axis after issue j is
-    C_j = Q_j + min(0, min_{k<=j}(R_k - Q_k)) -- each issue takes what is on
-    hand and the rest is a shortfall that later receipts do not backfill.
+    ``_R`` and ``_Q`` are receipts and issues so far, ``_nr`` and ``_nq`` their
+    numbers (insertion order). The consumed position on the receipt axis after
+    issue j is C_j = Q_j + min(0, min_{k<=j}(R_k - Q_k)) -- each issue takes what
+    is on hand and the rest is a shortfall that later receipts do not backfill.
     Running sums plus a running minimum: window aggregates, no per-row loop.
+    ``_end`` is R after a receipt and C after an issue, ``satisfied`` what an
+    issue takes.
     """
     extra = [c for c in order if c != "id"]
+    own = [c for c in ("to_location_id", "move_date", "unit_cost") if c not in extra]
+    issue = F.col("move_type") == "sale_delivery"
+    zero = F.lit(0).cast(QTY_SUM)
     m = (moves.filter(F.col("is_posted") & F.col("move_type").isin("purchase_receipt", "sale_delivery"))
-         .select("product_id", "id", *extra, "move_type", "quantity"))
-    rec = F.when(F.col("move_type") == "purchase_receipt", F.col("quantity")).otherwise(F.lit(0)).cast(QTY_SUM)
-    iss = F.when(F.col("move_type") == "sale_delivery", F.col("quantity")).otherwise(F.lit(0)).cast(QTY_SUM)
-    m = m.withColumn("_rq", rec).withColumn("_iq", iss)
-    m = running(m, ["product_id"], order, [("_R", "_rq", "sum"), ("_Q", "_iq", "sum")], bucket)
-    issues = (m.filter(F.col("move_type") == "sale_delivery")
-              .withColumn("_D", (F.col("_R") - F.col("_Q")).cast("DECIMAL(31,6)")))
-    # running minimum of R - Q over earlier issues (two-phase when bucketed)
-    issues = running(issues, ["product_id"], order, [("_m_ex", "_D", "min")], bucket, exclusive=True)
-    zero = F.lit(0)
-    m_in = F.least(F.col("_m_ex"), F.col("_D"))
-    sat = F.col("quantity") + F.least(zero, m_in) - F.least(zero, F.coalesce(F.col("_m_ex"), zero))
-    return issues.select("product_id", F.col("id").alias("issue_id"), *extra, "quantity",
-                         sat.cast(QTY_SUM).alias("satisfied"))
-
-
-def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None, bucket: str | None = "auto",
-                         hot_threshold: int = HOT_THRESHOLD,
-                         rows_per_bucket: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """FIFO at product level (see ``_fifo``). Products with more than
-    ``hot_threshold`` moves take the skew-safe two-phase plan, the others the
-    plain per-product windows; the results are unioned."""
-    order = order or ["id"]
-    m = moves.filter(F.col("is_posted") & F.col("move_type").isin("purchase_receipt", "sale_delivery"))
-    hot, cold = split_hot(m, ["product_id"], hot_threshold)
-    alloc, layers = _fifo(cold, order, None, None)
-    if hot is not None:
-        a_hot, l_hot = _fifo(hot, order, _bucket(order, bucket), rows_per_bucket)
-        alloc, layers = alloc.unionByName(a_hot), layers.unionByName(l_hot)
-    return alloc, layers
-
-
-def _fifo(moves: DataFrame, order: list[str], bucket: str | None,
-          rows_per_bucket: int | None) -> tuple[DataFrame, DataFrame]:
+         .select("product_id", "id", *extra, *own, issue.alias("issue"), "quantity"))
+    m = ranged(m, ["product_id"], order, range_rows)
+    m = (m.withColumn("_rq", F.when(F.col("issue"), zero).otherwise(F.col("quantity")).cast(QTY_SUM))
+         .withColumn("_iq", F.when(F.col("issue"), F.col("quantity")).otherwise(zero).cast(QTY_SUM))
+         .withColumn("_r1", F.when(F.col("issue"), 0).otherwise(1).cast("bigint"))
+         .withColumn("_i1", F.when(F.col("issue"), 1).otherwise(0).cast("bigint")))
+    m = running(m, ["product_id"], order, [("_R", "_rq", "sum"), ("_Q", "_iq", "sum"), ("_nr", "_r1", "sum"),
+                                           ("_nq", "_i1", "sum")], RANGE)
+    # receipts raise R - Q, so the minimum over issues is the minimum over all rows after an issue
+    m = m.withColumn("_D", F.when(F.col("issue"), F.col("_R") - F.col("_Q")).cast("DECIMAL(31,6)"))
+    m = running(m, ["product_id"], order, [("_m_ex", "_D", "min")], RANGE, exclusive=True)
+    low, low_ex = (F.least(F.lit(0), F.coalesce(c, F.lit(0))) for c in (F.least("_m_ex", "_D"), F.col("_m_ex")))
+    return m.select("product_id", "id", *extra, *own, "issue", "quantity", RANGE, SPLIT,
+                    F.when(F.col("issue"), F.col("_Q") + low).otherwise(F.col("_R")).cast(QTY_SUM).alias("_end"),
+                    F.when(F.col("issue"), F.col("_nq")).otherwise(F.col("_nr")).alias("_rank"),
+                    F.when(F.col("issue"), F.col("quantity") + low - low_ex).cast(QTY_SUM).alias("satisfied"))
+
+
+def fifo_layers_and_cogs(moves: DataFrame, order: list[str] | None = None,
+                         range_rows: int | None = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
     """FIFO at product level: receipts form layers, deliveries consume the oldest on hand.
 
     Our semantics (the data model only says layers are consumed FIFO): layers
@@ -270,43 +358,41 @@ def _fifo(moves: DataFrame, order: list[str], bucket: str | None,
     queue. Returns ``(allocations, layers)``: one allocation row per
     (issue, layer) overlap with ``allocated`` and ``cost``, plus a row with a
     NULL layer for each shortfall; layers carry ``remaining_qty`` and
-    ``total_cost`` = remaining x unit cost.
+    ``total_cost`` = remaining x unit cost. The queue positions, which all parts
+    of the result read, are written once under the checkpoint folder.
     """
-    extra = [c for c in order if c != "id"]
-    posted = moves.filter(F.col("is_posted"))
-    layers = posted.filter(F.col("move_type") == "purchase_receipt").select(
-        "product_id", F.col("id").alias("stock_move_id"), *extra, F.col("to_location_id").alias("location_id"),
-        F.col("move_date").alias("received_date"), F.col("quantity").alias("original_qty"), "unit_cost",
-        F.col("id"))
-    sat = fifo_satisfied(moves, order, bucket).withColumn("id", F.col("issue_id"))
-    alloc = interval_allocate(layers, sat, ["product_id"], order, order, "original_qty", "satisfied",
-                              "stock_move_id", "issue_id", bucket=bucket, rows_per_bucket=rows_per_bucket,
-                              hot_threshold=None).filter(F.col("stock_move_id").isNotNull())
-    cost = layers.select("stock_move_id", "unit_cost")
+    order = order or ["id"]
+    places = stored(fifo_positions(moves, order, range_rows), "fifo_positions")
+    layers, issues = places.where("NOT issue"), places.where("issue")
+    alloc = match_intervals(layers.withColumnRenamed("id", "stock_move_id"), issues.withColumnRenamed("id", "issue_id"),
+                            ["product_id"], "stock_move_id", "issue_id").filter(F.col("stock_move_id").isNotNull())
+    cost = layers.select(F.col("id").alias("stock_move_id"), "unit_cost")
     alloc = (alloc.join(cost, "stock_move_id", "left")
              .withColumn("cost", M.qty_times_cost("allocated", "unit_cost"))
              .select("product_id", "issue_id", "stock_move_id", F.col("allocated").cast(QTY).alias("allocated"),
                      "cost"))
-    short = (sat.filter(F.col("quantity") > F.col("satisfied"))
-             .select("product_id", "issue_id", F.lit(None).cast("bigint").alias("stock_move_id"),
+    short = (issues.filter(F.col("quantity") > F.col("satisfied"))
+             .select("product_id", F.col("id").alias("issue_id"), F.lit(None).cast("bigint").alias("stock_move_id"),
                      (F.col("quantity") - F.col("satisfied")).cast(QTY).alias("allocated"),
                      F.lit(None).cast(MONEY).alias("cost")))
-    alloc = alloc.unionByName(short)
-    used = (alloc.filter(F.col("stock_move_id").isNotNull()).groupBy("stock_move_id")
-            .agg(F.sum("allocated").alias("_used")))
-    rem = (layers.join(used, "stock_move_id", "left")
-           .select(F.col("stock_move_id").alias("id"), "product_id", "location_id", "stock_move_id",
-                   "received_date", "original_qty",
-                   (F.col("original_qty") - F.coalesce("_used", F.lit(0))).cast(QTY).alias("remaining_qty"),
-                   "unit_cost"))
-    rem = rem.withColumn("total_cost", M.qty_times_cost("remaining_qty", "unit_cost"))
-    return alloc, rem
-
-
-def fifo_cogs(moves: DataFrame, order: list[str] | None = None, hot_threshold: int = HOT_THRESHOLD,
-              rows_per_bucket: int = 1_000_000) -> DataFrame:
+    # what is left of a layer follows from its place alone: consumption runs up to the last issue's end
+    used = issues.groupBy("product_id").agg(F.max("_end").alias("_used"))
+    begin = F.col("_end") - F.col("quantity")
+    left = F.col("quantity") - F.least(F.greatest(F.coalesce("_used", F.lit(0)) - begin, F.lit(0)), F.col("quantity"))
+    rem = (layers.join(used, "product_id", "left")
+           .select("id", "product_id", F.col("to_location_id").alias("location_id"), F.col("id").alias("stock_move_id"),
+                   F.col("move_date").alias("received_date"), F.col("quantity").alias("original_qty"),
+                   left.cast(QTY).alias("remaining_qty"), "unit_cost"))
+    return alloc.unionByName(short), rem.withColumn("total_cost", M.qty_times_cost("remaining_qty", "unit_cost"))
+
+
+def fifo_cogs(moves: DataFrame, order: list[str] | None = None, range_rows: int | None = RANGE_ROWS) -> DataFrame:
     """COGS per issue under FIFO; shortfall quantity reported separately."""
-    alloc, _ = fifo_layers_and_cogs(moves, order, hot_threshold=hot_threshold, rows_per_bucket=rows_per_bucket)
+    return issue_costs(fifo_layers_and_cogs(moves, order, range_rows)[0])
+
+
+def issue_costs(alloc: DataFrame) -> DataFrame:
+    """Allocations of ``fifo_layers_and_cogs`` per issue."""
     return alloc.groupBy("product_id", "issue_id").agg(
         F.sum(F.when(F.col("stock_move_id").isNotNull(), F.col("allocated"))).cast(QTY_SUM).alias("costed_qty"),
         F.sum(F.when(F.col("stock_move_id").isNull(), F.col("allocated"))).cast(QTY_SUM).alias("shortfall_qty"),
@@ -334,8 +420,8 @@ def location_queues(moves: DataFrame) -> DataFrame:
 def fifo_by_location(moves: DataFrame, order: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """W3 per (product, location) over all move types: (cost per issue, layers), as ``fifo_cogs`` and ``fifo_layers_and_cogs``."""
     queues = location_queues(moves)
-    cogs = fifo_cogs(queues, order, **options).select("product_id.*", "issue_id", "costed_qty", "shortfall_qty", "cogs")
-    _, layers = fifo_layers_and_cogs(queues, order, **options)
+    alloc, layers = fifo_layers_and_cogs(queues, order, **options)
+    cogs = issue_costs(alloc).select("product_id.*", "issue_id", "costed_qty", "shortfall_qty", "cogs")
     rest = [c for c in layers.columns if c not in ("id", "product_id", "location_id")]
     return cogs, layers.select("id", "product_id.*", *rest)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontor.operators.sweep import LEADING, interval_allocate
+from kontor.operators.sweep import interval_allocate
 
 AMOUNT_SUM = "DECIMAL(30,4)"
 
@@ -68,7 +68,7 @@ def payment_autoallocate(payments: DataFrame, invoices: DataFrame, invoice_type:
     dem = invoices.filter((F.col("type") == invoice_type) & ~F.col("status").isin("draft", "voided")).select(
         "contact_id", F.col("id").alias("invoice_id"), "invoice_date", F.col("total_amount").alias("_tot"))
     a = interval_allocate(sup, dem, ["contact_id"], ["payment_date", "payment_id"], ["invoice_date", "invoice_id"],
-                          "_amt", "_tot", "payment_id", "invoice_id", bucket=LEADING)
+                          "_amt", "_tot", "payment_id", "invoice_id")
     return a.select("contact_id", "payment_id", "invoice_id",
                     F.col("allocated").cast("DECIMAL(20,4)").alias("allocated_amount"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontor.operators.sweep import running
+from kontor.operators.sweep import RANGE, RANGE_ROWS, ranged, running
 
 
 def assign_document_numbers(docs: DataFrame, group_cols: list[str], order_cols: list[str], prefix_col: str,
@@ -51,18 +51,18 @@ def duplicate_rank(df: DataFrame, key_cols: list[str], order_cols: list[str]) ->
 
 
 def sequence_gaps(df: DataFrame, group_cols: list[str], number_col: str,
-                  bucket_width: int = 1_000_000) -> DataFrame:
+                  range_rows: int | None = RANGE_ROWS) -> DataFrame:
     """Consecutive document numbers per group with a gap (next - previous > 1).
 
     The previous number is a running maximum over smaller numbers, computed in
-    two phases bucketed by number range, so one large series (a company's
-    invoices) is spread over many tasks.
+    two phases over ranges of about equal numbers of rows, so one large series
+    (a company's invoices) is spread over many tasks however sparse its numbers are.
     """
     d = df.select(*group_cols, number_col).filter(F.col(number_col).isNotNull())
-    d = d.withColumn("_nb", F.floor(F.col(number_col) / F.lit(bucket_width)).cast("bigint"))
-    d = running(d, group_cols, [number_col], [("previous_number", number_col, "max")], bucket="_nb",
+    d = ranged(d, group_cols, [number_col], range_rows)
+    d = running(d, group_cols, [number_col], [("previous_number", number_col, "max")], bucket=RANGE,
                 exclusive=True)
-    return (d.drop("_nb")
+    return (d
             .filter(F.col(number_col) - F.col("previous_number") > 1)
             .select(*group_cols, "previous_number", F.col(number_col).alias("next_number"),
                     (F.col(number_col) - F.col("previous_number") - 1).alias("missing_count")))

@@ -10,14 +10,24 @@ by (key, bucket). A hot key is spread over as many tasks as it has buckets;
 the bucket must be monotone in the ordering (the leading sort key, e.g. a
 date).
 
+Without a natural bucket the rows of a key are cut at sampled quantiles of
+their own order (``ranged``): a hashed sample of the rows, so every range
+holds about the same number of rows whatever the values look like (dense
+ids, 60-bit hashes, one busy day), and the same cuts come out of every
+evaluation of the plan. A key of fewer rows than a range has no cut, and its
+range is NULL. Cuts are at most rows / range_rows, a proven bound, so they are
+broadcast, and so are the totals of the ranges. It is one plan for all keys:
+without a cut the broadcast is empty and adaptive execution drops the second
+phase.
+
 ``interval_allocate`` matches two ordered queues per key (receipt layers
 against issues, payments against invoices) without a range join and without
 a per-key global window. Both queues become cumulative intervals on one
 quantity axis; the distinct end points cut the axis into segments. The
 supply item covering a segment is ``1 + (number of supply ends before the
 segment end)`` in queue order, likewise for demand, so every segment is
-assigned by running counts -- bucketed along the axis for hot keys -- and an
-equi-join on (key, rank). No pair that does not overlap is ever formed.
+assigned by running counts, over ranges of the axis, and an equi-join on
+(key, rank). No pair that does not overlap is ever formed.
 """
 
 from __future__ import annotations
@@ -25,37 +35,91 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_RANGE = "#range"      # bucket the order column itself
-LEADING = "#leading"     # bucket each queue by its own leading order column
-RANGE_WIDTH = 1_000_000  # ids per range: what one task sorts of a hot key
+RANGE = "_range"         # number of the row's range among its key's rows, NULL where the key has one
+SPLIT = "_split"         # whether the key has several ranges
+RANGE_ROWS = 1_000_000   # rows per range: what one task sorts of a hot key
+SAMPLED = 64             # sampled rows per range
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def same_keys(left: list[str], right: list[str]):
+    """Equal keys; null keys are a group like any other."""
+    on = F.lit(True)
+    for a, b in zip(left, right):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
+
+
+def range_cuts(df: DataFrame, keys: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(_c_<key>..., _cuts): for each key of more than about ``range_rows`` rows, the sorted first rows of its
+    ranges but the first one.
+
+    Rows are sampled by a hash of key and order, ``SAMPLED`` for each range, so
+    the cuts are quantiles weighted by rows and the same on every evaluation.
+    """
+    per = max(min(SAMPLED, range_rows), 1)
+    rate = max(range_rows // per, 1)
+    sample = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(rate)) == 0)
+    cuts = F.filter(F.array_sort(F.collect_list(F.struct(*order))), lambda _, i: (i > 0) & (i % per == 0))
+    return (sample.groupBy(*[F.col(k).alias(f"_c_{k}") for k in keys]).agg(cuts.alias("_cuts"))
+            .where(F.size("_cuts") > 0))
+
+
+def _range_of(order: list[str]):
+    """Number of cuts at or before the row, by binary search; NULL without cuts."""
+    me = f"struct({', '.join(order)})"
+    return F.expr(f"""CASE WHEN _cuts IS NOT NULL THEN aggregate(
+        sequence(1, cast(ceil(log2(size(_cuts) + 1)) AS int)), named_struct('lo', 0, 'hi', size(_cuts)),
+        (s, i) -> IF(s.lo >= s.hi, s, IF(_cuts[cast((s.lo + s.hi) div 2 AS int)] <= {me},
+            named_struct('lo', cast((s.lo + s.hi) div 2 AS int) + 1, 'hi', s.hi),
+            named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 AS int)))), s -> s.lo) END""")
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str], range_rows: int | None = RANGE_ROWS) -> DataFrame:
+    """``df`` with the columns ``_range`` and ``_split``, see module doc; the range is monotone in ``order``.
+
+    ``range_rows`` None gives every key one range.
+    """
+    if range_rows is None:
+        return df.select("*", F.lit(None).cast("int").alias(RANGE), F.lit(False).alias(SPLIT))
+    return _cut(df, keys, order, range_cuts(df, keys, order, range_rows))
+
+
+def _cut(df: DataFrame, keys: list[str], order: list[str], cuts: DataFrame) -> DataFrame:
+    """``df`` with ``_range`` by the sorted ``cuts`` of each key: rows / range_rows in all, so they are broadcast."""
+    return (df.join(F.broadcast(cuts), same_keys(keys, [f"_c_{k}" for k in keys]), "left")
+            .select(*df.columns, _range_of(order).alias(RANGE), F.col("_cuts").isNotNull().alias(SPLIT)))
+
+
+def _offsets(df: DataFrame, keys: list[str], specs: list[tuple[str, str, str]], bucket: str) -> DataFrame:
+    """(_k_<key>..., _k_<bucket>, _o_<out>...): the aggregates of all earlier buckets of the key."""
+    part = keys + [bucket]
+    # the test of the joined column makes it an inner join, which an empty table of cuts empties
+    split = df.where(SPLIT) if bucket == RANGE else df
+    totals = split.groupBy(*part).agg(*[_AGG[fn](F.col(v)).alias(f"_t_{out}") for out, v, fn in specs])
+    wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*[F.col(k).alias(f"_k_{k}") for k in part],
+                         *[_AGG[fn](F.col(f"_t_{out}")).over(wb).alias(f"_o_{out}") for out, _, fn in specs])
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[str, str, str]],
             bucket: str | None = None, exclusive: bool = False) -> DataFrame:
     """Add running aggregates: ``specs`` = [(out, value column, 'sum'|'min'|'max')].
 
     Inclusive (rows up to this one) or ``exclusive`` (rows before it; NULL
-    when there are none). With ``bucket``: two phases, see module doc;
-    ``BY_RANGE`` buckets a single numeric order column by ranges of its values.
+    when there are none). With ``bucket``: two phases, see module doc; ``RANGE``
+    takes the ranges that ``ranged`` gave to ``df``.
     """
-    if bucket == BY_RANGE:
-        ranged = df.withColumn("_range", F.floor(F.col(order[0]) / F.lit(RANGE_WIDTH)).cast("bigint"))
-        return running(ranged, keys, order, specs, "_range", exclusive).drop("_range")
     end = -1 if exclusive else Window.currentRow
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.select("*", *[_AGG[fn](F.col(v)).over(w).alias(out) for out, v, fn in specs])
     part = keys + [bucket]
-    totals = df.groupBy(*part).agg(*[_AGG[fn](F.col(v)).alias(f"_t_{out}") for out, v, fn in specs])
-    wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in part],
-                            *[_AGG[fn](F.col(f"_t_{out}")).over(wb).alias(f"_o_{out}") for out, _, fn in specs])
-    same = F.lit(True)
-    for k in part:  # null keys are a group like any other
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = df.join(offsets, same, "left")
+    offsets = _offsets(df, keys, specs, bucket)
+    if bucket == RANGE:
+        offsets = F.broadcast(offsets)  # one row a range
+    joined = df.join(offsets, same_keys(part, [f"_k_{k}" for k in part]), "left")
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     cols = []
     for out, v, fn in specs:
@@ -81,88 +145,52 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     return r.withColumn(out, F.col(out) - F.col(value))
 
 
-HOT_THRESHOLD = 1_000_000
-
-
-def split_hot(df: DataFrame, keys: list[str], threshold: int = HOT_THRESHOLD
-              ) -> tuple[DataFrame | None, DataFrame]:
-    """Split rows into (hot, cold) by key size: a key with more than ``threshold`` rows is hot.
-
-    Cold keys run the plain per-key windows (one shuffle each); only hot keys
-    pay for the two-phase bucketed plan. One aggregation job checks whether
-    any hot key exists (a limit-1 probe, nothing unbounded reaches the
-    driver); without hot keys ``hot`` is None and the plan stays plain. The
-    hot-key set has at most rows / threshold entries -- a proven bound -- so
-    it is broadcast for the split.
-    """
-    hot_keys = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > threshold).select(*keys))
-    if not hot_keys.take(1):
-        return None, df
-    hk = F.broadcast(hot_keys)
-    return df.join(hk, keys, "left_semi"), df.join(hk, keys, "left_anti")
-
-
-def _axis_buckets(points: DataFrame, keys: list[str], rows_per_bucket: int | None) -> tuple[DataFrame, str | None]:
-    """Bucket distinct axis points per key so a key holds ~rows_per_bucket points per bucket."""
-    if not rows_per_bucket:
-        return points, None
-    stats = points.groupBy(*keys).agg(F.max("_pt").alias("_mx"), F.count(F.lit(1)).alias("_n"))
-    width = F.greatest(F.col("_mx").cast("double") * rows_per_bucket / F.col("_n"), F.lit(1e-9))
-    b = (points.join(stats, keys)
-         .withColumn("_axb", F.floor(F.col("_pt").cast("double") / width).cast("bigint"))
-         .drop("_mx", "_n"))
-    return b, "_axb"
-
-
 def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
                       supply_order: list[str], demand_order: list[str],
                       supply_qty: str, demand_qty: str,
-                      supply_id: str, demand_id: str, bucket: str | None = None,
-                      rows_per_bucket: int | None = 1_000_000,
-                      hot_threshold: int | None = HOT_THRESHOLD) -> DataFrame:
+                      supply_id: str, demand_id: str, range_rows: int | None = RANGE_ROWS) -> DataFrame:
     """Allocate ordered demand to ordered supply per key (FIFO matching).
 
     Returns one row per overlapping (supply_id, demand_id) with ``allocated``;
     demand beyond the total supply comes back with a NULL ``supply_id``
     (shortfall); supply never consumed does not appear. Quantities must be
-    non-negative. ``bucket`` splits the per-queue running sums by the leading
-    order key; ``rows_per_bucket`` splits the axis sweep of a large key.
-    With ``hot_threshold`` only keys above it take the split plan (see
-    ``split_hot``); ``None`` uses the given settings for every key.
+    non-negative. A queue of more than ``range_rows`` rows is split into
+    ranges, unless it has the column ``_range`` already.
     """
-    if hot_threshold is not None:
-        counts = (supply.select(*keys).unionByName(demand.select(*keys))
-                  .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-        hot_keys = counts.filter(F.col("_n") > hot_threshold).select(*keys)
-        args = (keys, supply_order, demand_order, supply_qty, demand_qty, supply_id, demand_id)
-        if not hot_keys.take(1):
-            return interval_allocate(supply, demand, *args, bucket=None, rows_per_bucket=None, hot_threshold=None)
-        hk = F.broadcast(hot_keys)   # at most rows / threshold keys
-        cold = interval_allocate(supply.join(hk, keys, "left_anti"), demand.join(hk, keys, "left_anti"), *args,
-                                 bucket=None, rows_per_bucket=None, hot_threshold=None)
-        hot = interval_allocate(supply.join(hk, keys, "left_semi"), demand.join(hk, keys, "left_semi"), *args,
-                                bucket=bucket, rows_per_bucket=rows_per_bucket, hot_threshold=None)
-        return cold.unionByName(hot)
+    if RANGE not in supply.columns:
+        supply = ranged(supply, keys, supply_order, range_rows)
+    if RANGE not in demand.columns:
+        demand = ranged(demand, keys, demand_order, range_rows)
     one = F.lit(1).cast("bigint")
     s = running(supply.withColumn("_one", one), keys, supply_order,
-                [("_end", supply_qty, "sum"), ("_rank", "_one", "sum")],
-                supply_order[0] if bucket == LEADING else bucket)
+                [("_end", supply_qty, "sum"), ("_rank", "_one", "sum")], RANGE)
     d = running(demand.withColumn("_one", one), keys, demand_order,
-                [("_end", demand_qty, "sum"), ("_rank", "_one", "sum")],
-                demand_order[0] if bucket == LEADING else bucket)
+                [("_end", demand_qty, "sum"), ("_rank", "_one", "sum")], RANGE)
+    return match_intervals(s, d, keys, supply_id, demand_id)
+
+
+def match_intervals(s: DataFrame, d: DataFrame, keys: list[str], supply_id: str, demand_id: str) -> DataFrame:
+    """Overlaps of two queues whose items end at ``_end`` on the axis of their key and are numbered by ``_rank``.
+
+    Both have the columns of ``ranged``. The axis is cut where the ranges of
+    either queue end, so no piece holds more points than two ranges.
+    """
     qtype = s.schema["_end"].dataType
-    pts = (s.select(*keys, F.col("_end").alias("_pt"), one.alias("_is_s"), F.lit(0).cast("bigint").alias("_is_d"))
-           .unionByName(d.select(*keys, F.col("_end").cast(qtype).alias("_pt"), F.lit(0).cast("bigint").alias("_is_s"),
-                                 one.alias("_is_d"))))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    pts = (s.select(*keys, F.col("_end").alias("_pt"), one.alias("_is_s"), none.alias("_is_d"))
+           .unionByName(d.select(*keys, F.col("_end").cast(qtype).alias("_pt"), none.alias("_is_s"), one.alias("_is_d"))))
     # Explicit shuffle on (key, point): the union's children are both hash-partitioned
     # by key, and with spark.sql.unionOutputPartitioning the union would claim that
     # partitioning while holding the partitions of both children.
     per_pt = (pts.repartition(*keys, "_pt")
               .groupBy(*keys, "_pt").agg(F.sum("_is_s").alias("_ns"), F.sum("_is_d").alias("_nd")))
-    per_pt, axb = _axis_buckets(per_pt, keys, rows_per_bucket)
+    ends = [q.where(SPLIT).groupBy(*keys, RANGE).agg(F.max(F.col("_end").cast(qtype)).alias("_pt")).drop(RANGE)
+            for q in (s, d)]
+    cuts = (ends[0].unionByName(ends[1]).groupBy(*[F.col(k).alias(f"_c_{k}") for k in keys])
+            .agg(F.array_sort(F.collect_set(F.struct("_pt"))).alias("_cuts")))
+    per_pt = _cut(per_pt, keys, ["_pt"], cuts)
     per_pt = running(per_pt, keys, ["_pt"], [("_s_before", "_ns", "sum"), ("_d_before", "_nd", "sum"),
-                                             ("_prev", "_pt", "max")], axb, exclusive=True)
+                                             ("_prev", "_pt", "max")], RANGE, exclusive=True)
     seg = (per_pt.withColumn("_len", F.col("_pt") - F.coalesce(F.col("_prev"), F.lit(0).cast(qtype)))
            .filter(F.col("_len") > 0)
            .select(*keys, "_len", (F.coalesce("_s_before", F.lit(0)) + 1).alias("_srank"),

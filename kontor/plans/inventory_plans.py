@@ -96,6 +96,18 @@ def q_moving_average_cost_by_insertion(spark, sf_dir):
     return I.moving_average_cost(lg.stock_moves, lg.products)
 
 
+@register("moving_average_cost_parallel", ["stock_moves", "products"],
+          "WITH RECURSIVE " + _STEPS_SQL.replace("move_date, id", "id") + """
+SELECT product_id, move_id, CAST(CAST(a4 AS DECIMAL(38,0)) * 0.0001 AS DECIMAL(20,4)) AS average_cost,
+       last_price AS last_purchase_price
+FROM steps WHERE k > 0
+""")
+def q_moving_average_cost_parallel(spark, sf_dir):
+    """Segments cut at ranges of about four moves, folded side by side from starts that are repaired until exact."""
+    lg = L(spark, sf_dir)
+    return I.moving_average_cost(lg.stock_moves, lg.products, range_rows=4, parallel=True)
+
+
 @register("product_costs", ["stock_moves", "products"], "WITH RECURSIVE " + _STEPS_SQL + """
 SELECT product_id AS id, average_cost, last_purchase_price FROM costs
 """)

@@ -85,6 +85,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back.
+
+    Cuts lineage as ``cut_lineage`` does, and size estimates with it: a
+    checkpointed frame keeps the estimate of its plan, which joins multiply, so
+    loops of joins use this.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, so that they need no installation of it."""
     folder = tempfile.mkdtemp(prefix="kontor-pkg-")

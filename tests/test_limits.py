@@ -116,24 +116,6 @@ def test_null_keys_are_ranked(spark):
     assert got == {1: (1, 2), 2: (2, 2), 3: (1, 1)}
 
 
-def test_insertion_order_is_split_by_id_ranges(spark, monkeypatch):
-    """A hot product in order of ids gives the plain plan's result from bucketed windows."""
-    from kontor.operators import inventory as I
-    from kontor.operators import sweep
-
-    monkeypatch.setattr(sweep, "RANGE_WIDTH", 7)
-    rows = [(i, 1, "purchase_receipt" if i % 3 else "sale_delivery", d(2024, 1, 1), D(1 + i % 5), D(2 + i % 4), None if i % 3 else 1,
-             1 if i % 3 else None, True) for i in range(120)]
-    moves = spark.createDataFrame(rows, "id BIGINT, product_id BIGINT, move_type STRING, move_date DATE, quantity DECIMAL(20,6), "
-                                  "unit_cost DECIMAL(20,4), from_location_id INT, to_location_id INT, is_posted BOOLEAN")
-    products = spark.createDataFrame([(1, D("0"))], "id BIGINT, average_cost DECIMAL(20,4)")
-    plain = I.moving_average_cost(moves, products, hot_threshold=10**9).collect()
-    split = I.moving_average_cost(moves, products, hot_threshold=10)
-    assert sorted(plain) == sorted(split.collect())
-    assert "_range" in split._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(I.fifo_cogs(moves, hot_threshold=10).collect()) == sorted(I.fifo_cogs(moves, hot_threshold=10**9).collect())
-
-
 def test_fifo_per_location_over_all_move_types(spark):
     """Opening stock, a transfer and an adjustment make layers; each location consumes its own."""
     from kontor.operators import inventory as I
@@ -143,7 +125,7 @@ def test_fifo_per_location_over_all_move_types(spark):
     moves = spark.createDataFrame([(i, 8, t, d(2024, 1, i), q, c, a, b, True) for i, t, a, b, q, c in rows],
                                   "id BIGINT, product_id BIGINT, move_type STRING, move_date DATE, quantity DECIMAL(20,6), "
                                   "unit_cost DECIMAL(20,4), from_location_id INT, to_location_id INT, is_posted BOOLEAN")
-    for options in ({}, {"hot_threshold": 0, "rows_per_bucket": 2}):
+    for options in ({}, {"range_rows": 2}):
         cogs, layers = I.fifo_by_location(moves, ["move_date", "id"], **options)
         got = {(r["location_id"], r["issue_id"]): (r["costed_qty"], r["shortfall_qty"], r["cogs"]) for r in cogs.collect()}
         assert got == {(1, 2): (D(4), None, D(8)), (1, 3): (D(5), None, D(10)), (2, 5): (D(5), D(1), D(19))}

@@ -63,18 +63,18 @@ def test_reversal_nets_to_zero(spark):
     assert net.filter("n != 0").count() == 0
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(qty, min_size=1, max_size=12), st.lists(qty, min_size=1, max_size=12))
 def test_axis_bucketed_sweep_equals_plain(spark, supply, demand):
     s = spark.createDataFrame([(1, i, Decimal(q)) for i, q in enumerate(supply)], "k INT, sid INT, q DECIMAL(20,6)")
     d = spark.createDataFrame([(1, i, Decimal(q)) for i, q in enumerate(demand)], "k INT, did INT, q DECIMAL(20,6)")
     plain = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
-                                                 rows_per_bucket=None, hot_threshold=None).collect()}
+                                                 range_rows=None).collect()}
     split = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
-                                                 rows_per_bucket=2, hot_threshold=None).collect()}
-    routed = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
-                                                  rows_per_bucket=2, hot_threshold=0).collect()}
-    assert plain == split == routed
+                                                 range_rows=2).collect()}
+    single = {tuple(r) for r in interval_allocate(s, d, ["k"], ["sid"], ["did"], "q", "q", "sid", "did",
+                                                  range_rows=1).collect()}
+    assert plain == split == single
 
 
 def test_transfers_conserve_stock(spark):

@@ -143,20 +143,20 @@ def test_weekly_movements_stream(spark):
 
 
 def test_hot_key_plan_equals_plain_plan(spark):
-    """Forcing every product through the skew-safe (bucketed) plan gives the same results."""
+    """Cutting every product's moves into tiny ranges gives the same results."""
     lg = FX.ledger(spark, SF_SMALL)
     plain = {(r["issue_id"], r["cogs"], r["shortfall_qty"]) for r in I.fifo_cogs(lg.stock_moves, ORDER).collect()}
     hot = {(r["issue_id"], r["cogs"], r["shortfall_qty"])
-           for r in I.fifo_cogs(lg.stock_moves, ORDER, hot_threshold=0).collect()}
+           for r in I.fifo_cogs(lg.stock_moves, ORDER, 1).collect()}
     assert plain == hot and len(plain) > 100
-    # tiny axis buckets: every product's sweep is split into many buckets with carries
     split = {(r["issue_id"], r["cogs"], r["shortfall_qty"])
-             for r in I.fifo_cogs(lg.stock_moves, ORDER, hot_threshold=0, rows_per_bucket=3).collect()}
+             for r in I.fifo_cogs(lg.stock_moves, ORDER, 3).collect()}
     assert plain == split
     c_plain = {r["move_id"]: r["average_cost"] for r in I.moving_average_cost(lg.stock_moves, lg.products, ORDER).collect()}
-    c_hot = {r["move_id"]: r["average_cost"]
-             for r in I.moving_average_cost(lg.stock_moves, lg.products, ORDER, hot_threshold=0).collect()}
-    assert c_plain == c_hot
+    for options in ({"range_rows": 2}, {"range_rows": 2, "parallel": True}):
+        c_hot = {r["move_id"]: r["average_cost"]
+                 for r in I.moving_average_cost(lg.stock_moves, lg.products, ORDER, **options).collect()}
+        assert c_plain == c_hot
 
 
 def test_stock_state_stream_matches_batch(spark):
