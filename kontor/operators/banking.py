@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontor.operators.sweep import running_sum
+from kontor.operators.sweep import RANGE, RANGE_ROWS, ranged, running, running_sum
 from kontor.session import cut_lineage
 
 AMOUNT_SUM = "DECIMAL(30,4)"
@@ -106,3 +106,43 @@ def bank_reconcile(transactions: DataFrame, bank_accounts: DataFrame, period_end
     return j.select("bank_account_id", end.alias("period_end_date"), stmt.alias("statement_balance"),
                     book.alias("book_balance"), (stmt - book).cast(AMOUNT_SUM).alias("difference"),
                     F.coalesce("unreconciled_count", F.lit(0).cast("bigint")).alias("unreconciled_count"))
+
+
+def statement_reconciliation(transactions: DataFrame, bank_accounts: DataFrame, statements: DataFrame,
+                             range_rows: int | None = RANGE_ROWS) -> DataFrame:
+    """Every stored bank statement against the books as of its own date.
+
+    Statements and transactions share one axis per account, ordered by date with
+    a day's transactions before its statement, so one ordered pass gives the
+    booked and the reconciled balance and the open transactions as of every
+    statement; a busy account is cut into ranges. ``difference`` is statement
+    minus reconciled books, ``outstanding`` what the open transactions add to
+    them. ``status``: ``agrees`` without a difference, else ``explained`` if the
+    open transactions make it up, else ``differs``.
+    """
+    zero = F.lit(0).cast(AMOUNT_SUM)
+    moves = transactions.select(
+        "bank_account_id", F.col("transaction_date").alias("day"), F.lit(0).alias("kind"), "id",
+        F.col("amount").cast(AMOUNT_SUM).alias("amount"),
+        F.when(F.col("is_reconciled"), F.col("amount")).otherwise(0).cast(AMOUNT_SUM).alias("settled"),
+        F.when(F.coalesce("is_reconciled", F.lit(False)), 0).otherwise(1).cast("bigint").alias("open"),
+        F.lit(None).cast(AMOUNT_SUM).alias("statement_balance"))
+    marks = statements.select(
+        "bank_account_id", F.col("period_end_date").alias("day"), F.lit(1).alias("kind"), F.col("id").cast("bigint").alias("id"),
+        zero.alias("amount"), zero.alias("settled"), F.lit(0).cast("bigint").alias("open"),
+        F.col("statement_balance").cast(AMOUNT_SUM).alias("statement_balance"))
+    order = ["day", "kind", "id"]
+    axis = ranged(moves.unionByName(marks), ["bank_account_id"], order, range_rows)
+    seen = running(axis, ["bank_account_id"], order,
+                   [("_booked", "amount", "sum"), ("_settled", "settled", "sum"), ("_open", "open", "sum")], RANGE)
+    accounts = bank_accounts.select(F.col("id").alias("bank_account_id"), "opening_balance")
+    r = seen.where("kind = 1").join(accounts, "bank_account_id", "left").select(
+        F.col("id").cast("int").alias("reconciliation_id"), "bank_account_id", F.col("day").alias("period_end_date"),
+        "statement_balance",
+        (F.coalesce("opening_balance", F.lit(0)) + F.col("_settled")).cast(AMOUNT_SUM).alias("reconciled_balance"),
+        (F.coalesce("opening_balance", F.lit(0)) + F.col("_booked")).cast(AMOUNT_SUM).alias("book_balance"),
+        F.col("_open").cast("bigint").alias("open_transactions"))
+    r = (r.withColumn("difference", (F.col("statement_balance") - F.col("reconciled_balance")).cast(AMOUNT_SUM))
+          .withColumn("outstanding", (F.col("book_balance") - F.col("reconciled_balance")).cast(AMOUNT_SUM)))
+    return r.withColumn("status", F.when(F.col("difference") == 0, "agrees")
+                        .when(F.col("difference") == F.col("outstanding"), "explained").otherwise("differs"))

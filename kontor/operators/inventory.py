@@ -399,6 +399,39 @@ def issue_costs(alloc: DataFrame) -> DataFrame:
         F.sum("cost").cast("DECIMAL(30,4)").alias("cogs"))
 
 
+def consume_layers(active: DataFrame, moves: DataFrame, order: list[str] | None = None,
+                   range_rows: int | None = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Carry a store of active cost layers (``remaining_qty`` > 0) over a batch of new moves.
+
+    ``active`` has the columns of the layers of ``fifo_layers_and_cogs``; every
+    move comes after all the store has seen. What is left of the stored layers
+    stands before the new receipts in each product's queue; layers used up leave
+    the store. Only products with new moves are touched. Returns the batch's
+    ``(allocations, active layers)``; batch after batch gives the full FIFO.
+    """
+    order = order or ["id"]
+    moves = moves.filter(F.col("is_posted") & F.col("move_type").isin("purchase_receipt", "sale_delivery"))
+    touched = moves.select("product_id").distinct()
+    columns = ["id", "product_id", "move_type", "move_date", "quantity", "unit_cost", "to_location_id", "is_posted"]
+    old = (active.join(touched, "product_id", "left_semi")
+           .select("id", "product_id", F.lit("purchase_receipt").alias("move_type"),
+                   F.col("received_date").alias("move_date"), F.col("remaining_qty").alias("quantity"), "unit_cost",
+                   F.col("location_id").alias("to_location_id"), F.lit(True).alias("is_posted"), F.lit(0).alias("_new")))
+    queue = old.unionByName(moves.select(*columns).withColumn("_new", F.lit(1)))
+    alloc, layers = fifo_layers_and_cogs(queue, ["_new", *order], range_rows)
+    kept = active.select("id", F.col("original_qty").alias("_original"))
+    left = (layers.where("remaining_qty > 0").join(kept, "id", "left")
+            .withColumn("original_qty", F.coalesce("_original", "original_qty").cast(QTY)).drop("_original"))
+    return alloc, left.unionByName(active.join(touched, "product_id", "left_anti").select(*left.columns))
+
+
+def empty_layers(spark) -> DataFrame:
+    """A store of cost layers without rows."""
+    return spark.createDataFrame([], "id BIGINT, product_id BIGINT, location_id INT, stock_move_id BIGINT, "
+                                     f"received_date DATE, original_qty {QTY}, remaining_qty {QTY}, unit_cost {MONEY}, "
+                                     f"total_cost {MONEY}")
+
+
 def location_queues(moves: DataFrame) -> DataFrame:
     """Every posted move of any type as queue events per (product, location).
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.functions import money as M
+from kontor.operators.sweep import RANGE_ROWS, interval_allocate
 
 QTY_SUM = "DECIMAL(30,6)"
 AMOUNT_SUM = "DECIMAL(30,4)"
@@ -49,12 +50,45 @@ def purchase_order_rollup(po_lines: DataFrame, moves: DataFrame) -> DataFrame:
         F.sum("line_amount").cast(AMOUNT_SUM).alias("amount"))
 
 
-def three_way_match(po_lines: DataFrame, moves: DataFrame) -> DataFrame:
+def allocate_bills(po_lines: DataFrame, purchase_orders: DataFrame, bill_lines: DataFrame, bills: DataFrame,
+                   range_rows: int | None = RANGE_ROWS) -> DataFrame:
+    """(bill line, order line, quantity): billed quantities allocated to order lines.
+
+    A bill line does not name its order line. Per vendor and product, bill lines
+    in order of (invoice date, id) fill order lines in order of (order date, id),
+    so a bill may cover several orders and an order several bills. Drafts and
+    voided bills do not count. Order quantity that no bill covers has a NULL
+    ``bill_line_id``.
+    """
+    supply = (bill_lines.join(bills.where("type = 'purchase' AND status NOT IN ('draft', 'voided')").select(
+                  F.col("id").alias("invoice_id"), F.col("contact_id").alias("vendor_id"), "invoice_date"), "invoice_id")
+              .where("quantity > 0")
+              .select("vendor_id", "product_id", "invoice_date", F.col("id").alias("bill_line_id"),
+                      F.col("quantity").alias("_billed")))
+    demand = (po_lines.join(purchase_orders.select(F.col("id").alias("po_id"), "vendor_id", "order_date"), "po_id")
+              .select("vendor_id", "product_id", "order_date", F.col("id").alias("po_line_id"),
+                      F.col("quantity").alias("_ordered")))
+    return interval_allocate(supply, demand, ["vendor_id", "product_id"], ["invoice_date", "bill_line_id"],
+                             ["order_date", "po_line_id"], "_billed", "_ordered", "bill_line_id", "po_line_id", range_rows)
+
+
+def three_way_match(po_lines: DataFrame, moves: DataFrame, purchase_orders: DataFrame | None = None,
+                    bill_lines: DataFrame | None = None, bills: DataFrame | None = None) -> DataFrame:
     """Per purchase-order line: ordered vs received (posted receipts linked to the
-    line) vs billed quantity, with a match status."""
+    line) vs billed quantity, with a match status.
+
+    With orders and bills, the billed quantity is what ``allocate_bills`` gives
+    the line; otherwise it is the stored column ``qty_billed``.
+    """
     r = _moved(moves, "purchase_order_line_id", "purchase_receipt")
     j = po_lines.join(r, po_lines["id"] == r["line_id"], "left")
-    ordered, billed = F.col("quantity"), F.col("qty_billed")
+    billed = F.col("qty_billed")
+    if bills is not None:
+        billed_by = (allocate_bills(po_lines, purchase_orders, bill_lines, bills).where("bill_line_id IS NOT NULL")
+                     .groupBy(F.col("po_line_id").alias("id")).agg(F.sum("allocated").alias("_from_bills")))
+        j = j.join(billed_by, "id", "left")
+        billed = F.coalesce("_from_bills", F.lit(0))
+    ordered = F.col("quantity")
     received = F.coalesce(F.col("_moved"), F.lit(0)).cast(QTY_SUM)
     status = (F.when(billed > received, F.lit("billed_not_received"))
               .when(received < ordered, F.lit("open_receipt"))

@@ -35,6 +35,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kontor.session import stored
+
 RANGE = "_range"         # number of the row's range among its key's rows, NULL where the key has one
 SPLIT = "_split"         # whether the key has several ranges
 RANGE_ROWS = 1_000_000   # rows per range: what one task sorts of a hot key
@@ -155,7 +157,8 @@ def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
     demand beyond the total supply comes back with a NULL ``supply_id``
     (shortfall); supply never consumed does not appear. Quantities must be
     non-negative. A queue of more than ``range_rows`` rows is split into
-    ranges, unless it has the column ``_range`` already.
+    ranges, unless it has the column ``_range`` already. The places of both
+    queues, which several steps read, are written once under the checkpoint folder.
     """
     if RANGE not in supply.columns:
         supply = ranged(supply, keys, supply_order, range_rows)
@@ -166,6 +169,8 @@ def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
                 [("_end", supply_qty, "sum"), ("_rank", "_one", "sum")], RANGE)
     d = running(demand.withColumn("_one", one), keys, demand_order,
                 [("_end", demand_qty, "sum"), ("_rank", "_one", "sum")], RANGE)
+    own = [*keys, "_end", "_rank", RANGE, SPLIT]
+    s, d = stored(s.select(*own, supply_id), "supply"), stored(d.select(*own, demand_id), "demand")
     return match_intervals(s, d, keys, supply_id, demand_id)
 
 

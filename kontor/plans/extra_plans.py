@@ -176,7 +176,7 @@ def q_lines_after_voided_delete(spark, sf_dir):
 
 @register("contact_name_index", ["contacts"], """
 SELECT token, CAST(COUNT(*) AS BIGINT) AS contacts
-FROM (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) AS token FROM contacts) t
+FROM (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{M}\\p{N}]+')) AS token FROM contacts) t
 WHERE length(token) > 0 AND token NOT IN (""" + ", ".join(f"'{w}'" for w in SE.STOP_WORDS) + """)
 GROUP BY token
 """)
@@ -186,12 +186,33 @@ def q_contact_name_index(spark, sf_dir):
 
 @register("contact_search", ["contacts"], """
 SELECT id, name FROM contacts
-WHERE list_has_all(regexp_split_to_array(lower(name), '[^a-z0-9]+'), ['customer', '000000007'])
+WHERE list_has_all(regexp_extract_all(lower(name), '[\\p{L}\\p{M}\\p{N}]+'), ['customer', '000000007'])
 """)
 def q_contact_search(spark, sf_dir):
     return SE.search_contacts(L(spark, sf_dir).contacts, "Customer#000000007").select("id", "name")
 
 
+_WORLD_NAME = ("CASE id % 4 WHEN 0 THEN concat('M\u00fcller & S\u00f6hne ', name) WHEN 1 THEN concat(name, ' \u6771\u4eac\u5546\u4e8b') "
+               "WHEN 2 THEN concat('M. Ller-', name) ELSE name END")
+
+
+@register("contact_search_unicode", ["contacts"], f"""
+WITH c AS (SELECT id, {_WORLD_NAME} AS name FROM contacts)
+SELECT id, name, 'accent' AS kind FROM c
+WHERE list_has_all(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), ['m\u00fcller', 's\u00f6hne'])
+UNION ALL
+SELECT id, name, 'part' FROM c WHERE contains(name, '\u4eac\u5546')
+UNION ALL
+SELECT id, name, 'plain' FROM c WHERE list_has_all(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), ['m', 'ller'])
+""")
+def q_contact_search_unicode(spark, sf_dir):
+    """Accents stay in their word, and a name without spaces is found by any part of it."""
+    c = L(spark, sf_dir).contacts.select("id", F.expr(_WORLD_NAME).alias("name"))
+    found = [SE.search_contacts(c, q).withColumn("kind", F.lit(kind)) for q, kind in
+             (("S\u00f6hne M\u00fcller", "accent"), ("\u4eac\u5546", "part"), ("M. Ller", "plain"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @register("sales_order_rollup", ["sales_order_lines", "stock_moves"], """
 SELECT l.so_id, CAST(COUNT(*) AS BIGINT) AS lines, CAST(SUM(l.quantity) AS DECIMAL(30,6)) AS qty_ordered,
        CAST(SUM(COALESCE(d.q, 0)) AS DECIMAL(30,6)) AS qty_delivered,
@@ -253,6 +274,55 @@ def q_three_way_match(spark, sf_dir):
     return O.three_way_match(lg.purchase_order_lines, lg.stock_moves)
 
 
+_BILLS_SQL = """
+WITH s AS (SELECT i.contact_id AS vendor_id, l.product_id, l.id AS bill_line_id, l.quantity AS q,
+                  SUM(l.quantity) OVER (PARTITION BY i.contact_id, l.product_id ORDER BY i.invoice_date, l.id) AS e
+           FROM invoice_lines l JOIN invoices i ON i.id = l.invoice_id
+           WHERE i.type = 'purchase' AND i.status NOT IN ('draft', 'voided')),
+d AS (SELECT o.vendor_id, l.product_id, l.id AS po_line_id, l.quantity AS q,
+             SUM(l.quantity) OVER (PARTITION BY o.vendor_id, l.product_id ORDER BY o.order_date, l.id) AS e
+      FROM purchase_order_lines l JOIN purchase_orders o ON o.id = l.po_id),
+a AS (SELECT d.vendor_id, d.product_id, s.bill_line_id, d.po_line_id,
+             LEAST(s.e, d.e) - GREATEST(s.e - s.q, d.e - d.q) AS allocated
+      FROM s JOIN d ON s.vendor_id = d.vendor_id AND s.product_id = d.product_id
+       AND LEAST(s.e, d.e) > GREATEST(s.e - s.q, d.e - d.q))
+"""
+
+
+@register("bill_allocations", ["invoice_lines", "invoices", "purchase_order_lines", "purchase_orders"], _BILLS_SQL + """
+SELECT vendor_id, product_id, bill_line_id, po_line_id, CAST(allocated AS DECIMAL(30,6)) AS allocated FROM a
+UNION ALL
+SELECT d.vendor_id, d.product_id, NULL, d.po_line_id, CAST(d.q - COALESCE(x.g, 0) AS DECIMAL(30,6))
+FROM d LEFT JOIN (SELECT po_line_id, SUM(allocated) AS g FROM a GROUP BY po_line_id) x ON x.po_line_id = d.po_line_id
+WHERE d.q > COALESCE(x.g, 0)
+""")
+def q_bill_allocations(spark, sf_dir):
+    from kontor.operators import orders as O
+    lg = L(spark, sf_dir)
+    return O.allocate_bills(lg.purchase_order_lines, lg.purchase_orders, lg.invoice_lines, lg.invoices).withColumn(
+        "allocated", F.col("allocated").cast("DECIMAL(30,6)"))
+
+
+@register("three_way_match_bills", ["purchase_order_lines", "stock_moves", "invoice_lines", "invoices", "purchase_orders"],
+          _BILLS_SQL + """
+SELECT l.id, l.po_id, CAST(l.quantity AS DECIMAL(30,6)) AS qty_ordered,
+       CAST(COALESCE(r.q, 0) AS DECIMAL(30,6)) AS qty_received, CAST(COALESCE(b.q, 0) AS DECIMAL(30,6)) AS qty_billed,
+       CASE WHEN COALESCE(b.q, 0) > COALESCE(r.q, 0) THEN 'billed_not_received'
+            WHEN COALESCE(r.q, 0) < l.quantity THEN 'open_receipt'
+            WHEN COALESCE(b.q, 0) < COALESCE(r.q, 0) THEN 'received_not_billed'
+            ELSE 'matched' END AS match_status
+FROM purchase_order_lines l
+LEFT JOIN (SELECT purchase_order_line_id, SUM(quantity) AS q FROM stock_moves
+           WHERE is_posted AND move_type = 'purchase_receipt' AND purchase_order_line_id IS NOT NULL
+           GROUP BY purchase_order_line_id) r ON r.purchase_order_line_id = l.id
+LEFT JOIN (SELECT po_line_id, SUM(allocated) AS q FROM a GROUP BY po_line_id) b ON b.po_line_id = l.id
+""")
+def q_three_way_match_bills(spark, sf_dir):
+    from kontor.operators import orders as O
+    lg = L(spark, sf_dir)
+    return O.three_way_match(lg.purchase_order_lines, lg.stock_moves, lg.purchase_orders, lg.invoice_lines, lg.invoices)
+
+
 @register("po_received_pct", ["purchase_orders"], """
 SELECT id, CAST(CASE WHEN total_amount = 0 THEN 0
                      ELSE round(CAST(amount_billed AS DECIMAL(38,4)) * 100 / total_amount, 2) END

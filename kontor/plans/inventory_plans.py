@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kontor.operators import inventory as I
 from kontor.operators import reports as R
 from kontor.plans.catalog import L, register
+from kontor.session import scratch_path, stored
 
 # The fixture inserts moves day by day; within a day by id.
 MOVE_ORDER = ["move_date", "id"]
@@ -108,6 +111,26 @@ def q_moving_average_cost_parallel(spark, sf_dir):
     return I.moving_average_cost(lg.stock_moves, lg.products, range_rows=4, parallel=True)
 
 
+@register("moving_average_cost_replayed", ["stock_moves", "products"],
+          "WITH RECURSIVE " + _STEPS_SQL.replace("move_date, id", "id") + """
+SELECT product_id, move_id, CAST(CAST(a4 AS DECIMAL(38,0)) * 0.0001 AS DECIMAL(20,4)) AS average_cost,
+       last_price AS last_purchase_price
+FROM steps WHERE k > 0
+""")
+def q_moving_average_cost_replayed(spark, sf_dir):
+    """The moves as a stream out of order, held for a while, corrected where they come too late."""
+    from kontor.streaming import cost_log as CL
+    lg = L(spark, sf_dir)
+    files = scratch_path(spark, "move_files")
+    shuffled = lg.stock_moves.select(*CL.MOVE_COLUMNS).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(3)))
+    for i in range(3):  # one file a micro-batch
+        shuffled.where(f"part = {i}").drop("part").coalesce(1).write.mode("append").parquet(files)
+    log = CL.CostLog(spark, scratch_path(spark, "cost_log"), lg.products, delay=1000)
+    log.run(spark.readStream.schema(CL.MOVE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(files))
+    log.flush()
+    return log.latest()
+
+
 @register("product_costs", ["stock_moves", "products"], "WITH RECURSIVE " + _STEPS_SQL + """
 SELECT product_id AS id, average_cost, last_purchase_price FROM costs
 """)
@@ -202,6 +225,30 @@ def q_fifo_layers(spark, sf_dir):
     return layers
 
 
+@register("active_layers", ["stock_moves"], "WITH " + _FIFO_SQL + """
+SELECT * FROM (
+  SELECT l.stock_move_id AS id, l.product_id, l.location_id, l.stock_move_id, l.received_date, l.original_qty,
+         CAST(l.original_qty - COALESCE(u.used, 0) AS DECIMAL(20,6)) AS remaining_qty, l.unit_cost,
+         CAST(round(CAST(l.original_qty - COALESCE(u.used, 0) AS DECIMAL(20,6)) * CAST(l.unit_cost AS DECIMAL(20,4)), 4)
+              AS DECIMAL(20,4)) AS total_cost
+  FROM l2 l LEFT JOIN (SELECT stock_move_id, SUM(allocated) AS used FROM alloc
+                       WHERE stock_move_id IS NOT NULL GROUP BY stock_move_id) u
+    ON u.stock_move_id = l.stock_move_id) x
+WHERE remaining_qty > 0
+""")
+def q_active_layers(spark, sf_dir):
+    """The store of active layers carried over three batches of moves."""
+    moves = L(spark, sf_dir).stock_moves
+    first, last = moves.agg(F.min("move_date"), F.max("move_date")).first()
+    third = (last - first) / 3
+    active = I.empty_layers(spark)
+    for lo, hi in ((first, first + third), (first + third, first + 2 * third), (first + 2 * third, None)):
+        batch = moves.where(F.col("move_date") >= F.lit(lo)) if hi is None else moves.where(
+            (F.col("move_date") >= F.lit(lo)) & (F.col("move_date") < F.lit(hi)))
+        active = stored(I.consume_layers(active, batch, MOVE_ORDER)[1], "active_layers")
+    return active
+
+
 # Queue events per (product, location): the struct key takes the place of the product.
 _PLACES_SQL = """
 places AS (
@@ -290,15 +337,16 @@ def q_inventory_total_value(spark, sf_dir):
     return I.inventory_total_value(val, lg.products)
 
 
-@register("valuation_by_method", ["stock_moves", "products"], "WITH RECURSIVE " + _STEPS_SQL + ", " + _FIFO_SQL
+@register("valuation_by_method", ["stock_moves", "products"], "WITH RECURSIVE " + _STEPS_SQL + ", " + _PLACES_SQL.strip()
+          + _FIFO_SQL.replace("FROM stock_moves", "FROM places")
           + ", sq AS (" + _STOCK_SQL + """),
 qp AS (SELECT product_id, SUM(quantity) AS q FROM sq GROUP BY product_id),
 used AS (SELECT stock_move_id, SUM(allocated) AS used FROM alloc WHERE stock_move_id IS NOT NULL
          GROUP BY stock_move_id),
-fv AS (SELECT l.product_id,
+fv AS (SELECT l.product_id.product_id AS product_id,
               SUM(round(CAST(l.original_qty - COALESCE(u.used, 0) AS DECIMAL(20,6))
                         * CAST(l.unit_cost AS DECIMAL(20,4)), 4)) AS v
-       FROM l2 l LEFT JOIN used u ON u.stock_move_id = l.stock_move_id GROUP BY l.product_id)
+       FROM l2 l LEFT JOIN used u ON u.stock_move_id = l.stock_move_id GROUP BY ALL)
 SELECT qp.product_id, p.valuation_method, CAST(qp.q AS DECIMAL(30,6)) AS qty_on_hand,
        CAST(round(CASE WHEN p.valuation_method = 'fifo' THEN CAST(COALESCE(fv.v, 0) AS DECIMAL(38,10))
                        WHEN p.valuation_method = 'standard_cost'
@@ -312,5 +360,5 @@ def q_valuation_by_method(spark, sf_dir):
     lg = L(spark, sf_dir)
     stock = I.apply_stock_moves(lg.stock_moves)
     products = I.product_costs(lg.stock_moves, lg.products, MOVE_ORDER)
-    _, layers = I.fifo_layers_and_cogs(lg.stock_moves, MOVE_ORDER)
+    _, layers = I.fifo_by_location(lg.stock_moves, MOVE_ORDER)
     return I.valuation_by_method(stock, products, layers)

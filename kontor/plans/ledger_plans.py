@@ -247,6 +247,28 @@ def q_bank_reconcile(spark, sf_dir):
     return B.bank_reconcile(lg.bank_transactions, lg.bank_accounts, BANK_PERIOD_END)
 
 
+@register("bank_statement_reconciliation", ["bank_reconciliations", "bank_transactions", "bank_accounts"], """
+SELECT *, CASE WHEN difference = 0 THEN 'agrees' WHEN difference = outstanding THEN 'explained' ELSE 'differs' END AS status
+FROM (
+  SELECT r.id AS reconciliation_id, r.bank_account_id, r.period_end_date,
+         CAST(r.statement_balance AS DECIMAL(30,4)) AS statement_balance,
+         CAST(a.opening_balance + COALESCE(SUM(CASE WHEN t.is_reconciled THEN t.amount END), 0) AS DECIMAL(30,4))
+             AS reconciled_balance,
+         CAST(a.opening_balance + COALESCE(SUM(t.amount), 0) AS DECIMAL(30,4)) AS book_balance,
+         CAST(COUNT(CASE WHEN NOT t.is_reconciled THEN 1 END) AS BIGINT) AS open_transactions,
+         CAST(r.statement_balance - a.opening_balance - COALESCE(SUM(CASE WHEN t.is_reconciled THEN t.amount END), 0)
+              AS DECIMAL(30,4)) AS difference,
+         CAST(COALESCE(SUM(t.amount), 0) - COALESCE(SUM(CASE WHEN t.is_reconciled THEN t.amount END), 0)
+              AS DECIMAL(30,4)) AS outstanding
+  FROM bank_reconciliations r JOIN bank_accounts a ON a.id = r.bank_account_id
+  LEFT JOIN bank_transactions t ON t.bank_account_id = r.bank_account_id AND t.transaction_date <= r.period_end_date
+  GROUP BY r.id, r.bank_account_id, r.period_end_date, r.statement_balance, a.opening_balance) x
+""")
+def q_bank_statement_reconciliation(spark, sf_dir):
+    lg = L(spark, sf_dir)
+    return B.statement_reconciliation(lg.bank_transactions, lg.bank_accounts, lg.bank_reconciliations)
+
+
 # --- receivables ---------------------------------------------------------------------------
 
 @register("settle_invoices", ["invoices", "payment_allocations"], """
@@ -469,6 +491,4 @@ def q_category_stock_rollup(spark, sf_dir):
     lg = L(spark, sf_dir)
     stock = I.stock_on_hand_total(I.apply_stock_moves(lg.stock_moves))
     per_product = stock.join(lg.products.select(F.col("id").alias("product_id"), "category_id"), "product_id")
-    closure = H.tree_closure(lg.product_categories)
-    return (H.tree_rollup(closure, per_product, "category_id", ["qty_on_hand"])
-            .select("id", "qty_on_hand"))
+    return H.tree_rollup(lg.product_categories, per_product, "category_id", ["qty_on_hand"])

@@ -342,7 +342,12 @@ FROM (
   ) b
 ) p""")
 
-_table("invoice_lines", ["line_src", "order_head"], f"""
+# Bills repeat the ordered lines: some are left out, some billed by half, some by more than ordered.
+_BILLED = ("CASE (s.l_orderkey + s.rn) % 7 WHEN 0 THEN 0 WHEN 1 THEN FLOOR(CAST(s.l_quantity AS BIGINT) / 2) "
+           "WHEN 2 THEN CAST(s.l_quantity AS BIGINT) + 5 ELSE CAST(s.l_quantity AS BIGINT) END")
+_BILL_ID = ("CAST(1000000000000000 + s.l_suppkey * 1000000 + year(s.l_shipdate) * 100 + month(s.l_shipdate) "
+            "AS BIGINT)")
+_table("invoice_lines", ["line_src", "order_head", "supplier", "nation"], f"""
 SELECT s.l_orderkey * 100 + s.rn AS id, s.l_orderkey AS invoice_id, CAST(s.rn AS SMALLINT) AS line_number,
        'Part ' || CAST(s.l_partkey AS STRING) AS description,
        CAST(h.company_id * 100 + 7 AS INT) AS account_id,
@@ -357,7 +362,22 @@ SELECT s.l_orderkey * 100 + s.rn AS id, s.l_orderkey AS invoice_id, CAST(s.rn AS
        CAST(CASE WHEN s.l_returnflag = 'R' THEN h.company_id * 10 + s.l_orderkey % 3
                  ELSE NULL END AS INT) AS project_id
 FROM {{line_src}} s
-JOIN {{order_head}} h ON h.o_orderkey = s.l_orderkey""")
+JOIN {{order_head}} h ON h.o_orderkey = s.l_orderkey
+UNION ALL
+SELECT 4000000000000000 + s.l_orderkey * 100 + s.rn AS id, {_BILL_ID} AS invoice_id,
+       CAST(row_number() OVER (PARTITION BY {_BILL_ID} ORDER BY s.l_orderkey, s.rn) AS SMALLINT) AS line_number,
+       'Part ' || CAST(s.l_partkey AS STRING) AS description,
+       CAST(n.n_regionkey * 100 + 103 AS INT) AS account_id,
+       CAST({_BILLED} AS DECIMAL(20,6)) AS quantity,
+       {_dec4_from_1e4(_unit_price_1e4('s'))} AS unit_price,
+       CAST(0 AS DECIMAL(6,4)) AS discount_pct,
+       {_dec4_from_1e4(f"CAST({_unit_price_1e4('s')} AS BIGINT) * CAST({_BILLED} AS BIGINT)")} AS line_amount,
+       CAST({_tax_pct('s')} + 1 AS INT) AS tax_code_id, CAST(0 AS DECIMAL(20,4)) AS tax_amount,
+       s.l_partkey AS product_id, CAST(NULL AS INT) AS cost_center_id, CAST(NULL AS INT) AS project_id
+FROM {{line_src}} s
+JOIN {{supplier}} sp ON sp.s_suppkey = s.l_suppkey
+JOIN {{nation}} n ON n.n_nationkey = sp.s_nationkey
+WHERE s.l_returnflag = 'N' AND {_BILLED} > 0""")
 
 _PAY_AMOUNT = ("CAST(CASE o_orderstatus WHEN 'F' THEN CAST(o_totalprice AS DECIMAL(20,2)) "
                "ELSE FLOOR(CAST(o_totalprice AS DECIMAL(20,2)) / 2) END AS DECIMAL(20,4))")
@@ -406,6 +426,23 @@ SELECT 1000000000000000 + p.id AS id, p.bank_account_id,
 FROM {payments} p
 WHERE p.method = 'bank_transfer'""")
 
+_table("bank_reconciliations", ["bank_transactions", "bank_accounts"], """
+SELECT CAST(x.bank_account_id * 1000 + (year(x.period_end_date) - 1990) * 12 + month(x.period_end_date) AS INT) AS id,
+       x.bank_account_id, x.period_end_date,
+       CAST(x.balance + CASE WHEN month(x.period_end_date) % 5 = 0 THEN 12.5 ELSE 0 END AS DECIMAL(20,4))
+           AS statement_balance,
+       CAST(x.balance AS DECIMAL(20,4)) AS book_balance,
+       CAST(CASE WHEN month(x.period_end_date) % 5 = 0 THEN 12.5 ELSE 0 END AS DECIMAL(20,4)) AS difference,
+       month(x.period_end_date) % 5 <> 0 AS is_completed
+FROM (
+  SELECT m.bank_account_id, m.period_end_date,
+         a.opening_balance + SUM(m.booked) OVER (PARTITION BY m.bank_account_id ORDER BY m.period_end_date) AS balance
+  FROM (SELECT bank_account_id, last_day(transaction_date) AS period_end_date,
+               SUM(CASE WHEN is_reconciled THEN amount ELSE 0 END) AS booked
+        FROM {bank_transactions} GROUP BY bank_account_id, last_day(transaction_date)) m
+  JOIN {bank_accounts} a ON a.id = m.bank_account_id
+) x""")
+
 _table("units_of_measure", ["region"], """
 SELECT CAST(r_regionkey + 1 AS INT) AS id, CAST(r_regionkey + 1 AS INT) AS company_id,
        'EA' AS code, 'Each' AS name, 'quantity' AS category

@@ -83,6 +83,8 @@ TABLE_DDL = {
     "bank_transactions": f"id BIGINT, bank_account_id INT, transaction_date DATE, description STRING, "
                          f"reference STRING, amount {MONEY}, running_balance {MONEY}, is_reconciled BOOLEAN, "
                          f"payment_id BIGINT, journal_entry_id BIGINT",
+    "bank_reconciliations": f"id INT, bank_account_id INT, period_end_date DATE, statement_balance {MONEY}, "
+                            f"book_balance {MONEY}, difference {MONEY}, is_completed BOOLEAN",
     "units_of_measure": "id INT, company_id INT, code STRING, name STRING, category STRING",
     "product_categories": "id INT, company_id INT, code STRING, name STRING, parent_id INT, "
                           "inventory_account_id INT, cogs_account_id INT, revenue_account_id INT",
@@ -206,6 +208,7 @@ FOREIGN_KEYS = [
     ("bank_transactions", "bank_account_id", "bank_accounts", "id"),
     ("bank_transactions", "payment_id", "payments", "id"),
     ("bank_transactions", "journal_entry_id", "journal_entries", "id"),
+    ("bank_reconciliations", "bank_account_id", "bank_accounts", "id"),
     ("units_of_measure", "company_id", "companies", "id"),
     ("product_categories", "company_id", "companies", "id"),
     ("product_categories", "parent_id", "product_categories", "id"),
@@ -311,4 +314,6 @@ NOT_NULL = {
     "products": ["company_id", "sku", "name", "valuation_method", "average_cost"],
     "contacts": ["company_id", "name", "type"],
     "payments": ["company_id", "payment_number", "direction", "payment_date", "amount"],
+    "bank_reconciliations": ["bank_account_id", "period_end_date", "statement_balance", "book_balance",
+                             "is_completed"],
 }
