@@ -68,3 +68,24 @@ def test_names_of_any_script(spark):
     assert found("nothing") == [] and found("the") == [] and found("") == []
     index = stored(SE.name_tokens(contacts).sortWithinPartitions("token"), "postings")
     assert SE.search_contacts(contacts, "東京 bank", index).count() == 1
+
+
+def test_key_audit_of_dense_sparse_and_null_keys(spark):
+    from kontor.operators import audit as AU
+
+    schema = "id INT, company_id INT, code STRING, name STRING"
+    dense = [(i, 1, f"c{i}", "x") for i in range(500)]
+    sparse = [(i * i * 4001, 1, f"c{i}", "x") for i in range(500)]
+    for rows in (dense, sparse):
+        extra = [(rows[7][0], 1, "other", "x"), (rows[9][0] + 1, 1, "c9", "x"), (rows[3][0], 2, None, "x")]
+        tables = {"cost_centers": spark.createDataFrame(rows + extra, schema)}
+        got = {(r["rule_id"], r["row_key"], r["detail"]) for r in AU.key_findings(tables, ["cost_centers"]).collect()}
+        want = {("pk_duplicate", str(rows[7][0]), "rows=2"), ("pk_duplicate", str(rows[3][0]), "rows=2"),
+                ("unique_company_id_code", "1|c9", "rows=2")}
+        if (rows[9][0] + 1) in {r[0] for r in rows}:
+            want.add(("pk_duplicate", str(rows[9][0] + 1), "rows=2"))
+        assert got == want
+    nulls = {"cost_centers": spark.createDataFrame([(None, 1, "a", "x"), (None, 1, "b", "x"), (3, None, "a", "x")], schema)}
+    got = {(r["rule_id"], r["row_key"], r["detail"]) for r in AU.key_findings(nulls, ["cost_centers"]).collect()}
+    assert got == {("pk_duplicate", "NULL", "rows=2"), ("pk_null", "id", "rows=2")}
+    assert AU.key_findings({"cost_centers": nulls["cost_centers"].limit(0)}, ["cost_centers"]).count() == 0
