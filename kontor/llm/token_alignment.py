@@ -21,8 +21,8 @@ Defined results
 * repeated rows, also rows that share an id, are documents of their own; a
   null id stays null.
 * special tokens' strings in a text are plain text.
-* very long texts are encoded in pieces cut before a space, where no token
-  reaches across.
+* very long texts are encoded in pieces cut at a space between two non-spaces,
+  where no token reaches across.
 * empty table: empty result. Further columns are not read.
 """
 
@@ -32,6 +32,7 @@ import hashlib
 import json
 import re
 import struct
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,13 @@ PIECE = 1 << 15      # characters encoded at once
 BLOCK = 1 << 19      # bytes whose matrices are held at once
 FLOPS = 1 << 22      # products of a block of rows
 BUFFER = 1 << 22     # pairs counted before they leave a task
-CACHE = 300_000      # words whose ids are remembered, twice
+CACHE = 200_000      # words whose ids are remembered, twice
 HEAD = 1 << 20       # id pairs in the broadcast table, 16 bytes each
 WORD_START = "▁"
 # Letters, digits and spaces of these are the same in every Unicode version the libraries were built with.
 SETTLED = re.compile("[^\0-ɏ‐-‧‰-⁞€™]")
-CUT = re.compile(r"(?= \S)")
-BEFORE_SPACES = re.compile("(?<=[^ ])(?= )")
+CUT = re.compile(r"(?<=\S)(?= \S)")
+SPACES = re.compile(r"\s | \s")
 
 
 def default_paths() -> tuple[str, str]:
@@ -177,18 +178,17 @@ class Encoders:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(a_path)
-        self.slow.encode_special_tokens = True
+        self.a_path = a_path
         with open(a_path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            stated = json.load(file)
+        vocabulary = stated["model"]["vocab"]
         byte = _byte_characters()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             if all(c in byte for c in token):
                 self.a_bytes[i] = bytes(byte[c] for c in token)
-        special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+        special = {t["content"] for t in stated["added_tokens"]}
         import public_tokenizers
         self.fast = tiktoken.Encoding(
             "byte-level", pat_str=public_tokenizers.PATTERN, special_tokens={},
@@ -200,14 +200,24 @@ class Encoders:
                         for i, p in enumerate(names)]
         # a space may only begin a piece, otherwise texts are not cut
         self.cuts = all(WORD_START not in p.lstrip(WORD_START) for p in names)
+        self.a_first = np.array([x[:1] == b" " for x in self.a_bytes])
         self.b_first = np.array([x[:1] == b" " for x in self.b_bytes])
         self.known, self.older = {}, {}
         self.a_sizes = np.array(list(map(len, self.a_bytes)))
         self.b_sizes = np.array(list(map(len, self.b_bytes)))
 
+    @cached_property
+    def slow(self):
+        """The named byte-level tokenizer; most texts never need it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.a_path)
+        found.encode_special_tokens = True
+        return found
+
     def parts(self, line: str):
-        """``line`` in pieces; the byte-level splitter always cuts before a space that a non-space follows."""
-        if len(line) <= PIECE:
+        """``line`` in pieces that both tokenizers take apart alike."""
+        if len(line) <= PIECE or not self.cuts:
             return [line]
         parts, at = [], 0
         while at < len(line):
@@ -223,40 +233,47 @@ class Encoders:
             return self.slow.encode(line, add_special_tokens=False).ids
         return self.fast.encode_ordinary(line)
 
+    def apart(self, word: str) -> tuple[bytes, bytes] | None:
+        """Packed ids of a word after a space, from both tokenizers; None where the bytes do not come back."""
+        line = " " + word
+        a = self.a_ids(line)
+        # an empty word is a space at the end of the text
+        b = self.pieces.encode(word, num_threads=1) if word else [self.pieces.piece_to_id(WORD_START)]
+        data = line.encode("utf-8", "surrogatepass")
+        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+            return None
+        return struct.pack(f"<{len(a)}i", *a), struct.pack(f"<{len(b)}i", *b)
+
     def fresh(self, words):
-        """Adds the B ids of ``words`` to the table; None where the bytes do not come back."""
+        """Adds the ids of ``words`` to the table."""
         if len(self.known) + len(words) > CACHE:
             self.known, self.older = {}, self.known
         new = [w for w in words if w not in self.older]
-        plain = [w for w in new if w and " " not in w and WORD_START not in w]
+        plain = [w for w in new if w and " " not in w and WORD_START not in w and not SETTLED.search(w)]
         if self.cuts and plain:
-            # one line of them: every piece that begins with a space begins a word
-            line = " ".join(plain)
-            ids = np.array(self.pieces.encode(line, num_threads=1), "<i4")
-            starts = np.flatnonzero(self.b_first[ids]) * 4
-            if len(starts) == len(plain) and b"".join([self.b_bytes[i] for i in ids.tolist()]) == b" " + line.encode(
-                    "utf-8", "surrogatepass"):
-                packed, ends = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
-                self.known.update(zip(plain, [packed[x:y] for x, y in zip(starts.tolist(), ends)]))
+            # one line of them: a token that begins with a space begins a word
+            line = " " + " ".join(plain)
+            data, split = line.encode("utf-8", "surrogatepass"), []
+            for ids, names, first in ((self.fast.encode_ordinary(line), self.a_bytes, self.a_first),
+                                      (self.pieces.encode(line[1:], num_threads=1), self.b_bytes, self.b_first)):
+                if b"".join([names[i] for i in ids]) == data:
+                    ids = np.array(ids, "<i4")
+                    starts = np.flatnonzero(first[ids]) * 4
+                    if len(starts) == len(plain):
+                        packed, at = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
+                        split.append([packed[x:y] for x, y in zip(at, at[1:])])
+            if len(split) == 2:
+                self.known.update(zip(plain, zip(*split)))
                 new = [w for w in new if w not in self.known]
         for word in new:
-            # an empty word is a space at the end of the text
-            ids = self.pieces.encode(word, num_threads=1) if word else [self.pieces.piece_to_id(WORD_START)]
-            whole = b"".join([self.b_bytes[i] for i in ids]) == b" " + word.encode("utf-8", "surrogatepass")
-            self.known[word] = struct.pack(f"<{len(ids)}i", *ids) if whole else None
+            self.known[word] = self.apart(word)
         for word in words:
             if word not in self.known:
                 self.known[word] = self.older[word]
 
-    def b_ids(self, text: str) -> bytes | None:
-        """B ids as bytes. Merges never cross the place before a run of spaces, so ids are the ids of its words."""
-        if not self.cuts:
-            words = [text]
-        elif text[0] == " " or "  " in text:
-            words = [w[1:] for w in BEFORE_SPACES.split(" " + text)]
-        else:
-            words = text.split(" ")
-        parts = []
+    def words_ids(self, words) -> tuple[bytes, bytes] | None:
+        """Ids of words that each follow a space."""
+        a, b = [], []
         for at in range(0, len(words), 1 << 16):
             part = words[at:at + (1 << 16)]
             found = list(map(self.known.get, part))
@@ -265,21 +282,29 @@ class Encoders:
                 found = [self.known[w] if w in self.known else self.older.get(w) for w in part]
                 if None in found:
                     return None
-            parts += found
-        return b"".join(parts)
+            a += [x for x, _ in found]
+            b += [y for _, y in found]
+        return b"".join(a), b"".join(b)
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of both as little-endian 32-bit integers, empty where the bytes do not come back."""
-        b = self.b_ids(text) if text else None
-        if b is None:
+        """Ids of both as little-endian 32-bit integers, empty where the bytes do not come back.
+
+        No token of either kind reaches across a space between a non-space and a
+        non-space, so where all spaces are of that kind, ids are those of the words.
+        """
+        if not text:
             return b"", b""
-        a = []
+        if self.cuts and not text[0].isspace() and not text[-1].isspace() and not SPACES.search(text):
+            return self.words_ids(text.split(" ")) or (b"", b"")
+        a, b = [], []
         for part in self.parts(" " + text):
-            ids = self.a_ids(part)
-            if b"".join([self.a_bytes[i] for i in ids]) != part.encode("utf-8", "surrogatepass"):
-                return b"", b""
-            a.append(struct.pack(f"<{len(ids)}i", *ids))
-        return b"".join(a), b
+            data = part.encode("utf-8", "surrogatepass")
+            for ids, names, out in ((self.a_ids(part), self.a_bytes, a),
+                                    (self.pieces.encode(part[1:], num_threads=1), self.b_bytes, b)):
+                if b"".join([names[i] for i in ids]) != data:
+                    return b"", b""
+                out.append(struct.pack(f"<{len(ids)}i", *ids))
+        return b"".join(a), b"".join(b)
 
 
 _ENCODERS: dict = {}
