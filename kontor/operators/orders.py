@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.functions import money as M
+from kontor.operators.reports import line_amount
 from kontor.operators.sweep import RANGE_ROWS, interval_allocate
 
 QTY_SUM = "DECIMAL(30,6)"
@@ -50,6 +51,21 @@ def purchase_order_rollup(po_lines: DataFrame, moves: DataFrame) -> DataFrame:
         F.sum("line_amount").cast(AMOUNT_SUM).alias("amount"))
 
 
+def _allocate(order_lines: DataFrame, orders: DataFrame, doc_lines: DataFrame, docs: DataFrame, doc_type: str,
+              order_id: str, party: str, doc_line_id: str, order_line_id: str, range_rows: int | None) -> DataFrame:
+    """Quantities of one type of document allocated to order lines, see ``allocate_bills``."""
+    supply = (doc_lines.join(docs.where((F.col("type") == doc_type) & ~F.col("status").isin("draft", "voided")).select(
+                  F.col("id").alias("invoice_id"), F.col("contact_id").alias(party), "invoice_date"), "invoice_id")
+              .where("quantity > 0")
+              .select(party, "product_id", "invoice_date", F.col("id").alias(doc_line_id),
+                      F.col("quantity").alias("_billed")))
+    demand = (order_lines.join(orders.select(F.col("id").alias(order_id), party, "order_date"), order_id)
+              .select(party, "product_id", "order_date", F.col("id").alias(order_line_id),
+                      F.col("quantity").alias("_ordered")))
+    return interval_allocate(supply, demand, [party, "product_id"], ["invoice_date", doc_line_id],
+                             ["order_date", order_line_id], "_billed", "_ordered", doc_line_id, order_line_id, range_rows)
+
+
 def allocate_bills(po_lines: DataFrame, purchase_orders: DataFrame, bill_lines: DataFrame, bills: DataFrame,
                    range_rows: int | None = RANGE_ROWS) -> DataFrame:
     """(bill line, order line, quantity): billed quantities allocated to order lines.
@@ -60,16 +76,51 @@ def allocate_bills(po_lines: DataFrame, purchase_orders: DataFrame, bill_lines:
     voided bills do not count. Order quantity that no bill covers has a NULL
     ``bill_line_id``.
     """
-    supply = (bill_lines.join(bills.where("type = 'purchase' AND status NOT IN ('draft', 'voided')").select(
-                  F.col("id").alias("invoice_id"), F.col("contact_id").alias("vendor_id"), "invoice_date"), "invoice_id")
-              .where("quantity > 0")
-              .select("vendor_id", "product_id", "invoice_date", F.col("id").alias("bill_line_id"),
-                      F.col("quantity").alias("_billed")))
-    demand = (po_lines.join(purchase_orders.select(F.col("id").alias("po_id"), "vendor_id", "order_date"), "po_id")
-              .select("vendor_id", "product_id", "order_date", F.col("id").alias("po_line_id"),
-                      F.col("quantity").alias("_ordered")))
-    return interval_allocate(supply, demand, ["vendor_id", "product_id"], ["invoice_date", "bill_line_id"],
-                             ["order_date", "po_line_id"], "_billed", "_ordered", "bill_line_id", "po_line_id", range_rows)
+    return _allocate(po_lines, purchase_orders, bill_lines, bills, "purchase", "po_id", "vendor_id", "bill_line_id",
+                     "po_line_id", range_rows)
+
+
+def allocate_invoices(so_lines: DataFrame, sales_orders: DataFrame, invoice_lines: DataFrame, invoices: DataFrame,
+                      range_rows: int | None = RANGE_ROWS) -> DataFrame:
+    """(invoice line, order line, quantity): as ``allocate_bills``, for sales orders per customer and product."""
+    return _allocate(so_lines, sales_orders, invoice_lines, invoices, "sale", "so_id", "customer_id", "invoice_line_id",
+                     "so_line_id", range_rows)
+
+
+def _document_amounts(allocated: DataFrame, order_lines: DataFrame, orders: DataFrame, doc_lines: DataFrame,
+                      order_id: str, doc_line_id: str, order_line_id: str, amount: str, pct: str) -> DataFrame:
+    """Per order: what its allocated document lines come to, and that as a percentage of the order's total.
+
+    Each allocated quantity is priced as its document line is (price and
+    discount) and rounded as a line is. Orders without documents get 0.
+    """
+    priced = line_amount(
+        allocated.where(F.col(doc_line_id).isNotNull()).select(doc_line_id, order_line_id, F.col("allocated").alias("quantity"))
+        .join(doc_lines.select(F.col("id").alias(doc_line_id), "unit_price", "discount_pct"), doc_line_id))
+    per = (priced.join(order_lines.select(F.col("id").alias(order_line_id), order_id), order_line_id)
+           .groupBy(F.col(order_id).alias("id")).agg(F.sum("quantity").alias("_q"), F.sum("line_amount").alias("_a")))
+    found = F.coalesce("_a", F.lit(0)).cast(AMOUNT_SUM)
+    total = F.col("total_amount")
+    return orders.join(per, "id", "left").select(
+        "id", F.coalesce("_q", F.lit(0)).cast(QTY_SUM).alias("quantity"), found.alias(amount),
+        F.col(amount).cast(AMOUNT_SUM).alias("stored_amount"), M.safe_pct(M.money(found), total).cast("DECIMAL(30,2)").alias(pct),
+        (total - found).cast(AMOUNT_SUM).alias("to_come"))
+
+
+def purchase_order_amounts(po_lines: DataFrame, purchase_orders: DataFrame, bill_lines: DataFrame, bills: DataFrame,
+                           range_rows: int | None = RANGE_ROWS) -> DataFrame:
+    """``amount_billed`` of every purchase order from the bills themselves, beside the stored column, and its percentage."""
+    a = allocate_bills(po_lines, purchase_orders, bill_lines, bills, range_rows)
+    return _document_amounts(a, po_lines, purchase_orders, bill_lines, "po_id", "bill_line_id", "po_line_id",
+                             "amount_billed", "billed_pct")
+
+
+def sales_order_amounts(so_lines: DataFrame, sales_orders: DataFrame, invoice_lines: DataFrame, invoices: DataFrame,
+                        range_rows: int | None = RANGE_ROWS) -> DataFrame:
+    """``amount_invoiced`` of every sales order from the invoices themselves, beside the stored column, and its percentage."""
+    a = allocate_invoices(so_lines, sales_orders, invoice_lines, invoices, range_rows)
+    return _document_amounts(a, so_lines, sales_orders, invoice_lines, "so_id", "invoice_line_id", "so_line_id",
+                             "amount_invoiced", "invoiced_pct")
 
 
 def three_way_match(po_lines: DataFrame, moves: DataFrame, purchase_orders: DataFrame | None = None,

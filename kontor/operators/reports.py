@@ -358,6 +358,37 @@ def contact_pnl(lines: DataFrame, accounts: DataFrame) -> DataFrame:
                  (rev - exp).cast(AMOUNT_SUM).alias("profit"), F.grouping_id().alias("grouping_level")))
 
 
+NEAR_BUDGET = 90  # percent of a budget from which a project counts as near it
+
+
+def project_budget(lines: DataFrame, accounts: DataFrame, entries: DataFrame, projects: DataFrame) -> DataFrame:
+    """Budget against actual per project, from the lines of posted entries.
+
+    ``actual`` is the expense booked on the project, ``remaining`` the budget
+    less that, ``status`` one of no_budget, over (more spent than budgeted), near
+    (from ``NEAR_BUDGET`` percent on) and within. Projects without a line are
+    kept. Lines are summed per (entry, account, project) before they meet the
+    entries and the small tables.
+    """
+    posted = entries.where("status = 'posted'").select(F.col("id").alias("journal_entry_id"))
+    kinds = accounts.where("category IN ('revenue', 'expense')").select(F.col("id").alias("account_id"), "category")
+    per = (lines.where("project_id IS NOT NULL").groupBy("journal_entry_id", "account_id", "project_id")
+           .agg(F.sum(F.col("debit_base") - F.col("credit_base")).alias("_net"))
+           .join(posted, "journal_entry_id", "left_semi").join(kinds, "account_id")
+           .groupBy(F.col("project_id").alias("id"))
+           .agg(F.sum(F.when(F.col("category") == "expense", F.col("_net"))).alias("_expense"),
+                F.sum(F.when(F.col("category") == "revenue", -F.col("_net"))).alias("_revenue")))
+    actual = F.coalesce("_expense", F.lit(0)).cast(AMOUNT_SUM)
+    budget = F.col("budget").cast(AMOUNT_SUM)
+    # narrower than the sums, so that the quotient keeps the digits it is rounded from
+    used = M.safe_pct(actual.cast("DECIMAL(24,4)"), F.col("budget")).cast("DECIMAL(30,2)")
+    status = (F.when(budget.isNull(), "no_budget").when(actual > budget, "over")
+              .when(actual * 100 >= budget * NEAR_BUDGET, "near").otherwise("within"))
+    return projects.join(per, "id", "left").select(
+        "id", "company_id", "code", budget.alias("budget"), actual.alias("actual"),
+        F.coalesce("_revenue", F.lit(0)).cast(AMOUNT_SUM).alias("revenue"),
+        (budget - actual).cast(AMOUNT_SUM).alias("remaining"), used.alias("used_pct"), status.alias("status"))
+
 
 def dimension_pnl(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     """Revenue and expense by cost centre x project with all subtotals (CUBE).

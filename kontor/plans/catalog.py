@@ -309,6 +309,30 @@ def q_dimension_pnl(spark, sf_dir):
     return R.dimension_pnl(lg.journal_entry_lines, lg.accounts)
 
 
+@register("project_budget", ["journal_entry_lines", "project_costs", "journal_entries", "accounts", "projects"], f"""
+SELECT p.id, p.company_id, p.code, CAST(p.budget AS {S30}) AS budget, CAST(COALESCE(x.spent, 0) AS {S30}) AS actual,
+       CAST(COALESCE(x.earned, 0) AS {S30}) AS revenue, CAST(p.budget - COALESCE(x.spent, 0) AS {S30}) AS remaining,
+       CAST(CASE WHEN p.budget = 0 THEN 0 ELSE round(COALESCE(x.spent, 0) * 100 / p.budget, 2) END AS DECIMAL(30,2))
+           AS used_pct,
+       CASE WHEN p.budget IS NULL THEN 'no_budget' WHEN COALESCE(x.spent, 0) > p.budget THEN 'over'
+            WHEN COALESCE(x.spent, 0) >= 0.9 * p.budget THEN 'near' ELSE 'within' END AS status
+FROM projects p
+LEFT JOIN (SELECT l.project_id, SUM(CASE WHEN a.category = 'expense' THEN l.debit_base - l.credit_base ELSE 0 END) AS spent,
+                  SUM(CASE WHEN a.category = 'revenue' THEN l.credit_base - l.debit_base ELSE 0 END) AS earned
+           FROM (SELECT journal_entry_id, account_id, project_id, debit_base, credit_base FROM journal_entry_lines
+                 UNION ALL
+                 SELECT journal_entry_id, account_id, project_id, debit_base, credit_base FROM project_costs) l
+           JOIN journal_entries e ON e.id = l.journal_entry_id AND e.status = 'posted'
+           JOIN accounts a ON a.id = l.account_id
+           GROUP BY l.project_id) x ON x.project_id = p.id
+""")
+def q_project_budget(spark, sf_dir):
+    lg = L(spark, sf_dir)
+    costs = lg["project_costs"]
+    return R.project_budget(lg.journal_entry_lines.select(*costs.columns).unionByName(costs), lg.accounts,
+                            lg.journal_entries, lg.projects)
+
+
 @register("contact_pnl", ["journal_entry_lines", "accounts"], f"""
 SELECT company_id, contact_id, CAST(SUM(rev) AS {S30}) AS revenue, CAST(SUM(ex) AS {S30}) AS expense,
        CAST(SUM(rev) - SUM(ex) AS {S30}) AS profit, CAST(GROUPING(company_id, contact_id) AS BIGINT) AS grouping_level

@@ -323,6 +323,50 @@ def q_three_way_match_bills(spark, sf_dir):
     return O.three_way_match(lg.purchase_order_lines, lg.stock_moves, lg.purchase_orders, lg.invoice_lines, lg.invoices)
 
 
+def _amounts_sql(orders: str, lines: str, key: str, party: str, doc_type: str, amount: str, pct: str) -> str:
+    """What the documents of an order come to, from interval overlaps of the two queues of each party and product."""
+    return f"""
+WITH s AS (SELECT l.id AS doc_line_id, i.contact_id AS party, l.product_id, l.unit_price, l.discount_pct,
+                  SUM(l.quantity) OVER w - l.quantity AS lo, SUM(l.quantity) OVER w AS hi
+           FROM invoice_lines l JOIN invoices i ON i.id = l.invoice_id
+           WHERE i.type = '{doc_type}' AND i.status NOT IN ('draft', 'voided') AND l.quantity > 0
+           WINDOW w AS (PARTITION BY i.contact_id, l.product_id ORDER BY i.invoice_date, l.id)),
+o AS (SELECT l.{key} AS order_id, o.{party} AS party, l.product_id,
+             SUM(l.quantity) OVER w - l.quantity AS lo, SUM(l.quantity) OVER w AS hi
+      FROM {lines} l JOIN {orders} o ON o.id = l.{key}
+      WINDOW w AS (PARTITION BY o.{party}, l.product_id ORDER BY o.order_date, l.id)),
+b AS (SELECT o.order_id, s.unit_price, s.discount_pct,
+             CAST(least(s.hi, o.hi) - greatest(s.lo, o.lo) AS DECIMAL(20,6)) AS q
+      FROM s JOIN o ON o.party = s.party AND o.product_id = s.product_id AND s.lo < o.hi AND o.lo < s.hi),
+t AS (SELECT order_id, SUM(q) AS q,
+             SUM(CAST(round(CAST(CAST(q * unit_price AS DECIMAL(30,10)) * CAST(100 - discount_pct AS DECIMAL(8,4))
+                                 AS DECIMAL(38,14)) * 0.01, 4) AS DECIMAL(20,4))) AS amount
+      FROM b GROUP BY order_id)
+SELECT x.id, CAST(COALESCE(t.q, 0) AS DECIMAL(30,6)) AS quantity, CAST(COALESCE(t.amount, 0) AS DECIMAL(30,4)) AS {amount},
+       CAST(x.{amount} AS DECIMAL(30,4)) AS stored_amount,
+       CAST(CASE WHEN x.total_amount = 0 THEN 0
+                 ELSE round(CAST(COALESCE(t.amount, 0) AS DECIMAL(28,4)) * 100 / x.total_amount, 2) END AS DECIMAL(30,2)) AS {pct},
+       CAST(x.total_amount - COALESCE(t.amount, 0) AS DECIMAL(30,4)) AS to_come
+FROM {orders} x LEFT JOIN t ON t.order_id = x.id
+"""
+
+
+@register("purchase_order_amounts", ["invoice_lines", "invoices", "purchase_order_lines", "purchase_orders"],
+          _amounts_sql("purchase_orders", "purchase_order_lines", "po_id", "vendor_id", "purchase", "amount_billed", "billed_pct"))
+def q_purchase_order_amounts(spark, sf_dir):
+    from kontor.operators import orders as O
+    lg = L(spark, sf_dir)
+    return O.purchase_order_amounts(lg.purchase_order_lines, lg.purchase_orders, lg.invoice_lines, lg.invoices)
+
+
+@register("sales_order_amounts", ["invoice_lines", "invoices", "sales_order_lines", "sales_orders"],
+          _amounts_sql("sales_orders", "sales_order_lines", "so_id", "customer_id", "sale", "amount_invoiced", "invoiced_pct"))
+def q_sales_order_amounts(spark, sf_dir):
+    from kontor.operators import orders as O
+    lg = L(spark, sf_dir)
+    return O.sales_order_amounts(lg.sales_order_lines, lg.sales_orders, lg.invoice_lines, lg.invoices)
+
+
 @register("po_received_pct", ["purchase_orders"], """
 SELECT id, CAST(CASE WHEN total_amount = 0 THEN 0
                      ELSE round(CAST(amount_billed AS DECIMAL(38,4)) * 100 / total_amount, 2) END

@@ -23,6 +23,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kontor.sources import schemas as S
+
 RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 # --- fixed values: currency of each region of the test data --------------------
@@ -274,6 +276,17 @@ FROM {{line_src}} s
 JOIN {{order_head}} h ON h.o_orderkey = s.l_orderkey
 $LEGS$""")
 
+# internal: what the projects cost, booked on the entries of journal_entries (6 percent of the price; no other
+# line of the mapping is an expense)
+_table("project_costs", ["line_src", "order_head"], """
+SELECT s.l_orderkey AS journal_entry_id, CAST(h.company_id * 100 + 8 AS INT) AS account_id,
+       CAST(CAST(s.l_extendedprice AS DECIMAL(16,2)) * CAST(0.06 AS DECIMAL(2,2)) AS DECIMAL(20,4)) AS debit_base,
+       CAST(0 AS DECIMAL(20,4)) AS credit_base,
+       CAST(h.company_id * 10 + s.l_orderkey % 3 AS INT) AS project_id
+FROM {line_src} s
+JOIN {order_head} h ON h.o_orderkey = s.l_orderkey
+WHERE s.l_returnflag = 'R'""")
+
 _table("contacts", ["customer", "supplier", "nation"], f"""
 SELECT CAST(c.c_custkey * 2 AS BIGINT) AS id, CAST(n.n_regionkey + 1 AS INT) AS company_id,
        c.c_name AS name, 'customer' AS type, {_ccy('n.n_regionkey')} AS currency,
@@ -573,7 +586,114 @@ SELECT s.l_orderkey * 100 + s.rn AS id, {_PO_ID} AS po_id,
 FROM {{line_src}} s
 WHERE s.l_returnflag = 'N'""")
 
-LEDGER_TABLES = [t for t in _T if t not in ("order_head", "line_src")]
+_table("stock_quantities", ["stock_moves"], """
+SELECT product_id * 16 + location_id AS id, product_id, location_id,
+       CAST(SUM(q) + CASE WHEN product_id % 211 = 0 THEN 1 ELSE 0 END AS DECIMAL(20,6)) AS quantity,
+       CAST(CASE WHEN product_id % 5 = 0 THEN 2 ELSE 0 END AS DECIMAL(20,6)) AS reserved_qty,
+       CAST(SUM(q) + CASE WHEN product_id % 211 = 0 THEN 1 ELSE 0 END
+            - CASE WHEN product_id % 5 = 0 THEN 2 ELSE 0 END AS DECIMAL(20,6)) AS available_qty
+FROM (SELECT product_id, to_location_id AS location_id, quantity AS q FROM {stock_moves}
+      WHERE is_posted AND to_location_id IS NOT NULL
+      UNION ALL
+      SELECT product_id, from_location_id, -quantity FROM {stock_moves}
+      WHERE is_posted AND from_location_id IS NOT NULL) legs
+GROUP BY product_id, location_id""")
+
+# Some layers hold more than they received, less than nothing, or name no move.
+_LEFT = "CASE id % 503 WHEN 0 THEN quantity + 1 WHEN 1 THEN -1 ELSE quantity * (id % 2) END"
+_table("inventory_cost_layers", ["stock_moves"], f"""
+SELECT id, product_id, to_location_id AS location_id,
+       CASE WHEN id % 1009 = 0 THEN -id ELSE id END AS stock_move_id, move_date AS received_date,
+       quantity AS original_qty, CAST({_LEFT} AS DECIMAL(20,6)) AS remaining_qty, unit_cost,
+       CAST(CAST({_LEFT} AS DECIMAL(18,0)) * unit_cost AS DECIMAL(20,4)) AS total_cost
+FROM {{stock_moves}}
+WHERE is_posted AND move_type = 'purchase_receipt'""")
+
+LEDGER_TABLES = [t for t in _T if t not in ("order_head", "line_src", "project_costs")]
+
+# Declared columns that the texts above leave out. Only the audit reads them;
+# their values follow from the row's id and the column's declaration, and one
+# row in every ``FAULT_EVERY`` breaks the column's rule.
+DECLARED_ONLY = {
+    "currencies": "symbol created_at",
+    "exchange_rates": "created_at",
+    "companies": "tax_id address_line1 address_line2 city state postal_code country phone email "
+                 "website logo_url created_at updated_at",
+    "fiscal_years": "created_at",
+    "accounting_periods": "created_at",
+    "account_groups": "sort_order created_at",
+    "accounts": "description created_at updated_at",
+    "journal_entries": "posted_at posted_by created_by created_at updated_at",
+    "journal_entry_lines": "is_reconciled reconciled_at reconciliation_id created_at",
+    "projects": "start_date end_date",
+    "contacts": "reference tax_id email phone website address_line1 address_line2 city state "
+                "postal_code country tax_code_id notes created_at updated_at",
+    "invoices": "reference notes created_by created_at updated_at",
+    "payments": "reference notes created_at",
+    "payment_allocations": "created_at",
+    "bank_accounts": "bank_name account_number routing_number swift_code iban created_at",
+    "bank_transactions": "reconciliation_id created_at",
+    "bank_reconciliations": "completed_at created_at",
+    "product_categories": "purchase_price_variance_id",
+    "products": "description purchase_uom_id is_purchasable is_sellable tax_code_purchase_id "
+                "tax_code_sale_id weight weight_uom barcode created_at updated_at",
+    "warehouses": "address_line1 city country",
+    "stock_quantities": "updated_at",
+    "stock_moves": "reference description purchase_order_id sales_order_id posted_at created_by "
+                   "created_at",
+    "inventory_cost_layers": "created_at",
+    "purchase_orders": "expected_date exchange_rate amount_received_pct notes reference created_by "
+                       "created_at updated_at",
+    "purchase_order_lines": "uom_id tax_amount account_id",
+    "sales_orders": "expected_date exchange_rate notes reference created_by created_at updated_at",
+    "sales_order_lines": "uom_id tax_amount account_id",
+}
+FACTS = {"journal_entries", "journal_entry_lines", "invoices", "invoice_lines", "payments", "payment_allocations",
+         "bank_transactions", "stock_quantities", "stock_moves", "inventory_cost_layers", "purchase_orders",
+         "purchase_order_lines", "sales_orders", "sales_order_lines", "contacts", "products"}
+FAULT_EVERY = {True: 1009, False: 5}  # facts and long lists, short lists
+REPEATED = ["cost_centers", "tax_codes", "warehouse_locations", "payments"]  # one row in every FAULT_EVERY is there twice
+MISTYPED = {("products", "weight"): "DECIMAL(20,4)", ("purchase_orders", "amount_received_pct"): "DECIMAL(20,4)"}
+_PARENT_IDS = {"tax_codes": "id % 5 + 1", "units_of_measure": "1", "accounts": "103",
+               "sales_orders": "invoice_id", "purchase_orders": "NULL",
+               "bank_reconciliations": "CASE WHEN is_reconciled THEN bank_account_id * 1000 "
+                                       "+ (year(transaction_date) - 1990) * 12 + month(transaction_date) END"}
+
+
+def _declared_value(table: str, i: int, c: S.Column) -> str:
+    """The i-th column that ``table`` declares beyond the mapped ones, as an expression over its rows."""
+    fault = f"(id + {i}) % {FAULT_EVERY[table in FACTS]} = 0"
+    parent = next((p for t, name, p, _ in S.FOREIGN_KEYS if (t, name) == (table, c.name)), None)
+    wrong = "NULL"
+    if parent:
+        value, wrong = _PARENT_IDS[parent], "-1"
+    elif c.type == "STRING":
+        value = f"'{c.name} ' || CAST(id AS STRING)"
+        if c.length:
+            value, wrong = f"substr({value}, 1, {c.length})", f"rpad('x', {c.length + 1}, 'x')"
+    elif c.type == "TIMESTAMP":
+        value = "CAST('2001-01-01 08:00:00' AS TIMESTAMP)"
+    elif c.type == "DATE":
+        value = "CAST('2001-02-01' AS DATE)"
+    elif c.type == "BOOLEAN":
+        value = "id % 2 = 0"
+    else:
+        value = "id % 1000"
+        if (table, c.name) in MISTYPED:
+            wrong = "100000000"
+    return f"CAST(CASE WHEN {fault} THEN {wrong} ELSE {value} END AS {MISTYPED.get((table, c.name), c.type)}) AS {c.name}"
+
+
+def declared_sql(table: str) -> str:
+    """``table`` with every declared column, wrong values of its enum columns and repeated rows, over ``{table}``."""
+    every = FAULT_EVERY[table in FACTS]
+    wrong = {c: f"CASE WHEN (id + {i}) % {every} = 2 THEN 'unknown' ELSE {c} END AS {c}"
+             for i, (t, c, _) in enumerate(S.ENUM_COLUMNS) if t == table}
+    extra = DECLARED_ONLY.get(table, "").split()
+    cols = [_declared_value(table, extra.index(c.name), c) if c.name in extra else wrong.get(c.name, c.name)
+            for c in S.COLUMNS[table]]
+    text = f"SELECT {', '.join(cols)} FROM {{{table}}}"
+    return f"{text} UNION ALL {text} WHERE id % {every} = 3" if table in REPEATED else text
 
 _LEGS = {
     "spark": "LATERAL VIEW explode(array(1, 2)) lg AS leg",
@@ -602,12 +722,12 @@ def _closure(names) -> list[str]:
     return out
 
 
-def duckdb_with(names) -> str:
-    """``WITH`` clause defining the listed ledger tables for the DuckDB oracle."""
+def duckdb_with(names, prefix: str = "") -> str:
+    """``WITH`` clause defining the listed ledger tables, their names prefixed, for the DuckDB oracle."""
     parts = []
     for n in _closure(names):
         sql, deps = table_sql(n, "duckdb")
-        parts.append(f"{n} AS ({sql.format(**{d: d for d in deps})})")
+        parts.append(f"{prefix}{n} AS ({sql.format(**{d: d if d in RAW_TABLES else prefix + d for d in deps})})")
     return "WITH " + ",\n".join(parts) + "\n"
 
 
@@ -668,6 +788,10 @@ class Ledger:
                     self._cache[n] = df           # later levels read the file
         return {n: self._cache[("mat", n)] for n in names}
 
+    def declared(self, names) -> dict:
+        """The listed tables, materialised, with every declared column (see ``DECLARED_ONLY``)."""
+        return {n: self.spark.sql(declared_sql(n), **{n: df}) for n, df in self.materialize(names).items()}
+
     def __contains__(self, name: str) -> bool:
         return name in LEDGER_TABLES or name in RAW_TABLES
 

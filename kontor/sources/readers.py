@@ -16,24 +16,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontor.sources.schemas import TABLE_DDL
+from kontor.sources.schemas import COLUMNS
 
 
 def table_columns(name: str) -> list[tuple[str, str]]:
-    out = []
-    for part in TABLE_DDL[name].split(", "):
-        col, typ = part.strip().split(" ", 1)
-        out.append((col, typ))
-    return out
+    return [(c.name, c.type) for c in COLUMNS[name]]
+
 
+def load_table(spark: SparkSession, base_dir: str, name: str, fmt: str = "parquet", partial: bool = False) -> DataFrame:
+    """Read ``base_dir/name`` and return exactly the declared columns and types.
 
-def load_table(spark: SparkSession, base_dir: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """Read ``base_dir/name`` and return exactly the declared columns and types."""
+    ``partial=True`` takes a table that holds only some of the declared columns,
+    and returns those; the operators need no others than they name.
+    """
     df = spark.read.format(fmt).load(f"{base_dir}/{name}")
     missing = [c for c, _ in table_columns(name) if c not in df.columns]
-    if missing:
+    if missing and not partial:
         raise ValueError(f"{name}: missing columns {missing}")
-    return df.select(*[F.col(c).cast(t).alias(c) for c, t in table_columns(name)])
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in table_columns(name) if c not in missing])
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:

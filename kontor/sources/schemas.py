@@ -9,6 +9,9 @@ BIGINT so that they do not overflow at cluster scale.
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 MONEY = "DECIMAL(20,4)"
 QTY = "DECIMAL(20,6)"
 RATE = "DECIMAL(20,8)"
@@ -38,89 +41,177 @@ ENUMS = {
 AGING_BUCKETS = ["current", "1–30 days", "31–60 days", "61–90 days", "over 90 days"]
 AGING_UPPER_DAYS = [0, 30, 60, 90]
 
-# Column types of the ledger tables we model. DDL strings are accepted directly
-# by DataFrameReader.schema and by the loaders' cast step.
+# --- fixed values: the declared columns of the 33 tables (types as Spark has
+# them; VARCHAR(n) / CHAR(n) are strings with a length limit) ------------------
 TABLE_DDL = {
-    "currencies": "id INT, code STRING, name STRING, decimal_places SMALLINT, is_base BOOLEAN, is_active BOOLEAN",
-    "exchange_rates": f"id INT, from_currency STRING, to_currency STRING, rate {RATE}, effective_date DATE",
-    "companies": "id INT, name STRING, base_currency STRING",
-    "fiscal_years": "id INT, company_id INT, name STRING, start_date DATE, end_date DATE, is_current BOOLEAN, is_closed BOOLEAN",
-    "accounting_periods": "id INT, fiscal_year_id INT, company_id INT, name STRING, start_date DATE, end_date DATE, "
-                          "period_number SMALLINT, status STRING",
-    "account_groups": "id INT, company_id INT, code STRING, name STRING, category STRING, parent_id INT, level SMALLINT",
-    "accounts": f"id INT, company_id INT, code STRING, name STRING, category STRING, normal_balance STRING, "
-                f"group_id INT, currency STRING, is_active BOOLEAN, is_reconcilable BOOLEAN, is_control BOOLEAN, "
-                f"opening_balance {MONEY}",
-    "tax_codes": "id INT, company_id INT, code STRING, name STRING, rate DECIMAL(8,4), tax_type STRING, "
-                 "account_id INT, is_active BOOLEAN",
-    "journals": "id INT, company_id INT, code STRING, name STRING, type STRING, default_account INT, "
-                "sequence_prefix STRING, is_active BOOLEAN",
-    "journal_entries": f"id BIGINT, company_id INT, journal_id INT, period_id INT, entry_number STRING, "
-                       f"entry_date DATE, reference STRING, description STRING, currency STRING, "
-                       f"exchange_rate {RATE}, status STRING, is_reversal BOOLEAN, reversed_by BIGINT, "
-                       f"source_type STRING, source_id BIGINT",
-    "journal_entry_lines": f"id BIGINT, journal_entry_id BIGINT, line_number SMALLINT, account_id INT, "
-                           f"description STRING, debit_amount {MONEY}, credit_amount {MONEY}, "
-                           f"debit_base {MONEY}, credit_base {MONEY}, tax_code_id INT, tax_amount {MONEY}, "
-                           f"contact_id BIGINT, cost_center_id INT, project_id INT",
-    "cost_centers": "id INT, company_id INT, code STRING, name STRING, parent_id INT, is_active BOOLEAN",
-    "projects": f"id INT, company_id INT, code STRING, name STRING, budget {MONEY}, is_active BOOLEAN",
-    "contacts": f"id BIGINT, company_id INT, name STRING, type STRING, currency STRING, payment_terms SMALLINT, "
-                f"credit_limit {MONEY}, ar_account_id INT, ap_account_id INT, is_active BOOLEAN",
-    "invoices": f"id BIGINT, company_id INT, invoice_number STRING, type STRING, status STRING, contact_id BIGINT, "
-                f"invoice_date DATE, due_date DATE, currency STRING, exchange_rate {RATE}, subtotal {MONEY}, "
-                f"tax_amount {MONEY}, total_amount {MONEY}, amount_paid {MONEY}, amount_due {MONEY}, "
-                f"journal_entry_id BIGINT",
-    "invoice_lines": f"id BIGINT, invoice_id BIGINT, line_number SMALLINT, description STRING, account_id INT, "
-                     f"quantity {QTY}, unit_price {MONEY}, discount_pct {PCT}, line_amount {MONEY}, "
-                     f"tax_code_id INT, tax_amount {MONEY}, product_id BIGINT, cost_center_id INT, project_id INT",
-    "payments": f"id BIGINT, company_id INT, payment_number STRING, direction STRING, contact_id BIGINT, "
-                f"payment_date DATE, method STRING, currency STRING, exchange_rate {RATE}, amount {MONEY}, "
-                f"bank_account_id INT, journal_entry_id BIGINT",
-    "payment_allocations": f"id BIGINT, payment_id BIGINT, invoice_id BIGINT, allocated_amount {MONEY}",
-    "bank_accounts": f"id INT, company_id INT, gl_account_id INT, name STRING, currency STRING, "
-                     f"opening_balance {MONEY}, current_balance {MONEY}, is_active BOOLEAN",
-    "bank_transactions": f"id BIGINT, bank_account_id INT, transaction_date DATE, description STRING, "
-                         f"reference STRING, amount {MONEY}, running_balance {MONEY}, is_reconciled BOOLEAN, "
-                         f"payment_id BIGINT, journal_entry_id BIGINT",
-    "bank_reconciliations": f"id INT, bank_account_id INT, period_end_date DATE, statement_balance {MONEY}, "
-                            f"book_balance {MONEY}, difference {MONEY}, is_completed BOOLEAN",
-    "units_of_measure": "id INT, company_id INT, code STRING, name STRING, category STRING",
-    "product_categories": "id INT, company_id INT, code STRING, name STRING, parent_id INT, "
-                          "inventory_account_id INT, cogs_account_id INT, revenue_account_id INT",
-    "products": f"id BIGINT, company_id INT, sku STRING, name STRING, category_id INT, uom_id INT, "
-                f"uom_conversion {QTY}, valuation_method STRING, standard_cost {MONEY}, "
-                f"last_purchase_price {MONEY}, average_cost {MONEY}, sale_price {MONEY}, reorder_point {MONEY}, "
-                f"reorder_qty {MONEY}, min_stock {MONEY}, max_stock {MONEY}, is_tracked BOOLEAN, "
-                f"is_active BOOLEAN, inventory_account_id INT, cogs_account_id INT, revenue_account_id INT",
-    "warehouses": "id INT, company_id INT, code STRING, name STRING, is_active BOOLEAN",
-    "warehouse_locations": "id INT, warehouse_id INT, code STRING, name STRING, parent_id INT, "
-                           "location_type STRING, is_active BOOLEAN",
-    "stock_quantities": f"product_id BIGINT, location_id INT, quantity {QTY}, reserved_qty {QTY}, available_qty {QTY}",
-    "stock_moves": f"id BIGINT, company_id INT, move_number STRING, move_type STRING, move_date DATE, "
-                   f"product_id BIGINT, uom_id INT, from_location_id INT, to_location_id INT, quantity {QTY}, "
-                   f"unit_cost {MONEY}, total_cost {MONEY}, invoice_id BIGINT, journal_entry_id BIGINT, "
-                   f"sales_order_line_id BIGINT, purchase_order_line_id BIGINT, is_posted BOOLEAN",
-    "inventory_cost_layers": f"id BIGINT, product_id BIGINT, location_id INT, stock_move_id BIGINT, "
-                             f"received_date DATE, original_qty {QTY}, remaining_qty {QTY}, unit_cost {MONEY}, "
-                             f"total_cost {MONEY}",
-    "purchase_orders": f"id BIGINT, company_id INT, po_number STRING, status STRING, vendor_id BIGINT, "
-                       f"order_date DATE, currency STRING, warehouse_id INT, subtotal {MONEY}, "
-                       f"tax_amount {MONEY}, total_amount {MONEY}, amount_billed {MONEY}",
-    "purchase_order_lines": f"id BIGINT, po_id BIGINT, line_number SMALLINT, product_id BIGINT, "
-                            f"description STRING, quantity {QTY}, qty_received {QTY}, qty_billed {QTY}, "
-                            f"unit_price {MONEY}, discount_pct {PCT}, line_amount {MONEY}, tax_code_id INT",
-    "sales_orders": f"id BIGINT, company_id INT, so_number STRING, status STRING, customer_id BIGINT, "
-                    f"order_date DATE, currency STRING, warehouse_id INT, subtotal {MONEY}, "
-                    f"tax_amount {MONEY}, total_amount {MONEY}, amount_invoiced {MONEY}",
-    "sales_order_lines": f"id BIGINT, so_id BIGINT, line_number SMALLINT, product_id BIGINT, "
-                         f"description STRING, quantity {QTY}, qty_delivered {QTY}, qty_invoiced {QTY}, "
-                         f"unit_price {MONEY}, discount_pct {PCT}, line_amount {MONEY}, tax_code_id INT",
+    "currencies": "id INT NOT NULL, code CHAR(3) NOT NULL, name VARCHAR(100) NOT NULL, symbol VARCHAR(10), "
+                  "decimal_places SMALLINT NOT NULL, is_base BOOLEAN NOT NULL, is_active BOOLEAN NOT NULL, "
+                  "created_at TIMESTAMP NOT NULL",
+    "exchange_rates": f"id INT NOT NULL, from_currency CHAR(3) NOT NULL, to_currency CHAR(3) NOT NULL, "
+                      f"rate {RATE} NOT NULL, effective_date DATE NOT NULL, created_at TIMESTAMP NOT NULL",
+    "companies": "id INT NOT NULL, name VARCHAR(200) NOT NULL, tax_id VARCHAR(50), base_currency CHAR(3) NOT NULL, "
+                 "address_line1 VARCHAR(200), address_line2 VARCHAR(200), city VARCHAR(100), state VARCHAR(100), "
+                 "postal_code VARCHAR(20), country CHAR(2), phone VARCHAR(50), email VARCHAR(200), "
+                 "website VARCHAR(200), logo_url VARCHAR(500), created_at TIMESTAMP NOT NULL, "
+                 "updated_at TIMESTAMP NOT NULL",
+    "fiscal_years": "id INT NOT NULL, company_id INT NOT NULL, name VARCHAR(100) NOT NULL, start_date DATE NOT NULL, "
+                    "end_date DATE NOT NULL, is_current BOOLEAN NOT NULL, is_closed BOOLEAN NOT NULL, "
+                    "created_at TIMESTAMP NOT NULL",
+    # company_id is an addition here: the company of the period's fiscal year
+    "accounting_periods": "id INT NOT NULL, fiscal_year_id INT NOT NULL, company_id INT, name VARCHAR(100) NOT NULL, "
+                          "start_date DATE NOT NULL, end_date DATE NOT NULL, period_number SMALLINT NOT NULL, "
+                          "status STRING NOT NULL, created_at TIMESTAMP NOT NULL",
+    "account_groups": "id INT NOT NULL, company_id INT NOT NULL, code VARCHAR(20) NOT NULL, "
+                      "name VARCHAR(200) NOT NULL, category STRING NOT NULL, parent_id INT, level SMALLINT NOT NULL, "
+                      "sort_order INT NOT NULL, created_at TIMESTAMP NOT NULL",
+    "accounts": f"id INT NOT NULL, company_id INT NOT NULL, code VARCHAR(20) NOT NULL, name VARCHAR(200) NOT NULL, "
+                f"description STRING, category STRING NOT NULL, normal_balance STRING NOT NULL, group_id INT, "
+                f"currency CHAR(3), is_active BOOLEAN NOT NULL, is_reconcilable BOOLEAN NOT NULL, "
+                f"is_control BOOLEAN NOT NULL, opening_balance {MONEY} NOT NULL, created_at TIMESTAMP NOT NULL, "
+                f"updated_at TIMESTAMP NOT NULL",
+    "tax_codes": "id INT NOT NULL, company_id INT NOT NULL, code VARCHAR(20) NOT NULL, name VARCHAR(100) NOT NULL, "
+                 "rate DECIMAL(8,4) NOT NULL, tax_type STRING NOT NULL, account_id INT NOT NULL, "
+                 "is_active BOOLEAN NOT NULL",
+    "journals": "id INT NOT NULL, company_id INT NOT NULL, code VARCHAR(20) NOT NULL, name VARCHAR(100) NOT NULL, "
+                "type VARCHAR(20) NOT NULL, default_account INT, sequence_prefix VARCHAR(10), "
+                "is_active BOOLEAN NOT NULL",
+    "journal_entries": f"id BIGINT NOT NULL, company_id INT NOT NULL, journal_id INT NOT NULL, period_id INT NOT NULL, "
+                       f"entry_number VARCHAR(50) NOT NULL, entry_date DATE NOT NULL, reference VARCHAR(200), "
+                       f"description STRING, currency CHAR(3) NOT NULL, exchange_rate {RATE} NOT NULL, "
+                       f"status STRING NOT NULL, is_reversal BOOLEAN NOT NULL, reversed_by BIGINT, "
+                       f"source_type VARCHAR(50), source_id BIGINT, posted_at TIMESTAMP, posted_by INT, "
+                       f"created_by INT, created_at TIMESTAMP NOT NULL, updated_at TIMESTAMP NOT NULL",
+    "journal_entry_lines": f"id BIGINT NOT NULL, journal_entry_id BIGINT NOT NULL, line_number SMALLINT NOT NULL, "
+                           f"account_id INT NOT NULL, description STRING, debit_amount {MONEY} NOT NULL, "
+                           f"credit_amount {MONEY} NOT NULL, debit_base {MONEY} NOT NULL, "
+                           f"credit_base {MONEY} NOT NULL, tax_code_id INT, tax_amount {MONEY}, "
+                           f"is_reconciled BOOLEAN NOT NULL, reconciled_at TIMESTAMP, reconciliation_id INT, "
+                           f"contact_id BIGINT, cost_center_id INT, project_id INT, created_at TIMESTAMP NOT NULL",
+    "cost_centers": "id INT NOT NULL, company_id INT NOT NULL, code VARCHAR(20) NOT NULL, "
+                    "name VARCHAR(100) NOT NULL, parent_id INT, is_active BOOLEAN NOT NULL",
+    "projects": f"id INT NOT NULL, company_id INT NOT NULL, code VARCHAR(20) NOT NULL, name VARCHAR(200) NOT NULL, "
+                f"start_date DATE, end_date DATE, budget {MONEY}, is_active BOOLEAN NOT NULL",
+    "contacts": f"id BIGINT NOT NULL, company_id INT NOT NULL, reference VARCHAR(50), name VARCHAR(200) NOT NULL, "
+                f"type STRING NOT NULL, tax_id VARCHAR(50), email VARCHAR(200), phone VARCHAR(50), "
+                f"website VARCHAR(200), address_line1 VARCHAR(200), address_line2 VARCHAR(200), city VARCHAR(100), "
+                f"state VARCHAR(100), postal_code VARCHAR(20), country CHAR(2), currency CHAR(3), "
+                f"payment_terms SMALLINT, credit_limit {MONEY}, ar_account_id INT, ap_account_id INT, "
+                f"tax_code_id INT, is_active BOOLEAN NOT NULL, notes STRING, created_at TIMESTAMP NOT NULL, "
+                f"updated_at TIMESTAMP NOT NULL",
+    "invoices": f"id BIGINT NOT NULL, company_id INT NOT NULL, invoice_number VARCHAR(50) NOT NULL, "
+                f"type STRING NOT NULL, status STRING NOT NULL, contact_id BIGINT NOT NULL, "
+                f"invoice_date DATE NOT NULL, due_date DATE, reference VARCHAR(200), currency CHAR(3) NOT NULL, "
+                f"exchange_rate {RATE} NOT NULL, subtotal {MONEY} NOT NULL, tax_amount {MONEY} NOT NULL, "
+                f"total_amount {MONEY} NOT NULL, amount_paid {MONEY} NOT NULL, amount_due {MONEY}, notes STRING, "
+                f"journal_entry_id BIGINT, created_by INT, created_at TIMESTAMP NOT NULL, "
+                f"updated_at TIMESTAMP NOT NULL",
+    "invoice_lines": f"id BIGINT NOT NULL, invoice_id BIGINT NOT NULL, line_number SMALLINT NOT NULL, "
+                     f"description STRING NOT NULL, account_id INT NOT NULL, quantity {QTY} NOT NULL, "
+                     f"unit_price {MONEY} NOT NULL, discount_pct {PCT} NOT NULL, line_amount {MONEY} NOT NULL, "
+                     f"tax_code_id INT, tax_amount {MONEY} NOT NULL, product_id BIGINT, cost_center_id INT, "
+                     f"project_id INT",
+    "payments": f"id BIGINT NOT NULL, company_id INT NOT NULL, payment_number VARCHAR(50) NOT NULL, "
+                f"direction STRING NOT NULL, contact_id BIGINT, payment_date DATE NOT NULL, method STRING NOT NULL, "
+                f"currency CHAR(3) NOT NULL, exchange_rate {RATE} NOT NULL, amount {MONEY} NOT NULL, "
+                f"bank_account_id INT, reference VARCHAR(200), notes STRING, journal_entry_id BIGINT, "
+                f"created_at TIMESTAMP NOT NULL",
+    "payment_allocations": f"id BIGINT NOT NULL, payment_id BIGINT NOT NULL, invoice_id BIGINT NOT NULL, "
+                           f"allocated_amount {MONEY} NOT NULL, created_at TIMESTAMP NOT NULL",
+    "bank_accounts": f"id INT NOT NULL, company_id INT NOT NULL, gl_account_id INT NOT NULL, "
+                     f"name VARCHAR(200) NOT NULL, bank_name VARCHAR(200), account_number VARCHAR(100), "
+                     f"routing_number VARCHAR(50), swift_code VARCHAR(20), iban VARCHAR(50), "
+                     f"currency CHAR(3) NOT NULL, opening_balance {MONEY} NOT NULL, current_balance {MONEY} NOT NULL, "
+                     f"is_active BOOLEAN NOT NULL, created_at TIMESTAMP NOT NULL",
+    "bank_transactions": f"id BIGINT NOT NULL, bank_account_id INT NOT NULL, transaction_date DATE NOT NULL, "
+                         f"description STRING, reference VARCHAR(200), amount {MONEY} NOT NULL, "
+                         f"running_balance {MONEY}, is_reconciled BOOLEAN NOT NULL, reconciliation_id INT, "
+                         f"payment_id BIGINT, journal_entry_id BIGINT, created_at TIMESTAMP NOT NULL",
+    "bank_reconciliations": f"id INT NOT NULL, bank_account_id INT NOT NULL, period_end_date DATE NOT NULL, "
+                            f"statement_balance {MONEY} NOT NULL, book_balance {MONEY} NOT NULL, difference {MONEY}, "
+                            f"is_completed BOOLEAN NOT NULL, completed_at TIMESTAMP, created_at TIMESTAMP NOT NULL",
+    "units_of_measure": "id INT NOT NULL, company_id INT NOT NULL, code VARCHAR(20) NOT NULL, "
+                        "name VARCHAR(100) NOT NULL, category VARCHAR(50)",
+    "product_categories": "id INT NOT NULL, company_id INT NOT NULL, code VARCHAR(20) NOT NULL, "
+                          "name VARCHAR(200) NOT NULL, parent_id INT, inventory_account_id INT, cogs_account_id INT, "
+                          "revenue_account_id INT, purchase_price_variance_id INT",
+    "products": f"id BIGINT NOT NULL, company_id INT NOT NULL, sku VARCHAR(100) NOT NULL, name VARCHAR(200) NOT NULL, "
+                f"description STRING, category_id INT, uom_id INT NOT NULL, purchase_uom_id INT, "
+                f"uom_conversion {QTY} NOT NULL, valuation_method STRING NOT NULL, standard_cost {MONEY} NOT NULL, "
+                f"last_purchase_price {MONEY} NOT NULL, average_cost {MONEY} NOT NULL, sale_price {MONEY} NOT NULL, "
+                f"reorder_point {MONEY} NOT NULL, reorder_qty {MONEY} NOT NULL, min_stock {MONEY} NOT NULL, "
+                f"max_stock {MONEY}, is_tracked BOOLEAN NOT NULL, is_purchasable BOOLEAN NOT NULL, "
+                f"is_sellable BOOLEAN NOT NULL, is_active BOOLEAN NOT NULL, inventory_account_id INT, "
+                f"cogs_account_id INT, revenue_account_id INT, tax_code_purchase_id INT, tax_code_sale_id INT, "
+                f"weight DECIMAL(10,4), weight_uom VARCHAR(10), barcode VARCHAR(100), created_at TIMESTAMP NOT NULL, "
+                f"updated_at TIMESTAMP NOT NULL",
+    "warehouses": "id INT NOT NULL, company_id INT NOT NULL, code VARCHAR(20) NOT NULL, name VARCHAR(200) NOT NULL, "
+                  "address_line1 VARCHAR(200), city VARCHAR(100), country CHAR(2), is_active BOOLEAN NOT NULL",
+    "warehouse_locations": "id INT NOT NULL, warehouse_id INT NOT NULL, code VARCHAR(50) NOT NULL, "
+                           "name VARCHAR(200) NOT NULL, parent_id INT, location_type VARCHAR(20) NOT NULL, "
+                           "is_active BOOLEAN NOT NULL",
+    "stock_quantities": f"id BIGINT NOT NULL, product_id BIGINT NOT NULL, location_id INT NOT NULL, "
+                        f"quantity {QTY} NOT NULL, reserved_qty {QTY} NOT NULL, available_qty {QTY}, "
+                        f"updated_at TIMESTAMP NOT NULL",
+    "stock_moves": f"id BIGINT NOT NULL, company_id INT NOT NULL, move_number VARCHAR(50) NOT NULL, "
+                   f"move_type STRING NOT NULL, move_date DATE NOT NULL, product_id BIGINT NOT NULL, "
+                   f"uom_id INT NOT NULL, from_location_id INT, to_location_id INT, quantity {QTY} NOT NULL, "
+                   f"unit_cost {MONEY} NOT NULL, total_cost {MONEY}, reference VARCHAR(200), description STRING, "
+                   f"purchase_order_id BIGINT, purchase_order_line_id BIGINT, sales_order_id BIGINT, "
+                   f"sales_order_line_id BIGINT, invoice_id BIGINT, journal_entry_id BIGINT, "
+                   f"is_posted BOOLEAN NOT NULL, posted_at TIMESTAMP, created_by INT, created_at TIMESTAMP NOT NULL",
+    "inventory_cost_layers": f"id BIGINT NOT NULL, product_id BIGINT NOT NULL, location_id INT NOT NULL, "
+                             f"stock_move_id BIGINT NOT NULL, received_date DATE NOT NULL, "
+                             f"original_qty {QTY} NOT NULL, remaining_qty {QTY} NOT NULL, unit_cost {MONEY} NOT NULL, "
+                             f"total_cost {MONEY}, created_at TIMESTAMP NOT NULL",
+    "purchase_orders": f"id BIGINT NOT NULL, company_id INT NOT NULL, po_number VARCHAR(50) NOT NULL, "
+                       f"status STRING NOT NULL, vendor_id BIGINT NOT NULL, order_date DATE NOT NULL, "
+                       f"expected_date DATE, currency CHAR(3) NOT NULL, exchange_rate {RATE} NOT NULL, "
+                       f"warehouse_id INT, subtotal {MONEY} NOT NULL, tax_amount {MONEY} NOT NULL, "
+                       f"total_amount {MONEY} NOT NULL, amount_billed {MONEY} NOT NULL, "
+                       f"amount_received_pct DECIMAL(6,2), notes STRING, reference VARCHAR(200), created_by INT, "
+                       f"created_at TIMESTAMP NOT NULL, updated_at TIMESTAMP NOT NULL",
+    "purchase_order_lines": f"id BIGINT NOT NULL, po_id BIGINT NOT NULL, line_number SMALLINT NOT NULL, "
+                            f"product_id BIGINT, description STRING NOT NULL, quantity {QTY} NOT NULL, "
+                            f"qty_received {QTY} NOT NULL, qty_billed {QTY} NOT NULL, uom_id INT, "
+                            f"unit_price {MONEY} NOT NULL, discount_pct {PCT} NOT NULL, line_amount {MONEY} NOT NULL, "
+                            f"tax_code_id INT, tax_amount {MONEY} NOT NULL, account_id INT",
+    "sales_orders": f"id BIGINT NOT NULL, company_id INT NOT NULL, so_number VARCHAR(50) NOT NULL, "
+                    f"status STRING NOT NULL, customer_id BIGINT NOT NULL, order_date DATE NOT NULL, "
+                    f"expected_date DATE, currency CHAR(3) NOT NULL, exchange_rate {RATE} NOT NULL, warehouse_id INT, "
+                    f"subtotal {MONEY} NOT NULL, tax_amount {MONEY} NOT NULL, total_amount {MONEY} NOT NULL, "
+                    f"amount_invoiced {MONEY} NOT NULL, notes STRING, reference VARCHAR(200), created_by INT, "
+                    f"created_at TIMESTAMP NOT NULL, updated_at TIMESTAMP NOT NULL",
+    "sales_order_lines": f"id BIGINT NOT NULL, so_id BIGINT NOT NULL, line_number SMALLINT NOT NULL, "
+                         f"product_id BIGINT, description STRING NOT NULL, quantity {QTY} NOT NULL, "
+                         f"qty_delivered {QTY} NOT NULL, qty_invoiced {QTY} NOT NULL, uom_id INT, "
+                         f"unit_price {MONEY} NOT NULL, discount_pct {PCT} NOT NULL, line_amount {MONEY} NOT NULL, "
+                         f"tax_code_id INT, tax_amount {MONEY} NOT NULL, account_id INT",
 }
 
+
+class Column(NamedTuple):
+    """One declared column: Spark type, character limit or None, and whether it must not be NULL."""
+    name: str
+    type: str
+    length: int | None
+    required: bool
+
+
+def columns(table: str) -> list[Column]:
+    """The declared columns of a table, in order."""
+    out = []
+    for part in TABLE_DDL[table].split(", "):
+        name, declared = part.removesuffix(" NOT NULL").split(" ", 1)
+        limit = re.fullmatch(r"(?:VAR)?CHAR\((\d+)\)", declared)
+        out.append(Column(name, "STRING" if limit else declared, int(limit[1]) if limit else None,
+                          part.endswith(" NOT NULL")))
+    return out
+
+
+COLUMNS = {t: columns(t) for t in TABLE_DDL}
+
 # --- integrity rules (declared keys and checks of the data model) -------------
-PRIMARY_KEYS = {t: ["id"] for t in TABLE_DDL if t != "stock_quantities"}
-PRIMARY_KEYS["stock_quantities"] = ["product_id", "location_id"]
+PRIMARY_KEYS = {t: ["id"] for t in TABLE_DDL}
 
 UNIQUE_KEYS = {
     "currencies": [["code"]],
@@ -144,6 +235,7 @@ UNIQUE_KEYS = {
     "products": [["company_id", "sku"]],
     "warehouses": [["company_id", "code"]],
     "warehouse_locations": [["warehouse_id", "code"]],
+    "stock_quantities": [["product_id", "location_id"]],
     "stock_moves": [["company_id", "move_number"]],
     "purchase_orders": [["company_id", "po_number"]],
     "purchase_order_lines": [["po_id", "line_number"]],
@@ -185,6 +277,7 @@ FOREIGN_KEYS = [
     ("contacts", "currency", "currencies", "code"),
     ("contacts", "ar_account_id", "accounts", "id"),
     ("contacts", "ap_account_id", "accounts", "id"),
+    ("contacts", "tax_code_id", "tax_codes", "id"),
     ("invoices", "company_id", "companies", "id"),
     ("invoices", "contact_id", "contacts", "id"),
     ("invoices", "currency", "currencies", "code"),
@@ -206,6 +299,7 @@ FOREIGN_KEYS = [
     ("bank_accounts", "gl_account_id", "accounts", "id"),
     ("bank_accounts", "currency", "currencies", "code"),
     ("bank_transactions", "bank_account_id", "bank_accounts", "id"),
+    ("bank_transactions", "reconciliation_id", "bank_reconciliations", "id"),
     ("bank_transactions", "payment_id", "payments", "id"),
     ("bank_transactions", "journal_entry_id", "journal_entries", "id"),
     ("bank_reconciliations", "bank_account_id", "bank_accounts", "id"),
@@ -215,15 +309,21 @@ FOREIGN_KEYS = [
     ("product_categories", "inventory_account_id", "accounts", "id"),
     ("product_categories", "cogs_account_id", "accounts", "id"),
     ("product_categories", "revenue_account_id", "accounts", "id"),
+    ("product_categories", "purchase_price_variance_id", "accounts", "id"),
     ("products", "company_id", "companies", "id"),
     ("products", "category_id", "product_categories", "id"),
     ("products", "uom_id", "units_of_measure", "id"),
+    ("products", "purchase_uom_id", "units_of_measure", "id"),
     ("products", "inventory_account_id", "accounts", "id"),
     ("products", "cogs_account_id", "accounts", "id"),
     ("products", "revenue_account_id", "accounts", "id"),
+    ("products", "tax_code_purchase_id", "tax_codes", "id"),
+    ("products", "tax_code_sale_id", "tax_codes", "id"),
     ("warehouses", "company_id", "companies", "id"),
     ("warehouse_locations", "warehouse_id", "warehouses", "id"),
     ("warehouse_locations", "parent_id", "warehouse_locations", "id"),
+    ("stock_quantities", "product_id", "products", "id"),
+    ("stock_quantities", "location_id", "warehouse_locations", "id"),
     ("stock_moves", "company_id", "companies", "id"),
     ("stock_moves", "product_id", "products", "id"),
     ("stock_moves", "uom_id", "units_of_measure", "id"),
@@ -231,8 +331,13 @@ FOREIGN_KEYS = [
     ("stock_moves", "to_location_id", "warehouse_locations", "id"),
     ("stock_moves", "invoice_id", "invoices", "id"),
     ("stock_moves", "journal_entry_id", "journal_entries", "id"),
+    ("stock_moves", "sales_order_id", "sales_orders", "id"),
+    ("stock_moves", "purchase_order_id", "purchase_orders", "id"),
     ("stock_moves", "sales_order_line_id", "sales_order_lines", "id"),
     ("stock_moves", "purchase_order_line_id", "purchase_order_lines", "id"),
+    ("inventory_cost_layers", "product_id", "products", "id"),
+    ("inventory_cost_layers", "location_id", "warehouse_locations", "id"),
+    ("inventory_cost_layers", "stock_move_id", "stock_moves", "id"),
     ("purchase_orders", "company_id", "companies", "id"),
     ("purchase_orders", "vendor_id", "contacts", "id"),
     ("purchase_orders", "currency", "currencies", "code"),
@@ -240,6 +345,8 @@ FOREIGN_KEYS = [
     ("purchase_order_lines", "po_id", "purchase_orders", "id"),
     ("purchase_order_lines", "product_id", "products", "id"),
     ("purchase_order_lines", "tax_code_id", "tax_codes", "id"),
+    ("purchase_order_lines", "uom_id", "units_of_measure", "id"),
+    ("purchase_order_lines", "account_id", "accounts", "id"),
     ("sales_orders", "company_id", "companies", "id"),
     ("sales_orders", "customer_id", "contacts", "id"),
     ("sales_orders", "currency", "currencies", "code"),
@@ -247,6 +354,8 @@ FOREIGN_KEYS = [
     ("sales_order_lines", "so_id", "sales_orders", "id"),
     ("sales_order_lines", "product_id", "products", "id"),
     ("sales_order_lines", "tax_code_id", "tax_codes", "id"),
+    ("sales_order_lines", "uom_id", "units_of_measure", "id"),
+    ("sales_order_lines", "account_id", "accounts", "id"),
 ]
 
 # (rule id, table, SQL boolean that must not be FALSE; NULL passes like a CHECK)
@@ -289,31 +398,7 @@ ENUM_COLUMNS = [
 ]
 
 # (table, column, max length) -- VARCHAR(n) / CHAR(n) limits of the data model
-LENGTH_LIMITS = [
-    ("currencies", "code", 3), ("companies", "name", 200), ("companies", "base_currency", 3),
-    ("accounts", "code", 20), ("accounts", "name", 200), ("accounts", "currency", 3),
-    ("journals", "code", 20), ("journals", "name", 100), ("journals", "type", 20),
-    ("journal_entries", "entry_number", 50), ("journal_entries", "currency", 3),
-    ("journal_entries", "source_type", 50), ("contacts", "name", 200),
-    ("invoices", "invoice_number", 50), ("payments", "payment_number", 50),
-    ("products", "sku", 100), ("products", "name", 200), ("stock_moves", "move_number", 50),
-    ("warehouses", "code", 20), ("warehouse_locations", "code", 50), ("tax_codes", "code", 20),
-    ("cost_centers", "code", 20), ("projects", "code", 20), ("product_categories", "code", 20),
-]
+LENGTH_LIMITS = [(t, c.name, c.length) for t, cols in COLUMNS.items() for c in cols if c.length]
 
-NOT_NULL = {
-    "journal_entries": ["company_id", "journal_id", "period_id", "entry_number", "entry_date", "currency",
-                        "exchange_rate", "status"],
-    "journal_entry_lines": ["journal_entry_id", "line_number", "account_id", "debit_amount", "credit_amount",
-                            "debit_base", "credit_base"],
-    "accounts": ["company_id", "code", "name", "category", "normal_balance", "opening_balance"],
-    "invoices": ["company_id", "invoice_number", "type", "status", "contact_id", "invoice_date", "currency",
-                 "total_amount", "amount_paid"],
-    "stock_moves": ["company_id", "move_number", "move_type", "move_date", "product_id", "quantity",
-                    "unit_cost", "is_posted"],
-    "products": ["company_id", "sku", "name", "valuation_method", "average_cost"],
-    "contacts": ["company_id", "name", "type"],
-    "payments": ["company_id", "payment_number", "direction", "payment_date", "amount"],
-    "bank_reconciliations": ["bank_account_id", "period_end_date", "statement_balance", "book_balance",
-                             "is_completed"],
-}
+# Primary keys are left out: the key audit counts their NULLs.
+NOT_NULL = {t: [c.name for c in cols if c.required and c.name not in PRIMARY_KEYS[t]] for t, cols in COLUMNS.items()}

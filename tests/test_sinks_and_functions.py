@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from kontor.functions import money as M
@@ -46,7 +47,12 @@ def test_conform_and_load_table(spark, tmp_path):
     path = str(tmp_path)
     lg = FX.ledger(spark, SF_SMALL)
     lg.accounts.write.mode("overwrite").parquet(f"{path}/accounts")
-    t = RD.load_table(spark, path, "accounts")
+    t = RD.load_table(spark, path, "accounts", partial=True)
+    assert t.columns == lg.accounts.columns
+    with pytest.raises(ValueError, match="created_at"):
+        RD.load_table(spark, path, "accounts")
+    lg.declared(["accounts"])["accounts"].write.parquet(f"{path}/full/accounts")
+    assert RD.load_table(spark, f"{path}/full", "accounts").columns == [c for c, _ in RD.table_columns("accounts")]
     assert t.count() == lg.accounts.count()
     assert t.schema["opening_balance"].dataType.simpleString() == "decimal(20,4)"
 

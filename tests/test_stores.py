@@ -1,4 +1,4 @@
-"""Roll-ups without the closure, the layer store and names of any script."""
+"""Roll-ups without the closure, the layer store, names of any script, declared rules, order amounts and budgets."""
 
 import datetime as dt
 import random
@@ -89,3 +89,76 @@ def test_key_audit_of_dense_sparse_and_null_keys(spark):
     got = {(r["rule_id"], r["row_key"], r["detail"]) for r in AU.key_findings(nulls, ["cost_centers"]).collect()}
     assert got == {("pk_duplicate", "NULL", "rows=2"), ("pk_null", "id", "rows=2")}
     assert AU.key_findings({"cost_centers": nulls["cost_centers"].limit(0)}, ["cost_centers"]).count() == 0
+
+
+def test_declared_rules_name_declared_columns():
+    from kontor.sources import schemas as S
+
+    names = {t: [c.name for c in cols] for t, cols in S.COLUMNS.items()}
+    assert len(names) == 33 and all(len(set(c)) == len(c) for c in names.values())
+    assert len(S.FOREIGN_KEYS) == len(set(S.FOREIGN_KEYS)) == 111
+    assert all(c in names[t] and p in names[parent] for t, c, parent, p in S.FOREIGN_KEYS)
+    assert all(set(u) <= set(names[t]) for t, keys in S.UNIQUE_KEYS.items() for u in keys)
+    assert ("companies", "country", 2) in S.LENGTH_LIMITS and ("products", "sku", 100) in S.LENGTH_LIMITS
+    assert "created_at" in S.NOT_NULL["currencies"] and "id" not in S.NOT_NULL["currencies"]
+    assert "due_date" not in S.NOT_NULL["invoices"]
+
+
+def test_row_rules_of_wide_and_of_keyless_rows(spark):
+    """Every broken rule of a row is a finding of its own; a table without its id is named by a unique key."""
+    from kontor.operators import audit as AU
+
+    companies = spark.createDataFrame(
+        [(1, "a", "USD", "DEU", None), (2, None, "EURO", None, None), (3, "c", "USD", "DE", None)],
+        "id INT, name STRING, base_currency STRING, country STRING, extra STRING")
+    stock = spark.createDataFrame([(7, 1, None, 0.0), (8, 1, 5.0, None)],
+                                  "product_id BIGINT, location_id INT, quantity DOUBLE, reserved_qty DOUBLE")
+    got = {(r["rule_id"], r["row_key"], r["detail"])
+           for r in AU.audit({"companies": companies, "stock_quantities": stock}).collect()}
+    assert got == {("length_country", "1", "length=3"), ("not_null_name", "2", "name"),
+                   ("length_base_currency", "2", "length=4"), ("not_null_quantity", "7|1", "quantity"),
+                   ("not_null_reserved_qty", "8|1", "reserved_qty")}
+
+
+def test_order_amounts_over_several_documents(spark):
+    from kontor.operators import orders as O
+
+    po = spark.createDataFrame([(1, 9, dt.date(2024, 1, 1), D(100), D(0)), (2, 9, dt.date(2024, 1, 5), D(50), D(7)),
+                                (3, 8, dt.date(2024, 1, 5), D(0), D(0))],
+                               "id LONG, vendor_id LONG, order_date DATE, total_amount DECIMAL(20,4), amount_billed DECIMAL(20,4)")
+    lines = spark.createDataFrame([(11, 1, 5, D(10)), (21, 2, 5, D(5)), (31, 3, 5, D(1))],
+                                  "id LONG, po_id LONG, product_id LONG, quantity DECIMAL(20,6)")
+    bills = spark.createDataFrame([(100, "purchase", "sent", 9, dt.date(2024, 2, 1)), (101, "purchase", "paid", 9, dt.date(2024, 2, 2)),
+                                   (102, "purchase", "draft", 9, dt.date(2024, 2, 3)), (103, "sale", "paid", 9, dt.date(2024, 2, 3))],
+                                  "id LONG, type STRING, status STRING, contact_id LONG, invoice_date DATE")
+    rows = [(1000, 100, 5, D(8), D("10.0000"), D(0)), (1001, 101, 5, D(4), D("9.3333"), D(50)),
+            (1002, 102, 5, D(99), D(1), D(0)), (1003, 103, 5, D(99), D(1), D(0)), (1004, 101, 6, D(3), D(1), D(0))]
+    bl = spark.createDataFrame(rows, "id LONG, invoice_id LONG, product_id LONG, quantity DECIMAL(20,6), "
+                                     "unit_price DECIMAL(20,4), discount_pct DECIMAL(6,4)")
+    for range_rows in (None, 2):
+        got = {r["id"]: (r["quantity"], r["amount_billed"], r["stored_amount"], r["billed_pct"], r["to_come"])
+               for r in O.purchase_order_amounts(lines, po, bl, bills, range_rows).collect()}
+        # 8 at 10 and 2 at half of 9.3333; then 2 more of the second bill; the third order has no bill and no total
+        assert got == {1: (D(10), D("89.3333"), D(0), D("89.33"), D("10.6667")),
+                       2: (D(2), D("9.3333"), D(7), D("18.67"), D("40.6667")),
+                       3: (D(0), D(0), D(0), D(0), D(0))}
+
+
+def test_project_budget_states(spark):
+    from kontor.operators import reports as R
+
+    projects = spark.createDataFrame([(i, 1, f"P{i}", b) for i, b in
+                                      enumerate([D(100), D(100), D(100), None, D(0), D(100)])],
+                                     "id INT, company_id INT, code STRING, budget DECIMAL(20,4)")
+    accounts = spark.createDataFrame([(1, "expense"), (2, "revenue"), (3, "asset")], "id INT, category STRING")
+    entries = spark.createDataFrame([(1, "posted"), (2, "draft")], "id LONG, status STRING")
+    lines = [(1, 1, 0, 89, 0), (2, 1, 0, 500, 0), (1, 3, 0, 500, 0), (1, 1, 1, 95, 5), (1, 1, 2, 101, 0),
+             (1, 2, 2, 0, 30), (1, 1, 3, 5, 0), (1, 1, 4, 1, 0), (1, 1, None, 77, 0)]
+    ln = spark.createDataFrame([(e, a, p, D(d), D(c)) for e, a, p, d, c in lines],
+                               "journal_entry_id LONG, account_id INT, project_id INT, debit_base DECIMAL(20,4), "
+                               "credit_base DECIMAL(20,4)")
+    got = {r["id"]: (r["actual"], r["revenue"], r["remaining"], r["used_pct"], r["status"])
+           for r in R.project_budget(ln, accounts, entries, projects).collect()}
+    assert got == {0: (D(89), D(0), D(11), D(89), "within"), 1: (D(90), D(0), D(10), D(90), "near"),
+                   2: (D(101), D(30), D(-1), D(101), "over"), 3: (D(5), D(0), None, None, "no_budget"),
+                   4: (D(1), D(0), D(-1), D(0), "over"), 5: (D(0), D(0), D(100), D(0), "within")}
