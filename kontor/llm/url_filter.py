@@ -18,7 +18,7 @@ Defined results
   longer host.
 * repeated rules count once; the same rule with both verdicts blocks. Rules
   with a null or empty host fit nothing; a null path is the empty path, which
-  fits every path. U+10FFFF, no character, must not stand in a path.
+  fits every path. Any character may stand in a path, U+10FFFF too.
 * repeated pages keep one row each. Empty tables: empty result, or the default
   verdict everywhere. Further columns are not read.
 """
@@ -47,8 +47,8 @@ def reversed_host(host):
 
 
 def key(host, path):
-    """Canonical key: no host holds a ``/``, so keys of one host are neighbours and prefixes of paths are prefixes of keys."""
-    return F.concat(reversed_host(host), F.lit("/"), path)
+    """Canonical key, as bytes: no host holds a ``/``, so keys of one host are neighbours and prefixes of paths are prefixes of keys."""
+    return F.encode(F.concat(reversed_host(host), F.lit("/"), path), "UTF-8")
 
 
 def ancestors(host):
@@ -62,8 +62,8 @@ def on_top(events: DataFrame) -> DataFrame:
     """Points with the rule on top of the stack.
 
     ``events``: key, kind (0 rule ends, 1 rule starts, 2 point), rule, host,
-    path. An end has the key of its rule followed by the largest character, so
-    it sorts after every key the rule covers.
+    path. Keys are UTF-8 bytes. An end has the key of its rule followed by 0xFF,
+    a byte that no text holds, so it sorts after every key the rule covers.
     """
     # the hash lets points of one key fill several ranges
     dealt = events.repartitionByRange(F.col("key"), F.col("kind"), F.col("rank"), F.xxhash64("host", "path"))
@@ -114,7 +114,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = ALLOW) -> Data
     opens = rules.select(start.alias("key"), F.lit(1).alias("kind"), F.length("rule_path").alias("rank"),
                          "rule_host", "rule_path", none.alias("host"), none.alias("path"))
     # ends of one key: the deepest rule closes first
-    closes = rules.select(F.concat(start, F.lit("\U0010ffff")).alias("key"), F.lit(0).alias("kind"),
+    closes = rules.select(F.concat(start, F.lit(b"\xff")).alias("key"), F.lit(0).alias("kind"),
                           (-F.length("rule_path")).alias("rank"),
                           "rule_host", "rule_path", none.alias("host"), none.alias("path"))
     found = on_top(under.unionByName(opens).unionByName(closes))

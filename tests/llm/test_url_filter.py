@@ -31,7 +31,8 @@ def brute(url):
 def test_matches_brute_force(spark):
     rng = random.Random(3)
     urls = [None, "", "no scheme", "http://", "x://EXAMPLE.org", "http://a.b.example.ORG/es/?q", "http://org//",
-            "http://x.com?a/fr/", "http://x.com/fr/#b", "a://net/a://net/b", "http://..com/fr/"]
+            "http://x.com?a/fr/", "http://x.com/fr/#b", "a://net/a://net/b", "http://..com/fr/",
+            "http://a.org/\U0010ffffx", "http://a.org/\U0010ffff", "http://example.org/es/\U0010ffff\U0010ffff", "http://b.net/\U0010ffff"]
     hosts = ["org", "example.org", "b.example.org", "c.b.example.org", "xorg", "com", "q.com", "net", "z.net", "de"]
     paths = ["", "/", "/es", "/es/", "/es/x/", "/es/x/y", "/es/w", "/fr/", "/fr/1", "/a", "/ab", "/b"]
     urls += [f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)]
