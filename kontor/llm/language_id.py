@@ -25,10 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontor.llm.common import hash_fraction, remainder
+from kontor.llm.common import remainder
 
 UNDETERMINED = "und"
 MODEL_CELLS = 1 << 20
+MOST_LANGUAGES = 8192  # 64 MB of probabilities, beyond the number of written languages
 CHUNK = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 _ALPHA = None
@@ -73,18 +74,22 @@ def learn(labelled: DataFrame, docs_per_language: int = 2000, smoothing: float =
 
     Fitted on a sample of at most about ``docs_per_language`` rows of each
     language, chosen by a hash of the id. The matrix has at most MODEL_CELLS
-    cells whatever the input, so it may travel with the tasks.
+    cells, or 1,024 for each of at most MOST_LANGUAGES languages, whatever the
+    input, so it may travel with the tasks.
     """
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], None
-    bits = min(14, (MODEL_CELLS // len(langs)).bit_length() - 1)
-    if bits < 10:
-        raise ValueError(f"{len(langs)} languages leave under 1,024 buckets each of the model's bound")
-    chosen = F.lit(False)
-    for lang in langs:
-        chosen = chosen | ((F.col("lang") == lang) & hash_fraction("doc_id", docs_per_language / sizes[lang]))
+    bits = max(10, min(14, (MODEL_CELLS // len(langs)).bit_length() - 1))
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages exceed the model's bound of {MOST_LANGUAGES}")
+    spark = labelled.sparkSession
+    # one row a language, at most MOST_LANGUAGES: the hashes of ids below which a row is in the sample
+    shares = spark.createDataFrame([(lang, int(min(1.0, docs_per_language / n) * 2**62)) for lang, n in sizes.items()],
+                                   "lang string, below long")
+    sampled = (labelled.select("doc_id", "text", "lang").where("text IS NOT NULL").join(F.broadcast(shares), "lang")
+               .where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.col("below")))
     place = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches):
@@ -99,7 +104,7 @@ def learn(labelled: DataFrame, docs_per_language: int = 2000, smoothing: float =
             at = total.nonzero()[0]
             yield pd.DataFrame({"lang": i, "bucket": at, "n": total[at]})
 
-    found = (labelled.where(chosen & F.col("text").isNotNull()).select("lang", "text")
+    found = (sampled.select("lang", "text")
              .mapInPandas(count, "lang int, bucket int, n long")
              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     matrix = np.full((1 << bits, len(langs)), smoothing)

@@ -32,6 +32,19 @@ def test_empty_and_unlabelled(spark):
     assert {r["lang_pred"] for r in got.values()} == {"und"}
 
 
+def test_two_thousand_languages(spark):
+    def words(i):
+        letters = "".join(chr(97 + i // 26**k % 26) for k in range(3))
+        return f"{letters}{letters[::-1]} q{letters} {letters[1:]}z " * 6
+
+    texts = [words(i) for i in range(2000)]
+    frame = docs(spark, texts + texts[:40], {i: f"l{i:04d}" for i in range(2000)} | {2000 + i: None for i in range(40)})
+    langs, matrix = lid.learn(frame.where("lang IS NOT NULL"))
+    assert len(langs) == 2000 and matrix.shape[0] == 1024
+    got = by_id(lid.identify(frame.where("lang IS NULL").drop("lang"), (langs, matrix)))
+    assert sum(got[2000 + i]["lang_pred"] == f"l{i:04d}" for i in range(40)) >= 36
+
+
 def test_held_out_accuracy_on_documents(spark):
     import __spark_entry__ as E
 
