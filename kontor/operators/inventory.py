@@ -95,19 +95,23 @@ def _stock_delta(moves: DataFrame) -> DataFrame:
     return moves.withColumn("_delta", F.when(F.col("is_posted"), delta).otherwise(F.lit(0)).cast(QTY_SUM))
 
 
-def costed_receipts(moves: DataFrame, order: list[str], range_rows: int | None = RANGE_ROWS) -> DataFrame:
+def costed_receipts(moves: DataFrame, order: list[str], range_rows: int | None = RANGE_ROWS,
+                    keep: bool = False) -> DataFrame:
     """Posted purchase receipts with a cost, each with Q = product stock before it.
 
     Q sums the signed deltas of all earlier posted moves of the product (all
     locations) -- the stock trigger of this move has not run yet when the cost
     trigger reads it. Q does not depend on the cost, so it is a running sum,
-    split into ranges of moves.
+    split into ranges of moves. ``keep`` writes the moves with their ranges, which
+    two steps read, once under the checkpoint folder.
     """
-    keep = ["id", "product_id", "move_type", "quantity", "unit_cost", "is_posted", "from_location_id",
+    columns = ["id", "product_id", "move_type", "quantity", "unit_cost", "is_posted", "from_location_id",
             "to_location_id"]
-    keep += [c for c in order if c not in keep]
-    m = ranged(_stock_delta(moves.select(*keep)), ["product_id"], order, range_rows)
-    m = running_sum(m, ["product_id"], order, "_delta", "qty_before", bucket=RANGE, exclusive=True)
+    columns += [c for c in order if c not in columns]
+    m = ranged(_stock_delta(moves.select(*columns)), ["product_id"], order, range_rows)
+    if keep:
+        m = stored(m, "move_ranges")
+    m = running_sum(m, ["product_id"], order, "_delta", "qty_before", bucket=RANGE, exclusive=True, range_rows=range_rows)
     return m.filter((F.col("move_type") == "purchase_receipt") & F.col("is_posted") & (F.col("unit_cost") > 0))
 
 
@@ -152,12 +156,14 @@ def _fold_partitions(batches):
 
 
 def _segment_receipts(moves: DataFrame, products: DataFrame, order: list[str],
-                      range_rows: int | None) -> DataFrame:
-    """Costed receipts with Q, their reset segment and the starting cost of segment 0."""
-    r = costed_receipts(moves, order, range_rows)
+                      range_rows: int | None, keep: bool = False) -> DataFrame:
+    """Costed receipts with Q, their reset segment and the starting cost of segment 0; ``keep`` as in ``costed_receipts``."""
+    r = costed_receipts(moves, order, range_rows, keep)
     den = F.col("qty_before") + F.col("quantity")
     r = r.withColumn("_reset", F.when((F.col("qty_before") == 0) | (den <= 0), 1).otherwise(0))
-    r = running_sum(r, ["product_id"], order, "_reset", "seg", bucket=RANGE)
+    if keep:
+        r = stored(r, "receipts")
+    r = running_sum(r, ["product_id"], order, "_reset", "seg", bucket=RANGE, range_rows=range_rows)
     init = products.select(F.col("id").alias("product_id"), F.col("average_cost").alias("_start"))
     return (r.join(init, "product_id", "left")
             .withColumn("init_cost", F.when(F.col("seg") == 0, F.coalesce("_start", F.lit(0).cast(MONEY))))
@@ -185,9 +191,10 @@ def moving_average_cost(moves: DataFrame, products: DataFrame, order: list[str]
     that never resets over all cores.
     """
     order = order or ["id"]
-    r = _segment_receipts(moves, products, order, range_rows)
+    r = _segment_receipts(moves, products, order, range_rows, parallel)
     chunk = ["product_id", "seg", "chunk"]
     if parallel:
+        r = stored(r, "segments")
         starts = chunk_starts(r, order)
         r = (r.join(starts.select(*[F.col(c).alias(f"_s_{c}") for c in chunk], "start"),
                     same_keys(chunk, [f"_s_{c}" for c in chunk]), "left")
@@ -209,58 +216,63 @@ def _chunk_maps(batches):
     """Each chunk without its rounding: the cost after it is about a * (cost before it) + b."""
     key, a, b, first = None, 1.0, 0.0, None
 
-    def row():
-        return pd.DataFrame({"product_id": [key[0]], "seg": [key[1]], "chunk": pd.array([key[2]], "Int32"),
-                             "first_cost": [first], "a": [a], "b": [b]})
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["product_id", "seg", "chunk", "first_cost", "a", "b"])
 
     for pdf in batches:
+        rows = []
         for pid, seg, chunk, qb, q, c, init in zip(pdf["product_id"], pdf["seg"], pdf["chunk"], pdf["qty_before"],
                                                    pdf["quantity"], pdf["unit_cost"], pdf["init_cost"]):
-            own = (pid, seg, None if pd.isna(chunk) else int(chunk))
+            own = (pid, seg, chunk)
             if own != key:
                 if key is not None:
-                    yield row()
+                    rows.append((*key, first, a, b))
                 key, a, b, first = own, 1.0, 0.0, init
             total = float(qb) + float(q)
             keep = float(qb) / total if qb and total > 0 else 0.0
             a, b = a * keep, b * keep + float(c) * (1.0 - keep)
+        if rows:
+            yield frame(rows)
     if key is not None:
-        yield row()
+        yield frame([(*key, first, a, b)])
 
 
-def _next_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Starting costs of the chunks of one segment, in order (one row a chunk).
+def _next_starts(batches):
+    """Starting costs of the chunks of each segment, over rows sorted by (product, segment, chunk), one row a chunk.
 
     Before the first fold ``start`` is missing and the maps are chained. After
     it the next start is the end that was reached, moved by the slope of the
-    chunk where its own start moves.
+    chunk where its own start moves. Carried along is one cost, so a segment
+    may have any number of chunks.
     """
-    pdf = pdf.sort_values("chunk")
-    first = pdf["first_cost"].iat[0]
-    exact = Decimal(0) if first is None or pd.isna(first) else first
-    start, starts = exact, []
-    for a, b, was, end in zip(pdf["a"], pdf["b"], pdf["start"], pdf["end"]):
-        starts.append(start)
-        if was is None or pd.isna(was):
-            start = Decimal(repr(a * float(start) + b)).quantize(_Q4, rounding=ROUND_HALF_UP)
-        elif start == was:
-            start = end
-        else:
-            start = (end + Decimal(repr(a)) * (start - was)).quantize(_Q4, rounding=ROUND_HALF_UP)
-    return pdf.assign(due=starts)[["product_id", "seg", "chunk", "first_cost", "a", "b", "start", "end", "due"]]
+    key, start = None, None
+    for pdf in batches:
+        starts = []
+        for pid, seg, first, a, b, was, end in zip(pdf["product_id"], pdf["seg"], pdf["first_cost"], pdf["a"], pdf["b"],
+                                                   pdf["start"], pdf["end"]):
+            if (pid, seg) != key:
+                key, start = (pid, seg), Decimal(0) if first is None or pd.isna(first) else first
+            starts.append(start)
+            if was is None or pd.isna(was):
+                start = Decimal(repr(a * float(start) + b)).quantize(_Q4, rounding=ROUND_HALF_UP)
+            elif start == was:
+                start = end
+            else:
+                start = (end + Decimal(repr(a)) * (start - was)).quantize(_Q4, rounding=ROUND_HALF_UP)
+        yield pdf.assign(due=starts)[["product_id", "seg", "chunk", "first_cost", "a", "b", "start", "end", "due"]]
 
 
 def _chunk_ends(batches):
     """The exact cost after each chunk, from its starting cost."""
-    key, last = None, None
+    keys, held = ["product_id", "seg", "chunk"], None
     for pdf in _fold_partitions(batches):
-        ends = pdf.groupby(["product_id", "seg", "chunk"], dropna=False, sort=False)["average_cost"].last().reset_index()
-        for pid, seg, chunk, cost in zip(ends["product_id"], ends["seg"], ends["chunk"], ends["average_cost"]):
-            if key is not None and (pid, seg, chunk) != key:
-                yield pd.DataFrame({"product_id": [key[0]], "seg": [key[1]], "chunk": [key[2]], "end": [last]})
-            key, last = (pid, seg, chunk), cost
-    if key is not None:
-        yield pd.DataFrame({"product_id": [key[0]], "seg": [key[1]], "chunk": [key[2]], "end": [last]})
+        rows = pdf[[*keys, "average_cost"]].rename(columns={"average_cost": "end"})
+        ends = (rows if held is None else pd.concat([held, rows])).drop_duplicates(keys, keep="last")
+        held = ends.tail(1)
+        if len(ends) > 1:
+            yield ends.iloc[:-1]
+    if held is not None:
+        yield held
 
 
 def chunk_starts(receipts: DataFrame, order: list[str]) -> DataFrame:
@@ -273,16 +285,18 @@ def chunk_starts(receipts: DataFrame, order: list[str]) -> DataFrame:
     the maps' slopes, and only chunks with a new start are folded again. Once
     no start changes, all are exact, because the first one is and each end
     follows from its start. Every round makes at least one more chunk exact.
+    ``receipts`` is read in every round, so it is a written table.
     """
     chunk = ["product_id", "seg", "chunk"]
-    rows = stored(receipts.where("chunk IS NOT NULL").select(
-        *chunk, *[c for c in order if c != "id"], "id", "qty_before", "quantity", "unit_cost", "init_cost"), "chunk_rows")
+    rows = receipts.where("chunk IS NOT NULL").select(
+        *chunk, *[c for c in order if c != "id"], "id", "qty_before", "quantity", "unit_cost", "init_cost")
     given = ["id", "qty_before", "quantity", "unit_cost", "init_cost"]
     known = (rows.repartition(*chunk).sortWithinPartitions(*chunk, *order).select(*chunk, *given)
              .mapInPandas(_chunk_maps, _CHUNK_SCHEMA)
              .withColumn("start", F.lit(None).cast(MONEY)).withColumn("end", F.lit(None).cast(MONEY)))
     while True:
-        known = stored(known.groupBy("product_id", "seg").applyInPandas(
+        known = stored(known.repartition("product_id", "seg").sortWithinPartitions(*chunk).select(
+            *chunk, "first_cost", "a", "b", "start", "end").mapInPandas(
             _next_starts, _CHUNK_SCHEMA + ", start DECIMAL(20,4), end DECIMAL(20,4), due DECIMAL(20,4)"), "chunks")
         moved = known.where("NOT (due <=> start)")
         if moved.isEmpty():

@@ -16,7 +16,8 @@ holds about the same number of rows whatever the values look like (dense
 ids, 60-bit hashes, one busy day), and the same cuts come out of every
 evaluation of the plan. A key of fewer rows than a range has no cut, and its
 range is NULL. Cuts are at most rows / range_rows, a proven bound, so they are
-broadcast, and so are the totals of the ranges. It is one plan for all keys:
+broadcast, and so are the totals of the ranges, unless the ranges are small
+(``SMALL_RANGE``) and the cuts therefore many. It is one plan for all keys:
 without a cut the broadcast is empty and adaptive execution drops the second
 phase.
 
@@ -41,6 +42,7 @@ RANGE = "_range"         # number of the row's range among its key's rows, NULL
 SPLIT = "_split"         # whether the key has several ranges
 RANGE_ROWS = 1_000_000   # rows per range: what one task sorts of a hot key
 SAMPLED = 64             # sampled rows per range
+SMALL_RANGE = 10_000     # ranges of fewer rows have too many cuts to broadcast them
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -63,7 +65,7 @@ def range_cuts(df: DataFrame, keys: list[str], order: list[str], range_rows: int
     per = max(min(SAMPLED, range_rows), 1)
     rate = max(range_rows // per, 1)
     sample = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(rate)) == 0)
-    cuts = F.filter(F.array_sort(F.collect_list(F.struct(*order))), lambda _, i: (i > 0) & (i % per == 0))
+    cuts = F.filter(F.sort_array(F.collect_list(F.struct(*order))), lambda _, i: (i > 0) & (i % per == 0))
     return (sample.groupBy(*[F.col(k).alias(f"_c_{k}") for k in keys]).agg(cuts.alias("_cuts"))
             .where(F.size("_cuts") > 0))
 
@@ -85,12 +87,17 @@ def ranged(df: DataFrame, keys: list[str], order: list[str], range_rows: int | N
     """
     if range_rows is None:
         return df.select("*", F.lit(None).cast("int").alias(RANGE), F.lit(False).alias(SPLIT))
-    return _cut(df, keys, order, range_cuts(df, keys, order, range_rows))
+    return _cut(df, keys, order, range_cuts(df, keys, order, range_rows), range_rows)
 
 
-def _cut(df: DataFrame, keys: list[str], order: list[str], cuts: DataFrame) -> DataFrame:
-    """``df`` with ``_range`` by the sorted ``cuts`` of each key: rows / range_rows in all, so they are broadcast."""
-    return (df.join(F.broadcast(cuts), same_keys(keys, [f"_c_{k}" for k in keys]), "left")
+def _per_range(df: DataFrame, range_rows: int | None) -> DataFrame:
+    """``df``, rows / range_rows rows in all, to be broadcast unless the ranges are small."""
+    return df if range_rows is not None and range_rows < SMALL_RANGE else F.broadcast(df)
+
+
+def _cut(df: DataFrame, keys: list[str], order: list[str], cuts: DataFrame, range_rows: int | None = None) -> DataFrame:
+    """``df`` with ``_range`` by the sorted ``cuts`` of each key."""
+    return (df.join(_per_range(cuts, range_rows), same_keys(keys, [f"_c_{k}" for k in keys]), "left")
             .select(*df.columns, _range_of(order).alias(RANGE), F.col("_cuts").isNotNull().alias(SPLIT)))
 
 
@@ -106,12 +113,13 @@ def _offsets(df: DataFrame, keys: list[str], specs: list[tuple[str, str, str]],
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[str, str, str]],
-            bucket: str | None = None, exclusive: bool = False) -> DataFrame:
+            bucket: str | None = None, exclusive: bool = False, range_rows: int | None = None) -> DataFrame:
     """Add running aggregates: ``specs`` = [(out, value column, 'sum'|'min'|'max')].
 
     Inclusive (rows up to this one) or ``exclusive`` (rows before it; NULL
     when there are none). With ``bucket``: two phases, see module doc; ``RANGE``
-    takes the ranges that ``ranged`` gave to ``df``.
+    takes the ranges that ``ranged`` gave to ``df``, whose totals are broadcast
+    unless ``range_rows`` says that the ranges are small.
     """
     end = -1 if exclusive else Window.currentRow
     if bucket is None:
@@ -120,7 +128,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[
     part = keys + [bucket]
     offsets = _offsets(df, keys, specs, bucket)
     if bucket == RANGE:
-        offsets = F.broadcast(offsets)  # one row a range
+        offsets = _per_range(offsets, range_rows)  # one row a range
     joined = df.join(offsets, same_keys(part, [f"_k_{k}" for k in part]), "left")
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     cols = []
@@ -138,12 +146,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                bucket: str | None = None, exclusive: bool = False) -> DataFrame:
+                bucket: str | None = None, exclusive: bool = False, range_rows: int | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over rows up to this one (ROWS frame); exclusive
     gives the sum over earlier rows (0 for the first)."""
     if not exclusive:
-        return running(df, keys, order, [(out, value, "sum")], bucket)
-    r = running(df, keys, order, [(out, value, "sum")], bucket)
+        return running(df, keys, order, [(out, value, "sum")], bucket, range_rows=range_rows)
+    r = running(df, keys, order, [(out, value, "sum")], bucket, range_rows=range_rows)
     return r.withColumn(out, F.col(out) - F.col(value))
 
 
