@@ -122,11 +122,11 @@ def q_moving_average_cost_replayed(spark, sf_dir):
     from kontor.streaming import cost_log as CL
     lg = L(spark, sf_dir)
     files = scratch_path(spark, "move_files")
-    shuffled = lg.stock_moves.select(*CL.MOVE_COLUMNS).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(3)))
-    for i in range(3):  # one file a micro-batch
-        shuffled.where(f"part = {i}").drop("part").coalesce(1).write.mode("append").parquet(files)
+    shuffled = stored(lg.stock_moves.select(*CL.MOVE_COLUMNS).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(3))), "moves")
     log = CL.CostLog(spark, scratch_path(spark, "cost_log"), lg.products, delay=1000)
-    log.run(spark.readStream.schema(CL.MOVE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(files))
+    for i in range(3):  # a micro-batch takes all files that came since the one before
+        shuffled.where(f"part = {i}").drop("part").write.mode("append").parquet(files)
+        log.run(spark.readStream.schema(CL.MOVE_SCHEMA).parquet(files))
     log.flush()
     return log.latest()
 
