@@ -731,6 +731,22 @@ def duckdb_with(names, prefix: str = "") -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+#: Bytes of line item files per task that numbers them and joins them with their orders (about 700,000 rows).
+TASK_BYTES = 8 << 20
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over a number of tasks that grows with its files.
+
+    Adaptive execution sizes tasks by compressed shuffle bytes, of which the
+    line items have so few that a task would sort and join millions of rows.
+    A table of a few tasks' size is left to it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = -(-size // TASK_BYTES)
+    return df.repartition(tasks, key) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 @dataclass
 class Ledger:
     """Lazily built ledger tables over one directory of driver tables."""
@@ -751,6 +767,8 @@ class Ledger:
         if name not in self._cache:
             sql, deps = table_sql(name, "spark")
             frames = {d: self[d] for d in deps}
+            if name == "line_src":
+                frames["lineitem"] = _dealt(frames["lineitem"], "l_orderkey")
             self._cache[name] = self.spark.sql(sql, **frames)
         return self._cache[name]
 
