@@ -165,12 +165,14 @@ def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
     demand beyond the total supply comes back with a NULL ``supply_id``
     (shortfall); supply never consumed does not appear. Quantities must be
     non-negative. A queue of more than ``range_rows`` rows is split into
-    ranges, unless it has the column ``_range`` already. The places of both
-    queues, which several steps read, are written once under the checkpoint folder.
+    ranges, unless it has the column ``_range`` already. Both queues and then
+    their places, which several steps read, are written once under the checkpoint folder.
     """
     if RANGE not in supply.columns:
+        supply = stored(supply.select(*dict.fromkeys([*keys, *supply_order, supply_qty, supply_id])), "supply_rows")
         supply = ranged(supply, keys, supply_order, range_rows)
     if RANGE not in demand.columns:
+        demand = stored(demand.select(*dict.fromkeys([*keys, *demand_order, demand_qty, demand_id])), "demand_rows")
         demand = ranged(demand, keys, demand_order, range_rows)
     one = F.lit(1).cast("bigint")
     s = running(supply.withColumn("_one", one), keys, supply_order,
