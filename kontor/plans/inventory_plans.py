@@ -238,7 +238,8 @@ WHERE remaining_qty > 0
 """)
 def q_active_layers(spark, sf_dir):
     """The store of active layers carried over three batches of moves."""
-    moves = L(spark, sf_dir).stock_moves
+    moves = stored(L(spark, sf_dir).stock_moves.select(
+        "id", "product_id", "move_type", "move_date", "quantity", "unit_cost", "to_location_id", "is_posted"), "moves")
     first, last = moves.agg(F.min("move_date"), F.max("move_date")).first()
     third = (last - first) / 3
     active = I.empty_layers(spark)
@@ -358,7 +359,10 @@ LEFT JOIN fv ON fv.product_id = qp.product_id
 """)
 def q_valuation_by_method(spark, sf_dir):
     lg = L(spark, sf_dir)
-    stock = I.apply_stock_moves(lg.stock_moves)
-    products = I.product_costs(lg.stock_moves, lg.products, MOVE_ORDER)
-    _, layers = I.fifo_by_location(lg.stock_moves, MOVE_ORDER)
+    moves = stored(lg.stock_moves.select(  # read by all three operators, several times by each
+        "id", "product_id", "move_type", "move_date", "quantity", "unit_cost", "from_location_id", "to_location_id",
+        "is_posted"), "moves")
+    stock = I.apply_stock_moves(moves)
+    products = I.product_costs(moves, lg.products, MOVE_ORDER)
+    _, layers = I.fifo_by_location(moves, MOVE_ORDER)
     return I.valuation_by_method(stock, products, layers)
