@@ -43,6 +43,7 @@ SPLIT = "_split"         # whether the key has several ranges
 RANGE_ROWS = 1_000_000   # rows per range: what one task sorts of a hot key
 SAMPLED = 64             # sampled rows per range
 SMALL_RANGE = 10_000     # ranges of fewer rows have too many cuts to broadcast them
+TASK_BYTES = 8 << 20     # bytes of input files per task of a window (about 500,000 line items)
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -55,6 +56,21 @@ def same_keys(left: list[str], right: list[str]):
     return on
 
 
+def dealt(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` dealt by ``cols`` over a number of tasks that grows with the files it is made of.
+
+    Adaptive execution sizes tasks by compressed shuffle bytes, which say
+    little of the rows a window sorts. Files read more than once count once.
+    Files of a few tasks' size, and frames whose size is not known, are left to it.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = {leaf.semanticHash(): int(str(leaf.stats().sizeInBytes()))
+             for leaf in (leaves.apply(i) for i in range(leaves.size()))}
+    tasks = -(-sum(sizes.values()) // TASK_BYTES)
+    few = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, *cols) if few < tasks < 1 << 20 else df
+
+
 def range_cuts(df: DataFrame, keys: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """(_c_<key>..., _cuts): for each key of more than about ``range_rows`` rows, the sorted first rows of its
     ranges but the first one.
@@ -119,7 +135,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[
     Inclusive (rows up to this one) or ``exclusive`` (rows before it; NULL
     when there are none). With ``bucket``: two phases, see module doc; ``RANGE``
     takes the ranges that ``ranged`` gave to ``df``, whose totals are broadcast
-    unless ``range_rows`` says that the ranges are small.
+    unless ``range_rows`` says that the ranges are small. Rows of other buckets
+    are dealt over tasks by the size of their files (``dealt``).
     """
     end = -1 if exclusive else Window.currentRow
     if bucket is None:
@@ -130,6 +147,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[
     if bucket == RANGE:
         offsets = _per_range(offsets, range_rows)  # one row a range
     joined = df.join(offsets, same_keys(part, [f"_k_{k}" for k in part]), "left")
+    if bucket != RANGE:
+        joined = dealt(joined, part)
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     cols = []
     for out, v, fn in specs:
