@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontor.operators.sweep import RANGE, RANGE_ROWS, ranged, running
+from kontor.operators.sweep import RANGE, RANGE_ROWS, SPLIT, ranged, running, same_keys
 
 
 def assign_document_numbers(docs: DataFrame, group_cols: list[str], order_cols: list[str], prefix_col: str,
@@ -30,24 +30,24 @@ def assign_document_numbers(docs: DataFrame, group_cols: list[str], order_cols:
             .drop("_seq", "_one"))
 
 
-def duplicate_rank(df: DataFrame, key_cols: list[str], order_cols: list[str]) -> DataFrame:
+def duplicate_rank(df: DataFrame, key_cols: list[str], order_cols: list[str],
+                   range_rows: int | None = RANGE_ROWS) -> DataFrame:
     """Rank rows sharing a key (1 = keeper) and count the group.
 
-    The group size is a partial aggregation joined back; the rank is a running
-    count, two-phase (bucketed by the leading order column) when there is a
-    tie-breaker, so one heavily duplicated key is not a single task.
+    Rows are dealt once by key and range and both ranked and counted there. A
+    key of more than ``range_rows`` rows is cut at its ranges, so one heavily
+    duplicated key is not a single task; its count is the sum over its ranges.
     """
-    counts = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("dup_count"))
-    bucket = order_cols[0] if len(order_cols) > 1 else None
-    ranked = running(df.withColumn("_one", F.lit(1)), key_cols, order_cols, [("dup_rank", "_one", "sum")], bucket)
-    # null keys are a group like any other
-    counts = counts.select(*[F.col(k).alias(f"_c_{k}") for k in key_cols], "dup_count")
-    same = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in key_cols]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return (ranked.withColumn("dup_rank", F.col("dup_rank").cast("int")).drop("_one")
-            .join(counts, on).drop(*[f"_c_{k}" for k in key_cols]))
+    part = key_cols + [RANGE]
+    rows = ranged(df.withColumn("_one", F.lit(1)), key_cols, order_cols, range_rows)
+    # one row for each key that is cut, null keys are a group like any other
+    totals = (rows.where(SPLIT).groupBy(*[F.col(k).alias(f"_c_{k}") for k in key_cols])
+              .agg(F.count(F.lit(1)).alias("_total")))
+    d = running(rows, key_cols, order_cols, [("dup_rank", "_one", "sum")], RANGE, deal=True)
+    d = d.withColumn("_here", F.count(F.lit(1)).over(Window.partitionBy(*part)))
+    d = d.join(F.broadcast(totals), same_keys(key_cols, [f"_c_{k}" for k in key_cols]), "left")
+    return d.select(*df.columns, F.col("dup_rank").cast("int").alias("dup_rank"),
+                    F.coalesce("_total", "_here").alias("dup_count"))
 
 
 def sequence_gaps(df: DataFrame, group_cols: list[str], number_col: str,

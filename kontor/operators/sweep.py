@@ -129,14 +129,16 @@ def _offsets(df: DataFrame, keys: list[str], specs: list[tuple[str, str, str]],
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[str, str, str]],
-            bucket: str | None = None, exclusive: bool = False, range_rows: int | None = None) -> DataFrame:
+            bucket: str | None = None, exclusive: bool = False, range_rows: int | None = None,
+            deal: bool = False) -> DataFrame:
     """Add running aggregates: ``specs`` = [(out, value column, 'sum'|'min'|'max')].
 
     Inclusive (rows up to this one) or ``exclusive`` (rows before it; NULL
     when there are none). With ``bucket``: two phases, see module doc; ``RANGE``
     takes the ranges that ``ranged`` gave to ``df``, whose totals are broadcast
     unless ``range_rows`` says that the ranges are small. Rows of other buckets
-    are dealt over tasks by the size of their files (``dealt``).
+    are dealt over tasks by the size of their files (``dealt``), those of
+    ranges with ``deal``.
     """
     end = -1 if exclusive else Window.currentRow
     if bucket is None:
@@ -147,7 +149,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[tuple[
     if bucket == RANGE:
         offsets = _per_range(offsets, range_rows)  # one row a range
     joined = df.join(offsets, same_keys(part, [f"_k_{k}" for k in part]), "left")
-    if bucket != RANGE:
+    if deal or bucket != RANGE:
         joined = dealt(joined, part)
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     cols = []
