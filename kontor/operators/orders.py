@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kontor.functions import money as M
 from kontor.operators.reports import line_amount
 from kontor.operators.sweep import RANGE_ROWS, interval_allocate
+from kontor.session import stored
 
 QTY_SUM = "DECIMAL(30,6)"
 AMOUNT_SUM = "DECIMAL(30,4)"
@@ -52,18 +53,38 @@ def purchase_order_rollup(po_lines: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def _allocate(order_lines: DataFrame, orders: DataFrame, doc_lines: DataFrame, docs: DataFrame, doc_type: str,
-              order_id: str, party: str, doc_line_id: str, order_line_id: str, range_rows: int | None) -> DataFrame:
-    """Quantities of one type of document allocated to order lines, see ``allocate_bills``."""
+              order_id: str, party: str, doc_line_id: str, order_line_id: str, range_rows: int | None,
+              amounts: bool = False) -> DataFrame:
+    """Quantities of one type of document allocated to order lines, see ``allocate_bills``.
+
+    With ``amounts`` the rows carry what their lines say: the document line's price and discount, the order line's order.
+    """
+    price, order = (["unit_price", "discount_pct"], [order_id]) if amounts else ([], [])
     supply = (doc_lines.join(docs.where((F.col("type") == doc_type) & ~F.col("status").isin("draft", "voided")).select(
                   F.col("id").alias("invoice_id"), F.col("contact_id").alias(party), "invoice_date"), "invoice_id")
               .where("quantity > 0")
               .select(party, "product_id", "invoice_date", F.col("id").alias(doc_line_id),
-                      F.col("quantity").alias("_billed")))
+                      F.col("quantity").alias("_billed"), *price))
     demand = (order_lines.join(orders.select(F.col("id").alias(order_id), party, "order_date"), order_id)
               .select(party, "product_id", "order_date", F.col("id").alias(order_line_id),
-                      F.col("quantity").alias("_ordered")))
+                      F.col("quantity").alias("_ordered"), *order))
     return interval_allocate(supply, demand, [party, "product_id"], ["invoice_date", doc_line_id],
-                             ["order_date", order_line_id], "_billed", "_ordered", doc_line_id, order_line_id, range_rows)
+                             ["order_date", order_line_id], "_billed", "_ordered", doc_line_id, order_line_id, range_rows,
+                             price, order)
+
+
+def _said_by(rows: DataFrame, lines: DataFrame, line_id: str, cols: list[str]) -> DataFrame:
+    """``rows`` with ``cols`` of the line that ``line_id`` names, which they carry; once for each line if several have that id."""
+    repeated = stored(lines.where("id IS NOT NULL").groupBy(F.col("id").alias(line_id)).count().where("count > 1")
+                      .select(line_id), "repeated_ids")
+    rows = rows.where(F.col(line_id).isNotNull())
+    if repeated.isEmpty():
+        return rows
+    every = (lines.withColumnRenamed("id", line_id).join(repeated, line_id, "left_semi")
+             .groupBy(line_id).agg(F.collect_list(F.struct(*cols)).alias("_every")))
+    said = F.explode(F.coalesce("_every", F.array(F.struct(*cols)))).alias("_said")
+    rest = [c for c in rows.columns if c not in cols]
+    return rows.join(every, line_id, "left").select(*rest, said).select(*rest, "_said.*")
 
 
 def allocate_bills(po_lines: DataFrame, purchase_orders: DataFrame, bill_lines: DataFrame, bills: DataFrame,
@@ -94,11 +115,11 @@ def _document_amounts(allocated: DataFrame, order_lines: DataFrame, orders: Data
     Each allocated quantity is priced as its document line is (price and
     discount) and rounded as a line is. Orders without documents get 0.
     """
-    priced = line_amount(
-        allocated.where(F.col(doc_line_id).isNotNull()).select(doc_line_id, order_line_id, F.col("allocated").alias("quantity"))
-        .join(doc_lines.select(F.col("id").alias(doc_line_id), "unit_price", "discount_pct"), doc_line_id))
-    per = (priced.join(order_lines.select(F.col("id").alias(order_line_id), order_id), order_line_id)
-           .groupBy(F.col(order_id).alias("id")).agg(F.sum("quantity").alias("_q"), F.sum("line_amount").alias("_a")))
+    rows = allocated.select(doc_line_id, order_line_id, order_id, "unit_price", "discount_pct", F.col("allocated").alias("quantity"))
+    rows = _said_by(rows, doc_lines, doc_line_id, ["unit_price", "discount_pct"])
+    rows = _said_by(rows, order_lines, order_line_id, [order_id])
+    per = (line_amount(rows).groupBy(F.col(order_id).alias("id"))
+           .agg(F.sum("quantity").alias("_q"), F.sum("line_amount").alias("_a")))
     found = F.coalesce("_a", F.lit(0)).cast(AMOUNT_SUM)
     total = F.col("total_amount")
     return orders.join(per, "id", "left").select(
@@ -110,7 +131,8 @@ def _document_amounts(allocated: DataFrame, order_lines: DataFrame, orders: Data
 def purchase_order_amounts(po_lines: DataFrame, purchase_orders: DataFrame, bill_lines: DataFrame, bills: DataFrame,
                            range_rows: int | None = RANGE_ROWS) -> DataFrame:
     """``amount_billed`` of every purchase order from the bills themselves, beside the stored column, and its percentage."""
-    a = allocate_bills(po_lines, purchase_orders, bill_lines, bills, range_rows)
+    a = _allocate(po_lines, purchase_orders, bill_lines, bills, "purchase", "po_id", "vendor_id", "bill_line_id",
+                  "po_line_id", range_rows, amounts=True)
     return _document_amounts(a, po_lines, purchase_orders, bill_lines, "po_id", "bill_line_id", "po_line_id",
                              "amount_billed", "billed_pct")
 
@@ -118,7 +140,8 @@ def purchase_order_amounts(po_lines: DataFrame, purchase_orders: DataFrame, bill
 def sales_order_amounts(so_lines: DataFrame, sales_orders: DataFrame, invoice_lines: DataFrame, invoices: DataFrame,
                         range_rows: int | None = RANGE_ROWS) -> DataFrame:
     """``amount_invoiced`` of every sales order from the invoices themselves, beside the stored column, and its percentage."""
-    a = allocate_invoices(so_lines, sales_orders, invoice_lines, invoices, range_rows)
+    a = _allocate(so_lines, sales_orders, invoice_lines, invoices, "sale", "so_id", "customer_id", "invoice_line_id",
+                  "so_line_id", range_rows, amounts=True)
     return _document_amounts(a, so_lines, sales_orders, invoice_lines, "so_id", "invoice_line_id", "so_line_id",
                              "amount_invoiced", "invoiced_pct")
 

@@ -56,8 +56,8 @@ def same_keys(left: list[str], right: list[str]):
     return on
 
 
-def dealt(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``df`` dealt by ``cols`` over a number of tasks that grows with the files it is made of.
+def dealt(df: DataFrame, cols: list[str], parts: int = 1) -> DataFrame:
+    """``df`` dealt by ``cols`` over a number of tasks that grows with the files it is made of, ``parts`` for ``TASK_BYTES``.
 
     Adaptive execution sizes tasks by compressed shuffle bytes, which say
     little of the rows a window sorts. Files read more than once count once.
@@ -66,7 +66,7 @@ def dealt(df: DataFrame, cols: list[str]) -> DataFrame:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = {leaf.semanticHash(): int(str(leaf.stats().sizeInBytes()))
              for leaf in (leaves.apply(i) for i in range(leaves.size()))}
-    tasks = -(-sum(sizes.values()) // TASK_BYTES)
+    tasks = -(-parts * sum(sizes.values()) // TASK_BYTES)
     few = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(tasks, *cols) if few < tasks < 1 << 20 else df
 
@@ -179,33 +179,92 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
 def interval_allocate(supply: DataFrame, demand: DataFrame, keys: list[str],
                       supply_order: list[str], demand_order: list[str],
                       supply_qty: str, demand_qty: str,
-                      supply_id: str, demand_id: str, range_rows: int | None = RANGE_ROWS) -> DataFrame:
+                      supply_id: str, demand_id: str, range_rows: int | None = RANGE_ROWS,
+                      supply_with: list[str] = (), demand_with: list[str] = ()) -> DataFrame:
     """Allocate ordered demand to ordered supply per key (FIFO matching).
 
-    Returns one row per overlapping (supply_id, demand_id) with ``allocated``;
-    demand beyond the total supply comes back with a NULL ``supply_id``
+    Returns one row per overlapping (supply_id, demand_id) with ``allocated``
+    and the columns ``supply_with`` and ``demand_with``, which must follow from
+    the ids; demand beyond the total supply comes back with a NULL ``supply_id``
     (shortfall); supply never consumed does not appear. Quantities must be
-    non-negative. A queue of more than ``range_rows`` rows is split into
-    ranges, unless it has the column ``_range`` already. Both queues and then
-    their places, which several steps read, are written once under the checkpoint folder.
+    non-negative. Both queues, which several steps read, are written once under
+    the checkpoint folder, unless they have the column ``_range`` already. Keys
+    of a queue of more than ``range_rows`` rows are matched over ranges
+    (``match_intervals``), all others where their rows meet.
     """
-    if RANGE not in supply.columns:
-        supply = stored(supply.select(*dict.fromkeys([*keys, *supply_order, supply_qty, supply_id])), "supply_rows")
-        supply = ranged(supply, keys, supply_order, range_rows)
-    if RANGE not in demand.columns:
-        demand = stored(demand.select(*dict.fromkeys([*keys, *demand_order, demand_qty, demand_id])), "demand_rows")
-        demand = ranged(demand, keys, demand_order, range_rows)
+    s, d = supply, demand
+    if RANGE not in s.columns:
+        s = stored(s.select(*dict.fromkeys([*keys, *supply_order, supply_qty, supply_id, *supply_with])), "supply_rows")
+        s = ranged(s, keys, supply_order, range_rows)
+    if RANGE not in d.columns:
+        d = stored(d.select(*dict.fromkeys([*keys, *demand_order, demand_qty, demand_id, *demand_with])), "demand_rows")
+        d = ranged(d, keys, demand_order, range_rows)
     one = F.lit(1).cast("bigint")
-    s = running(supply.withColumn("_one", one), keys, supply_order,
-                [("_end", supply_qty, "sum"), ("_rank", "_one", "sum")], RANGE)
-    d = running(demand.withColumn("_one", one), keys, demand_order,
-                [("_end", demand_qty, "sum"), ("_rank", "_one", "sum")], RANGE)
+
+    def places(s, d):
+        return (running(s.withColumn("_one", one), keys, supply_order,
+                        [("_end", supply_qty, "sum"), ("_rank", "_one", "sum")], RANGE),
+                running(d.withColumn("_one", one), keys, demand_order,
+                        [("_end", demand_qty, "sum"), ("_rank", "_one", "sum")], RANGE))
+
+    qtype = places(s, d)[0].schema["_end"].dataType
+    known = [F.col(k).isNotNull() for k in keys]  # a null key matches nothing
+    for c in known:
+        s, d = s.where(c), d.where(c)
+    queues = (supply_order, demand_order, supply_qty, demand_qty, supply_id, demand_id, list(supply_with), list(demand_with))
+    hot = s.where(SPLIT).select(*keys).unionByName(d.where(SPLIT).select(*keys)).distinct()
+    hot = stored(hot, "hot_keys")
+    if hot.isEmpty():
+        return _match_whole(s, d, keys, *queues, qtype)
+    hot = _per_range(hot, range_rows)
+    cold = _match_whole(s.join(hot, keys, "left_anti"), d.join(hot, keys, "left_anti"), keys, *queues, qtype)
+    s, d = places(s.join(hot, keys, "left_semi"), d.join(hot, keys, "left_semi"))
     own = [*keys, "_end", "_rank", RANGE, SPLIT]
-    s, d = stored(s.select(*own, supply_id), "supply"), stored(d.select(*own, demand_id), "demand")
-    return match_intervals(s, d, keys, supply_id, demand_id)
+    s = stored(s.select(*dict.fromkeys([*own, supply_id, *supply_with])), "supply")
+    d = stored(d.select(*dict.fromkeys([*own, demand_id, *demand_with])), "demand")
+    return cold.unionByName(match_intervals(s, d, keys, supply_id, demand_id, supply_with, demand_with))
+
 
+def _match_whole(s: DataFrame, d: DataFrame, keys: list[str], supply_order: list[str], demand_order: list[str],
+                 supply_qty: str, demand_qty: str, supply_id: str, demand_id: str,
+                 supply_with: list[str], demand_with: list[str], qtype) -> DataFrame:
+    """Overlaps of two queues whose rows of a key are few enough for one task; their rows are shuffled once.
 
-def match_intervals(s: DataFrame, d: DataFrame, keys: list[str], supply_id: str, demand_id: str) -> DataFrame:
+    The segment that ends at an item's end is covered by the next item of
+    either queue at or after it: the last one seen from the far end.
+    """
+    sides = [(s, supply_order, supply_qty, supply_id, supply_with), (d, demand_order, demand_qty, demand_id, demand_with)]
+    named = [{c: f"_{j}_{k}" for k, c in enumerate(dict.fromkeys([*order, item, *extra]))}
+             for j, (_, order, _, item, extra) in enumerate(sides)]
+    both = [q.select(*keys, F.lit(i == 0).alias("_is_s"), F.col(qty).alias("_qty"),
+                     *[(F.col(c) if i == j else F.lit(None).cast(sides[j][0].schema[c].dataType)).alias(name)
+                       for j in (0, 1) for c, name in named[j].items()])
+            for i, (q, _, qty, _, _) in enumerate(sides)]
+    both = both[0].unionByName(both[1])
+    rows = dealt(both, keys, 2)  # written rows are dense, and sorted twice
+    rows = both.repartition(*keys) if rows is both else rows
+    places = [named[j][c] for j in (0, 1) for c in sides[j][1]]
+    w = Window.partitionBy(*keys, "_is_s").orderBy(*places).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", F.sum("_qty").over(w).cast(qtype).alias("_end"), F.count(F.lit(1)).over(w).alias("_rank"))
+    items = [F.struct(*[F.col(named[j][c]).alias(c) for c in dict.fromkeys([sides[j][3], *sides[j][4]])]) for j in (0, 1)]
+    back = Window.partitionBy(*keys).orderBy(F.col("_end").desc(), F.col("_rank").desc())
+    seen = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seg = rows.select(
+        *keys, (F.col("_end") - F.coalesce(F.lead("_end").over(back), F.lit(0).cast(qtype))).alias("_len"),
+        F.last(F.when(F.col("_is_s"), items[0]), ignorenulls=True).over(seen).alias("_s"),
+        F.last(F.when(~F.col("_is_s"), items[1]), ignorenulls=True).over(seen).alias("_d"))
+    return _overlaps(seg.where((F.col("_len") > 0) & F.col("_d").isNotNull())
+                     .select(*keys, "_len", "_s.*", "_d.*"), keys, supply_id, demand_id, supply_with, demand_with)
+
+
+def _overlaps(seg: DataFrame, keys: list[str], supply_id: str, demand_id: str, supply_with, demand_with) -> DataFrame:
+    """What the segments of every pair of items come to."""
+    own = [c for c in dict.fromkeys([*supply_with, *demand_with]) if c not in (*keys, supply_id, demand_id)]
+    return seg.groupBy(*keys, supply_id, demand_id).agg(F.sum("_len").alias("allocated"), *[F.first(c).alias(c) for c in own])
+
+
+def match_intervals(s: DataFrame, d: DataFrame, keys: list[str], supply_id: str, demand_id: str,
+                    supply_with: list[str] = (), demand_with: list[str] = ()) -> DataFrame:
     """Overlaps of two queues whose items end at ``_end`` on the axis of their key and are numbered by ``_rank``.
 
     Both have the columns of ``ranged``. The axis is cut where the ranges of
@@ -231,7 +290,7 @@ def match_intervals(s: DataFrame, d: DataFrame, keys: list[str], supply_id: str,
            .filter(F.col("_len") > 0)
            .select(*keys, "_len", (F.coalesce("_s_before", F.lit(0)) + 1).alias("_srank"),
                    (F.coalesce("_d_before", F.lit(0)) + 1).alias("_drank")))
-    s_ids = s.select(*keys, F.col("_rank").alias("_srank"), F.col(supply_id).alias(supply_id))
-    d_ids = d.select(*keys, F.col("_rank").alias("_drank"), F.col(demand_id).alias(demand_id))
+    s_ids = s.select(*keys, F.col("_rank").alias("_srank"), supply_id, *supply_with)
+    d_ids = d.select(*keys, F.col("_rank").alias("_drank"), demand_id, *demand_with)
     j = seg.join(d_ids, keys + ["_drank"]).join(s_ids, keys + ["_srank"], "left")
-    return j.groupBy(*keys, supply_id, demand_id).agg(F.sum("_len").alias("allocated"))
+    return _overlaps(j, keys, supply_id, demand_id, supply_with, demand_with)

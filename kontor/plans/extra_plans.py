@@ -364,6 +364,7 @@ def q_purchase_order_amounts(spark, sf_dir):
 def q_sales_order_amounts(spark, sf_dir):
     from kontor.operators import orders as O
     lg = L(spark, sf_dir)
+    lg.materialize(["line_src", "order_head"])  # lines and orders, documents and their lines read these
     return O.sales_order_amounts(lg.sales_order_lines, lg.sales_orders, lg.invoice_lines, lg.invoices)
 
 

@@ -747,6 +747,11 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(tasks, key) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
 
 
+#: Internal tables that others join and window by this key; written, they are bucketed by it.
+KEYED = {"line_src": "l_orderkey", "order_head": "o_orderkey"}
+MAX_BUCKETS = 100_000  # spark.sql.sources.bucketing.maxBuckets
+
+
 @dataclass
 class Ledger:
     """Lazily built ledger tables over one directory of driver tables."""
@@ -772,6 +777,25 @@ class Ledger:
             self._cache[name] = self.spark.sql(sql, **frames)
         return self._cache[name]
 
+    def _buckets(self) -> int:
+        """Buckets of the ``KEYED`` tables: as many as the tasks line items are dealt over."""
+        size = int(str(self.raw("lineitem")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return min(max(-(-size // TASK_BYTES), self.spark.sparkContext.defaultParallelism), MAX_BUCKETS)
+
+    def _write(self, name: str) -> DataFrame:
+        """``name`` written under the shared checkpoint folder and read back, by its key if it has one."""
+        from kontor.session import COMPACT, scratch_path, stored_by
+        if name not in KEYED:
+            path = scratch_path(self.spark, name)
+            self[name].write.options(**COMPACT).parquet(path)
+            return self.spark.read.parquet(path)
+        key, n = KEYED[name], self._buckets()
+        sql, deps = table_sql(name, "spark")
+        frames = {d: self[d] for d in deps}
+        if name == "line_src":  # numbered where it is dealt
+            return stored_by(self.spark.sql(sql, lineitem=frames["lineitem"].repartition(n, key)), name, key, n)
+        return stored_by(self.spark.sql(sql, **frames).repartition(n, key), name, key, n)
+
     def materialize(self, names) -> dict:
         """Write the listed tables once as Parquet under the shared checkpoint
         folder and return them read back (lineage cut: consumers scan files
@@ -784,24 +808,15 @@ class Ledger:
         """
         from concurrent.futures import ThreadPoolExecutor
 
-        from kontor.session import scratch_path
         todo = [n for n in _closure(names) if ("mat", n) not in self._cache]
         level: dict[str, int] = {}
         for n in todo:  # _closure is dependency-ordered
             level[n] = 1 + max([level.get(d, 0) for d in _T[n][1] if d not in RAW_TABLES] or [0])
 
-        def write(item):
-            n, frame = item
-            path = scratch_path(self.spark, n)
-            frame.write.parquet(path)
-            return n, path
-
         for lv in sorted(set(level.values())):
             batch = [n for n in todo if level[n] == lv]
-            frames = [(n, self[n]) for n in batch]   # plans over the previous levels' files
-            with ThreadPoolExecutor(max_workers=8) as pool:
-                for n, path in pool.map(write, frames):
-                    df = self.spark.read.parquet(path)
+            with ThreadPoolExecutor(max_workers=8) as pool:  # plans over the previous levels' files
+                for n, df in zip(batch, list(pool.map(self._write, batch))):
                     self._cache[("mat", n)] = df
                     self._cache[n] = df           # later levels read the file
         return {n: self._cache[("mat", n)] for n in names}
